@@ -236,6 +236,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).select("doc_id", "held_out", "score", "predicted", "evidence", "n_passages", "passages")
 
 
+def keeper(model):
+    """For mapInArrow: the rows, whatever their columns, whose text (a column text) scores below one half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in T.slices(batches, "text"):
+            w = T.words(b.column("text"), lower=True, punct=True)
+            x = np.array([evidence(f, int(n), m)[0] for f, n in zip(passages(w, m), np.diff(w.first))])
+            yield b.filter(pa.array(m.a + m.b * x < 0))
+
+    return run
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
