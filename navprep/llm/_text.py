@@ -11,7 +11,18 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass holds; a longer single text is one pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+#: Rows in an Arrow batch: texts and shingle sets are large, so Spark's default of 10,000 rows takes hundreds of MB.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    """Lower the session's rows in an Arrow batch to BATCH_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
 
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True

@@ -227,6 +227,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     the span around it, up to white space or the text's end.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    T.small_batches(d.sparkSession)
     table = d.sparkSession.sparkContext.broadcast(shared_chunks(d.select("text"), path))
     kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded

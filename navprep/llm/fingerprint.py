@@ -159,6 +159,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text is empty; an empty text has no shingle, an empty fingerprint, and likeness 1 to another empty one and 0 to the rest. Rows of one id stand
     in order of their texts, null ids after all others. A table of one row is followed by itself; an empty table gives an empty result.
     """
+    T.small_batches(docs.sparkSession)
     d = with_next(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     return d.mapInArrow(_run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

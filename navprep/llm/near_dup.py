@@ -127,20 +127,31 @@ class _Links:
     def __init__(self, docs: DataFrame, sigs: DataFrame, k: int, percent: int, hashes: int, miss: float):
         self.docs, self.k, self.percent, self.hashes = docs, k, percent, hashes
         self.sigs = sigs.select(F.col("doc_id").alias("id"), "sig")
+        self.sets: DataFrame | None = None
         self.least = least_matches(percent / 100, hashes, BATCH, miss)
 
+    def _sets_of(self, ids: DataFrame) -> DataFrame:
+        """id, shingles of at least these ids; texts are read only for those not met before."""
+        known = self.sets
+        ids = stored(ids if known is None else ids.join(known.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), "nd-ids")
+        if known is None or not ids.isEmpty():
+            new = stored(keep_ids(self.docs, ids, "doc_id").mapInArrow(_sets(self.k), "id long, shingles binary"), "nd-sets")
+            self.sets = new if known is None else known.unionByName(new)
+        return self.sets
+
     def __call__(self, pairs: DataFrame) -> DataFrame:
         s = self.sigs
         p = pairs.join(s.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(s.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
         p = stored(p.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(self.least, BATCH, self.hashes), "a long, b long"), "nd-alive")
+        if p.isEmpty():
+            return p
         ids = p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
-        sets = stored(keep_ids(self.docs, stored(ids, "nd-ids"), "doc_id").mapInArrow(_sets(self.k), "id long, shingles binary"), "nd-sets")
+        sets = self._sets_of(ids)
         p = p.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
         return stored(p.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(self.percent), "a long, b long"), "nd-links")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links)
+def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
 
 
@@ -158,8 +169,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in one component. So a group of copies costs pairs in proportion to its size, and no partner is capped. Sequential looks at the signature
     drop a candidate when its posterior chance of reaching the threshold falls below miss; survivors are verified on full sets.
 
-    Rows with a null id keep a row of their own with a null component and kept true; rows that repeat an id share its first text's result.
+    Rows with a null id keep a row of their own with a null component and kept true; rows that repeat whole get equal results. Ids should name one text.
     """
+    T.small_batches(docs.sparkSession)
     bands, rows = bands_for(percent / 100, hashes, miss)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = stored(docs.mapInArrow(_signer(k, bands, rows, hashes), "doc_id long, n_shingles long, c1 long, c2 long, sig binary, bands array<long>, full boolean"), "nd-sigs")
@@ -171,28 +183,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivot = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = stored(keyed.join(pivot, "key").select("key", "id", "a"), "nd-members")
     links = judge(members.where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    now = stored(_labelled(members, links), "nd-labelled")
+    roots = components(links)
+    now = stored(_labelled(members, roots), "nd-labelled")
     open_ = _open(now)
     small, rest = open_.where(F.col("n") <= small_bucket), open_.where(F.col("n") > small_bucket)
     lists = now.join(small, "key").groupBy("key").agg(F.collect_list(F.struct("root", "id")).alias("xs"))
     pairs = lists.select(F.explode("xs").alias("x"), "xs").select("x", F.explode("xs").alias("y")).where("x.id < y.id and x.root <> y.root")
-    links = links.union(judge(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(members.select("a", F.col("id").alias("b")).distinct(), ["a", "b"], "left_anti")))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(members.select("a", F.col("id").alias("b")).distinct(), ["a", "b"], "left_anti")
     big = stored(now.join(rest.select("key"), "key").join(members, ["key", "id"]).select("key", "id", "a"), "nd-big")
-    done, classes_of = big.select("key", F.col("a").alias("id")).distinct(), 8
+    done, classes_of = big.select("key", F.col("a").alias("id")).distinct(), small_bucket
     while True:
-        now = stored(_labelled(big.select("key", "id"), links), "nd-labelled")
+        more = judge(pairs)
+        if not more.isEmpty():
+            links = stored(links.union(more), "nd-links")
+            roots = components(links)
         # open: two members in different components of which neither has met all others
-        left = now.join(done, ["key", "id"], "left_anti")
+        now = _labelled(big.select("key", "id"), roots)
+        left = stored(now.join(done, ["key", "id"], "left_anti"), "nd-left")
         open_ = stored(_open(left).select("key"), "nd-open")
         if open_.isEmpty():
             break
         salted = left.join(open_, "key").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(classes_of)), F.lit(classes_of)))
         pivots = stored(salted.groupBy("key", "salt").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "root")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.root").alias("proot")), "nd-pivots")
         pairs = now.join(open_, "key").join(pivots, "key").where("root <> proot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        links = stored(links.union(judge(pairs)), "nd-links")
         done = stored(done.union(pivots.select("key", F.col("pivot").alias("id"))), "nd-done")
-        classes_of *= 4
-    roots = components(links)
+        classes_of *= 16
     labels = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     many = classes.where("copies > 1").select("c1", "c2", "n_shingles")
     thin = sigs.select("doc_id", "n_shingles", "c1", "c2", "full")

@@ -200,6 +200,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     other documents that lose words. A document that copies another whole needs no comparing: each of its windows starts in the smaller one too, so if it has a
     window, all its words go. Repeated rows of one id and text give that id one result for each row of shape; rows of one id never remove each other's words.
     """
+    T.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shape = stored(docs.mapInArrow(_shape, "doc_id long, n_words long, t1 long, t2 long, sha string"), "sub-shape")
     firsts = shape.groupBy("t1", "t2", "n_words").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last"))

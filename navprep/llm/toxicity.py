@@ -214,6 +214,7 @@ def _logistic(x: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[float, flo
 
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic), without the held-out fold. Fold 1 calibrates, the others give the weights."""
+    T.small_batches(docs.sparkSession)
     fold = fold_of(F.col("doc_id"))
     use = labels.where("doc_id is not null and toxic in (0, 1)").where(fold != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = use.limit(max_labels + 1).count()
