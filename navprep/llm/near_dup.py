@@ -16,8 +16,10 @@ from .components import components
 HASHES = 128
 #: Signature values compared before each look at the posterior.
 BATCH = 16
-#: Largest bucket whose pairs across components are listed; larger ones meet pivots, round by round, until none is open.
-SMALL_BUCKET = 32
+#: Members of a bucket that meet in a task, by signature and on full sets.
+BLOCK, SET_BLOCK = 512, 128
+#: Shingles that one matrix product of the exact comparison covers.
+COLUMNS = 8192
 _MULT = T.mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -98,6 +100,81 @@ def _pruner(least: list[int], batch: int, hashes: int):
     return run
 
 
+def _lists(b: pa.RecordBatch, name: str, r: int) -> np.ndarray:
+    return b.column(name)[r].values.to_numpy()
+
+
+def _block_pruner(least: list[int], batch: int, hashes: int):
+    """Pairs of blocks -> the members (key, id, root) that have a partner of another root which isn't pruned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                ia, ra, ib, rb = (_lists(b, c, r) for c in ("ids_a", "roots_a", "ids_b", "roots_b"))
+                x, y = (np.frombuffer(b"".join(b.column(c)[r].values.to_pylist()), np.uint8).reshape(-1, hashes) for c in ("data_a", "data_b"))
+                i, j = np.nonzero(ra[:, None] != rb[None, :])
+                matches = np.zeros(len(i), np.int64)
+                for n, need in enumerate(least):
+                    part = slice(n * batch, (n + 1) * batch)
+                    matches += (x[i, part] == y[j, part]).sum(1)
+                    keep = matches >= need
+                    i, j, matches = i[keep], j[keep], matches[keep]
+                i, j = np.unique(i), np.unique(j)
+                ids, roots = np.concatenate([ia[i], ib[j]]), np.concatenate([ra[i], rb[j]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), b.column("key")[r].as_py(), np.int64)), pa.array(ids), pa.array(roots)], names=["key", "id", "root"])
+
+    return run
+
+
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y, by products of incidence matrices."""
+    px, py = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y))
+    vx, vy = np.concatenate(x), np.concatenate(y)
+    common = np.intersect1d(vx, vy)
+    out = np.zeros((len(x), len(y)), np.int64)
+    for at in range(0, len(common), COLUMNS):
+        part = common[at : at + COLUMNS]
+        sides = []
+        for v, p, n in ((vx, px, len(x)), (vy, py, len(y))):
+            c = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            hit = part[c] == v
+            m = np.zeros((n, len(part)), np.float32)
+            m[p[hit], c[hit]] = 1
+            sides.append(m)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _block_verifier(percent: int):
+    """Pairs of blocks -> links (a, b) on full sets, as many as join the roots that links join: a forest, not all pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                ia, ra, ib, rb = (_lists(b, c, r) for c in ("ids_a", "roots_a", "ids_b", "roots_b"))
+                x, y = ([np.frombuffer(v, np.uint64) for v in b.column(c)[r].values.to_pylist()] for c in ("data_a", "data_b"))
+                both = _overlaps(x, y)
+                union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None] - both
+                i, j = np.nonzero((100 * both >= percent * union) & (ra[:, None] != rb[None]))
+                _, first = np.unique(np.stack([np.minimum(ra[i], rb[j]), np.maximum(ra[i], rb[j])]), axis=1, return_index=True)
+                top: dict[int, int] = {}
+
+                def find(v: int, top=top) -> int:
+                    while top.setdefault(v, v) != v:
+                        v = top[v]
+                    return v
+
+                links = []
+                for n in first.tolist():
+                    u, v = find(int(ra[i[n]])), find(int(rb[j[n]]))
+                    if u != v:
+                        top[u] = v
+                        links.append((int(ia[i[n]]), int(ib[j[n]])))
+                yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in links], pa.int64()), pa.array([n[1] for n in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches, "text"):
@@ -121,6 +198,15 @@ def _verifier(percent: int):
     return run
 
 
+def _block_pairs(members: DataFrame, block: int, name: str) -> DataFrame:
+    """Members (key, id, root, data) in blocks of about block rows; each pair of blocks of one key, and each block with itself, as one row."""
+    n = members.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    m = members.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    packs = stored(m.groupBy("key", "block").agg(*(F.collect_list(c).alias(c) for c in ("id", "root", "data"))), name)
+    side = lambda s: packs.select("key", F.col("block").alias(f"block_{s}"), F.col("id").alias(f"ids_{s}"), F.col("root").alias(f"roots_{s}"), F.col("data").alias(f"data_{s}"))
+    return side("a").join(side("b"), "key").where("block_a <= block_b").drop("block_a", "block_b")
+
+
 class _Links:
     """Pairs of representatives -> those whose full sets are similar enough; what was judged once isn't judged again."""
 
@@ -140,13 +226,27 @@ class _Links:
         return self.sets
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a, b)."""
         s = self.sigs
         p = pairs.join(s.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(s.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        p = stored(p.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(self.least, BATCH, self.hashes), "a long, b long"), "nd-alive")
+        return self.verified(p.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(self.least, BATCH, self.hashes), "a long, b long"))
+
+    def in_blocks(self, members: DataFrame) -> DataFrame:
+        """Links that join the components of members (key, id, root) of one key. Blocks of members meet in a task: by signature first, then those that
+        have a partner left on full sets. What leaves a task is members, then a forest of links."""
+        run, out = _block_pruner(self.least, BATCH, self.hashes), "key long, id long, root long"
+        left = stored(_block_pairs(members.join(self.sigs.withColumnRenamed("sig", "data"), "id"), BLOCK, "nd-packs").mapInArrow(run, out).distinct(), "nd-left")
+        if left.isEmpty():
+            return left.select(F.col("id").alias("a"), F.col("id").alias("b"))
+        sets = self._sets_of(left.select(F.col("id").alias("doc_id")).distinct())
+        full = left.join(sets.withColumnRenamed("shingles", "data"), "id")
+        return stored(_block_pairs(full, SET_BLOCK, "nd-packs").mapInArrow(_block_verifier(self.percent), "a long, b long").distinct(), "nd-links")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        p = stored(pairs, "nd-alive")
         if p.isEmpty():
             return p
-        ids = p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
-        sets = self._sets_of(ids)
+        sets = self._sets_of(p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct())
         p = p.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
         return stored(p.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(self.percent), "a long, b long"), "nd-links")
 
@@ -156,18 +256,18 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    return members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n")
+    return members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hashes: int = HASHES, miss: float = 1e-6, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hashes: int = HASHES, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of the links 100 * |intersection| >= percent * |union| of distinct k-word shingle sets.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered; a text of fewer than k words has its whole sequence as one shingle; an empty or null text has
     no shingle, is linked with nothing and stays. Documents of equal sets are one representative (the least id) from the start. Candidates share a
-    band of a MinHash signature; first each bucket's members meet its least id, then only what is still in different components meets: all such pairs
-    in buckets of up to small_bucket, and in larger ones one pivot for each of a growing number of hash classes, until every pair of a bucket was judged or is
-    in one component. So a group of copies costs pairs in proportion to its size, and no partner is capped. Sequential looks at the signature
-    drop a candidate when its posterior chance of reaching the threshold falls below miss; survivors are verified on full sets.
+    band of a MinHash signature. First each bucket's members meet its least id; then members of a bucket that are still in different components are compared
+    in blocks, by signature and then on full sets, and only a forest of links leaves a task. So a group of copies costs pairs in proportion to its size, and
+    no partner is capped. Sequential looks at the signature drop a candidate when its posterior chance of reaching the threshold falls below miss;
+    survivors are verified on full sets.
 
     Rows with a null id keep a row of their own with a null component and kept true; rows that repeat whole get equal results. Ids should name one text.
     """
@@ -184,30 +284,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(keyed.join(pivot, "key").select("key", "id", "a"), "nd-members")
     links = judge(members.where("id <> a").select("a", F.col("id").alias("b")).distinct())
     roots = components(links)
-    now = stored(_labelled(members, roots), "nd-labelled")
-    open_ = _open(now)
-    small, rest = open_.where(F.col("n") <= small_bucket), open_.where(F.col("n") > small_bucket)
-    lists = now.join(small, "key").groupBy("key").agg(F.collect_list(F.struct("root", "id")).alias("xs"))
-    pairs = lists.select(F.explode("xs").alias("x"), "xs").select("x", F.explode("xs").alias("y")).where("x.id < y.id and x.root <> y.root")
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(members.select("a", F.col("id").alias("b")).distinct(), ["a", "b"], "left_anti")
-    big = stored(now.join(rest.select("key"), "key").join(members, ["key", "id"]).select("key", "id", "a"), "nd-big")
-    done, classes_of = big.select("key", F.col("a").alias("id")).distinct(), small_bucket
-    while True:
-        more = judge(pairs)
-        if not more.isEmpty():
-            links = stored(links.union(more), "nd-links")
-            roots = components(links)
-        # open: two members in different components of which neither has met all others
-        now = _labelled(big.select("key", "id"), roots)
-        left = stored(now.join(done, ["key", "id"], "left_anti"), "nd-left")
-        open_ = stored(_open(left).select("key"), "nd-open")
-        if open_.isEmpty():
-            break
-        salted = left.join(open_, "key").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(classes_of)), F.lit(classes_of)))
-        pivots = stored(salted.groupBy("key", "salt").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "root")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.root").alias("proot")), "nd-pivots")
-        pairs = now.join(open_, "key").join(pivots, "key").where("root <> proot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        done = stored(done.union(pivots.select("key", F.col("pivot").alias("id"))), "nd-done")
-        classes_of *= 16
+    now = stored(_labelled(members.select("key", "id"), roots), "nd-labelled")
+    open_ = stored(_open(now), "nd-open")
+    if not open_.isEmpty():
+        links = links.union(judge.in_blocks(now.join(open_, "key")))
+        roots = components(links)
     labels = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     many = classes.where("copies > 1").select("c1", "c2", "n_shingles")
     thin = sigs.select("doc_id", "n_shingles", "c1", "c2", "full")
