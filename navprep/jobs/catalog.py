@@ -1,4 +1,270 @@
-"""All queries of the library, with their oracles."""
+"""Queries over the driver's tables, each with its oracle in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import geometry as g
+from ..operators import grids, pairs, points as P, scoring, sync, vectors
+from ..streaming import robot
+from . import domain as d
+
+HOUR = 3_600_000_000
+SLOPS = {"odom": 12 * HOUR, "depth": 24 * HOUR, "color": 6 * HOUR}
+GROUND, HEIGHT, VOXEL, CLEAR = 0.25, 0.43, 0.05, 1.0
+_M, _PTS, _POSES, _ROBOT = map(d.sql_for_duckdb, (d.MESSAGES, d.POINTS, d.POSES, d.ROBOT))
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def _r(c, digits: int = 6):
+    """Rounded, without a negative zero."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.view(spark, sf_dir, d.MESSAGES)
+
+
+def _synced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.nearest_sync(_messages(spark, sf_dir), SLOPS)
+
+
+def _near(topic: str) -> str:
+    return f"""SELECT bag, cloud_idx, idx {topic}_n, dt {topic}_d FROM (SELECT c.bag, c.msg_idx cloud_idx, o.msg_idx idx, o.stamp - c.stamp dt,
+ row_number() OVER (PARTITION BY c.bag, c.msg_idx ORDER BY abs(o.stamp - c.stamp), o.stamp DESC, CASE WHEN o.stamp >= c.stamp THEN o.msg_idx ELSE -o.msg_idx END) rn
+ FROM m c JOIN m o ON o.bag = c.bag AND o.topic = '{topic}' WHERE c.topic = 'cloud') x WHERE rn = 1"""
+
+
+_SYNC = f"""WITH m AS ({_M}), o AS ({_near("odom")}), e AS ({_near("depth")}), k AS ({_near("color")}),
+s AS (SELECT c.bag, c.msg_idx cloud_idx, c.stamp, odom_n odom_idx, depth_n depth_idx, CASE WHEN abs(color_d) <= {SLOPS["color"]} THEN color_n END color_idx, odom_d odom_dt, depth_d depth_dt,
+ CASE WHEN abs(color_d) <= {SLOPS["color"]} THEN color_d END color_dt,
+ CASE WHEN odom_d IS NULL THEN 'odom_missing' WHEN abs(odom_d) > {SLOPS["odom"]} THEN 'odom_slop' WHEN depth_d IS NULL THEN 'depth_missing' WHEN abs(depth_d) > {SLOPS["depth"]} THEN 'depth_slop' END drop_reason
+ FROM (SELECT * FROM m WHERE topic = 'cloud') c LEFT JOIN o ON o.bag = c.bag AND o.cloud_idx = c.msg_idx LEFT JOIN e ON e.bag = c.bag AND e.cloud_idx = c.msg_idx LEFT JOIN k ON k.bag = c.bag AND k.cloud_idx = c.msg_idx)"""
+
+
+@query(_SYNC + " SELECT * FROM s")
+def nearest_sync(spark, sf_dir):
+    return _synced(spark, sf_dir)
+
+
+@query(_SYNC + """, t AS (SELECT bag, count(*) FILTER (topic = 'cloud') n_cloud, count(*) FILTER (topic = 'odom') n_odom, count(*) FILTER (topic = 'depth') n_depth, count(*) FILTER (topic = 'color') n_color FROM m GROUP BY 1),
+r AS (SELECT bag, count(*) FILTER (drop_reason IS NULL) matches, count(*) FILTER (drop_reason IS NULL AND color_idx IS NOT NULL) with_color, count(*) FILTER (drop_reason = 'odom_missing') odom_missing, count(*) FILTER (drop_reason = 'odom_slop') odom_slop,
+ count(*) FILTER (drop_reason = 'depth_missing') depth_missing, count(*) FILTER (drop_reason = 'depth_slop') depth_slop FROM s GROUP BY 1)
+SELECT t.*, coalesce(matches, 0) matches, coalesce(with_color, 0) with_color, coalesce(odom_missing, 0) odom_missing, coalesce(odom_slop, 0) odom_slop, coalesce(depth_missing, 0) depth_missing, coalesce(depth_slop, 0) depth_slop, coalesce(matches, 0) > 0 success FROM t LEFT JOIN r USING (bag)""")
+def sync_report(spark, sf_dir):
+    return sync.bag_report(_messages(spark, sf_dir), _synced(spark, sf_dir))
+
+
+@query(_SYNC + """, v AS (SELECT bag, abs(odom_dt) v, row_number() OVER (PARTITION BY bag ORDER BY abs(odom_dt)) rk, count(*) OVER (PARTITION BY bag) n FROM s WHERE drop_reason IS NULL)
+SELECT bag, count(*) n, round(avg(v), 3) mean, max(v) FILTER (rk = round_even((n - 1) * 0.5, 0) + 1) p50, max(v) FILTER (rk = round_even((n - 1) * 0.95, 0) + 1) p95, max(v) FILTER (rk = round_even((n - 1) * 0.99, 0) + 1) p99, max(v) max FROM v GROUP BY 1""")
+def dt_summary(spark, sf_dir):
+    return sync.dt_summary(_synced(spark, sf_dir).where("drop_reason is null"), "odom_dt").withColumn("mean", F.round("mean", 3))
+
+
+@query(_SYNC + """, a AS (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY stamp, cloud_idx) - 1 n FROM s WHERE drop_reason IS NULL)
+SELECT bag, cloud_idx, n // 2 sample_id FROM a WHERE n % 2 = 0 AND n // 2 < 3""")
+def sampled(spark, sf_dir):
+    return sync.take_samples(_synced(spark, sf_dir), 2, 3).where("drop_reason is null").select("bag", "cloud_idx", "sample_id")
+
+
+@query(f"WITH m AS ({_M}) SELECT * FROM (SELECT DISTINCT bag, 'log_' || CASE WHEN rk < 1000 THEN lpad(CAST(rk AS VARCHAR), 3, '0') ELSE CAST(rk AS VARCHAR) END env FROM (SELECT bag, dense_rank() OVER (ORDER BY bag) - 1 rk FROM m))")
+def env_names(spark, sf_dir):
+    return sync.env_names(_messages(spark, sf_dir), "log")
+
+
+_TERRAIN = f"""WITH pts AS ({_PTS}), t AS (SELECT *, CASE WHEN z > {GROUND} AND z < 1.5 * {HEIGHT} THEN 'obstacle' WHEN z < {GROUND} AND z > -{GROUND} THEN 'free' END terrain FROM pts)"""
+
+
+@query(_TERRAIN + " SELECT env, terrain, count(*) n, round(sum(z), 6) z FROM t WHERE terrain IS NOT NULL GROUP BY 1, 2")
+def terrain(spark, sf_dir):
+    t = P.classify_terrain(d.view(spark, sf_dir, d.POINTS), F.lit(0.0), GROUND, HEIGHT)
+    return t.groupBy("env", "terrain").agg(F.count("*").alias("n"), _r(F.sum("z")).alias("z"))
+
+
+_BOUNDS = _TERRAIN + f""", o AS (SELECT * FROM t WHERE terrain = 'obstacle'), b AS (SELECT env, min(x) - {CLEAR} lx, max(x) + {CLEAR} hx, min(y) - {CLEAR} ly, max(y) + {CLEAR} hy FROM o GROUP BY 1),
+n AS (SELECT *, CAST(ceil((hx - lx) / {VOXEL} / 10) * 10 AS INTEGER) num_x, CAST(ceil((hy - ly) / {VOXEL} / 10) * 10 AS INTEGER) num_y FROM b),
+p AS (SELECT env, num_x, num_y, (lx + hx) / 2 - num_x / 2 * {VOXEL} start_x, (ly + hy) / 2 - num_y / 2 * {VOXEL} start_y FROM n),
+c AS (SELECT o.env, CAST(round_even((x - start_x) / {VOXEL}, 0) AS INTEGER) ix, CAST(round_even((y - start_y) / {VOXEL}, 0) AS INTEGER) iy, num_x, num_y FROM o JOIN p USING (env)), ok AS (SELECT * FROM c WHERE ix >= 0 AND ix < num_x AND iy >= 0 AND iy < num_y)"""
+
+
+def _obstacles(spark, sf_dir):
+    t = P.classify_terrain(d.view(spark, sf_dir, d.POINTS), F.lit(0.0), GROUND, HEIGHT)
+    return t.where("terrain = 'obstacle'")
+
+
+def _params(spark, sf_dir):
+    return P.map_bounds(_obstacles(spark, sf_dir), VOXEL, CLEAR)
+
+
+@query(_BOUNDS + " SELECT env, num_x, num_y, round(start_x, 6) start_x, round(start_y, 6) start_y FROM p")
+def map_bounds(spark, sf_dir):
+    return _params(spark, sf_dir).select("env", "num_x", "num_y", _r("start_x").alias("start_x"), _r("start_y").alias("start_y"))
+
+
+@query(_BOUNDS + " SELECT env, ix, iy, count(*) hit_votes FROM ok GROUP BY 1, 2, 3")
+def hit_votes(spark, sf_dir):
+    return P.hit_votes(P.to_cells(_obstacles(spark, sf_dir), _params(spark, sf_dir)))
+
+
+@query(f"""WITH pts AS ({_PTS}), lo AS (SELECT env, min(x) mx, min(y) my, min(z) mz FROM pts GROUP BY 1), k AS (SELECT env, x, y, z, floor((x - mx + 0.25) / 0.5) kx, floor((y - my + 0.25) / 0.5) ky, floor((z - mz + 0.25) / 0.5) kz FROM pts JOIN lo USING (env))
+SELECT env, CAST(kx AS BIGINT) kx, CAST(ky AS BIGINT) ky, CAST(kz AS BIGINT) kz, round(avg(x), 9) x, round(avg(y), 9) y, round(avg(z), 9) z, count(*) n FROM k GROUP BY 1, 2, 3, 4""")
+def voxel_downsample(spark, sf_dir):
+    v = P.voxel_downsample(d.view(spark, sf_dir, d.POINTS), 0.5)
+    return v.select("env", *(F.col(f"k{c}").cast("long").alias(f"k{c}") for c in "xyz"), *(_r(c, 9).alias(c) for c in "xyz"), "n")
+
+
+@query(_BOUNDS + """, occ AS (SELECT DISTINCT env, ix, iy FROM ok), off AS (SELECT i, j FROM range(-2, 3) a(i), range(-2, 3) b(j) WHERE sqrt(i * i + j * j) <= 2)
+SELECT DISTINCT occ.env, CAST(occ.ix + i AS INTEGER) ix, CAST(occ.iy + j AS INTEGER) iy FROM occ CROSS JOIN off JOIN p USING (env) WHERE occ.ix + i >= 0 AND occ.ix + i < num_x AND occ.iy + j >= 0 AND occ.iy + j < num_y""")
+def inflated(spark, sf_dir):
+    params = _params(spark, sf_dir)
+    return P.inflate(P.occupied_cells(P.to_cells(_obstacles(spark, sf_dir), params)), params, 0.1, VOXEL)
+
+
+@query(_BOUNDS + """, occ AS (SELECT DISTINCT env, ix // 8 ix, iy // 8 iy FROM ok), q AS (SELECT env, CAST(ceil(num_x / 8) AS INTEGER) nx, CAST(ceil(num_y / 8) AS INTEGER) ny FROM p),
+g AS (SELECT env, CAST(i AS INTEGER) ix, CAST(j AS INTEGER) iy FROM q, range(0, 200) a(i), range(0, 200) b(j) WHERE i < nx AND j < ny),
+f AS (SELECT g.env, g.ix, g.iy, min((g.ix - o.ix) * (g.ix - o.ix) + (g.iy - o.iy) * (g.iy - o.iy)) d FROM g JOIN occ o USING (env) GROUP BY 1, 2, 3)
+SELECT env, ix, iy, round(sqrt(d), 6) "value" FROM f""")
+def distance_field(spark, sf_dir):
+    params = _params(spark, sf_dir)
+    c = P.occupied_cells(P.to_cells(_obstacles(spark, sf_dir), params)).select("env", F.expr("ix div 8").cast("int").alias("ix"), F.expr("iy div 8").cast("int").alias("iy")).distinct()
+    coarse = params.select("env", *(F.ceil(F.col(f"num_{a}") / 8).cast("int").alias(f"num_{a}") for a in "xy"), F.lit(VOXEL * 8).alias("voxel"))
+    return grids.distance_cells(c, coarse).withColumn("value", _r("value"))
+
+
+@query()
+def component_labels(spark, sf_dir):
+    """Labels of 4-connected obstacle cells; tested against a flood fill."""
+    params = _params(spark, sf_dir)
+    return grids.component_cells(P.occupied_cells(P.to_cells(_obstacles(spark, sf_dir), params)), params)
+
+
+@query()
+def surface_map(spark, sf_dir):
+    """Cost maps of all envs from obstacle and free points and the corridor of poses; its parts are tested by brute force."""
+    params = _params(spark, sf_dir)
+    pts = P.classify_terrain(d.view(spark, sf_dir, d.POINTS), F.lit(0.0), GROUND, HEIGHT)
+    layers = P.to_cells(pts, params).where("inside").select("env", "ix", "iy", F.col("terrain").alias("layer")).distinct()
+    poses = d.view(spark, sf_dir, d.POSES).select("env", "frame_id", "x", "y", "z")
+    return grids.surface_map(layers.unionByName(P.corridor(poses, params, 0.3, VOXEL).withColumn("layer", F.lit("corridor"))), params)
+
+
+_VOTES = _BOUNDS + """, h AS (SELECT env, ix, iy, count(*) hit_votes FROM ok GROUP BY 1, 2, 3), fr AS (SELECT t.env, frame_id, CAST(round_even((x - start_x) / 0.05, 0) AS INTEGER) ix, CAST(round_even((y - start_y) / 0.05, 0) AS INTEGER) iy, num_x, num_y FROM t JOIN p USING (env) WHERE terrain = 'free'),
+f AS (SELECT env, ix, iy, count(DISTINCT frame_id) free_votes FROM fr WHERE ix >= 0 AND ix < num_x AND iy >= 0 AND iy < num_y GROUP BY 1, 2, 3),
+v AS (SELECT env, ix, iy, coalesce(hit_votes, 0) hit_votes, coalesce(free_votes, 0) free_votes FROM h FULL JOIN f USING (env, ix, iy)), w AS (SELECT *, hit_votes / (hit_votes + free_votes + 1e-6) ratio FROM v)"""
+
+
+def _votes(spark, sf_dir):
+    params = _params(spark, sf_dir)
+    pts = P.classify_terrain(d.view(spark, sf_dir, d.POINTS), F.lit(0.0), GROUND, HEIGHT)
+    cells = P.to_cells(pts, params).where("inside")
+    votes = P.vote_occupancy(P.hit_votes(cells.where("terrain = 'obstacle'")), P.free_votes(cells.where("terrain = 'free'")), 2, 0.5, 2)
+    return P.carve(votes, 2, 0.6), params
+
+
+@query(_VOTES + " SELECT env, ix, iy, hit_votes, free_votes, round(ratio, 6) ratio, hit_votes >= 2 AND ratio >= 0.5 AND NOT (free_votes >= 2 AND ratio <= 0.6) occupied, free_votes >= 2 free FROM w")
+def vote_occupancy(spark, sf_dir):
+    return _votes(spark, sf_dir)[0].withColumn("ratio", _r("ratio"))
+
+
+@query()
+def raycast_map(spark, sf_dir):
+    """Cost and state of each cell from votes; its parts are tested by brute force."""
+    votes, params = _votes(spark, sf_dir)
+    return grids.raycast_map(votes, params, radius=0.3, softness=0.1, unknown_cost=0.3, least=2, sigma=1.0)
+
+
+_PAIRS = f"""WITH q AS ({_POSES}), a AS (SELECT q.*, unnest([1, 6, 11, 16, 21]) ahead, max(frame_id) OVER (PARTITION BY env) lf FROM q),
+j AS (SELECT a.env, a.ahead, a.frame_id, a.lf, -a.qx ux, -a.qy uy, -a.qz uz, a.qw w, b.x - a.x dx, b.y - a.y dy, b.z - a.z dz FROM a JOIN q b ON b.env = a.env AND b.frame_id = least(a.frame_id + a.ahead, a.lf)),
+t AS (SELECT *, 2 * (uy * dz - uz * dy) tx, 2 * (uz * dx - ux * dz) ty, 2 * (ux * dy - uy * dx) tz FROM j)"""
+
+
+def _pairs(spark, sf_dir):
+    p = d.view(spark, sf_dir, d.POSES)
+    return pairs.goal_pairs(p.select("env", "frame_id", F.struct(*g.POSE).alias("pose")), 25, 5)
+
+
+@query(_PAIRS + " SELECT env, (ahead - 1) // 5 * (lf + 1) + frame_id pair_id, ahead, frame_id, round(dx + w * tx + uy * tz - uz * ty, 6) + 0.0 gx, round(dy + w * ty + uz * tx - ux * tz, 6) + 0.0 gy, round(dz + w * tz + ux * ty - uy * tx, 6) + 0.0 gz FROM t")
+def goal_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("env", "pair_id", "ahead", "frame_id", *(_r(F.col(f"goal.{c}")).alias(f"g{c}") for c in "xyz"))
+
+
+@query(_PAIRS + " SELECT env, split, CASE split WHEN 'train' THEN CAST(floor(n * 0.9) AS BIGINT) ELSE n - CAST(floor(n * 0.9) AS BIGINT) END n FROM (SELECT env, count(*) n FROM t GROUP BY 1) CROSS JOIN (SELECT unnest(['train', 'test']) split)")
+def split_sizes(spark, sf_dir):
+    return pairs.exact_split(_pairs(spark, sf_dir)).groupBy("env", "split").agg(F.count("*").alias("n"))
+
+
+def _trajectories(spark, sf_dir):
+    """Straight plans of five keypoints to the goal of each pair."""
+    p = _pairs(spark, sf_dir).withColumn("traj_id", F.xxhash64("env", "pair_id"))
+    kp = p.select("traj_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("kp_idx"), "goal")
+    kp = kp.select("traj_id", "kp_idx", *((F.col(f"goal.{c}") * F.col("kp_idx") / 5).alias(c) for c in "xyz"))
+    return p, scoring.densify(kp)
+
+
+@query(_PAIRS + ", u AS (SELECT env, ahead, frame_id, sqrt(dx * dx + dy * dy + dz * dz) len FROM t) SELECT env, ahead, frame_id, round(len, 5) path, round(len * 0, 5) + 0.0 motion, 0.0 goal FROM u")
+def straight_plans(spark, sf_dir):
+    """A straight plan has the goal's distance as length, and no motion or goal cost (rotation keeps lengths)."""
+    p, wp = _trajectories(spark, sf_dir)
+    s = scoring.score(wp, p.select("traj_id", *(F.col(f"goal.{c}").alias(f"g{c}") for c in "xyz")))
+    length = scoring.path_columns(wp).groupBy("traj_id").agg(F.max("along").alias("path"))
+    return p.drop("goal").join(s, "traj_id").join(length, "traj_id").select("env", "ahead", "frame_id", _r("path", 5).alias("path"), _r("motion", 5).alias("motion"), _r("goal", 5).alias("goal"))
+
+
+@query()
+def plan_scores(spark, sf_dir):
+    """Plans scored against the raycast maps by tiled bicubic lookup; tested by brute force."""
+    votes, params = _votes(spark, sf_dir)
+    cells = grids.raycast_map(votes, params, radius=0.3, softness=0.1, unknown_cost=0.3, least=2)
+    p, wp = _trajectories(spark, sf_dir)
+    w = scoring.to_world(wp.join(p.select("traj_id", "env", "pose"), "traj_id")).drop("pose")
+    s = scoring.score(scoring.lookup(w, cells, params), p.select("traj_id", *(F.col(f"goal.{c}").alias(f"g{c}") for c in "xyz")))
+    return p.select("traj_id", "env", "ahead", "frame_id").join(s, "traj_id").drop("traj_id")
+
+
+@query()
+def fear_state(spark, sf_dir):
+    """Hysteresis and goal status of each robot; the stream gives the same (tested)."""
+    return robot.fold_batch(d.view(spark, sf_dir, d.ROBOT))
+
+
+@query(f"WITH r AS ({_ROBOT}) SELECT robot_id, tick, event_id FROM (SELECT robot_id, ts // 86400000000 tick, event_id, row_number() OVER (PARTITION BY robot_id, ts // 86400000000 ORDER BY ts DESC, event_id DESC) rn FROM r) WHERE rn = 1")
+def rate_limited(spark, sf_dir):
+    r = d.view(spark, sf_dir, d.ROBOT).select("robot_id", F.timestamp_micros("ts").alias("ts"), F.col("event_id").alias("sample_id"))
+    out = robot.rate_limit(r, 86400)
+    return out.select("robot_id", F.expr("unix_micros(tick.start) div 86400000000").alias("tick"), F.col("sample_id").alias("event_id"))
+
+
+@query()
+def moved_poses(spark, sf_dir):
+    """Poses away from the last one kept: a fold in order."""
+    return robot.deduplicate_motion(d.view(spark, sf_dir, d.POSES), 5.0)
+
+
+@query("SELECT e.vec_id, p.vec_id proto_id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(p.embedding, lambda x: CAST(x AS DOUBLE))), 6) similarity FROM embeddings e CROSS JOIN embeddings p WHERE p.vec_id < 10")
+def prototype_similarity(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.prototype_similarity(e, e.where("vec_id < 10")).withColumn("similarity", F.round("similarity", 6))
+
+
+@query('SELECT label, CAST(i - 1 AS INTEGER) "at", round(avg(CAST(embedding[i] AS DOUBLE)), 6) + 0.0 mean FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) i FROM embeddings) GROUP BY 1, 2')
+def label_means(spark, sf_dir):
+    return vectors.label_means(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("mean", _r("mean"))
+
+
+@query("SELECT run, epoch, round(value, 4) v, round((5 * value + 4 * coalesce(l1, f) + 3 * coalesce(l2, f) + 2 * coalesce(l3, f) + coalesce(l4, f)) / 15, 5) smooth FROM (SELECT CAST(user_id AS VARCHAR) run, event_id epoch, value, lag(value, 1) OVER w l1, lag(value, 2) OVER w l2, lag(value, 3) OVER w l3, lag(value, 4) OVER w l4, first_value(value) OVER w f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))")
+def moving_average(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("epoch"), "value")
+    return scoring.moving_average(e, 5).select("run", "epoch", F.round("value", 4).alias("v"), F.round("smooth", 5).alias("smooth"))
