@@ -214,7 +214,7 @@ def _trajectories(spark, sf_dir):
     return p, scoring.densify(kp)
 
 
-@query(_PAIRS + ", u AS (SELECT env, ahead, frame_id, sqrt(dx * dx + dy * dy + dz * dz) len FROM t) SELECT env, ahead, frame_id, round(len, 5) path, round(len * 0, 5) + 0.0 motion, 0.0 goal FROM u")
+@query(_PAIRS + ", u AS (SELECT env, ahead, frame_id, sqrt(dx * dx + dy * dy + dz * dz) len FROM t) SELECT env, ahead, frame_id, round(len, 5) path, round(len * 0, 5) + 0.0 motion, CAST(0 AS DOUBLE) goal FROM u")
 def straight_plans(spark, sf_dir):
     """A straight plan has the goal's distance as length, and no motion or goal cost (rotation keeps lengths)."""
     p, wp = _trajectories(spark, sf_dir)
