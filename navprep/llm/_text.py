@@ -14,7 +14,7 @@ U64 = np.uint64
 SLICE_BYTES = 1 << 20
 
 #: Rows in an Arrow batch: texts and shingle sets are large, so Spark's default of 10,000 rows takes hundreds of MB.
-BATCH_ROWS = 1000
+BATCH_ROWS = 200
 
 
 def small_batches(spark) -> None:

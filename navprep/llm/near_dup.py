@@ -17,7 +17,7 @@ HASHES = 128
 #: Signature values compared before each look at the posterior.
 BATCH = 16
 #: Members of a bucket that meet in a task, by signature and on full sets.
-BLOCK, SET_BLOCK = 512, 128
+BLOCK, SET_BLOCK = 256, 64
 #: Shingles that one matrix product of the exact comparison covers.
 COLUMNS = 8192
 _MULT = T.mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
