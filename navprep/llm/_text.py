@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -93,6 +95,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = to
 
 
+def tidy(run):
+    """run, for mapInArrow, giving memory back to the system when a task's rows are through: workers outlive their tasks."""
+
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidied
+
+
 class Words(NamedTuple):
     """Words of a slice in text order. doc: row in the slice; first: index of each row's first word, with one more at the end."""
 

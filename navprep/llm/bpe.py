@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -18,8 +19,8 @@ WINDOW, MASK = 16, np.uint64(63)
 MAX_CHUNK = 1 << 15
 #: Most chunks in the table of reuse, and most bytes of one. The table is broadcast; what isn't in it is encoded where it stands, so the bound changes no result.
 MAX_SHARED, MAX_SHARED_BYTES = 8192, 2048
-#: Pieces that a worker remembers, and the longest of them.
-MAX_PIECES, LONG_PIECE = 500_000, 200
+#: Pieces that a worker remembers within a task and from task to task (those met first, the frequent ones), and the longest of them; joints it remembers.
+MAX_PIECES, KEPT_PIECES, LONG_PIECE, MAX_JOINTS = 300_000, 100_000, 200, 50_000
 _BYTE = T.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ROLL = T._Powers(int(_BYTE[3]) | 1)
 
@@ -88,6 +89,7 @@ class Encoder:
         self.ids: dict[bytes, str] = {}
         self.dec: dict[bytes, str] = {}
         self.long: list[bytes] = []
+        self.joints: dict[tuple[bytes, bytes], bool] = {}
 
     def whole(self, texts: list[str]) -> tuple[list[str], list[str]]:
         """Ids and decoded text of each, each token's followed by one space."""
@@ -95,11 +97,15 @@ class Encoder:
         dec = self.tok.decode_batch(ids, skip_special_tokens=False)
         return [" ".join(map(str, x)) + " " if x else "" for x in ids], [d + " " if x else "" for x, d in zip(ids, dec)]
 
+    def forget(self) -> None:
+        """Keep the pieces met first."""
+        for p in list(itertools.islice(self.ids, KEPT_PIECES, None)):
+            del self.ids[p]
+            del self.dec[p]
+
     def learn(self, pieces: set[bytes]) -> None:
         if len(self.ids) > MAX_PIECES:
-            self.ids.clear()
-            self.dec.clear()
-            self.long.clear()
+            self.forget()
         for p in self.long:
             self.ids.pop(p, None)
             self.dec.pop(p, None)
@@ -128,8 +134,13 @@ class Encoder:
             j += 1
         while j < hi and not T._WS[raw[j]]:
             j += 1
-        (x, y, both), _ = self.whole([raw[i:at].decode(), raw[at:j].decode(), raw[i:j].decode()])
-        return x + y == both
+        sides = raw[i:at], raw[at:j]
+        if sides not in self.joints:
+            if len(self.joints) >= MAX_JOINTS:
+                self.joints.clear()
+            (x, y, both), _ = self.whole([sides[0].decode(), sides[1].decode(), raw[i:j].decode()])
+            self.joints[sides] = x + y == both
+        return self.joints[sides]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -177,13 +188,13 @@ def _encode_chunks(path: str):
 
 def shared_chunks(docs: DataFrame, path: str, limit: int = MAX_SHARED) -> list:
     """h, chunk, ids, dec of the limit most frequent chunks that occur more than once, each encoded once by a task. docs: text."""
-    counts = docs.mapInArrow(_counter, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = docs.mapInArrow(T.tidy(_counter), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     top = counts.orderBy(F.desc("n"), "h").limit(limit).select("h").toPandas()["h"].to_numpy(np.int64)
     if not len(top):
         return []
     wanted = docs.sparkSession.sparkContext.broadcast(np.sort(top.view(np.uint64)).tobytes())
-    found = docs.mapInArrow(_finder(wanted), "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk"))
-    return [tuple(r) for r in found.mapInArrow(_encode_chunks(path), "h long, chunk binary, ids string, dec string").collect()]  # limit rows at most
+    found = docs.mapInArrow(T.tidy(_finder(wanted)), "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk"))
+    return [tuple(r) for r in found.mapInArrow(T.tidy(_encode_chunks(path)), "h long, chunk binary, ids string, dec string").collect()]  # limit rows at most
 
 
 def _encoder_run(path: str, table, want_ids: bool, want_text: bool):
@@ -238,6 +249,7 @@ def _encoder_run(path: str, table, want_ids: bool, want_text: bool):
             if want_text:
                 out["decoded"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(out)
+        enc.forget()
 
     return run
 
@@ -255,7 +267,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     table = d.sparkSession.sparkContext.broadcast(shared_chunks(d.select("text"), path))
     kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
-    return d.mapInArrow(_encoder_run(path, table, ids, decoded), schema)
+    return d.mapInArrow(T.tidy(_encoder_run(path, table, ids, decoded)), schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

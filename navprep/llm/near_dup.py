@@ -221,7 +221,7 @@ class _Links:
         known = self.sets
         ids = stored(ids if known is None else ids.join(known.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), "nd-ids")
         if known is None or not ids.isEmpty():
-            new = stored(keep_ids(self.docs, ids, "doc_id").mapInArrow(_sets(self.k), "id long, shingles binary"), "nd-sets")
+            new = stored(keep_ids(self.docs, ids, "doc_id").mapInArrow(T.tidy(_sets(self.k)), "id long, shingles binary"), "nd-sets")
             self.sets = new if known is None else known.unionByName(new)
         return self.sets
 
@@ -229,18 +229,18 @@ class _Links:
         """Links among pairs (a, b)."""
         s = self.sigs
         p = pairs.join(s.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(s.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        return self.verified(p.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(self.least, BATCH, self.hashes), "a long, b long"))
+        return self.verified(p.select("a", "b", "sig_a", "sig_b").mapInArrow(T.tidy(_pruner(self.least, BATCH, self.hashes)), "a long, b long"))
 
     def in_blocks(self, members: DataFrame) -> DataFrame:
         """Links that join the components of members (key, id, root) of one key. Blocks of members meet in a task: by signature first, then those that
         have a partner left on full sets. What leaves a task is members, then a forest of links."""
-        run, out = _block_pruner(self.least, BATCH, self.hashes), "key long, id long, root long"
+        run, out = T.tidy(_block_pruner(self.least, BATCH, self.hashes)), "key long, id long, root long"
         left = stored(_block_pairs(members.join(self.sigs.withColumnRenamed("sig", "data"), "id"), BLOCK, "nd-packs").mapInArrow(run, out).distinct(), "nd-left")
         if left.isEmpty():
             return left.select(F.col("id").alias("a"), F.col("id").alias("b"))
         sets = self._sets_of(left.select(F.col("id").alias("doc_id")).distinct())
         full = left.join(sets.withColumnRenamed("shingles", "data"), "id")
-        return stored(_block_pairs(full, SET_BLOCK, "nd-packs").mapInArrow(_block_verifier(self.percent), "a long, b long").distinct(), "nd-links")
+        return stored(_block_pairs(full, SET_BLOCK, "nd-packs").mapInArrow(T.tidy(_block_verifier(self.percent)), "a long, b long").distinct(), "nd-links")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         p = stored(pairs, "nd-alive")
@@ -248,7 +248,7 @@ class _Links:
             return p
         sets = self._sets_of(p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct())
         p = p.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        return stored(p.select("a", "b", "set_a", "set_b").mapInArrow(_verifier(self.percent), "a long, b long"), "nd-links")
+        return stored(p.select("a", "b", "set_a", "set_b").mapInArrow(T.tidy(_verifier(self.percent)), "a long, b long"), "nd-links")
 
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     T.small_batches(docs.sparkSession)
     bands, rows = bands_for(percent / 100, hashes, miss)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = stored(docs.mapInArrow(_signer(k, bands, rows, hashes), "doc_id long, n_shingles long, c1 long, c2 long, sig binary, bands array<long>, full boolean"), "nd-sigs")
+    sigs = stored(docs.mapInArrow(T.tidy(_signer(k, bands, rows, hashes)), "doc_id long, n_shingles long, c1 long, c2 long, sig binary, bands array<long>, full boolean"), "nd-sigs")
     classes = sigs.where("full and doc_id is not null").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes, "nd-classes")
     reps = stored(sigs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("full").dropDuplicates(["doc_id"]).select("doc_id", "sig", "bands"), "nd-reps")

@@ -142,7 +142,7 @@ def _filter(keys: DataFrame, most: int = MAX_FILTER_BITS) -> tuple[int, np.ndarr
     """(bits, words) of a filter of two bits a key; its size is bounded by `most`."""
     n = keys.count()
     bits = int(min(most, max(MIN_FILTER_BITS, np.ceil(np.log2(max(1, n) * 24)))))
-    parts = keys.mapInArrow(_filter_words(bits), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    parts = keys.mapInArrow(T.tidy(_filter_words(bits)), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
     words = np.zeros(1 << (bits - 6), U)
     table = parts.toArrow()
     words[table.column("word").to_numpy()] = table.column("mask").to_numpy().view(U)
@@ -202,7 +202,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     """
     T.small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    shape = stored(docs.mapInArrow(_shape, "doc_id long, n_words long, t1 long, t2 long, sha string"), "sub-shape")
+    shape = stored(docs.mapInArrow(T.tidy(_shape), "doc_id long, n_words long, t1 long, t2 long, sha string"), "sub-shape")
     firsts = shape.groupBy("t1", "t2", "n_words").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last"))
     many = stored(firsts.where("own < last").drop("last"), "sub-firsts")
     shape = stored(shape.join(many, ["t1", "t2", "n_words"], "left").select("doc_id", "n_words", "sha", F.coalesce(F.col("own") < F.col("doc_id"), F.lit(False)).alias("copy")), "sub-copies")
@@ -210,15 +210,15 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     # leaving copies out saves work and changes nothing, so a table of them too large to broadcast is not used
     skip = copies.limit(MAX_BROADCAST_IDS + 1).toArrow().column("doc_id").to_numpy() if copies.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else np.zeros(0, np.int64)
     skip = spark.sparkContext.broadcast(np.sort(skip))
-    rows = docs.mapInArrow(_anchor_rows(window, skip), "key long, lo long, hi long")
+    rows = docs.mapInArrow(T.tidy(_anchor_rows(window, skip)), "key long, lo long, hi long")
     keys = stored(rows.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key"), "sub-anchors")
     bits, words = _filter(keys)
-    named = docs.mapInArrow(_window_rows(window, skip, bits, spark.sparkContext.broadcast(words)), "v1 long, v2 long, doc_id long, at int")
+    named = docs.mapInArrow(T.tidy(_window_rows(window, skip, bits, spark.sparkContext.broadcast(words))), "v1 long, v2 long, doc_id long, at int")
     least = named.groupBy("v1", "v2").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last")).where("own < last").drop("last")
     cut = stored(named.join(least, ["v1", "v2"]).where("doc_id > own").select("doc_id", "at"), "sub-cuts")
     ats = cut.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))  # of one document: no more than its words
     touched = keep_ids(docs, stored(cut.select("doc_id").distinct(), "sub-ids"), "doc_id")
-    cuts = touched.join(ats, "doc_id").select("doc_id", "text", "ats").mapInArrow(_remover(window), "doc_id long, n_removed long, kept_sha256 string, kept_text string")
+    cuts = touched.join(ats, "doc_id").select("doc_id", "text", "ats").mapInArrow(T.tidy(_remover(window)), "doc_id long, n_removed long, kept_sha256 string, kept_text string")
     return shape, cuts
 
 
@@ -238,7 +238,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
-    rest = d.where("doc_id is null").mapInArrow(_shape, "doc_id long, n_words long, t1 long, t2 long, sha string")
+    rest = d.where("doc_id is null").mapInArrow(T.tidy(_shape), "doc_id long, n_words long, t1 long, t2 long, sha string")
     return out.unionByName(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
 
 

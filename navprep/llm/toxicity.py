@@ -165,7 +165,7 @@ def fit(labelled: DataFrame) -> Model:
     """From text, toxic (0 or 1), part (0: words' weights, 1: calibration)."""
     spark = labelled.sparkSession
     labelled = stored(labelled, "tox-train")
-    counts = stored(labelled.where("part = 0").select("text", "toxic").mapInArrow(_word_counts, "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "tox-words")
+    counts = stored(labelled.where("part = 0").select("text", "toxic").mapInArrow(T.tidy(_word_counts), "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "tox-words")
     x = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     n1, n0 = float(x["t"] or 0), float(x["c"] or 0)
     # log-odds under a Dirichlet prior in proportion to the word's overall count
@@ -233,7 +233,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold_of(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    out = d.mapInArrow(_judge(d.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, {_JUDGED}")
+    out = d.mapInArrow(T.tidy(_judge(d.sparkSession.sparkContext.broadcast(model))), f"doc_id {kind}, held_out boolean, {_JUDGED}")
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).select("doc_id", "held_out", "score", "predicted", "evidence", "n_passages", "passages")
 
 
