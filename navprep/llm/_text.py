@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass holds; a longer single text is one pass of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Rows in an Arrow batch: texts and shingle sets are large, so Spark's default of 10,000 rows takes hundreds of MB.
 BATCH_ROWS = 200

@@ -20,7 +20,7 @@ MAX_CHUNK = 1 << 15
 #: Most chunks in the table of reuse, and most bytes of one. The table is broadcast; what isn't in it is encoded where it stands, so the bound changes no result.
 MAX_SHARED, MAX_SHARED_BYTES = 8192, 2048
 #: Pieces that a worker remembers within a task and from task to task (those met first, the frequent ones), and the longest of them; joints it remembers.
-MAX_PIECES, KEPT_PIECES, LONG_PIECE, MAX_JOINTS = 300_000, 100_000, 200, 50_000
+MAX_PIECES, KEPT_PIECES, LONG_PIECE, MAX_JOINTS = 150_000, 75_000, 200, 50_000
 _BYTE = T.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ROLL = T._Powers(int(_BYTE[3]) | 1)
 
