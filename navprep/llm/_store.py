@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where that is unset (local tests), a temporary folder kept for the session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="navprep-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    app = spark.sparkContext.applicationId
+    if not base and app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="navprep-")
+    return base or _LOCAL[app]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
