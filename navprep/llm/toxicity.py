@@ -18,7 +18,7 @@ U = np.uint64
 MAX_LABELS = 2_000_000
 #: At most so many words have a weight (the most significant).
 MAX_WORDS = 200_000
-#: Words' worth of the Dirichlet prior, dealt in proportion to overall counts.
+#: Words' worth of the Dirichlet prior (at most a tenth of the toxic texts' words), dealt in proportion to overall counts.
 PRIOR = 1000.0
 #: A word has a weight if its log-odds are at least LEAST_WEIGHT and so many standard deviations from none.
 LEAST_Z, LEAST_WEIGHT = 4.0, 1.5
@@ -169,9 +169,10 @@ def fit(labelled: DataFrame) -> Model:
     x = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     n1, n0 = float(x["t"] or 0), float(x["c"] or 0)
     # log-odds under a Dirichlet prior in proportion to the word's overall count
-    prior = (F.col("toxic") + F.col("clean")) * (PRIOR / max(n1 + n0, 1.0))
+    worth = min(PRIOR, 0.1 * n1)  # no more than the toxic texts can outweigh
+    prior = (F.col("toxic") + F.col("clean")) * (worth / max(n1 + n0, 1.0))
     a, b = F.col("toxic") + prior, F.col("clean") + prior
-    w = F.log(a / (n1 + PRIOR - a)) - F.log(b / (n0 + PRIOR - b))
+    w = F.log(a / (n1 + worth - a)) - F.log(b / (n0 + worth - b))
     # how far the toxic count is from its share of the word's count: the signed root of the likelihood ratio
     n, share = F.col("toxic") + F.col("clean"), n1 / max(n1 + n0, 1.0)
     half = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
