@@ -59,7 +59,8 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of each row."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers hold other stages' memory, too
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), pieces=150_000)
 
 
 def _sized(ids: DataFrame, most: int = 2_000_000) -> DataFrame:

@@ -19,8 +19,8 @@ WINDOW, MASK = 16, np.uint64(63)
 MAX_CHUNK = 1 << 15
 #: Most chunks in the table of reuse, and most bytes of one. The table is broadcast; what isn't in it is encoded where it stands, so the bound changes no result.
 MAX_SHARED, MAX_SHARED_BYTES = 8192, 2048
-#: Pieces that a worker remembers within a task and from task to task (those met first, the frequent ones), and the longest of them; joints it remembers.
-MAX_PIECES, KEPT_PIECES, LONG_PIECE, MAX_JOINTS = 150_000, 75_000, 200, 50_000
+#: Pieces that a worker remembers within a task (from task to task half of them: those met first, the frequent ones), and the longest of them; joints it remembers.
+MAX_PIECES, LONG_PIECE, MAX_JOINTS = 400_000, 200, 50_000
 _BYTE = T.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ROLL = T._Powers(int(_BYTE[3]) | 1)
 
@@ -88,6 +88,8 @@ class Encoder:
         self.tok.no_padding()
         self.ids: dict[bytes, str] = {}
         self.dec: dict[bytes, str] = {}
+        self.names = list(map(str, range(self.tok.get_vocab_size(with_added_tokens=True))))
+        self.pieces = MAX_PIECES
         self.long: list[bytes] = []
         self.joints: dict[tuple[bytes, bytes], bool] = {}
 
@@ -95,16 +97,17 @@ class Encoder:
         """Ids and decoded text of each, each token's followed by one space."""
         ids = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         dec = self.tok.decode_batch(ids, skip_special_tokens=False)
-        return [" ".join(map(str, x)) + " " if x else "" for x in ids], [d + " " if x else "" for x, d in zip(ids, dec)]
+        name = self.names.__getitem__
+        return [" ".join(map(name, x)) + " " if x else "" for x in ids], [d + " " if x else "" for x, d in zip(ids, dec)]
 
     def forget(self) -> None:
         """Keep the pieces met first."""
-        for p in list(itertools.islice(self.ids, KEPT_PIECES, None)):
+        for p in list(itertools.islice(self.ids, self.pieces // 2, None)):
             del self.ids[p]
             del self.dec[p]
 
     def learn(self, pieces: set[bytes]) -> None:
-        if len(self.ids) > MAX_PIECES:
+        if len(self.ids) > self.pieces:
             self.forget()
         for p in self.long:
             self.ids.pop(p, None)
@@ -197,9 +200,10 @@ def shared_chunks(docs: DataFrame, path: str, limit: int = MAX_SHARED) -> list:
     return [tuple(r) for r in found.mapInArrow(T.tidy(_encode_chunks(path)), "h long, chunk binary, ids string, dec string").collect()]  # limit rows at most
 
 
-def _encoder_run(path: str, table, want_ids: bool, want_text: bool):
+def _encoder_run(path: str, table, want_ids: bool, want_text: bool, pieces: int = MAX_PIECES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        enc.pieces = pieces
         rows = table.value
         known = np.array([r[0] for r in rows], np.int64).view(np.uint64)
         order = np.argsort(known)
@@ -217,8 +221,8 @@ def _encoder_run(path: str, table, want_ids: bool, want_text: bool):
                 s, e = int(start[i]), int(end[i])
                 if raw[s:e] == r[1]:  # equal bytes, not only equal hashes
                     parts.setdefault(int(row[i]), []).append((s, e, r))
-            pieces = [raw[offsets[k] : offsets[k + 1]].split() for k in range(b.num_rows)]
-            enc.learn(set().union(*pieces))
+            split = [raw[offsets[k] : offsets[k + 1]].split() for k in range(b.num_rows)]
+            enc.learn(set().union(*split))
             counts, ids_sha, dec_sha, ids, texts = [], [], [], [], []
             for k in range(b.num_rows):
                 lo, hi = int(offsets[k]), int(offsets[k + 1])
@@ -234,7 +238,7 @@ def _encoder_run(path: str, table, want_ids: bool, want_text: bool):
                     x, y = enc.span(raw[p:hi].split())
                     x, y = "".join([*xs, x]), "".join([*ys, y])
                 else:
-                    x, y = enc.span(pieces[k])
+                    x, y = enc.span(split[k])
                 x, y = x[:-1], y[:-1]
                 counts.append(x.count(" ") + 1 if x else 0)
                 ids_sha.append(hashlib.sha256(x.encode()).hexdigest())
@@ -254,20 +258,20 @@ def _encoder_run(path: str, table, want_ids: bool, want_text: bool):
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = False, pieces: int = MAX_PIECES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, as asked, ids (array<int>) and decoded (string) of every row.
 
     The tokenizer at path splits at white space and drops it. A null or empty text has no token; rows that repeat are encoded each; ids may be null.
     Chunks between content-defined cuts that documents share are encoded once, in a bounded table that tasks receive; a document is put together from
     them and from the spans between. Each joint is encoded again with a piece to either side; where it doesn't agree with its sides, the chunk joins
-    the span around it, up to white space or the text's end.
+    the span around it, up to white space or the text's end. pieces: how many encoded pieces a worker remembers, memory (about 0.4 kB each) against time.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     T.small_batches(d.sparkSession)
     table = d.sparkSession.sparkContext.broadcast(shared_chunks(d.select("text"), path))
     kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
-    return d.mapInArrow(T.tidy(_encoder_run(path, table, ids, decoded)), schema)
+    return d.mapInArrow(T.tidy(_encoder_run(path, table, ids, decoded, pieces)), schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
