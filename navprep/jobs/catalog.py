@@ -8,32 +8,14 @@ from ..functions import geometry as g
 from ..operators import grids, pairs, points as P, scoring, sync, vectors
 from ..streaming import robot
 from . import domain as d
+from . import frame_queries  # noqa: F401  (registers its queries)
+from .registry import ORACLES, QUERIES, query, rounded as _r  # noqa: F401
 
 HOUR = 3_600_000_000
 SLOPS = {"odom": 12 * HOUR, "depth": 24 * HOUR, "color": 6 * HOUR}
 GROUND, HEIGHT, VOXEL, CLEAR = 0.25, 0.43, 0.05, 1.0
 _M, _PTS, _POSES, _ROBOT = map(d.sql_for_duckdb, (d.MESSAGES, d.POINTS, d.POSES, d.ROBOT))
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(oracle: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return put
-
-
-def _r(c, digits: int = 6):
-    """Rounded, without a negative zero."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits) + F.lit(0.0)
-
-
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.view(spark, sf_dir, d.MESSAGES)
 

@@ -18,6 +18,11 @@ POSES = f"""SELECT env, frame_id, x, y, z, qx / n qx, qy / n qy, qz / n qz, qw /
 POINTS = "SELECT CAST(l_suppkey % 8 AS STRING) env, l_orderkey frame_id, l_quantity * 0.2 x, l_extendedprice / 10000 y, l_discount * 10 - 0.3 z FROM lineitem"
 ROBOT = "SELECT user_id robot_id, event_id, {us} ts, event_type kind, value / 500 fear, event_id % 3 <> 0 forward FROM events"
 
+#: Frames of 8 x 8 mm with the pose of their vector as camera.
+FRAMES = f"""SELECT env, frame_id, 8 height, 8 width, embedding, x, y, z, qx / n qx, qy / n qy, qz / n qz, qw / n qw FROM (SELECT *, sqrt(qx * qx + qy * qy + qz * qz + qw * qw) n FROM (
+ SELECT CAST(label AS STRING) env, vec_id frame_id, embedding, {_v(0)} * 10 x, {_v(1)} * 10 y, {_v(2)} * 10 z, {_v(3)} qx, {_v(4)} qy, {_v(5)} qz, {_v(6)} qw FROM embeddings) a) b"""
+JOY = "SELECT user_id robot_id, event_id, {us} ts, event_type kind, value / 250 - 1 forward, (event_id % 7 - 3) / 6e0 sideways, event_id % 5 + 1 n_axes FROM events"
+
 
 def sql_for_spark(q: str) -> str:
     for i in range(8):

@@ -28,3 +28,12 @@ def label_means(vectors: DataFrame) -> DataFrame:
     """label, at, mean: the mean vector of each label, component by component."""
     v = vectors.select("label", F.posexplode("embedding").alias("at", "x"))
     return v.groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+
+
+def pearson_losses(pairs: DataFrame) -> DataFrame:
+    """pair_id, loss = 1 - cosine of a and b after the mean over all values of their side is taken off. The means are one small row."""
+    total = lambda c: F.sum(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double")))
+    means = pairs.agg(*((total(c) / F.sum(F.size(c))).alias(f"mean_{c}") for c in "ab"))
+    p = pairs.join(F.broadcast(means))  # one row
+    off = lambda c: F.transform(c, lambda x: x.cast("double") - F.col(f"mean_{c}"))
+    return p.select("pair_id", (1 - cosine(off("a"), off("b"))).alias("loss"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window as W
 
 BUFFER, NEAR = 3, 1e-2
 OUT = "robot_id long, event_id long, fear_count int, reacting boolean, status int"
@@ -109,3 +110,28 @@ def sync_streams(cloud: DataFrame, other: DataFrame, slop: str, lateness: str) -
     o = other.withWatermark("ts", lateness).select(F.col("robot_id").alias("o_robot"), F.col("ts").alias("other_ts"), F.col("msg_id").alias("other_id"))
     near = (F.col("robot_id") == F.col("o_robot")) & (F.col("other_ts") >= F.col("cloud_ts") - F.expr(f"interval {slop}")) & (F.col("other_ts") <= F.col("cloud_ts") + F.expr(f"interval {slop}"))
     return c.join(o, near).drop("o_robot")
+
+
+def joystick_goals(events: DataFrame, scale: float = 5.0, deadband: float = 0.05, axes: int = 2) -> DataFrame:
+    """robot_id, event_id, smart, goal_x, goal_y, active after each event, in order of (ts, event_id).
+
+    events: kind 'enable' (a stick event with the button pressed), 'goal' (a waypoint with forward, sideways as its place) or another stick event; n_axes is the
+    length of its axes. A stick event of fewer axes changes nothing. The button latches the mode, a waypoint leaves it. In the mode a stick within the dead-band
+    cancels the goal, any other sets it to scale times the stick. No state but the latest of each kind is needed, so windows express it."""
+    w = W.partitionBy("robot_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    heard = (F.col("kind") == "goal") | (F.col("n_axes") >= axes)
+    latch = F.when(F.col("kind") == "goal", False).when((F.col("kind") == "enable") & heard, True)
+    e = events.withColumn("smart", F.coalesce(F.last(latch, ignorenulls=True).over(w), F.lit(False)))
+    pushed = F.sqrt(F.col("forward") ** 2 + F.col("sideways") ** 2) >= deadband
+    at = lambda k, on: F.struct((F.col("forward") * k).alias("x"), (F.col("sideways") * k).alias("y"), on.alias("on"))
+    change = F.when(F.col("kind") == "goal", at(1.0, F.lit(True))).when(heard & F.col("smart"), at(scale, pushed))
+    e = e.withColumn("g", F.last(change, ignorenulls=True).over(w))
+    on = F.coalesce(F.col("g.on"), F.lit(False))
+    return e.select("robot_id", "event_id", "smart", F.when(on, F.col("g.x")).alias("goal_x"), F.when(on, F.col("g.y")).alias("goal_y"), on.alias("active"))
+
+
+def published_paths(plans: DataFrame) -> DataFrame:
+    """main and fear paths of plans (path, active, reacting): none without a goal; on a reaction the whole path goes to fear and its first point to main."""
+    none = F.slice("path", 1, 0)
+    main = F.when(~F.col("active"), none).when(F.col("reacting"), F.slice("path", 1, 1)).otherwise(F.col("path"))
+    return plans.withColumn("main", main).withColumn("fear_path", F.when(F.col("active") & F.col("reacting"), F.col("path")).otherwise(none))

@@ -93,10 +93,11 @@ def test_bicubic_and_lookup(spark):
 def test_lines(spark):
     rays = spark.createDataFrame([("e", 0, 0, 0, 4, 6), ("e", 0, 0, 0, 4, 6), ("e", 0, 0, 0, 1, 0)], "env string, frame_id long, cx int, cy int, ix int, iy int")
     got = sorted((r.ix, r.iy) for r in points.ray_cells(rays, 0).collect())
-    assert got == [(0, 0), (1, 1), (1, 2), (2, 3), (3, 4), (3, 5), (4, 6)] or len(got) == 7 and got[0] == (0, 0) and got[-1] == (4, 6)
+    # step k of the longer axis: ceil(4 k / 6 - 1 / 2) along the shorter; the second ray is too short
+    assert got == [(math.ceil(4 * k / 6 - 0.5), k) for k in range(7)]
 
 
-def test_fear_batch_equals_stream(spark, tmp_path):
+def test_fear_steps(spark):
     events = QUERIES["fear_state"](spark, SF).toPandas()
     assert len(events) and (events["fear_count"] >= 0).all()
     s = (0, False, 0)
@@ -105,6 +106,30 @@ def test_fear_batch_equals_stream(spark, tmp_path):
     assert s == (4, True, -1) and robot.step(s, "view", 0.1, True) == (3, True, -1) and robot.step(s, "signup", 0.9, True) == (0, False, 0)
 
 
+def test_fear_stream_equals_batch(spark, tmp_path):
+    r = np.random.default_rng(7)
+    kinds = np.array(["view", "signup", "purchase"])[r.choice(3, 120, p=[0.9, 0.05, 0.05])]
+    e = pd.DataFrame({"robot_id": r.integers(0, 4, 120), "event_id": np.arange(120), "ts": np.arange(120), "kind": kinds, "fear": r.random(120) * 0.8 + 0.2, "forward": r.random(120) < 0.9})
+    schema = "robot_id long, event_id long, ts long, kind string, fear double, forward boolean"
+    for i in range(3):  # three batches in order
+        part = tmp_path / "in" / f"{i}"
+        spark.createDataFrame(e.iloc[i * 40 : i * 40 + 40], schema).coalesce(1).write.parquet(str(part))
+        os.utime(next(part.glob("part-*")), (i + 1, i + 1))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = robot.fold_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")))
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        assert len(q.recentProgress) >= 3
+    finally:
+        spark.conf.set(provider, before)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    want = sorted(map(tuple, robot.fold_batch(spark.createDataFrame(e, schema)).collect()))
+    assert got == want and any(x[3] for x in want)
+
+
 def test_plateau():
     assert scoring.plateau_steps([1.0] * 7, 0.1, patience=4)[5] == (0.05, False)
 
