@@ -250,3 +250,6 @@ def label_means(spark, sf_dir):
 def moving_average(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("epoch"), "value")
     return scoring.moving_average(e, 5).select("run", "epoch", F.round("value", 4).alias("v"), F.round("smooth", 5).alias("smooth"))
+
+
+from . import report_queries  # noqa: E402, F401  (registers queries built on those above)

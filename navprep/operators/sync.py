@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import geometry as g
+
 OTHERS = ("odom", "depth", "color")
 
 
@@ -111,3 +113,15 @@ def topic_coverage(requested: DataFrame, available: DataFrame) -> DataFrame:
     """topic, present."""
     have = available.select("topic").distinct()
     return requested.join(have, "topic", "left_semi").select("topic", F.lit(True).alias("present")).unionByName(requested.join(have, "topic", "left_anti").select("topic", F.lit(False).alias("present")))
+
+
+def goal_to_robot_frame(goals: DataFrame, transforms: DataFrame) -> DataFrame:
+    """Goals (robot_id, event_id, ts, gx, gy, gz) in the robot's frame by the latest transform (robot_id, event_id, ts, pose) known at ts; a goal before any transform goes.
+
+    One sort by (robot, ts): both sides are stacked, transforms before goals of one ts, and the last pose is carried on."""
+    t = transforms.select("robot_id", "event_id", "ts", F.lit(0).alias("side"), "pose")
+    both = goals.withColumn("side", F.lit(1)).unionByName(t, allowMissingColumns=True)
+    w = W.partitionBy("robot_id").orderBy("ts", "side", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    known = both.withColumn("pose", F.last("pose", ignorenulls=True).over(w)).where("side = 1 and pose is not null").drop("side")
+    v = g.untransform(F.col("pose"), (F.col("gx"), F.col("gy"), F.col("gz")))
+    return known.withColumns(dict(zip(("gx", "gy", "gz"), v))).drop("pose")
