@@ -252,4 +252,4 @@ def moving_average(spark, sf_dir):
     return scoring.moving_average(e, 5).select("run", "epoch", F.round("value", 4).alias("v"), F.round("smooth", 5).alias("smooth"))
 
 
-from . import report_queries  # noqa: E402, F401  (registers queries built on those above)
+from . import map_queries, report_queries  # noqa: E402, F401  (registers queries built on those above)

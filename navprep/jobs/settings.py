@@ -6,6 +6,10 @@ from __future__ import annotations
 DEFAULTS = {
     "voxel_size": 0.05, "map_name": "tsdf1", "max_depth_range": 10.0, "depth_tsdf_frame_stride": 1, "scan_transform_mode": "sensor_to_world", "is_flat_ground": True, "trajectory_clear_radius": 0.0,
     "map_sigma_smooth": 2.5, "obstacle_reassign_threshold": 0.3, "free_space_threshold": 0.7, "depth_raycast_ray_pixel_stride": 8, "depth_raycast_hit_pixel_stride": 3,
+    "depth_raycast_min_depth": 0.35, "depth_raycast_depth_scale": 1000.0, "depth_raycast_endpoint_clearance": 0.08, "depth_raycast_min_hit_votes": 2, "depth_raycast_min_free_votes": 2,
+    "depth_raycast_hit_ratio_threshold": 0.35, "depth_raycast_ray_thickness": 1, "depth_raycast_ignore_bottom_rows": 0, "depth_raycast_occupancy_inflation_radius": 0.0,
+    "depth_raycast_obstacle_min_component_cells": 1, "depth_raycast_unknown_cost": 1.0, "depth_raycast_collision_cost_transition": 0.05, "depth_raycast_collision_cost_power": 1.0,
+    "depth_raycast_free_carve_min_votes": 0, "depth_raycast_free_carve_max_hit_ratio": 0.5, "depth_raycast_surface_thinning_radius": 0.0, "clear_dist": 1.0,
 }
 
 

@@ -112,18 +112,26 @@ def smooth_occupancy(cells: np.ndarray, sigma: float) -> np.ndarray:
     return x / (x.max() + 1e-5)
 
 
-def surface_layers(obstacle: np.ndarray, free: np.ndarray, corridor: np.ndarray, voxel: float, robot: float, clear: float = 0.5) -> np.ndarray:
-    """Obstacles and the corridor decide the free space; its distance to obstacles, smoothed, in logarithms."""
+def surface_layers(obstacle: np.ndarray, free: np.ndarray, corridor: np.ndarray, voxel: float, robot: float, sigma: float = 2.5, reassign: float = 0.3, least_free: float = 0.7) -> np.ndarray:
+    """Obstacles, spread by the robot's size, and the corridor decide the free space; its distance to free cells, smoothed by sigma, in logarithms."""
     obs = smooth_occupancy(obstacle, robot / voxel)
     obs[corridor] = 0.0
-    x = gaussian(np.where(free, 0.0, 1.0), robot / voxel)
-    layer = x / (x.max() + 1e-5)
-    layer[layer < clear] = 0.0
-    layer[obs > clear] = 1.0
+    layer = gaussian(np.where(free, 0.0, 1.0), sigma)
+    layer = layer / layer.max() if layer.max() > 0 else layer
+    layer[layer < least_free] = 0.0
+    layer[obs > reassign] = 1.0
     layer[corridor] = 0.0
     d = distance(layer > 0)
     d = np.zeros(layer.shape) if d is None else d
-    return np.log(gaussian(d, robot / voxel) + 1.00001)
+    return np.log(gaussian(d, sigma) + 1.00001)
+
+
+def dilate(mask: np.ndarray, cells: int) -> np.ndarray:
+    """Cells within so many cells of one of mask."""
+    if cells <= 0 or not mask.any():
+        return mask
+    d = distance(~mask)
+    return d <= cells
 
 
 def per_env(cells: DataFrame, params: DataFrame, fn, schema: str) -> DataFrame:
@@ -137,25 +145,26 @@ def long_form(env: str, grid: np.ndarray, **more: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"env": env, "ix": ix.reshape(-1).astype(np.int32), "iy": iy.reshape(-1).astype(np.int32), "value": grid.reshape(-1), **{k: v.reshape(-1) for k, v in more.items()}})
 
 
-def surface_map(cells: DataFrame, params: DataFrame, robot: float = 0.3) -> DataFrame:
+def surface_map(cells: DataFrame, params: DataFrame, robot: float = 0.3, sigma: float = 2.5, reassign: float = 0.3, least_free: float = 0.7) -> DataFrame:
     """env, ix, iy, value from rows env, ix, iy, layer ('obstacle', 'free', 'corridor')."""
 
     def one(pdf, p):
         nx, ny = int(p["num_x"]), int(p["num_y"])
         layer = lambda n: dense(pdf[pdf["layer"] == n], nx, ny, "none") > 0
-        return long_form(p["env"], surface_layers(layer("obstacle"), layer("free"), layer("corridor"), p["voxel"], robot))
+        return long_form(p["env"], surface_layers(layer("obstacle"), layer("free"), layer("corridor"), p["voxel"], robot, sigma, reassign, least_free))
 
     return per_env(cells, params, one, "env string, ix int, iy int, value double")
 
 
-def raycast_map(votes: DataFrame, params: DataFrame, radius: float, softness: float, unknown_cost: float, least: int, sigma: float = 0.0) -> DataFrame:
-    """env, ix, iy, value, state from votes (occupied, free): small components go, clearance cost, unknown cells cost at least unknown_cost, smoothed, 0..1."""
+def raycast_map(votes: DataFrame, params: DataFrame, radius: float, softness: float, unknown_cost: float, least: int, sigma: float = 0.0, inflation: float = 0.0, power: float = 1.0) -> DataFrame:
+    """env, ix, iy, value, state from votes (occupied, free): small components go, the rest grow by inflation metres, clearance cost, unknown cells cost at least
+    unknown_cost, smoothed, 0..1."""
 
     def one(pdf, p):
         nx, ny = int(p["num_x"]), int(p["num_y"])
-        occupied = drop_small(dense(pdf[pdf["occupied"]], nx, ny, "none") > 0, least)
+        occupied = dilate(drop_small(dense(pdf[pdf["occupied"]], nx, ny, "none") > 0, least), math.ceil(inflation / p["voxel"]))
         free = (dense(pdf[pdf["free"]], nx, ny, "none") > 0) & ~occupied
-        cost = np.maximum(np.where(occupied | free, 0.0, unknown_cost), clearance_cost(occupied, p["voxel"], radius, softness))
+        cost = np.maximum(np.where(occupied | free, 0.0, unknown_cost), clearance_cost(occupied, p["voxel"], radius, softness, power))
         state = np.where(occupied, 2, np.where(free, 1, 0)).astype(np.int32)
         return long_form(p["env"], np.clip(gaussian(cost, sigma), 0, 1), state=state)
 
