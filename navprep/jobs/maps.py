@@ -35,7 +35,12 @@ def with_camera(frames: DataFrame, poses: DataFrame, extrinsics: DataFrame | Non
     else:
         met = ids.join(p, ["env", "frame_id"]).withColumn("position", F.col("frame_id"))
     met = _with_extrinsic(met.join(P.mean_height(poses), "env"), extrinsics)
-    camera = g.camera_pose(F.col("base"), F.col("extrinsic"), F.col("mean_z") if flat else None)
+    if flat:  # in steps over plain columns: one nested expression would be repeated wherever the camera is used
+        roll, _, yaw = g.euler_xyz(g.quaternion(F.col("base")))
+        met = met.withColumn("roll", roll).withColumn("yaw", yaw)
+        met = met.withColumns(dict(zip(("lx", "ly", "lz", "lw"), g.from_euler_xyz(F.col("roll"), F.lit(0.0), F.col("yaw")))))
+        met = met.withColumn("base", g.pose((F.col("base.x"), F.col("base.y"), F.col("mean_z")), tuple(F.col(c) for c in ("lx", "ly", "lz", "lw"))))
+    camera = g.camera_pose(F.col("base"), F.col("extrinsic"))
     return frames.join(met.select("env", "frame_id", "position", camera.alias("camera")), ["env", "frame_id"])
 
 
@@ -87,10 +92,6 @@ def ray_votes(frames: DataFrame, poses: DataFrame, s: dict) -> tuple[DataFrame,
     free = P.free_votes(P.ray_cells(rays, max(1, math.ceil(r("endpoint_clearance") / voxel))))
     votes = P.vote_occupancy(hits, free, r("min_hit_votes"), r("hit_ratio_threshold"), r("min_free_votes"))
     votes = P.carve(votes, r("free_carve_min_votes"), r("free_carve_max_hit_ratio"))
-    if r("surface_thinning_radius") > 0:
-        at = ["env", "ix", "iy"]
-        near = P.thin_to_surface(votes.where("occupied").select(at), votes.where("free").select(at), r("surface_thinning_radius"), voxel)
-        votes = votes.join(near.withColumn("near", F.lit(True)), at, "left").withColumn("occupied", F.col("occupied") & F.col("near").isNotNull()).drop("near")
     return votes, params
 
 
@@ -119,7 +120,7 @@ def build_map(s: dict, poses: DataFrame, frames: DataFrame | None = None, scans:
         r = lambda k: s[f"depth_raycast_{k}"]
         cells = grids.raycast_map(
             votes, params, s["robot_size"], r("collision_cost_transition"), r("unknown_cost"), r("obstacle_min_component_cells"), s["map_sigma_smooth"],
-            r("occupancy_inflation_radius"), r("collision_cost_power"),
+            r("occupancy_inflation_radius"), r("collision_cost_power"), r("surface_thinning_radius"),
         )
         return cells.select("env", "ix", "iy", "value"), params
     else:

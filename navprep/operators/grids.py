@@ -156,14 +156,17 @@ def surface_map(cells: DataFrame, params: DataFrame, robot: float = 0.3, sigma:
     return per_env(cells, params, one, "env string, ix int, iy int, value double")
 
 
-def raycast_map(votes: DataFrame, params: DataFrame, radius: float, softness: float, unknown_cost: float, least: int, sigma: float = 0.0, inflation: float = 0.0, power: float = 1.0) -> DataFrame:
-    """env, ix, iy, value, state from votes (occupied, free): small components go, the rest grow by inflation metres, clearance cost, unknown cells cost at least
-    unknown_cost, smoothed, 0..1."""
+def raycast_map(votes: DataFrame, params: DataFrame, radius: float, softness: float, unknown_cost: float, least: int, sigma: float = 0.0, inflation: float = 0.0, power: float = 1.0, reach: float = 0.0) -> DataFrame:
+    """env, ix, iy, value, state from votes (occupied, free): occupied cells farther than reach metres from free evidence go (reach 0: none),
+    then small components, the rest grow by inflation metres, clearance cost, unknown cells cost at least unknown_cost, smoothed, 0..1."""
 
     def one(pdf, p):
         nx, ny = int(p["num_x"]), int(p["num_y"])
-        occupied = dilate(drop_small(dense(pdf[pdf["occupied"]], nx, ny, "none") > 0, least), math.ceil(inflation / p["voxel"]))
-        free = (dense(pdf[pdf["free"]], nx, ny, "none") > 0) & ~occupied
+        occupied, seen = (dense(pdf[pdf[c]], nx, ny, "none") > 0 for c in ("occupied", "free"))
+        if reach > 0 and seen.any():
+            occupied &= distance(~seen) * p["voxel"] <= reach
+        occupied = dilate(drop_small(occupied, least), math.ceil(inflation / p["voxel"]))
+        free = seen & ~occupied
         cost = np.maximum(np.where(occupied | free, 0.0, unknown_cost), clearance_cost(occupied, p["voxel"], radius, softness, power))
         state = np.where(occupied, 2, np.where(free, 1, 0)).astype(np.int32)
         return long_form(p["env"], np.clip(gaussian(cost, sigma), 0, 1), state=state)

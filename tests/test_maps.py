@@ -79,3 +79,17 @@ def test_dilate():
 def test_map_queries(spark, name):
     rows = QUERIES[name](spark, "/root/testdata/sf0.001").limit(5).collect()
     assert rows and all(np.isfinite(r["value"]) for r in rows)
+
+
+def test_flat_cameras_in_steps(spark):
+    from pyspark.sql import functions as F
+
+    from navprep.functions import geometry as g
+
+    poses = spark.createDataFrame([("a", 0, 1.0, 2.0, 0.4, 0.1, 0.2, 0.3, 0.9), ("a", 1, 0.0, 1.0, 0.8, -0.2, 0.1, 0.5, 0.8)], POSE)
+    frames = spark.createDataFrame([("a", k, 1, 1, [1], 1.0, 1.0, 0.0, 0.0) for k in (0, 1)], FRAME)
+    e = spark.createDataFrame([("a", (0.1, 0.2, 0.3, -0.5, 0.5, -0.5, 0.5))], "env string, extrinsic struct<x double, y double, z double, qx double, qy double, qz double, qw double>")
+    got = maps.with_camera(frames, poses, e, flat=True).orderBy("frame_id").select("camera.*").collect()
+    pose = poses.select("env", "frame_id", F.struct(*g.POSE).alias("p")).join(e, "env")
+    want = pose.orderBy("frame_id").select(g.camera_pose(F.col("p"), F.col("extrinsic"), F.lit(0.6)).alias("c")).select("c.*").collect()
+    assert np.allclose(np.array(got, float), np.array(want, float))
