@@ -12,20 +12,31 @@ from pyspark.sql.window import Window as W
 
 LEAF = 64
 SHARD_ROWS, BLOCK_ROWS = 4096, 512
-_SLACK = 1e-9
+PAIRS = 16_384
 
 
 class Tree:
-    """Unit vectors in the order of a vantage-point tree; nodes hold the ranges of distances of their two children."""
+    """Unit vectors in the order of a vantage-point tree, equal ones once with their sorted ids; nodes hold the ranges of distances of their two children.
+
+    Rounding: squares of computed chords, and 2 - 2 * score, are within self.error of the true ones (sums of n products in any order, and the norms), so
+    chords are within its root.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
-        self.ids, self.raw = ids, vectors
-        x = vectors.astype(np.float64)
+        raw = np.ascontiguousarray(vectors)
+        _, first, entry = np.unique(raw.view(np.dtype((np.void, raw.dtype.itemsize * raw.shape[1]))).reshape(-1), return_index=True, return_inverse=True)
+        by = np.lexsort((ids, entry))
+        self.ids, self.raw = ids[by], raw[first]
+        at = np.searchsorted(entry[by], np.arange(len(first) + 1))
+        x = self.raw.astype(np.float64)
         self.x = x / np.sqrt((x * x).sum(1, keepdims=True))
-        self.order = np.arange(len(ids))
+        self.error = 4.0 * (x.shape[1] + 8) * np.finfo(float).eps
+        self.order = np.arange(len(first))
         self.nodes: list[tuple] = []  # (first, past the last) or (first, past the last, near, far, ranges)
-        self._build(0, len(ids), leaf, np.random.default_rng(7))
-        self.x, self.ids, self.raw = self.x[self.order], ids[self.order], vectors[self.order]
+        self._build(0, len(first), leaf, np.random.default_rng(7))
+        self.x, self.raw = self.x[self.order], self.raw[self.order]
+        self.first, self.end = at[:-1][self.order], at[1:][self.order]
+        self.least, self.most = self.ids[self.first], self.ids[self.end - 1]
 
     def _build(self, lo: int, hi: int, leaf: int, rng) -> int:
         me = len(self.nodes)
@@ -34,8 +45,8 @@ class Tree:
             own = self.order[lo:hi]
             pick = rng.integers(len(own))
             own[0], own[pick] = own[pick], own[0]
-            d = _distance(self.x[own[:1]], self.x[own[1:]])[0]
-            by = np.argsort(d, kind="stable")  # halves by rank, so that equal vectors split, too
+            d = np.sqrt(_squares(self.x[own[:1]], self.x[own[1:]])[0])
+            by = np.argsort(d, kind="stable")  # halves by rank, so that equally far vectors split, too
             own[1:], d = own[1:][by], d[by]
             half = len(d) // 2
             ranges = (d[0], d[half - 1], d[half], d[-1])
@@ -44,24 +55,40 @@ class Tree:
             self.nodes[me] = (lo, hi, near, far, ranges)
         return me
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, places in the tree's order) of the k nearest to each query but the query itself; inf, -1: none."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of queries, ids, scores) of the k of largest score for each query but its own id, ties to smaller ids."""
         q = queries.astype(np.float64)
         self._q = q / np.sqrt((q * q).sum(1, keepdims=True))
         self._qid, self._k, self._factor = query_ids, k, factor
-        self._d, self._at = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
+        self._d2 = np.full((len(q), k), np.inf)
+        self._found: list[tuple] = []
         self._visit(0, np.arange(len(q)))
-        return self._d, self._at
+        row, at, d2 = (np.concatenate(x) for x in zip(*self._found))
+        ok = d2 <= self._limit(row)
+        row, at = row[ok], at[ok]
+        score = np.concatenate([np.zeros(0), *(_scores(q[row[i : i + PAIRS]], self.raw[at[i : i + PAIRS]].astype(np.float64)) for i in range(0, len(row), PAIRS))])
+        rows, ids, scores = [], [], []
+        for i, j, s in zip(row, at, score):
+            x = self.ids[self.first[j] : self.end[j]]  # sorted: the first k but the own id, however often that occurs
+            lo, hi = np.searchsorted(x, query_ids[i]), np.searchsorted(x, query_ids[i], "right")
+            x = np.concatenate([x[: min(lo, k)], x[hi : hi + max(0, k - lo)]])
+            rows.append(np.full(len(x), i))
+            ids.append(x)
+            scores.append(np.full(len(x), s))
+        return _first_k(*(np.concatenate([z, *y]) for z, y in ((np.zeros(0, int), rows), (np.zeros(0, self.ids.dtype), ids), (np.zeros(0), scores))), k)
+
+    def _limit(self, qs: np.ndarray) -> np.ndarray:
+        """The square of a chord up to which a vector's score can be among the k largest, whatever the rounding."""
+        return self._d2[qs, -1] + 4 * self.error
 
     def _offer(self, qs: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        d = _distance(self._q[qs], self.x[lo:hi])
-        seen = d.copy()
-        d[self._qid[qs][:, None] == self.ids[None, lo:hi]] = np.inf
-        both = np.concatenate([self._d[qs], d], 1)
-        at = np.concatenate([self._at[qs], np.broadcast_to(np.arange(lo, hi), d.shape)], 1)
-        order = np.lexsort((np.where(at >= 0, self.ids[at], np.iinfo(np.int64).max), np.round(both, 10)), axis=1)[:, : self._k]
-        self._d[qs], self._at[qs] = np.take_along_axis(both, order, 1), np.take_along_axis(at, order, 1)
-        return seen
+        seen = _squares(self._q[qs], self.x[lo:hi])
+        qid = self._qid[qs][:, None]
+        d2 = np.where((qid == self.least[lo:hi]) & (qid == self.most[lo:hi]), np.inf, seen)  # nothing but the query itself
+        self._d2[qs] = np.sort(np.concatenate([self._d2[qs], d2], 1), axis=1)[:, : self._k]
+        row, at = np.nonzero(np.isfinite(d2) & (d2 <= self._limit(qs)[:, None]))
+        self._found.append((qs[row], at + lo, d2[row, at]))
+        return np.sqrt(seen)
 
     def _visit(self, node: int, qs: np.ndarray) -> None:
         if not len(qs):
@@ -74,18 +101,30 @@ class Tree:
         d = self._offer(qs, n[0], n[0] + 1)[:, 0]
         bounds = ((n[4][0], n[4][1]), (n[4][2], n[4][3]))
         first = np.abs(d - n[4][2]) < np.abs(d - n[4][1])  # the far half is nearer
+        slack = 6 * np.sqrt(self.error)
         for turn in (0, 1):
             for child in (0, 1):
                 mine = (first.astype(int) == child) if turn == 0 else (first.astype(int) != child)
                 lo, hi = bounds[child]
                 # no point of the child is nearer than the triangle inequality allows; a factor over 1 takes that bound for larger
                 least = np.maximum(0.0, np.maximum(d - hi, lo - d)) * self._factor
-                self._visit(n[2 + child], qs[mine & (least <= self._d[qs, -1] + _SLACK)])
+                self._visit(n[2 + child], qs[mine & (least <= np.sqrt(self._limit(qs)) + slack)])
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared chord lengths of unit vectors; chords are a metric in the order of cosine."""
+    return np.maximum(0.0, 2.0 - 2.0 * (a @ b.T))
+
+
+def _scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Chord lengths of unit vectors: a metric in the order of cosine."""
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
+def _first_k(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], score[keep]
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -110,12 +149,8 @@ def _search(k: int, factor: float):
         for b in batches:
             for tree, block in zip(b.column("tree"), b.column("queries")):
                 t, (ids, v) = pickle.loads(tree.as_py()), pickle.loads(block.as_py())
-                d, at = t.search(ids, v, k + 3, factor)
-                row, col = np.nonzero(np.isfinite(d))
-                at = at[row, col]
-                x, y = v[row].astype(np.float64), t.raw[at].astype(np.float64)
-                score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(t.ids[at]), pa.array(score)], names=["query_id", "vec_id", "score"])
+                row, found, score = t.search(ids, v, k, factor)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 

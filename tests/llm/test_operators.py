@@ -192,6 +192,22 @@ def test_nearest(spark):
     assert 0 < loose <= 40
 
 
+def test_nearest_among_many_copies(spark):
+    """More copies in a shard than k: ties to the smaller ids, whatever the rounding of products; copies scaled by 2 tie, too."""
+    r = np.random.default_rng(11)
+    v = r.standard_normal((2000, 64)).astype(np.float32)
+    v[300:1800] = v[300]
+    v[1000:1400] *= 2
+    ids = r.permutation(2000)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<float>")
+    copies = np.sort(ids[300:1800])
+    queries = [int(i) for i in (copies[0], copies[3], *copies[700:720])]
+    rows = ann.nearest(df, df.where(df.vec_id.isin(queries))).collect()
+    for q in queries:
+        got = [g.vec_id for g in sorted((g for g in rows if g.query_id == q), key=lambda g: g["rank"])]
+        assert got == [i for i in copies[:6] if i != q][:5], q
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (2, 0, "assistant", "x"), (3, 0, None, None), (None, 0, "user", "n"), (4, 0, "user", "u"), (4, 300, "assistant", "v"), (4, 600, "system", "w")]
     out = chat.repair_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
