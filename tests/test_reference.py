@@ -32,6 +32,24 @@ def test_oracle(spark, name):
     assert got == sorted(repr(tuple(norm(r[names.index(c)]) for c in sorted(names))) for r in want.fetchall())
 
 
+def test_distance_field_full(spark):
+    """Every cell of every map at the map's own resolution, from all its occupied cells."""
+    from navprep.jobs.catalog import _BOUNDS
+
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    cells = db.sql(_BOUNDS + " SELECT DISTINCT env, ix, iy, num_x, num_y FROM ok").df()
+    got = QUERIES["distance_field_full"](spark, SF).toPandas()
+    assert set(got["env"]) == set(cells["env"])
+    for env, own in cells.groupby("env"):
+        nx, ny = int(own["num_x"].iloc[0]), int(own["num_y"].iloc[0])
+        o, g = own[["ix", "iy"]].to_numpy(), got[got["env"] == env].sort_values(["ix", "iy"])
+        at = np.stack(np.indices((nx, ny)), -1).reshape(-1, 2)
+        assert (g[["ix", "iy"]].to_numpy() == at).all()
+        want = np.concatenate([((at[i : i + 4096, None] - o[None]) ** 2).sum(2).min(1) for i in range(0, len(at), 4096)])
+        assert np.allclose(g["value"] ** 2, want)
+
+
 def messages(spark, rows):
     return spark.createDataFrame(rows, "bag string, topic string, msg_idx long, stamp long")
 
