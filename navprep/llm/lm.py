@@ -1,8 +1,9 @@
 """Language-model scoring: a log-bilinear neural model trained with noise-contrastive estimation in numpy, over whole-corpus counts.
 
-Symbols are the VOCAB most frequent words, the end of a text, and CLASSES classes of all other words (by their last two bytes). The network predicts a
-symbol from the two before it; a word of a class has the class's probability times its own add-one share of the class. Probabilities are normalised
-exactly over all symbols, by matrix products over all contexts.
+Symbols are the words that occur sqrt(tokens) / RARE times or more (VOCAB places at least), the end of a text, and CLASSES classes of all other words (by
+their last two bytes). The network predicts a symbol from the two before it in two steps: the end, a class or a block of about sqrt(words) words next to
+each other in frequency; then the word within its block. A word of a class has the class's probability times its own add-one share of the class.
+Probabilities are normalised exactly over all symbols, by matrix products over all tokens. Training passes over every token of the corpus.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import _text as T
@@ -22,8 +24,15 @@ U = np.uint64
 VOCAB, CLASSES, DIM = 127, 32, 32
 #: Words whose counts tasks receive; the counts of the rest are joined.
 MAX_FREQUENT = 400_000
-#: Training: rounds of parallel steps whose parameters are averaged, over all trigram counts.
-ROUNDS, STEPS, BATCH, NOISE, PARTS = 6, 120, 2048, 64, 8
+#: A word with sqrt(tokens) / RARE occurrences has a symbol of its own.
+RARE = 32
+#: Training: rounds of parallel passes whose parameters are averaged. Every token is in one of the rounds, and small corpora are passed over up to
+#: MAX_PASSES times for LEAST_DRAWS steps' trigrams. A worker has about sqrt(tokens * WORKER_TOKENS) tokens.
+ROUNDS, BATCH, NOISE, NOISE_WORDS = 4, 2048, 32, 4
+LEAST_DRAWS, MAX_PASSES, WORKER_TOKENS = 12_000_000, 12, 250_000
+_CHUNK = 512
+#: Tokens in one matrix product of scoring.
+ROWS = 4096
 _END_HASH = U(0x5E4D0E4D5E4D0E40)
 FOLDS, HELD = 7, 2
 
@@ -56,9 +65,9 @@ def tokens(texts: pa.Array) -> Tokens:
     return Tokens(h, doc, ends)
 
 
-def symbols(t: Tokens, top: np.ndarray, top_at: np.ndarray) -> np.ndarray:
-    """0: end, 1 to VOCAB: frequent words (top: their hashes, sorted; top_at: their places), then the classes."""
-    s = (t.h & U(CLASSES - 1)).astype(np.int64) + VOCAB + 1
+def symbols(t: Tokens, top: np.ndarray, top_at: np.ndarray, words: int = VOCAB) -> np.ndarray:
+    """0: end, 1 to words: frequent words (top: their hashes, sorted; top_at: their places), then the classes."""
+    s = (t.h & U(CLASSES - 1)).astype(np.int64) + words + 1
     if len(top):
         at = np.minimum(np.searchsorted(top, t.h), len(top) - 1)
         hit = top[at] == t.h
@@ -67,19 +76,19 @@ def symbols(t: Tokens, top: np.ndarray, top_at: np.ndarray) -> np.ndarray:
     return s
 
 
-SIZE = VOCAB + 1 + CLASSES  # symbols; one more stands before a text
+SIZE = VOCAB + 1 + CLASSES  # symbols of the smallest network; one more stands before a text
 
 
-def contexts(s: np.ndarray, t: Tokens) -> np.ndarray:
-    """The trigram of each token as one number: before last, last, symbol."""
+def contexts(s: np.ndarray, t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(before last, last) of each token; size stands before a text."""
     first = np.zeros(len(s), bool)
     first[0] = True
     first[t.end[:-1] + 1] = True
-    one = np.append(SIZE, s[:-1])
-    one[first] = SIZE
-    two = np.append([SIZE], one[:-1])
-    two[first] = SIZE
-    return (two * (SIZE + 1) + one) * SIZE + s
+    one = np.append(size, s[:-1])
+    one[first] = size
+    two = np.append([size], one[:-1])
+    two[first] = size
+    return two, one
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,90 +112,156 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*summed())
 
 
-def _count_trigrams(top, top_at):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((SIZE + 1) ** 2 * SIZE, np.int32)
-        for b in T.slices(batches, "text"):
-            t = tokens(b.column("text"))
-            own, c = np.unique(contexts(symbols(t, top, top_at), t), return_counts=True)
-            n[own] += c.astype(np.int32)
-        at = np.flatnonzero(n)
-        for i in range(0, len(at), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 200_000]), pa.array(n[at[i : i + 200_000]].astype(np.int64))], names=["g", "c"])
+class Network(NamedTuple):
+    """All parameters as rows of DIM values and a bias: contexts' vectors, those of the first step's targets, words' by place (whole blocks), c1 and c2
+    (how the last and the one before predict)."""
 
-    return run
+    words: int
+    rows: np.ndarray
 
+    @property
+    def size(self) -> int:
+        return self.words + 1 + CLASSES
 
-class Network(NamedTuple):
-    """words: contexts' and targets' vectors; c1, c2: how the last and the one before predict; bias: of each symbol."""
+    @property
+    def width(self) -> int:
+        """Words in a block."""
+        return int(np.ceil(self.words / self.blocks))
 
-    context: np.ndarray
-    target: np.ndarray
-    c1: np.ndarray
-    c2: np.ndarray
-    bias: np.ndarray
+    @property
+    def blocks(self) -> int:
+        return int(np.ceil(np.sqrt(self.words)))
 
-    @classmethod
-    def new(cls, p: np.ndarray) -> Network:
-        r = np.random.default_rng(1)
-        v = lambda *s: (r.standard_normal(s) * 0.1).astype(np.float32)
-        return cls(v(SIZE + 1, DIM), v(SIZE, DIM), np.eye(DIM, dtype=np.float32) + v(DIM, DIM) * 0.1, 0.5 * np.eye(DIM, dtype=np.float32) + v(DIM, DIM) * 0.1, np.log(p).astype(np.float32))
+    @property
+    def starts(self) -> np.ndarray:
+        """First rows of the five parts, and the end."""
+        return np.cumsum([0, self.size + 1, 1 + self.blocks + CLASSES, self.blocks * self.width, DIM, DIM])
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.reshape(-1) for x in self]).astype(np.float32)
+    def parts(self) -> list[np.ndarray]:
+        return np.split(self.rows, self.starts[1:-1])
 
-    def filled(self, flat: np.ndarray) -> Network:
-        out, at = [], 0
-        for x in self:
-            out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
-        return Network(*out)
+    def steps(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the first step's targets, and of words by place (0: no word)."""
+        own = np.zeros(self.blocks * self.width)
+        own[: self.words] = p[1 : self.words + 1]
+        return np.concatenate([p[:1], own.reshape(self.blocks, -1).sum(1), p[self.words + 1 :]]), own
 
-    def log_probabilities(self) -> np.ndarray:
-        """Natural logarithms, normalised, [before last, last, symbol] in one table."""
-        left, right = self.context @ self.c2, self.context @ self.c1
-        out = np.empty((SIZE + 1, SIZE + 1, SIZE), np.float32)
-        for a in range(SIZE + 1):
-            z = (right + left[a]) @ self.target.T + self.bias
-            z -= z.max(1, keepdims=True)
-            out[a] = z - np.log(np.exp(z).sum(1, keepdims=True))
-        return out
+    def first_step(self, s: np.ndarray) -> np.ndarray:
+        return np.where(s == 0, 0, np.where(s <= self.words, 1 + (s - 1) // self.width, s - self.words + self.blocks))
 
+    @classmethod
+    def new(cls, p: np.ndarray) -> Network:
+        """p: of all symbols."""
+        r = np.random.default_rng(1)
+        net = cls(len(p) - 1 - CLASSES, np.zeros(0))
+        rows = (r.standard_normal((net.starts[-1], DIM + 1)) * 0.1).astype(np.float32)
+        rows[:, DIM] = 0
+        net = net._replace(rows=rows)
+        _, top, word, c1, c2 = net.parts()
+        first, own = net.steps(p)
+        share = own / np.repeat(np.maximum(own.reshape(net.blocks, -1).sum(1), 1e-300), net.width)
+        log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-300)), -1e4)
+        top[:, DIM], word[:, DIM] = log(first), log(share)
+        c1[:, :DIM], c2[:, :DIM] = np.eye(DIM) + c1[:, :DIM] * 0.1, 0.5 * np.eye(DIM) + c2[:, :DIM] * 0.1
+        return net
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each context adds to the prediction, as the one before last and as the last, with 1 in all for the bias."""
+        context, _, _, c1, c2 = self.parts()
+        left, right = (np.pad(context[:, :DIM] @ c[:, :DIM], ((0, 0), (0, 1))) for c in (c2, c1))
+        right[:, DIM] = 1
+        return left, right
+
+    def log_of(self, sides: tuple, two: np.ndarray, one: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the symbols' probabilities after their contexts."""
+        _, top, word, _, _ = self.parts()
+        q, out, first = sides[0][two] + sides[1][one], np.empty(len(s)), self.first_step(s)
+        for i in range(0, len(s), ROWS):
+            out[i : i + ROWS] = _log_picked(q[i : i + ROWS] @ top.T, first[i : i + ROWS])
+        of_words = np.flatnonzero((s > 0) & (s <= self.words))
+        block, place = np.divmod(s[of_words] - 1, self.width)
+        order = np.argsort(block, kind="stable")
+        of_words, place = of_words[order], place[order]
+        edge = np.searchsorted(block[order], np.arange(self.blocks + 1))
+        for b in np.flatnonzero(np.diff(edge)):
+            for i in range(edge[b], edge[b + 1], ROWS):
+                at = slice(i, min(i + ROWS, edge[b + 1]))
+                out[of_words[at]] += _log_picked(q[of_words[at]] @ word[b * self.width : (b + 1) * self.width].T, place[at])
+        return out
 
-def nce_steps(net: Network, g: np.ndarray, c: np.ndarray, p: np.ndarray, steps: int, seed: int) -> Network:
-    """Noise-contrastive Adagrad steps over trigrams g drawn in proportion to c, against NOISE symbols drawn from p for each batch."""
-    r = np.random.default_rng(seed)
-    edge = np.cumsum(c) / c.sum()
-    w = [x.copy() for x in net]
-    sums = [np.full(x.shape, 1e-3, np.float32) for x in w]
-    log_kp = np.log(NOISE * p).astype(np.float32)
-    noise_edge = np.cumsum(p) / p.sum()
-
-    def step(i: int, grad: np.ndarray, rate: float) -> None:
-        sums[i] += grad * grad
-        w[i] += rate * grad / np.sqrt(sums[i])
-
-    for _ in range(steps):
-        pick = g[np.minimum(np.searchsorted(edge, r.random(BATCH)), len(g) - 1)]
-        s, pick = pick % SIZE, pick // SIZE
-        one, two = pick % (SIZE + 1), pick // (SIZE + 1)
-        noise = np.minimum(np.searchsorted(noise_edge, r.random(NOISE)), SIZE - 1)
-        context, target, c1, c2, bias = w
-        x1, x2 = context[one], context[two]
-        q = x1 @ c1 + x2 @ c2
-        d_own = 1 / (1 + np.exp(np.clip((q * target[s]).sum(1) + bias[s] - log_kp[s], -30, 30)))
-        d_noise = -1 / (1 + np.exp(-np.clip(q @ target[noise].T + bias[noise] - log_kp[noise], -30, 30)))
-        d_q = d_own[:, None] * target[s] + d_noise @ target[noise]
-        g_target, g_bias, g_context = np.zeros_like(target), np.zeros_like(bias), np.zeros_like(context)
-        np.add.at(g_target, s, d_own[:, None] * q)
-        np.add.at(g_target, noise, d_noise.T @ q)
-        np.add.at(g_bias, s, d_own)
-        np.add.at(g_bias, noise, d_noise.sum(0))
-        np.add.at(g_context, one, d_q @ c1.T)
-        np.add.at(g_context, two, d_q @ c2.T)
-        for i, grad in enumerate((g_context, g_target, x1.T @ d_q, x2.T @ d_q, g_bias)):
-            step(i, grad / BATCH, 0.05)
-    return Network(*w)
+    def log_probabilities(self) -> np.ndarray:
+        """Natural logarithms, normalised, [before last, last, symbol] in one table: for small networks."""
+        sides, n = self.sides(), self.size
+        one, s = (x.reshape(-1) for x in np.indices((n + 1, n)))
+        return np.stack([self.log_of(sides, np.full(len(s), a), one, s).reshape(n + 1, n) for a in range(n + 1)])
+
+
+def _log_picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    picked = z[np.arange(len(z)), at]
+    return picked - np.log(np.exp(z, out=z).sum(1))
+
+
+class Trainer:
+    """Noise-contrastive Adagrad steps from a network, for both steps of the prediction; rows that a batch doesn't touch stay."""
+
+    def __init__(self, net: Network, p: np.ndarray, seed):
+        self.net = net._replace(rows=net.rows.copy())
+        self.sums = np.full(net.rows.shape, 1e-3, np.float32)
+        self.touched = np.zeros(len(net.rows))
+        self.r = np.random.default_rng(seed)
+        self.first, own = net.steps(p)
+        self.first_edge, self.edge = np.cumsum(self.first) / self.first.sum(), np.append(0, np.cumsum(own))
+        share = own / np.repeat(np.maximum(own.reshape(net.blocks, -1).sum(1), 1e-300), net.width)
+        self.log_first, self.log_word = np.log(NOISE * self.first).astype(np.float32), np.log(NOISE_WORDS * np.maximum(share, 1e-300)).astype(np.float32)
+
+    def _step(self, at: np.ndarray, grad: np.ndarray) -> None:
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        n = np.diff(np.append(first, len(at)))
+        self._apply(at[first], np.add.reduceat(grad[order], first, axis=0) / n[:, None].astype(np.float32), n)
+
+    def _apply(self, at, grad, n) -> None:
+        sums = self.sums[at] + grad * grad
+        self.sums[at] = sums
+        self.net.rows[at] += np.float32(0.05) * grad / np.sqrt(sums)
+        self.touched[at] += n
+
+    def batch(self, two: np.ndarray, one: np.ndarray, s: np.ndarray) -> None:
+        net, n = self.net, len(s)
+        context, top, word, c1, c2 = net.parts()
+        starts = net.starts
+        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        x1, x2 = context[one, :DIM], context[two, :DIM]
+        q = np.ones((n, DIM + 1), np.float32)
+        q[:, :DIM] = x1 @ c1[:, :DIM] + x2 @ c2[:, :DIM]
+        own = net.first_step(s)
+        noise = np.minimum(np.searchsorted(self.first_edge, self.r.random(NOISE)), len(self.first) - 1)
+        d_own = (1 - sigmoid((q * top[own]).sum(1) - self.log_first[own]))[:, None]
+        d_noise = -sigmoid(q @ top[noise].T - self.log_first[noise])
+        d_q = d_own * top[own] + d_noise @ top[noise]
+        w = np.flatnonzero((s > 0) & (s <= net.words))
+        place = np.empty((len(w), 1 + NOISE_WORDS), np.int64)
+        place[:, 0] = s[w] - 1
+        lo = place[:, 0] // net.width * net.width
+        hi = np.minimum(lo + net.width, net.words)
+        u = self.edge[lo][:, None] + self.r.random((len(w), NOISE_WORDS)) * (self.edge[hi] - self.edge[lo])[:, None]
+        place[:, 1:] = np.clip(np.searchsorted(self.edge, u, "right") - 1, lo[:, None], hi[:, None] - 1)
+        target, qw = word[place], q[w]
+        d = -sigmoid(np.matmul(target, qw[:, :, None])[:, :, 0] - self.log_word[place])
+        d[:, 0] += 1
+        d_q[w] += np.matmul(d[:, None, :], target)[:, 0]
+        d_q = d_q[:, :DIM]
+        g_context = np.zeros((2 * n, DIM + 1), np.float32)
+        g_context[:n, :DIM], g_context[n:, :DIM] = d_q @ c1[:, :DIM].T, d_q @ c2[:, :DIM].T
+        g_c = np.zeros((2 * DIM, DIM + 1), np.float32)
+        g_c[:, :DIM] = np.concatenate([x1.T @ d_q, x2.T @ d_q]) / n
+        self._step(np.concatenate([own, noise]) + starts[1], np.concatenate([d_own * q, d_noise.T @ q]))
+        if len(w):
+            self._step(place.reshape(-1) + starts[2], (d[:, :, None] * qw[:, None, :]).reshape(-1, DIM + 1))
+        self._step(np.concatenate([one, two]), g_context)
+        self._apply(np.arange(starts[3], starts[5]), g_c, n)
 
 
 class Model(NamedTuple):
@@ -200,28 +275,50 @@ class Model(NamedTuple):
     network: Network
 
 
-def _averaged_steps(now, n: int):
-    def steps(table):
-        order = np.argsort(table.column("g").to_numpy())  # the same draws whatever order the rows come in
-        g, c = table.column("g").to_numpy()[order], table.column("c").to_numpy()[order].astype(np.float64)
-        start, p = now.value
-        flat = nce_steps(start, g, c, p, STEPS, 1000 * n + int(g[0]) % 997).flat()
-        return pa.table({"at": np.arange(len(flat)), "x": flat.astype(np.float64) * c.sum(), "w": np.full(len(flat), c.sum())})
+def _passes(now, n: int, passes: int):
+    """A worker's passes over its share of a round: chunks of its changes, weighted by how often each row was touched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, p, top, top_at = now.value
+        part = TaskContext.get().partitionId()
+        t = Trainer(net, p, [n, part])
+        for b in T.slices(batches, "text"):
+            tok = tokens(b.column("text"))
+            s = symbols(tok, top, top_at, net.words)
+            two, one = contexts(s, tok, net.size)
+            for _ in range(passes):
+                order = t.r.permutation(len(s))
+                for i in range(0, len(s), BATCH):
+                    at = order[i : i + BATCH]
+                    t.batch(two[at], one[at], s[at])
+        for i in range(0, len(net.rows) if t.touched.any() else 0, _CHUNK):
+            w = t.touched[i : i + _CHUNK]
+            change = (t.net.rows[i : i + _CHUNK] - net.rows[i : i + _CHUNK]) * w[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array([i // _CHUNK]), pa.array([part]), pa.array([change.astype(np.float32).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["chunk", "part", "change", "w"])
+
+    return run
+
 
-    return steps
+def _mean(table):
+    order = np.argsort(table.column("part").to_numpy())  # the same sum whatever order the rows come in
+    change, w = table.column("change").take(order), table.column("w").take(order)
+    total = np.sum([np.frombuffer(x.as_py(), np.float64) for x in w], axis=0)
+    mean = np.sum([np.frombuffer(x.as_py(), np.float32).reshape(-1, DIM + 1) for x in change], axis=0, dtype=np.float64) / np.maximum(total, 1)[:, None]
+    return pa.table({"chunk": table.column("chunk")[:1], "change": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
 
-def _train_network(grams: DataFrame, p: np.ndarray) -> Network:
-    """grams: g, c, at most (SIZE + 1) ** 2 * SIZE rows however large the corpus."""
-    spark = grams.sparkSession
-    dealt = stored(grams.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(PARTS))), "lm-grams")
+def _train_network(texts: DataFrame, total: int, p: np.ndarray, top: np.ndarray, top_at: np.ndarray) -> Network:
     net = Network.new(p)
+    workers = max(1, round(np.sqrt(total / WORKER_TOKENS)))
+    passes = min(MAX_PASSES, max(1, -(-LEAST_DRAWS // total)))
     for n in range(ROUNDS):
-        steps = _averaged_steps(spark.sparkContext.broadcast((net, p)), n)
-        mean = dealt.groupBy("part").applyInArrow(steps, "at long, x double, w double").groupBy("at").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()
-        flat = np.zeros(len(mean), np.float32)
-        flat[mean["at"].to_numpy()] = np.round(mean["x"].to_numpy(), 6)
-        net = net.filled(flat)
+        run = _passes(texts.sparkSession.sparkContext.broadcast((net, p, top, top_at)), n, passes)
+        share = texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == n).coalesce(workers)
+        means = share.mapInArrow(T.tidy(run), "chunk long, part long, change binary, w binary").groupBy("chunk").applyInArrow(_mean, "chunk long, change binary").toArrow()
+        rows = net.rows.copy()
+        for c, x in zip(means.column("chunk").to_pylist(), means.column("change")):
+            rows[c * _CHUNK : (c + 1) * _CHUNK] += np.frombuffer(x.as_py(), np.float32).reshape(-1, DIM + 1)
+        net = net._replace(rows=rows)
     return net
 
 
@@ -231,7 +328,10 @@ def train(texts: DataFrame, max_frequent: int = MAX_FREQUENT) -> tuple[Model, Da
     x = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(x["n"] or 0), int(x["v"])
     end = int(np.array([_END_HASH]).view(np.int64)[0])
-    top = counts.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(VOCAB).toPandas()
+    own = (F.col("h") != end) & (F.col("c") >= max(2.0, np.sqrt(total) / RARE))
+    words = max(VOCAB, counts.where(own).count())
+    top = counts.where(F.col("h") != end) if words == VOCAB else counts.where(own)
+    top = top.orderBy(F.desc("c"), "h").limit(words).toPandas()
     # the least count above which no more than max_frequent words are
     tail = counts.groupBy(F.least("c", F.lit(4096)).alias("c")).agg(F.count("*").alias("n")).toPandas().sort_values("c", ascending=False)
     fits = tail["c"][tail["n"].cumsum() <= max_frequent]
@@ -240,38 +340,39 @@ def train(texts: DataFrame, max_frequent: int = MAX_FREQUENT) -> tuple[Model, Da
     fh, fc = frequent.column("h").to_numpy().view(U), frequent.column("c").to_numpy()
     order = np.argsort(fh)
     th = top["h"].to_numpy(np.int64)
-    rest = counts.where((F.col("h") != end) & ~F.col("h").isin([int(h) for h in th])) if len(th) else counts.where(F.col("h") != end)
+    last = top.iloc[-1] if len(top) else {"c": 1 << 62, "h": 0}  # top's words are all up to this one
+    rest = counts.where((F.col("h") != end) & ((F.col("c") < int(last["c"])) | ((F.col("c") == int(last["c"])) & (F.col("h") > int(last["h"])))))
     classes = rest.groupBy(F.col("h").bitwiseAND(CLASSES - 1).alias("k")).agg(F.sum(F.col("c") + 1).alias("size"), F.sum("c").alias("c")).toPandas()
     sizes, mass = np.ones(CLASSES), np.zeros(CLASSES)
     sizes[classes["k"].to_numpy(int)] += classes["size"].to_numpy(float)
     mass[classes["k"].to_numpy(int)] = classes["c"].to_numpy(float)
     known = counts.where(F.col("h") == end).first()
-    p = np.concatenate([[known["c"] if known else 0], top["c"].to_numpy(float), np.zeros(VOCAB - len(top)), mass]) + 0.5
+    p = np.concatenate([[known["c"] if known else 0], top["c"].to_numpy(float), np.zeros(words - len(top)), mass]) + 0.5
     p = p / p.sum()
     s = np.argsort(th.view(U))
     top_h, top_at = th.view(U)[s], s
     net = Network.new(p)
     if total:
-        net = _train_network(texts.mapInArrow(T.tidy(_count_trigrams(top_h, top_at)), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), p)
+        net = _train_network(texts, total, p, top_h, top_at)
     return Model(total, distinct, top_h, top_at, fh[order], fc[order], sizes, net), counts
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        table = m.network.log_probabilities().reshape(-1) / np.float32(np.log(10))
+        sides, words = m.network.sides(), m.network.words
         z = np.log10(m.class_sizes)
         denominator = np.log10(m.total + m.distinct + 1.0)
         for b in T.slices(batches, "text"):
             n = b.num_rows
             t = tokens(b.column("text"))
-            s = symbols(t, m.top, m.top_at)
-            own = table[contexts(s, t)].astype(np.float64)
-            other = s > VOCAB  # these have their word's share of the class, too
+            s = symbols(t, m.top, m.top_at, words)
+            own = m.network.log_of(sides, *contexts(s, t, m.network.size), s) / np.log(10)
+            other = s > words  # these have their word's share of the class, too
             at = np.minimum(np.searchsorted(m.frequent, t.h), max(len(m.frequent) - 1, 0))
             found = m.frequent[at] == t.h if len(m.frequent) else np.zeros(len(t.h), bool)
             log_c = np.where(found, np.log10(np.where(found, m.frequent_counts[at] if len(m.frequent) else 0, 0) + 1.0), 0.0)
-            own += np.where(other, log_c - z[np.maximum(s - VOCAB - 1, 0)], 0.0)
+            own += np.where(other, log_c - z[np.maximum(s - words - 1, 0)], 0.0)
             sum_ = lambda x: np.bincount(t.doc, x, n)
             rare = np.flatnonzero(~found)
             doc, h = t.doc[rare], t.h[rare]
@@ -280,7 +381,7 @@ def _score(model):
             first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
             tf = np.diff(np.append(first, len(h)))
             offsets = np.searchsorted(doc[first], np.arange(n + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(T.signed(h[first])), pa.array(tf.astype(np.int32)), pa.array(s[rare][order][first] > VOCAB)], names=["h", "tf", "other"]))
+            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(T.signed(h[first])), pa.array(tf.astype(np.int32)), pa.array(s[rare][order][first] > words)], names=["h", "tf", "other"]))
             size = np.bincount(t.doc, minlength=n)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array([uuid.uuid4().hex for _ in range(n)]), pa.array(size, pa.int64()), pa.array(sum_(found).astype(np.int64)), pa.array(sum_(log_c) - size * denominator), pa.array(sum_(own)), lists],

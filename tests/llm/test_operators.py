@@ -162,6 +162,27 @@ def test_lm(spark):
     assert np.allclose(p, 1, atol=1e-4)
 
 
+def test_lm_words_grow(spark):
+    """Words that recur have symbols of their own, however many; the rest classes. Probabilities sum to one, and training learns what follows what."""
+    r = random.Random(12)
+    word = lambda i: f"w{i % 300}q"
+    texts = [" ".join(word(k + j) for j in range(60)) + f" once{i}" for i in range(300) for k in [r.randrange(300)]]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    T.small_batches(spark)
+    m, _ = lm.train(df)
+    assert len(m.top) == m.network.words == 300
+    n, sides = m.network.size, m.network.sides()
+    s = np.arange(n)
+    for two, one in ((n, n), (n, 5), (17, 200), (0, n - 1)):
+        assert math.isclose(np.exp(m.network.log_of(sides, np.full(n, two), np.full(n, one), s)).sum(), 1, abs_tol=1e-4)
+    t = lm.tokens(__import__("pyarrow").array(texts))
+    s = lm.symbols(t, m.top, m.top_at, 300)
+    assert (s <= 300).sum() == 61 * 300
+    got = m.network.log_of(sides, *lm.contexts(s, t, n), s).mean()
+    p = np.bincount(s, minlength=n) / len(s)
+    assert got > np.log(p[s]).mean() + 0.5
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     docs = [(i, " ".join(r.choice("abcdefgh") * 3 for _ in range(40)) + (" vile rotten vile" if i % 3 == 0 else "")) for i in range(240)] + [(900, None), (901, "")]
