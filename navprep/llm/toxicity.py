@@ -14,21 +14,23 @@ from . import _text as T
 from ._store import stored
 
 U = np.uint64
-#: At most so many labelled rows are learned from (those of least hash); labels beyond it are held back, texts never are.
-MAX_LABELS = 2_000_000
-#: At most so many words have a weight (the most significant).
-MAX_WORDS = 200_000
-#: Words' worth of the Dirichlet prior (at most a tenth of the toxic texts' words), dealt in proportion to overall counts.
-PRIOR = 1000.0
-#: A word has a weight if its log-odds are at least LEAST_WEIGHT and so many standard deviations from none.
-LEAST_Z, LEAST_WEIGHT = 4.0, 1.5
-#: Score of a word without significant weight: small and negative, so a segment must earn its length.
-DRIFT = -0.15
+#: At most so many labelled rows are learned from (those of least hash); labels beyond it are held back, texts never are. So it bounds the words with a weight.
+MAX_LABELS = 500_000
+#: Texts' worth of each word's Dirichlet prior, dealt to the two classes by their shares of all counts.
+PRIOR = 2.0
+#: Posterior standard deviations by which log-odds are drawn towards none.
+SURE = 2.0
+#: Added to every token's log-odds, so that a segment must earn its length; a word without a label has this score alone.
+DRIFT = -0.7
+#: Most evidence of a text: beyond it nothing is more certain, and the logistic fit is of the texts in doubt.
+MOST = 40.0
+#: The extreme-value scale is counted from segments of at least TAIL / lam.
+TAIL = 3.0
 FOLDS = 5
 
 
 class Model(NamedTuple):
-    """Words' hashes (sorted) and weights; lam, k: E = k * n * exp(-lam * S) segments of score S are expected in n clean words; a, b: logistic of the evidence."""
+    """Words' hashes (sorted) and weights (log-odds and drift); lam, k: E = k * n * exp(-lam * S) segments of score S are expected in n clean words; a, b: logistic of the evidence."""
 
     words: np.ndarray
     weights: np.ndarray
@@ -96,25 +98,24 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 
 def passages(w: T.Words, model: Model) -> list[list[tuple[int, int, float]]]:
-    """For each row its segments as (first word, past the last, score), in word numbers of the row. Stretches without weighted words count as one step."""
-    h = T.mix(w.h[0] + U(1))  # as one-word shingles are hashed
-    at = np.searchsorted(model.words, h)
-    at[at == len(model.words)] = 0
-    hit = np.flatnonzero(model.words[at] == h) if len(model.words) else np.zeros(0, np.int64)
+    """For each row its segments as (first word, past the last, score), in word numbers of the row. Neighbours of one sign are one step: no maximal segment
+    parts them."""
     out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(w.first) - 1)]
-    rows = w.doc[hit]
-    for block in np.split(hit, np.flatnonzero(np.diff(rows)) + 1) if len(hit) else []:
-        row = int(w.doc[block[0]])
-        position = (block - w.first[row]).tolist()
-        scores, place, last = [], [], -1
-        for p, s in zip(position, model.weights[at[block]].tolist()):
-            if p > last + 1:
-                scores.append((p - last - 1) * DRIFT)
-                place.append((last + 1, p))
-            scores.append(s)
-            place.append((p, p + 1))
-            last = p
-        out[row] = [(place[f][0], place[t - 1][1], s) for f, t, s in segments(scores)]
+    if not len(w.doc):
+        return out
+    h = T.mix(w.h[0] + U(1))  # as one-word shingles are hashed
+    scores = np.full(len(h), DRIFT)
+    if len(model.words):
+        at = np.minimum(np.searchsorted(model.words, h), len(model.words) - 1)
+        hit = model.words[at] == h
+        scores[hit] = model.weights[at[hit]]
+    up = scores > 0
+    step = np.flatnonzero(np.r_[True, (up[1:] != up[:-1]) | (w.doc[1:] != w.doc[:-1])])
+    sums, end = np.add.reduceat(scores, step).tolist(), np.append(step[1:], len(h))
+    edge = np.searchsorted(step, w.first)
+    first, end = (step - w.first[w.doc[step]]).tolist(), (end - w.first[w.doc[step]]).tolist()
+    for row, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+        out[row] = [(first[lo + f], end[lo + t - 1], s) for f, t, s in segments(sums[lo:hi])]
     return out
 
 
@@ -124,7 +125,7 @@ def evidence(found: list[tuple[int, int, float]], n: int, model: Model) -> tuple
         return -20.0, 0
     each = [model.lam * s - math.log(model.k * max(n, 2)) for _, _, s in found]
     good = [x for x in each if x > 0]
-    return (min(sum(good), 200.0), len(good)) if good else (max(max(each), -20.0), 0)
+    return (min(sum(good), MOST), len(good)) if good else (max(max(each), -20.0), 0)
 
 
 def _judge(model):
@@ -136,20 +137,22 @@ def _judge(model):
             found = passages(w, m)
             x = [evidence(f, int(n), m) for f, n in zip(found, sizes)]
             score = 1 / (1 + np.exp(-np.clip(m.a + m.b * np.array([e for e, _ in x]), -30, 30)))
-            spans = [[{"first": f, "to": t, "score": s, "p": 1 - math.exp(-min(700.0, m.k * max(int(n), 2) * math.exp(-m.lam * s)))} for f, t, s in fs] for fs, n in zip(found, sizes)]
+            p = lambda n, s: 1 - math.exp(-min(700.0, m.k * max(int(n), 2) * math.exp(-m.lam * s)))
+            spans = [[{"first": f, "to": t, "score": s, "p": p(n, s)} for f, t, s in fs if m.lam * s > math.log(m.k * max(int(n), 2))] for fs, n in zip(found, sizes)]
             keep = {c: b.column(c) for c in b.schema.names if c != "text"}
-            yield pa.RecordBatch.from_pydict(keep | {"score": pa.array(score), "evidence": pa.array([e for e, _ in x], pa.float64()), "n_passages": pa.array([g for _, g in x], pa.int32()), "passages": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("to", pa.int32()), ("score", pa.float64()), ("p", pa.float64())])))})
+            tail = pa.array([sum(m.lam * s >= TAIL for _, _, s in fs) for fs in found], pa.int32())
+            yield pa.RecordBatch.from_pydict(keep | {"score": pa.array(score), "evidence": pa.array([e for e, _ in x], pa.float64()), "n_passages": pa.array([g for _, g in x], pa.int32()), "tail": tail, "words": pa.array(sizes, pa.int32()), "passages": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("to", pa.int32()), ("score", pa.float64()), ("p", pa.float64())])))})
 
     return run
 
 
-_JUDGED = "score double, evidence double, n_passages int, passages array<struct<first: int, to: int, score: double, p: double>>"
+_JUDGED = "score double, evidence double, n_passages int, tail int, words int, passages array<struct<first: int, to: int, score: double, p: double>>"
 
 
 def _lambda(weights: np.ndarray, clean: np.ndarray, total: float) -> float:
     """The positive root of E[exp(lam * score)] = 1 over clean words, as for local alignment scores."""
-    p = (clean + 0.5) / max(total, 1.0)
-    f = lambda lam: float((p * np.exp(np.minimum(lam * weights, 700))).sum() + (1 - p.sum()) * math.exp(lam * DRIFT) - 1)
+    p = clean / max(total, 1.0)
+    f = lambda lam: float((p * np.exp(np.minimum(lam * weights, 700))).sum() - 1)
     lo, hi = 1e-6, 1.0
     if f(lo) >= 0:
         return 0.05
@@ -168,32 +171,26 @@ def fit(labelled: DataFrame) -> Model:
     counts = stored(labelled.where("part = 0").select("text", "toxic").mapInArrow(T.tidy(_word_counts), "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "tox-words")
     x = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     n1, n0 = float(x["t"] or 0), float(x["c"] or 0)
-    # log-odds under a Dirichlet prior in proportion to the word's overall count
-    worth = min(PRIOR, 0.1 * n1)  # no more than the toxic texts can outweigh
-    prior = (F.col("toxic") + F.col("clean")) * (worth / max(n1 + n0, 1.0))
-    a, b = F.col("toxic") + prior, F.col("clean") + prior
-    w = F.log(a / (n1 + worth - a)) - F.log(b / (n0 + worth - b))
-    # how far the toxic count is from its share of the word's count: the signed root of the likelihood ratio
-    n, share = F.col("toxic") + F.col("clean"), n1 / max(n1 + n0, 1.0)
-    half = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    z = F.sqrt(F.greatest(F.lit(0.0), 2 * (half(F.col("toxic"), n * share) + half(F.col("clean"), n * (1 - share)))))
-    top = counts.where("toxic > 1").select("h", w.alias("w"), z.alias("z"), "clean").where((F.col("z") >= LEAST_Z) & (F.col("w") >= LEAST_WEIGHT)).orderBy(F.desc("z"), "h").limit(MAX_WORDS).toPandas() if n1 and n0 else None
-    if top is None or not len(top):
+    if not n1 or not n0:
         return Model(np.zeros(0, U), np.zeros(0), 1.0, 1.0, -2.0, 0.0)
-    hs = top["h"].to_numpy(np.int64).view(U)
+    # log-odds of each word under its Dirichlet prior, against those of all words
+    share = n1 / (n1 + n0)
+    a, b = F.col("toxic") + PRIOR * share, F.col("clean") + PRIOR * (1 - share)
+    w, deviation = F.log(a / share) - F.log(b / (1 - share)), F.sqrt(1 / a + 1 / b)
+    w = F.signum(w) * F.greatest(F.lit(0.0), F.abs(w) - SURE * deviation) + DRIFT
+    words = counts.select("h", w.alias("w"), "clean").toArrow()  # those of max_labels texts at most
+    hs = words.column("h").to_numpy().view(U)
     order = np.argsort(hs)
-    weights = top["w"].to_numpy(float)[order]
-    lam = _lambda(weights, top["clean"].to_numpy(float)[order], n0)
+    weights = words.column("w").to_numpy()[order]
+    lam = _lambda(weights, words.column("clean").to_numpy()[order].astype(float), n0)
     raw = Model(hs[order], weights, lam, 1.0, 0.0, 1.0)
     # the scale of the extreme-value distribution from the clean texts of the calibration part: the number of segments above s in n words has mean k n exp(-lam s)
-    cal = stored(labelled.where("part = 1").select("text", "toxic", F.lit(0).alias("n")).mapInArrow(_judge(spark.sparkContext.broadcast(raw)), f"toxic int, n int, {_JUDGED}").select("toxic", F.size("passages").alias("segments")), "tox-cal")
-    words0 = max(n0 * cal.where("toxic = 0").count() / max(1, labelled.where("part = 0 and toxic = 0").count()), 1.0)
-    # counted at the least weight, which every segment reaches
-    found = cal.where("toxic = 0").agg(F.sum("segments")).first()[0] or 0
-    k = max(float(found), 0.5) * math.exp(lam * float(weights.min())) / words0
+    judged = labelled.where("part = 1 and toxic = 0").select("text").mapInArrow(T.tidy(_judge(spark.sparkContext.broadcast(raw))), _JUDGED)
+    found = judged.agg(F.sum("tail").alias("tail"), F.sum("words").alias("words")).first()
+    k = max(float(found["tail"] or 0), 0.5) * math.exp(TAIL) / max(float(found["words"] or 0), 1.0)
     model = raw._replace(k=k)
-    scored = labelled.where("part = 1").select("text", "toxic").mapInArrow(_judge(spark.sparkContext.broadcast(model)), f"toxic int, {_JUDGED}")
-    bins = scored.groupBy(F.round("evidence", 1).alias("x")).agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).toPandas()  # evidence is within -20 and 200
+    scored = labelled.where("part = 1").select("text", "toxic").mapInArrow(T.tidy(_judge(spark.sparkContext.broadcast(model))), f"toxic int, {_JUDGED}")
+    bins = scored.groupBy(F.round("evidence", 1).alias("x")).agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).toPandas()  # evidence is within -20 and MOST
     return model._replace(**dict(zip("ab", _logistic(bins["x"].to_numpy(float), bins["pos"].to_numpy(float), bins["n"].to_numpy(float)))))
 
 
