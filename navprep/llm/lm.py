@@ -28,7 +28,7 @@ MAX_FREQUENT = 400_000
 RARE = 32
 #: Training: rounds of parallel passes whose parameters are averaged. Every token is in one of the rounds, and small corpora are passed over up to
 #: MAX_PASSES times for LEAST_DRAWS steps' trigrams. A worker has about sqrt(tokens * WORKER_TOKENS) tokens.
-ROUNDS, BATCH, NOISE, NOISE_WORDS = 4, 2048, 32, 4
+ROUNDS, BATCH, NOISE, NOISE_WORDS = 4, 4096, 32, 2
 LEAST_DRAWS, MAX_PASSES, WORKER_TOKENS = 12_000_000, 12, 250_000
 _CHUNK = 512
 #: Tokens in one matrix product of scoring.
@@ -114,7 +114,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Network(NamedTuple):
     """All parameters as rows of DIM values and a bias: contexts' vectors, those of the first step's targets, words' by place (whole blocks), c1 and c2
-    (how the last and the one before predict)."""
+    (a weight a dimension: how the last and the one before predict)."""
 
     words: int
     rows: np.ndarray
@@ -135,7 +135,7 @@ class Network(NamedTuple):
     @property
     def starts(self) -> np.ndarray:
         """First rows of the five parts, and the end."""
-        return np.cumsum([0, self.size + 1, 1 + self.blocks + CLASSES, self.blocks * self.width, DIM, DIM])
+        return np.cumsum([0, self.size + 1, 1 + self.blocks + CLASSES, self.blocks * self.width, 1, 1])
 
     def parts(self) -> list[np.ndarray]:
         return np.split(self.rows, self.starts[1:-1])
@@ -162,13 +162,13 @@ class Network(NamedTuple):
         share = own / np.repeat(np.maximum(own.reshape(net.blocks, -1).sum(1), 1e-300), net.width)
         log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-300)), -1e4)
         top[:, DIM], word[:, DIM] = log(first), log(share)
-        c1[:, :DIM], c2[:, :DIM] = np.eye(DIM) + c1[:, :DIM] * 0.1, 0.5 * np.eye(DIM) + c2[:, :DIM] * 0.1
+        c1[:, :DIM], c2[:, :DIM] = 1.0, 0.5
         return net
 
     def sides(self) -> tuple[np.ndarray, np.ndarray]:
         """What each context adds to the prediction, as the one before last and as the last, with 1 in all for the bias."""
         context, _, _, c1, c2 = self.parts()
-        left, right = (np.pad(context[:, :DIM] @ c[:, :DIM], ((0, 0), (0, 1))) for c in (c2, c1))
+        left, right = (np.pad(context[:, :DIM] * c[:, :DIM], ((0, 0), (0, 1))) for c in (c2, c1))
         right[:, DIM] = 1
         return left, right
 
@@ -235,7 +235,7 @@ class Trainer:
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         x1, x2 = context[one, :DIM], context[two, :DIM]
         q = np.ones((n, DIM + 1), np.float32)
-        q[:, :DIM] = x1 @ c1[:, :DIM] + x2 @ c2[:, :DIM]
+        q[:, :DIM] = x1 * c1[:, :DIM] + x2 * c2[:, :DIM]
         own = net.first_step(s)
         noise = np.minimum(np.searchsorted(self.first_edge, self.r.random(NOISE)), len(self.first) - 1)
         d_own = (1 - sigmoid((q * top[own]).sum(1) - self.log_first[own]))[:, None]
@@ -254,9 +254,9 @@ class Trainer:
         d_q[w] += np.matmul(d[:, None, :], target)[:, 0]
         d_q = d_q[:, :DIM]
         g_context = np.zeros((2 * n, DIM + 1), np.float32)
-        g_context[:n, :DIM], g_context[n:, :DIM] = d_q @ c1[:, :DIM].T, d_q @ c2[:, :DIM].T
-        g_c = np.zeros((2 * DIM, DIM + 1), np.float32)
-        g_c[:, :DIM] = np.concatenate([x1.T @ d_q, x2.T @ d_q]) / n
+        g_context[:n, :DIM], g_context[n:, :DIM] = d_q * c1[:, :DIM], d_q * c2[:, :DIM]
+        g_c = np.zeros((2, DIM + 1), np.float32)
+        g_c[0, :DIM], g_c[1, :DIM] = np.einsum("ij,ij->j", x1, d_q) / n, np.einsum("ij,ij->j", x2, d_q) / n
         self._step(np.concatenate([own, noise]) + starts[1], np.concatenate([d_own * q, d_noise.T @ q]))
         if len(w):
             self._step(place.reshape(-1) + starts[2], (d[:, :, None] * qw[:, None, :]).reshape(-1, DIM + 1))
