@@ -33,11 +33,24 @@ _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".,;:!?"]] = True
 
 
-def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of texts that encode alike but share more: A-Z in lower case, and a space between a letter and a single stop that ends a piece (there a
-    token always ends). Only for a vocabulary of lower case whose letters and stops don't mix; texts that may hold special tokens stay as they are."""
+def folds(path: str) -> bool:
+    """Whether the tokenizer at path lowers A-Z and ends a token between a letter and a stop. One for which white space isn't dropped is an error."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    ids = lambda x: tok.encode(x, add_special_tokens=False).ids
+    pieces = ["Abc", "def", "x's", "9"]
+    if ids(" \t".join(pieces) + "\n") != [i for p in pieces for i in ids(p)]:
+        raise ValueError(f"{path}: tokens cross white space, which this encoder can't do")
+    letters = [chr(c) for c in range(97, 123)]
+    return all(ids(c.upper()) == ids(c) for c in letters) and all(ids(c + p) == ids(c) + ids(p) for c in letters for p in ".,;:!?")
+
+
+def folded(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts; with fold of texts that encode alike but share more: A-Z in lower case, and a space between a letter and a single stop that
+    ends a piece (there a token always ends). Only for a vocabulary that `folds`; texts that may hold special tokens stay as they are."""
     data, offsets = T.utf8(texts)
-    if not len(data) or b"<|" in data.tobytes():
+    if not fold or not len(data) or b"<|" in data.tobytes():
         return data, offsets
     data = _LOWER[data]
     ends = np.ones(len(data) + 1, bool)
@@ -155,18 +168,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in T.slices(batches, "text"):
-        _, start, h = chunks(*folded(b.column("text")))
-        h, n = np.unique(h, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(T.signed(h)), pa.array(n.astype(np.int64))], names=["h", "n"])
+def _counter(fold: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in T.slices(batches, "text"):
+            h, n = np.unique(chunks(*folded(b.column("text"), fold))[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(T.signed(h)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return run
 
 
-def _finder(wanted):
+def _finder(wanted, fold: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want, seen = np.frombuffer(wanted.value, np.uint64), set()
         for b in T.slices(batches, "text"):
-            data, offsets = folded(b.column("text"))
+            data, offsets = folded(b.column("text"), fold)
             _, start, h = chunks(data, offsets)
             end = np.append(start[1:], len(data))
             hs, ts = [], []
@@ -189,18 +204,18 @@ def _encode_chunks(path: str):
     return run
 
 
-def shared_chunks(docs: DataFrame, path: str, limit: int = MAX_SHARED) -> list:
+def shared_chunks(docs: DataFrame, path: str, fold: bool, limit: int = MAX_SHARED) -> list:
     """h, chunk, ids, dec of the limit most frequent chunks that occur more than once, each encoded once by a task. docs: text."""
-    counts = docs.mapInArrow(T.tidy(_counter), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = docs.mapInArrow(T.tidy(_counter(fold)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     top = counts.orderBy(F.desc("n"), "h").limit(limit).select("h").toPandas()["h"].to_numpy(np.int64)
     if not len(top):
         return []
     wanted = docs.sparkSession.sparkContext.broadcast(np.sort(top.view(np.uint64)).tobytes())
-    found = docs.mapInArrow(T.tidy(_finder(wanted)), "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk"))
+    found = docs.mapInArrow(T.tidy(_finder(wanted, fold)), "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk"))
     return [tuple(r) for r in found.mapInArrow(T.tidy(_encode_chunks(path)), "h long, chunk binary, ids string, dec string").collect()]  # limit rows at most
 
 
-def _encoder_run(path: str, table, want_ids: bool, want_text: bool, pieces: int = MAX_PIECES):
+def _encoder_run(path: str, fold: bool, table, want_ids: bool, want_text: bool, pieces: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         enc.pieces = pieces
@@ -209,7 +224,7 @@ def _encoder_run(path: str, table, want_ids: bool, want_text: bool, pieces: int
         order = np.argsort(known)
         known = known[order]
         for b in T.slices(batches, "text"):
-            data, offsets = folded(b.column("text"))
+            data, offsets = folded(b.column("text"), fold)
             raw = data.tobytes()
             row, start, h = chunks(data, offsets)
             end = np.append(start[1:], len(data)).astype(np.int64)
@@ -253,25 +268,30 @@ def _encoder_run(path: str, table, want_ids: bool, want_text: bool, pieces: int
             if want_text:
                 out["decoded"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(out)
-        enc.forget()
+        if keep:
+            enc.forget()
+        else:
+            _ENCODERS.clear()
 
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = False, pieces: int = MAX_PIECES) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = False, pieces: int = MAX_PIECES, keep: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, as asked, ids (array<int>) and decoded (string) of every row.
 
-    The tokenizer at path splits at white space and drops it. A null or empty text has no token; rows that repeat are encoded each; ids may be null.
+    The tokenizer at path splits at white space and drops it (another is an error). A null or empty text has no token; rows that repeat are encoded each; ids may be null.
     Chunks between content-defined cuts that documents share are encoded once, in a bounded table that tasks receive; a document is put together from
     them and from the spans between. Each joint is encoded again with a piece to either side; where it doesn't agree with its sides, the chunk joins
-    the span around it, up to white space or the text's end. pieces: how many encoded pieces a worker remembers, memory (about 0.4 kB each) against time.
+    the span around it, up to white space or the text's end. pieces: how many encoded pieces a worker remembers, memory (about 0.4 kB each) against time;
+    keep: whether it keeps half of them and the tokenizer from task to task.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     T.small_batches(d.sparkSession)
-    table = d.sparkSession.sparkContext.broadcast(shared_chunks(d.select("text"), path))
+    fold = folds(path)
+    table = d.sparkSession.sparkContext.broadcast(shared_chunks(d.select("text"), path, fold))
     kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
-    return d.mapInArrow(T.tidy(_encoder_run(path, table, ids, decoded, pieces)), schema)
+    return d.mapInArrow(T.tidy(_encoder_run(path, fold, table, ids, decoded, pieces, keep)), schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
