@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 _LOCAL: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset (local tests), a temporary folder kept for the session."""
+    """The session's spark.checkpoint.dir; where that is unset on a single machine (tests), a temporary folder kept for the session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base and app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="navprep-")
     return base or _LOCAL[app]
@@ -25,16 +29,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
-#: Ids that may be broadcast as a hash set; above this the same filter is a shuffle join.
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables once all that was made of them is stored, too: nothing that is still to be read, or to be made again, may need them."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of ids or keys that may be broadcast; above this the same join is a shuffle join.
 MAX_BROADCAST_IDS = 2_000_000
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, key: str, max_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
-    """Rows of docs whose key is in ids (one column, named key). ids is counted first: it is broadcast up to max_ids rows, shuffled beyond."""
-    from pyspark.sql import functions as F
+def sized(df: DataFrame, max_rows: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """df for a join's small side, its rows counted first: broadcast up to max_rows rows (of a few numbers each), shuffled beyond. The result is the same."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("merge")
+
 
-    small = ids.limit(max_ids + 1).count() <= max_ids
-    return docs.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
+def keep_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of docs whose key is in ids (one column, named key)."""
+    return docs.join(sized(ids), key, "left_semi")

@@ -15,15 +15,16 @@ U64 = np.uint64
 #: Bytes of text that one numpy pass holds; a longer single text is one pass of its own.
 SLICE_BYTES = 1 << 19
 
-#: Rows in an Arrow batch: texts and shingle sets are large, so Spark's default of 10,000 rows takes hundreds of MB.
-BATCH_ROWS = 200
+#: Rows and bytes in an Arrow batch: texts and shingle sets are large, so Spark's default of 10,000 rows takes hundreds of MB.
+BATCH_ROWS, BATCH_BYTES = 200, 4 << 20
 
 
 def small_batches(spark) -> None:
-    """Lower the session's rows in an Arrow batch to BATCH_ROWS."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Lower the session's rows and bytes in an Arrow batch to BATCH_ROWS and BATCH_BYTES; a larger single row is a batch of its own."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
 
 
 _WS = np.zeros(256, bool)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._store import stored
+from ._store import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("root")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("root")))
         if ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("root").alias("root")).where("down > 1 or down = 1 and root = 1").isEmpty():
             break
-        e = stored(_star(_star(e, True), False), "cc")
+        before, e = e, stored(_star(_star(e, True), False), "cc")
+        discard(before)
     else:
         raise RuntimeError(f"no forest of stars after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

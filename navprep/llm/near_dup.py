@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _text as T
-from ._store import keep_ids, stored
+from ._store import discard, keep_ids, sized, stored
 from .components import components
 
 HASHES = 128
@@ -18,6 +18,8 @@ HASHES = 128
 BATCH = 16
 #: Members of a bucket that meet in a task, by signature and on full sets.
 BLOCK, SET_BLOCK = 256, 64
+#: Blocks of one bucket that a task takes as one side.
+TURN = 16
 #: Shingles that one matrix product of the exact comparison covers.
 COLUMNS = 8192
 _MULT = T.mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -198,13 +200,24 @@ def _verifier(percent: int):
     return run
 
 
-def _block_pairs(members: DataFrame, block: int, name: str) -> DataFrame:
-    """Members (key, id, root, data) in blocks of about block rows; each pair of blocks of one key, and each block with itself, as one row."""
-    n = members.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    m = members.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    packs = stored(m.groupBy("key", "block").agg(*(F.collect_list(c).alias(c) for c in ("id", "root", "data"))), name)
-    side = lambda s: packs.select("key", F.col("block").alias(f"block_{s}"), F.col("id").alias(f"ids_{s}"), F.col("root").alias(f"roots_{s}"), F.col("data").alias(f"data_{s}"))
-    return side("a").join(side("b"), "key").where("block_a <= block_b").drop("block_a", "block_b")
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """Members (key, id, root, data) in blocks of about block rows: key, block, blocks (of the key), ids, roots, data."""
+    large = stored(members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "nd-large")
+    m = members.join(sized(large), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    packs = stored(m.groupBy("key", "block", "blocks").agg(*(F.collect_list(c).alias(c) for c in ("id", "root", "data"))), "nd-packs")
+    discard(large)
+    return packs
+
+
+def _block_pairs(packs: DataFrame) -> DataFrame:
+    """Each pair of blocks of one key, and each block with itself, as one row. A large bucket's blocks meet in salted groups: TURN of them as one side with all
+    as the other, so that no task holds all pairs of a bucket. A bucket of one block meets itself where it is."""
+    names = {"id": "ids", "root": "roots", "data": "data"}
+    side = lambda d, *sides: d.select("key", "block", F.floor(F.col("block") / TURN).alias("turn"), *(F.col(c).alias(f"{n}_{s}") for s in sides for c, n in names.items()))
+    many = packs.where("blocks > 1")
+    first, second = side(many, "a").withColumnRenamed("block", "first"), side(many, "b").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), "turn")))
+    met = first.join(second, ["key", "turn"]).where("first <= block").drop("first", "block", "turn")
+    return met.unionByName(side(packs.where("blocks = 1"), "a", "b").drop("block", "turn"))
 
 
 class _Links:
@@ -214,6 +227,7 @@ class _Links:
         self.docs, self.k, self.percent, self.hashes = docs, k, percent, hashes
         self.sigs = sigs.select(F.col("doc_id").alias("id"), "sig")
         self.sets: DataFrame | None = None
+        self.kept: list[DataFrame] = []
         self.least = least_matches(percent / 100, hashes, BATCH, miss)
 
     def _sets_of(self, ids: DataFrame) -> DataFrame:
@@ -223,8 +237,13 @@ class _Links:
         if known is None or not ids.isEmpty():
             new = stored(keep_ids(self.docs, ids, "doc_id").mapInArrow(T.tidy(_sets(self.k)), "id long, shingles binary"), "nd-sets")
             self.sets = new if known is None else known.unionByName(new)
+            self.kept.append(new)
+        discard(ids)
         return self.sets
 
+    def forget(self) -> None:
+        discard(*self.kept)
+
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b)."""
         s = self.sigs
@@ -235,20 +254,27 @@ class _Links:
         """Links that join the components of members (key, id, root) of one key. Blocks of members meet in a task: by signature first, then those that
         have a partner left on full sets. What leaves a task is members, then a forest of links."""
         run, out = T.tidy(_block_pruner(self.least, BATCH, self.hashes)), "key long, id long, root long"
-        left = stored(_block_pairs(members.join(self.sigs.withColumnRenamed("sig", "data"), "id"), BLOCK, "nd-packs").mapInArrow(run, out).distinct(), "nd-left")
+        packs = _blocks(members.join(self.sigs.withColumnRenamed("sig", "data"), "id"), BLOCK)
+        left = stored(_block_pairs(packs).mapInArrow(run, out).distinct(), "nd-left")
+        discard(packs)
         if left.isEmpty():
             return left.select(F.col("id").alias("a"), F.col("id").alias("b"))
         sets = self._sets_of(left.select(F.col("id").alias("doc_id")).distinct())
         full = left.join(sets.withColumnRenamed("shingles", "data"), "id")
-        return stored(_block_pairs(full, SET_BLOCK, "nd-packs").mapInArrow(T.tidy(_block_verifier(self.percent)), "a long, b long").distinct(), "nd-links")
+        packs = _blocks(full, SET_BLOCK)
+        links = stored(_block_pairs(packs).mapInArrow(T.tidy(_block_verifier(self.percent)), "a long, b long").distinct(), "nd-links")
+        discard(packs, left)
+        return links
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        p = stored(pairs, "nd-alive")
+        alive = p = stored(pairs, "nd-alive")
         if p.isEmpty():
             return p
         sets = self._sets_of(p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct())
         p = p.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        return stored(p.select("a", "b", "set_a", "set_b").mapInArrow(T.tidy(_verifier(self.percent)), "a long, b long"), "nd-links")
+        links = stored(p.select("a", "b", "set_a", "set_b").mapInArrow(T.tidy(_verifier(self.percent)), "a long, b long"), "nd-links")
+        discard(alive)
+        return links
 
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -289,6 +315,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not open_.isEmpty():
         links = links.union(judge.in_blocks(now.join(open_, "key")))
         roots = components(links)
+    judge.forget()
+    discard(reps, members, now, open_)
     labels = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     many = classes.where("copies > 1").select("c1", "c2", "n_shingles")
     thin = sigs.select("doc_id", "n_shingles", "c1", "c2", "full")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _text as T
-from ._store import MAX_BROADCAST_IDS, keep_ids, stored
+from ._store import discard, keep_ids, sized, stored
 
 U = np.uint64
 WINDOW = 13
@@ -88,23 +88,16 @@ def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in T.slices(batches, "text"):
         w = T.words(b.column("text"), hashes=2)
         n = b.num_rows
-        place = (np.arange(len(w.doc)) - w.first[w.doc]).astype(U)
-        sums = [T.per_row(np.add, T.mix(h + place * U(0x9E3779B97F4A7C15)), w.doc, n) for h in w.h]
+        sums = [_text_key(w, n, i) for i in (0, 1)]
         data, offsets = T.utf8(b.column("text"))
         raw = data.tobytes()
         sha = [hashlib.sha256(b" ".join(raw[offsets[i] : offsets[i + 1]].split())).hexdigest() for i in range(n)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(w.first), pa.int64()), *(pa.array(T.signed(s)) for s in sums), pa.array(sha)], names=["doc_id", "n_words", "t1", "t2", "sha"])
 
 
-def _without(b: pa.RecordBatch, skip: np.ndarray) -> pa.RecordBatch:
-    ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-    return b.filter(pa.array(~np.isin(ids, skip))) if len(skip) else b
-
-
-def _anchor_rows(window: int, skip):
+def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches, "text"):
-            b = _without(b, skip.value)
             w = T.words(b.column("text"))
             first, key = anchors(w, window)
             ids = np.asarray(b.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
@@ -149,11 +142,18 @@ def _filter(keys: DataFrame, most: int = MAX_FILTER_BITS) -> tuple[int, np.ndarr
     return bits, words
 
 
-def _window_rows(window: int, skip, bits: int, words):
+def _text_key(w: T.Words, rows: int, which: int = 0) -> np.ndarray:
+    """A hash of each row's words in order."""
+    place = (np.arange(len(w.doc)) - w.first[w.doc]).astype(U)
+    return T.per_row(np.add, T.mix(w.h[which] + place * U(0x9E3779B97F4A7C15)), w.doc, rows)
+
+
+def _window_rows(window: int, repeated: bool, bits: int, words):
+    """repeated: whether ids repeat, so that a row is told by its text, too (t; else 0)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
         for b in T.slices(batches, "text"):
-            b = _without(b, skip.value)
             w = T.words(b.column("text"), hashes=2)
             first, key = anchors(w, window)
             hit = np.ones(len(key), bool)
@@ -168,7 +168,8 @@ def _window_rows(window: int, skip, bits: int, words):
                 names.append(T.mix(x))
             ids = np.asarray(b.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
             doc = w.doc[first]
-            yield pa.RecordBatch.from_arrays([*(pa.array(T.signed(x)) for x in names), pa.array(ids[doc] if len(doc) else np.zeros(0, np.int64)), pa.array((first - w.first[doc]).astype(np.int32))], names=["v1", "v2", "doc_id", "at"])
+            t = _text_key(w, b.num_rows) if repeated else np.zeros(b.num_rows, U)
+            yield pa.RecordBatch.from_arrays([*(pa.array(T.signed(x)) for x in names), pa.array(ids[doc]), pa.array(T.signed(t[doc])), pa.array((first - w.first[doc]).astype(np.int32))], names=["v1", "v2", "doc_id", "t", "at"])
 
     return run
 
@@ -176,50 +177,61 @@ def _window_rows(window: int, skip, bits: int, words):
 def _remover(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed, sha, kept_text = [], [], []
-            for text, ats in zip(b.column("text").to_pylist(), b.column("ats")):
+            own = _text_key(T.words(b.column("text")), b.num_rows)
+            n_words, removed, sha, kept_text = [], [], [], []
+            for text, t, cuts in zip(b.column("text").to_pylist(), own, b.column("cuts")):
                 ws = (text or "").encode().split()
+                of, ats = (cuts.values.field(i).to_numpy() for i in (0, 1))
+                ats = ats[(of == 0) | (of.view(U) == t)]
                 gone = np.zeros(len(ws) + 1, np.int64)
-                ats = ats.values.to_numpy()
                 np.add.at(gone, ats, 1)
                 np.add.at(gone, ats + window, -1)
                 keep = np.cumsum(gone)[:-1] == 0
                 kept = b" ".join([x for x, k in zip(ws, keep.tolist()) if k])
+                n_words.append(len(ws))
                 removed.append(int(len(ws) - keep.sum()))
                 sha.append(hashlib.sha256(kept).hexdigest())
                 kept_text.append(kept.decode())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
+            rest = {c: b.column(c) for c in b.schema.names if c != "cuts"}
+            yield pa.RecordBatch.from_pydict(rest | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(kept_text, pa.string())})
 
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(shape, cuts) for docs of doc_id (not null), text.
+def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(shape, ids, cuts) for docs of doc_id (not null), text and any other columns.
 
-    shape: doc_id, n_words, sha (of all words joined), copy (all words are those of a smaller doc_id). cuts: doc_id, n_removed, kept_sha256, kept_text of the
-    other documents that lose words. A document that copies another whole needs no comparing: each of its windows starts in the smaller one too, so if it has a
-    window, all its words go. Repeated rows of one id and text give that id one result for each row of shape; rows of one id never remove each other's words.
+    shape: doc_id, n_words, sha (of all words joined), copy (all words are those of a smaller doc_id; the id doesn't repeat), a row for each of docs.
+    ids: those of all documents but copies that may lose words. cuts: for each row of these all its columns, n_words, n_removed, kept_sha256, kept_text. A
+    document that copies another whole needs no comparing: each of its windows starts in the smaller one too, so if it has a window, all its words go.
+    Rows of one id never remove each other's words, whether their texts are equal or not.
     """
     T.small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    shape = stored(docs.mapInArrow(T.tidy(_shape), "doc_id long, n_words long, t1 long, t2 long, sha string"), "sub-shape")
+    texts = docs.select("doc_id", "text")
+    whole = shape = stored(texts.mapInArrow(T.tidy(_shape), "doc_id long, n_words long, t1 long, t2 long, sha string"), "sub-shape")
     firsts = shape.groupBy("t1", "t2", "n_words").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last"))
     many = stored(firsts.where("own < last").drop("last"), "sub-firsts")
-    shape = stored(shape.join(many, ["t1", "t2", "n_words"], "left").select("doc_id", "n_words", "sha", F.coalesce(F.col("own") < F.col("doc_id"), F.lit(False)).alias("copy")), "sub-copies")
-    copies = shape.where("copy").select("doc_id").distinct()
-    # leaving copies out saves work and changes nothing, so a table of them too large to broadcast is not used
-    skip = copies.limit(MAX_BROADCAST_IDS + 1).toArrow().column("doc_id").to_numpy() if copies.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else np.zeros(0, np.int64)
-    skip = spark.sparkContext.broadcast(np.sort(skip))
-    rows = docs.mapInArrow(T.tidy(_anchor_rows(window, skip)), "key long, lo long, hi long")
+    twice = stored(shape.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", F.lit(True).alias("twice")), "sub-twice")
+    repeated = not twice.isEmpty()
+    shape = shape.join(many, ["t1", "t2", "n_words"], "left")
+    shape = shape.join(twice, "doc_id", "left") if repeated else shape.withColumn("twice", F.lit(None).cast("boolean"))
+    thin = shape.select("doc_id", "n_words", "sha", F.coalesce((F.col("own") < F.col("doc_id")) & F.col("twice").isNull(), F.lit(False)).alias("copy"))
+    shape = stored(thin, "sub-copies")
+    discard(whole, many, twice)
+    texts = texts.join(sized(shape.where("copy").select("doc_id")), "doc_id", "left_anti")
+    rows = texts.mapInArrow(T.tidy(_anchor_rows(window)), "key long, lo long, hi long")
     keys = stored(rows.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key"), "sub-anchors")
     bits, words = _filter(keys)
-    named = docs.mapInArrow(T.tidy(_window_rows(window, skip, bits, spark.sparkContext.broadcast(words))), "v1 long, v2 long, doc_id long, at int")
+    discard(keys)
+    named = texts.mapInArrow(T.tidy(_window_rows(window, repeated, bits, spark.sparkContext.broadcast(words))), "v1 long, v2 long, doc_id long, t long, at int")
     least = named.groupBy("v1", "v2").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last")).where("own < last").drop("last")
-    cut = stored(named.join(least, ["v1", "v2"]).where("doc_id > own").select("doc_id", "at"), "sub-cuts")
-    ats = cut.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))  # of one document: no more than its words
-    touched = keep_ids(docs, stored(cut.select("doc_id").distinct(), "sub-ids"), "doc_id")
-    cuts = touched.join(ats, "doc_id").select("doc_id", "text", "ats").mapInArrow(T.tidy(_remover(window)), "doc_id long, n_removed long, kept_sha256 string, kept_text string")
-    return shape, cuts
+    cut = stored(named.join(least, ["v1", "v2"]).where("doc_id > own").select("doc_id", "t", "at"), "sub-cuts")
+    cuts = cut.groupBy("doc_id").agg(F.collect_set(F.struct("t", "at")).alias("cuts"))  # of one id: no more than its words
+    ids = stored(cut.select("doc_id").distinct(), "sub-ids")
+    touched = keep_ids(docs, ids, "doc_id").join(cuts, "doc_id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, n_removed long, kept_sha256 string, kept_text string"
+    return shape, ids, touched.select(*docs.columns, "cuts").mapInArrow(T.tidy(_remover(window)), schema)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -227,19 +239,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sequence also starts in a document of smaller id.
 
     A null or empty text has no words. A document shorter than the window keeps all. A row without an id is compared with nothing and keeps all its words.
-    Rows that repeat an id are one document's: ids should be unique.
+    Rows that repeat an id get a result each; they don't remove each other's words.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shape, cuts = repeats(d.where("doc_id is not null"), window)
-    nothing = hashlib.sha256(b"").hexdigest()
+    shape, ids, cuts = repeats(d.where("doc_id is not null"), window)
     gone = F.col("copy") & (F.col("n_words") >= window)
-    out = shape.join(cuts.drop("kept_text"), "doc_id", "left").select(
+    out = shape.join(sized(ids), "doc_id", "left_anti").select(
         "doc_id", "n_words",
-        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"),
     )
     rest = d.where("doc_id is null").mapInArrow(T.tidy(_shape), "doc_id long, n_words long, t1 long, t2 long, sha string")
-    return out.unionByName(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
+    rest = rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    return out.unionByName(cuts.select(*out.columns)).unionByName(rest)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
