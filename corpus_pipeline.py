@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from navprep.llm import bpe, mixing, near_dup, substring, toxicity
-from navprep.llm._store import stored
+from navprep.llm._store import sized, stored
 
 #: SQL can express neither learned scores nor tokens.
 ORACLE_SQL = None
@@ -29,21 +29,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     docs = _documents(docs)
     out = near_dup.near_duplicates(docs, k=5, percent=80).where("not kept and doc_id is not null").select("doc_id").distinct()
     gone = stored(out, "pipeline-near")
-    return docs.join(_sized(gone), "doc_id", "left_anti")
+    return docs.join(sized(gone), "doc_id", "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that a document of smaller id holds; texts that lose nothing stay as they are, a text that loses all becomes empty."""
     docs = _documents(docs)
-    d = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    shape, cuts = substring.repeats(d)
-    new = cuts.where("n_removed > 0").select("doc_id", F.col("kept_text").alias("new"))
-    copies = shape.where(F.col("copy") & (F.col("n_words") >= substring.WINDOW)).select("doc_id", F.lit("").alias("new")).distinct()
-    new = stored(new.unionByName(copies), "pipeline-cuts").withColumnRenamed("doc_id", "cut_id")
-    whole = docs.join(_sized(new.select(F.col("cut_id").alias("doc_id"))), "doc_id", "left_anti")
-    rest = docs.drop("text", "n_chars").join(new, F.col("doc_id") == F.col("cut_id"))
-    cut = rest.select("doc_id", F.col("new").alias("text"), "lang", "source", F.length("new").cast("long").alias("n_chars"))
-    return whole.select(*COLUMNS).unionByName(cut.select(*COLUMNS))
+    shape, ids, cuts = substring.repeats(docs.where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit(""))))
+    copies = shape.where(F.col("copy") & (F.col("n_words") >= substring.WINDOW)).select("doc_id")
+    copies = stored(copies, "pipeline-copies")
+    whole = docs.join(sized(ids), "doc_id", "left_anti").join(sized(copies), "doc_id", "left_anti")
+    emptied = docs.join(sized(copies), "doc_id", "left_semi").withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long"))
+    lost = F.col("n_removed") > 0
+    new = cuts.withColumn("n_chars", F.when(lost, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long")).withColumn("text", F.when(lost, F.col("kept_text")).otherwise(F.col("text")))
+    return whole.select(*COLUMNS).unionByName(new.select(*COLUMNS)).unionByName(emptied.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _documents(docs)
     plan = mixing.mix(docs).where("doc_id is not null and copies <> 1").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     times = F.coalesce(F.col("copies"), F.lit(1)).cast("int")
-    both = docs.join(_sized(stored(plan, "pipeline-mix")), "doc_id", "left")
+    both = docs.join(sized(stored(plan, "pipeline-mix")), "doc_id", "left")
     return both.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select(*COLUMNS)
 
 
@@ -60,12 +59,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     # workers hold other stages' memory, too
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), pieces=150_000)
-
-
-def _sized(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """For joins that should leave texts where they are: broadcast while it has few rows of few bytes, shuffled otherwise."""
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), pieces=60_000, keep=False)
 
 
 STAGES = [
