@@ -32,7 +32,7 @@ ROUNDS, BATCH, NOISE, NOISE_WORDS = 4, 4096, 32, 2
 LEAST_DRAWS, MAX_PASSES, WORKER_TOKENS = 12_000_000, 12, 250_000
 _CHUNK = 512
 #: Tokens in one matrix product of scoring.
-ROWS = 4096
+ROWS = 1024
 _END_HASH = U(0x5E4D0E4D5E4D0E40)
 FOLDS, HELD = 7, 2
 
@@ -197,9 +197,14 @@ class Network(NamedTuple):
 
 
 def _log_picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
     picked = z[np.arange(len(z)), at]
-    return picked - np.log(np.exp(z, out=z).sum(1))
+    with np.errstate(over="ignore", divide="ignore"):
+        out = picked - np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))
+    far = np.flatnonzero(~np.isfinite(out))  # beyond the range of exp
+    if len(far):
+        x = z[far] - z[far].max(1, keepdims=True)
+        out[far] = x[np.arange(len(far)), at[far]] - np.log(np.exp(x).sum(1))
+    return out
 
 
 class Trainer:
@@ -232,7 +237,7 @@ class Trainer:
         net, n = self.net, len(s)
         context, top, word, c1, c2 = net.parts()
         starts = net.starts
-        sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        sigmoid = lambda z: 1 / (1 + np.exp(-np.maximum(z, -30)))
         x1, x2 = context[one, :DIM], context[two, :DIM]
         q = np.ones((n, DIM + 1), np.float32)
         q[:, :DIM] = x1 * c1[:, :DIM] + x2 * c2[:, :DIM]
