@@ -94,6 +94,11 @@ def camera_pose(base: Column, extrinsic: Column, mean_z: Column | None = None) -
     return pose(tuple(a + b for a, b in zip(t, position(extrinsic))), multiply(q, quaternion(extrinsic)))
 
 
+def to_base_frame(p: Column, extrinsic: Column, frame: Column, base: str) -> Column:
+    """The base's pose from one that is given in frame: itself if that is the base, else followed by the extrinsic."""
+    return F.when(frame == base, p).otherwise(compose(p, extrinsic))
+
+
 def forward_offset(p: Column, dx: float) -> Column:
     return pose(transform(p, (F.lit(dx), F.lit(0.0), F.lit(0.0))), quaternion(p))
 

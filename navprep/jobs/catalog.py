@@ -133,7 +133,9 @@ def distance_field_full(spark, sf_dir):
     return grids.distance_cells(P.occupied_cells(P.to_cells(_obstacles(spark, sf_dir), params)), params)
 
 
-@query()
+@query(_BOUNDS.replace("WITH pts", "WITH RECURSIVE pts", 1) + """, o4 AS (SELECT DISTINCT env, ix, iy, CAST(ix AS BIGINT) * num_y + iy id FROM ok),
+reach AS (SELECT env, id root, ix, iy, id FROM o4 UNION SELECT r.env, r.root, c.ix, c.iy, c.id FROM reach r JOIN o4 c ON c.env = r.env AND abs(c.ix - r.ix) + abs(c.iy - r.iy) = 1)
+SELECT env, ix, iy, min(root) AS "label", count(*) AS "size" FROM reach GROUP BY 1, 2, 3""")
 def component_labels(spark, sf_dir):
     """Labels of 4-connected obstacle cells; tested against a flood fill."""
     params = _params(spark, sf_dir)
@@ -212,6 +214,23 @@ def straight_plans(spark, sf_dir):
     return p.drop("goal").join(s, "traj_id").join(length, "traj_id").select("env", "ahead", "frame_id", _r("path", 5).alias("path"), _r("motion", 5).alias("motion"), _r("goal", 5).alias("goal"))
 
 
+SHIFT = (0.3, -0.2)
+
+
+@query(_PAIRS + f""", k AS (SELECT env, ahead, frame_id, dx + w * tx + uy * tz - uz * ty gx, dy + w * ty + uz * tx - ux * tz gy, dz + w * tz + ux * ty - uy * tx gz FROM t)
+SELECT env, ahead, frame_id, CAST(i + 1 AS INTEGER) kp_idx, round(gx * i / 5 + {SHIFT[0]}, 6) + 0.0 x, round(gy * i / 5 + {SHIFT[1]}, 6) + 0.0 y, round(gz * i / 5, 6) + 0.0 z FROM k, range(0, 6) a(i)""")
+def shifted_plans(spark, sf_dir):
+    """Keypoints moved to a sensor away from the robot's centre."""
+    p = _pairs(spark, sf_dir).withColumn("traj_id", F.struct("env", "ahead", "frame_id"))
+    kp = p.select("traj_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("kp_idx"), "goal").select("traj_id", "kp_idx", *((F.col(f"goal.{c}") * F.col("kp_idx") / 5).alias(c) for c in "xyz"))
+    return scoring.shift_sensor(kp, *SHIFT).select("traj_id.*", "kp_idx", *(_r(c).alias(c) for c in "xyz"))
+
+
+@query(f"SELECT env, count(*) images, count(*) * 5 pairs FROM ({_POSES}) q GROUP BY 1")
+def dataset_counts(spark, sf_dir):
+    return pairs.dataset_counts(d.view(spark, sf_dir, d.POSES), 25, 5)
+
+
 @query()
 def plan_scores(spark, sf_dir):
     """Plans scored against the raycast maps by tiled bicubic lookup; tested by brute force."""
@@ -223,7 +242,14 @@ def plan_scores(spark, sf_dir):
     return p.select("traj_id", "env", "ahead", "frame_id").join(s, "traj_id").drop("traj_id")
 
 
-@query()
+_STEP = """CASE WHEN r.kind = 'signup' THEN 0 WHEN r.fear > 0.5 AND r.forward THEN fear_count + CASE WHEN reacting THEN 0 ELSE 1 END WHEN reacting THEN fear_count - 1 ELSE fear_count END"""
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY robot_id ORDER BY ts, event_id) n FROM ({_ROBOT}) a),
+f AS (SELECT DISTINCT robot_id, CAST(NULL AS BIGINT) event_id, CAST(0 AS BIGINT) n, 0 fear_count, false reacting, 0 status FROM r
+ UNION ALL SELECT robot_id, event_id, n, CAST(c AS INTEGER), k, CASE WHEN k THEN -1 WHEN kind = 'signup' THEN 0 WHEN kind = 'purchase' AND status = 0 AND NOT reacting THEN 1 ELSE status END
+ FROM (SELECT *, CASE WHEN c > 3 THEN true WHEN c <= 0 THEN false ELSE reacting AND kind <> 'signup' END k FROM (SELECT r.robot_id, r.event_id, r.n, r.kind, f.reacting, f.status, {_STEP} c FROM f JOIN r ON r.robot_id = f.robot_id AND r.n = f.n + 1) x) y)
+SELECT robot_id, event_id, fear_count, reacting, status FROM f WHERE n > 0""")
 def fear_state(spark, sf_dir):
     """Hysteresis and goal status of each robot; the stream gives the same (tested)."""
     return robot.fold_batch(d.view(spark, sf_dir, d.ROBOT))
@@ -236,7 +262,14 @@ def rate_limited(spark, sf_dir):
     return out.select("robot_id", F.expr("unix_micros(tick.start) div 86400000000").alias("tick"), F.col("sample_id").alias("event_id"))
 
 
-@query()
+_SEVEN = ("x", "y", "z", "qx", "qy", "qz", "qw")
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY env ORDER BY frame_id) n FROM ({_POSES}) q),
+f AS (SELECT env, frame_id, n, {', '.join(_SEVEN)}, CAST(0 AS BIGINT) sample, true kept FROM o WHERE n = 1
+ UNION ALL SELECT env, frame_id, n, {', '.join(f'CASE WHEN far THEN {v} ELSE l{v} END' for v in _SEVEN)}, sample + CASE WHEN far THEN 1 ELSE 0 END, far
+ FROM (SELECT o.*, {', '.join(f'f.{v} l{v}' for v in _SEVEN)}, f.sample, sqrt({' + '.join(f'(o.{v} - f.{v}) * (o.{v} - f.{v})' for v in _SEVEN)}) >= 5 far FROM f JOIN o ON o.env = f.env AND o.n = f.n + 1) x)
+SELECT env, frame_id, sample FROM f WHERE kept""")
 def moved_poses(spark, sf_dir):
     """Poses away from the last one kept: a fold in order."""
     return robot.deduplicate_motion(d.view(spark, sf_dir, d.POSES), 5.0)

@@ -37,12 +37,13 @@ def selected_frames(spark, sf_dir):
 
 
 def _posed(spark, sf_dir) -> DataFrame:
-    """Points with one of the first five poses of their env."""
-    q = d.view(spark, sf_dir, d.POSES).where("frame_id < 5").select("env", F.col("frame_id").alias("pose_id"), F.struct(*g.POSE).alias("pose"))
-    return _points(spark, sf_dir).withColumn("pose_id", F.col("frame_id") % 5).join(q, ["env", "pose_id"])
+    """Points with a pose of their env, in turn over all of its poses."""
+    q = d.view(spark, sf_dir, d.POSES).select("env", F.col("frame_id").alias("pose_id"), F.struct(*g.POSE).alias("pose"))
+    n = q.groupBy("env").agg(F.count("*").alias("n"))
+    return _points(spark, sf_dir).join(n, "env").withColumn("pose_id", F.col("frame_id") % F.col("n")).join(q, ["env", "pose_id"])
 
 
-_POSED = f"WITH q AS ({_POSES}), j AS (SELECT p.env, p.frame_id, p.x, p.y, p.z, q.x px, q.y py, q.z pz, qx, qy, qz, qw FROM ({_PTS}) p JOIN q ON q.env = p.env AND q.frame_id = p.frame_id % 5)"
+_POSED = f"WITH q AS ({_POSES}), j AS (SELECT p.env, p.frame_id, p.x, p.y, p.z, q.x px, q.y py, q.z pz, qx, qy, qz, qw FROM ({_PTS}) p JOIN (SELECT *, count(*) OVER (PARTITION BY env) n FROM q) q ON q.env = p.env AND q.frame_id = p.frame_id % q.n)"
 _OWN = _turned(("-qx", "-qy", "-qz"), "qw", ("(x - px)", "(y - py)", "(z - pz)"))
 _WORLD = _turned(("qx", "qy", "qz"), "qw", ("x", "y", "z"))
 
@@ -53,6 +54,37 @@ def self_filtered(spark, sf_dir):
     return kept.groupBy("env").agg(F.count("*").alias("n"), rounded(F.sum("z"), 4).alias("total"))
 
 
+_INSIDE = " AND ".join(f"{v} BETWEEN {lo} AND {hi}" for v, lo, hi in zip(_OWN, BOX[::2], BOX[1::2]))
+
+
+@query(_POSED + f""", k AS (SELECT env, frame_id, count(*) FILTER (NOT ({_INSIDE})) kept, count(*) FILTER ({_INSIDE}) removed FROM j GROUP BY 1, 2)
+SELECT env, count(*) scans, min(kept) min_cloud_points, max(kept) max_cloud_points, CAST(sum(removed) AS BIGINT) removed_self_points, round(avg(removed), 6) mean_removed, max(removed) max_removed FROM k GROUP BY 1""")
+def scan_stats(spark, sf_dir):
+    return P.scan_stats(_posed(spark, sf_dir), F.col("pose"), BOX).withColumn("mean_removed", rounded("mean_removed"))
+
+
+@query(c._SYNC + " SELECT bag, count(*) cloud, count(depth_idx) depth, count(color_idx) color, count(*) FILTER (color_idx IS NULL) black_color FROM s WHERE drop_reason IS NULL GROUP BY 1")
+def saved_counts(spark, sf_dir):
+    return sync.saved_counts(c._synced(spark, sf_dir))
+
+
+_MOUNT = (0.1, -0.2, 0.3)
+_ON = _turned(("qx", "qy", "qz"), "qw", tuple(f"({v}::DOUBLE)" for v in _MOUNT))
+
+
+@query(f"""WITH q AS (SELECT *, CAST(env AS BIGINT) % 2 = 0 base, sin(0.25) s, cos(0.25) c FROM ({_POSES}) q)
+SELECT env, frame_id, round(CASE WHEN base THEN x ELSE x + {_ON[0]} END, 6) + 0.0 x, round(CASE WHEN base THEN y ELSE y + {_ON[1]} END, 6) + 0.0 y, round(CASE WHEN base THEN z ELSE z + {_ON[2]} END, 6) + 0.0 z,
+ round(CASE WHEN base THEN qx ELSE qx * c + qy * s END, 6) + 0.0 qx, round(CASE WHEN base THEN qy ELSE qy * c - qx * s END, 6) + 0.0 qy, round(CASE WHEN base THEN qz ELSE qw * s + qz * c END, 6) + 0.0 qz, round(CASE WHEN base THEN qw ELSE qw * c - qz * s END, 6) + 0.0 qw FROM q""")
+def base_poses(spark, sf_dir):
+    """Poses of a turned camera for odd envs, of the base for even ones."""
+    q = d.view(spark, sf_dir, d.POSES)
+    zero = F.lit(0.0)
+    mount = g.pose(tuple(map(F.lit, _MOUNT)), (zero, zero, F.sin(F.lit(0.25)), F.cos(F.lit(0.25))))
+    frame = F.when(F.col("env").cast("bigint") % 2 == 0, "base").otherwise("camera")
+    p = q.select("env", "frame_id", g.to_base_frame(F.struct(*g.POSE), mount, frame, "base").alias("p"))
+    return p.select("env", "frame_id", *(rounded(f"p.{n}").alias(n) for n in g.POSE))
+
+
 @query(_POSED + f" SELECT env, round(avg({_WORLD[0]} + px), 6) + 0.0 x, round(avg({_WORLD[1]} + py), 6) + 0.0 y, round(avg({_WORLD[2]} + pz), 6) + 0.0 z FROM j GROUP BY 1")
 def scans_in_world(spark, sf_dir):
     return P.to_world(_posed(spark, sf_dir), "base_to_world", F.col("pose")).groupBy("env").agg(*(rounded(F.avg(a)).alias(a) for a in "xyz"))
@@ -104,10 +136,11 @@ def thinned_cloud(spark, sf_dir):
     return P.sample_cloud(_points(spark, sf_dir), 2, 20)
 
 
-@query(f"""WITH m AS (SELECT * FROM ({_M}) a WHERE topic <> 'cloud' OR CAST(bag AS BIGINT) % 3 <> 0), h AS (SELECT bag, count(*) FILTER (topic = 'cloud') n FROM m GROUP BY 1),
+@query(f"""WITH m AS (SELECT bag || '/' || CAST(stamp // 86400000000 AS VARCHAR) bag, topic FROM ({_M}) a), h AS (SELECT bag, count(*) FILTER (topic = 'cloud') n FROM m GROUP BY 1),
 t AS (SELECT bag, CASE WHEN topic = CASE WHEN n > 0 THEN 'cloud' ELSE 'fallback' END THEN 'cloud' ELSE topic END topic FROM m JOIN h USING (bag)) SELECT bag, topic, count(*) n FROM t WHERE topic <> 'fallback' GROUP BY 1, 2""")
 def picked_topics(spark, sf_dir):
-    m = c._messages(spark, sf_dir).where("topic <> 'cloud' or cast(bag as bigint) % 3 <> 0")
+    """Bags are a day's, so that some have no cloud."""
+    m = c._messages(spark, sf_dir).withColumn("bag", F.expr("bag || '/' || cast(stamp div 86400000000 as string)"))
     return sync.pick_topic(m, "cloud", "fallback").groupBy("bag", "topic").agg(F.count("*").alias("n"))
 
 
@@ -137,11 +170,11 @@ def span_gated(spark, sf_dir):
     return robot.span_gate(s, ("stamp", "odom_at", "depth_at"), c.SLOPS["odom"]).select("bag", "cloud_idx")
 
 
-@query(f"""WITH q AS ({_POSES}), a AS (SELECT env, frame_id, row_number() OVER (PARTITION BY env ORDER BY frame_id) - 1 position FROM q WHERE frame_id % 3 <> 0), b AS (SELECT env, frame_id pose_id, row_number() OVER (PARTITION BY env ORDER BY frame_id) - 1 position FROM q)
+@query(f"""WITH q AS ({_POSES}), a AS (SELECT env, frame_id, row_number() OVER (PARTITION BY env ORDER BY frame_id) - 1 position FROM (SELECT DISTINCT env, frame_id FROM ({_PTS}) p) x), b AS (SELECT env, frame_id pose_id, row_number() OVER (PARTITION BY env ORDER BY frame_id) - 1 position FROM q)
 SELECT env, CAST(position AS INTEGER) position, frame_id, pose_id FROM a JOIN b USING (env, position)""")
 def paired_frames(spark, sf_dir):
-    q = d.view(spark, sf_dir, d.POSES).select("env", "frame_id")
-    return pairs.pair_by_position(q.where("frame_id % 3 <> 0"), q)
+    """Scans and poses of an env, which has more of the former."""
+    return pairs.pair_by_position(_points(spark, sf_dir).select("env", "frame_id").distinct(), d.view(spark, sf_dir, d.POSES).select("env", "frame_id"))
 
 
 @query(f"WITH q AS ({_POSES}) SELECT env, frame_id FROM q WHERE env = (SELECT env FROM (SELECT DISTINCT env FROM q) e ORDER BY env LIMIT 1 OFFSET 3)")
@@ -151,13 +184,13 @@ def test_env_frames(spark, sf_dir):
     return pairs.select_envs(q, envs.withColumn("position", F.row_number().over(W.orderBy("env")) - 1), 3)
 
 
-_NAME = "CASE label % 3 WHEN 0 THEN 'anymal_' WHEN 1 THEN 'indoor_Tilt_' ELSE 'plain_' END || label"
+_NAME = "CASE label % 3 WHEN 0 THEN 'anymal_' WHEN 1 THEN CASE WHEN label % 2 = 0 THEN 'indoor_Tilt_' ELSE 'indoor_tilt_' END ELSE 'plain_' END || label"
 
 
-@query(f"SELECT env, contains(lower(env), 'anymal') robot_frame, contains(lower(env), 'anymal') OR contains(lower(env), 'tilt') tilt FROM (SELECT DISTINCT {_NAME} env FROM embeddings) e")
+@query(f"SELECT env, contains(env, 'anymal') robot_frame, CASE WHEN contains(env, 'anymal') THEN 0.4e0 ELSE 0e0 END \"offset\", CASE WHEN contains(env, 'anymal') OR contains(env, 'tilt') THEN 15e0 ELSE 0e0 END tilt FROM (SELECT DISTINCT {_NAME} env FROM embeddings) e")
 def env_profiles(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.expr(_NAME).alias("env")).distinct()
-    return e.select("env", pairs.env_profile(F.col("env")).alias("p")).select("env", "p.robot_frame", "p.tilt")
+    return e.select("env", pairs.env_profile(F.col("env"), 0.4, 15.0).alias("p")).select("env", "p.*")
 
 
 def _log(spark, sf_dir) -> DataFrame:

@@ -49,6 +49,12 @@ def select_envs(table: DataFrame, envs: DataFrame, test_env_id: int | None = Non
     return table.join(envs.select("env").distinct(), "env", "left_semi")
 
 
-def env_profile(env: Column) -> Column:
-    """A robot's frame offset and tilt for names with 'anymal', tilt alone for others with 'tilt'."""
-    return F.struct(F.lower(env).contains("anymal").alias("robot_frame"), (F.lower(env).contains("anymal") | F.lower(env).contains("tilt")).alias("tilt"))
+def env_profile(env: Column, offset: float, tilt: float) -> Column:
+    """robot_frame, offset and tilt by the name as written: all three for names with 'anymal', the tilt alone for others with 'tilt'."""
+    robot = env.contains("anymal")
+    return F.struct(robot.alias("robot_frame"), F.when(robot, offset).otherwise(0.0).alias("offset"), F.when(robot | env.contains("tilt"), tilt).otherwise(0.0).alias("tilt"))
+
+
+def dataset_counts(frames: DataFrame, max_episode: int, step: int) -> DataFrame:
+    """env, images and goal pairs (images times the whole steps of an episode)."""
+    return frames.groupBy("env").agg(F.count("*").alias("images"), (F.count("*") * (max_episode // step)).alias("pairs"))

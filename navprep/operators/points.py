@@ -22,13 +22,26 @@ def classify_terrain(points: DataFrame, ground_z: Column, ground_height: float,
     return points.withColumn("terrain", kind).where("terrain is not null")
 
 
-def filter_self_points(points: DataFrame, pose: Column, box: tuple[float, float, float, float, float, float]) -> DataFrame:
-    """Without the points inside the closed box (x0, x1, y0, y1, z0, z1) of the sensor's frame."""
+def in_box(pose: Column, box: tuple[float, float, float, float, float, float]) -> Column:
+    """Whether the point x, y, z is inside the closed box (x0, x1, y0, y1, z0, z1) of the sensor's frame."""
     v = g.untransform(pose, (F.col("x"), F.col("y"), F.col("z")))
     inside = F.lit(True)
     for c, lo, hi in zip(v, box[::2], box[1::2]):
         inside = inside & (c >= lo) & (c <= hi)
-    return points.where(~inside)
+    return inside
+
+
+def filter_self_points(points: DataFrame, pose: Column, box: tuple[float, float, float, float, float, float]) -> DataFrame:
+    """Without the points in the box."""
+    return points.where(~in_box(pose, box))
+
+
+def scan_stats(points: DataFrame, pose: Column, box: tuple[float, float, float, float, float, float]) -> DataFrame:
+    """env, scans, min_cloud_points, max_cloud_points (of a scan, env and frame_id, without the box), removed_self_points, mean_removed, max_removed (of a scan).
+    Two levels of sums: a scan is never gathered."""
+    inside = in_box(pose, box)
+    scans = points.groupBy("env", "frame_id").agg(F.count_if(~inside).alias("kept"), F.count_if(inside).alias("removed"))
+    return scans.groupBy("env").agg(F.count("*").alias("scans"), F.min("kept").alias("min_cloud_points"), F.max("kept").alias("max_cloud_points"), F.sum("removed").alias("removed_self_points"), F.avg("removed").alias("mean_removed"), F.max("removed").alias("max_removed"))
 
 
 def select_frames(frames: DataFrame, start: int = 0, count: int | None = None, stride: int = 1) -> DataFrame:

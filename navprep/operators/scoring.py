@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +31,17 @@ def densify(keypoints: DataFrame, per_segment: int = 10) -> DataFrame:
     return k.select("traj_id", (F.col("kp_idx") * per_segment + F.col("s")).cast("int").alias("wp_idx"), at("x"), at("y"), at("z"))
 
 
+def shift_sensor(keypoints: DataFrame, dx: float, dy: float, least: float = 0.1) -> DataFrame:
+    """Keypoints (traj_id, kp_idx from 1, x, y, z) seen from a sensor at dx, dy: if that is more than least away, the origin comes first, as keypoint 1, and all
+    are moved by it; else they stay as they are."""
+    if math.hypot(dx, dy) <= least:
+        return keypoints
+    row = lambda i, *v: F.struct(i.cast("int").alias("kp_idx"), *(c.cast("double").alias(n) for n, c in zip("xyz", v)))
+    own, zero = row(F.col("kp_idx") + 1, *map(F.col, "xyz")), F.lit(0)
+    k = keypoints.select("traj_id", F.explode(F.when(F.col("kp_idx") == 1, F.array(row(F.lit(1), zero, zero, zero), own)).otherwise(F.array(own))).alias("k")).select("traj_id", "k.*")
+    return k.withColumn("x", F.col("x") + dx).withColumn("y", F.col("y") + dy)
+
+
 def to_world(waypoints: DataFrame) -> DataFrame:
     """World coordinates wx, wy, wz of waypoints with a pose."""
     v = g.transform(F.col("pose"), (F.col("x"), F.col("y"), F.col("z")))

@@ -125,3 +125,9 @@ def goal_to_robot_frame(goals: DataFrame, transforms: DataFrame) -> DataFrame:
     known = both.withColumn("pose", F.last("pose", ignorenulls=True).over(w)).where("side = 1 and pose is not null").drop("side")
     v = g.untransform(F.col("pose"), (F.col("gx"), F.col("gy"), F.col("gz")))
     return known.withColumns(dict(zip(("gx", "gy", "gz"), v))).drop("pose")
+
+
+def saved_counts(synced: DataFrame) -> DataFrame:
+    """bag, cloud, depth, color, black_color: what is written for the samples (rows of nearest_sync that aren't dropped); those without colour get a black image."""
+    n = synced.where("drop_reason is null").groupBy("bag")
+    return n.agg(F.count("*").alias("cloud"), F.count("depth_idx").alias("depth"), F.count("color_idx").alias("color"), F.count_if(F.col("color_idx").isNull()).alias("black_color"))

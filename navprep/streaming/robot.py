@@ -15,7 +15,8 @@ STATE = "count int, reacting boolean, status int"
 
 
 def step(state: tuple[int, bool, int], kind: str, fear: float, forward: bool, buffer: int = BUFFER) -> tuple[int, bool, int]:
-    """(fear count, reacting, goal status) after an event. While reacting, each event without fear ahead lowers the count; otherwise it never falls.
+    """(fear count, reacting, goal status) after an event. Fear ahead raises the count up to the reaction; while reacting, fear ahead leaves it and each
+    other event lowers it, and the reaction ends at 0. Without a reaction it never falls.
 
     A 'signup' event is a new goal (everything starts anew, status 0), a 'purchase' an arrival (0 -> 1); a reaction ends status 0 or 1 with -1."""
     count, reacting, status = state
@@ -23,15 +24,12 @@ def step(state: tuple[int, bool, int], kind: str, fear: float, forward: bool, bu
         return 0, False, 0
     if kind == "purchase" and status == 0 and not reacting:
         status = 1
-    if fear > 0.5 and forward and not reacting:
-        count += 1
-        reacting = count > buffer
+    if fear > 0.5 and forward:
+        count += not reacting
     elif reacting:
         count -= 1
-        reacting = count > 0
-    if reacting:
-        status = -1
-    return max(count, 0), reacting, status
+    reacting = count > buffer or reacting and count > 0
+    return count, reacting, -1 if reacting else status
 
 
 def _fold(rows: pd.DataFrame, state: tuple[int, bool, int], buffer: int) -> tuple[pd.DataFrame, tuple[int, bool, int]]:

@@ -121,6 +121,7 @@ def test_fear_steps(spark):
     s = (0, False, 0)
     for _ in range(4):
         s = robot.step(s, "view", 0.9, True)
+    assert robot.step(s, "view", 0.9, True) == s  # fear ahead while reacting leaves the count alone
     assert s == (4, True, -1) and robot.step(s, "view", 0.1, True) == (3, True, -1) and robot.step(s, "signup", 0.9, True) == (0, False, 0)
 
 
