@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as g
@@ -14,6 +16,34 @@ from .registry import ORACLES, QUERIES, query, rounded as _r  # noqa: F401
 HOUR = 3_600_000_000
 SLOPS = {"odom": 12 * HOUR, "depth": 24 * HOUR, "color": 6 * HOUR}
 GROUND, HEIGHT, VOXEL, CLEAR = 0.25, 0.43, 0.05, 1.0
+
+
+def _grid(params: str = "p") -> str:
+    """CTE g: every cell of every map."""
+    return f"g AS (SELECT env, ix, CAST(unnest(range(num_y)) AS INTEGER) iy, num_x, num_y FROM (SELECT env, num_x, num_y, CAST(unnest(range(num_x)) AS INTEGER) ix FROM {params}) x)"
+
+
+def _smoothed(name: str, source: str, sigma: float) -> str:
+    """CTEs that end in name (env, ix, iy, v): v of source by a separable Gaussian with reflected edges, line by line as lists."""
+    r = int(4 * sigma + 0.5)
+    k = [math.exp(-0.5 * (t / sigma) ** 2) for t in range(-r, r + 1)]
+    taps = "[" + ", ".join(f"{w / sum(k)!r}::DOUBLE" for w in k) + "]"
+
+    def step(a: str, b: str, src: str) -> str:
+        lines = f"SELECT env, i{b}, list(v ORDER BY i{a}) v FROM {src} GROUP BY 1, 2"
+        padded = f"SELECT env, i{b}, len(v) n, list_reverse(v[1:{r}]) || v || list_reverse(v[len(v) - {r - 1}:len(v)]) v FROM ({lines}) x"
+        return f"SELECT env, i{b}, CAST(unnest(range(n)) AS INTEGER) i{a}, unnest(list_transform(range(n), lambda i: list_inner_product(v[i + 1:i + {2 * r + 1}], {taps}))) v FROM ({padded}) y"
+
+    return f"{name}_half AS MATERIALIZED ({step('x', 'y', source)}), {name} AS MATERIALIZED ({step('y', 'x', f'{name}_half')})"
+
+
+def _distances(name: str, source: str, zero: str) -> str:
+    """CTEs that end in name (env, ix, iy, d): cells of source to the nearest where zero holds, exactly: along x, then over y."""
+    z = f"CASE WHEN {zero} THEN ix END"
+    return f"""{name}_line AS MATERIALIZED (SELECT env, ix, iy, least(ix - max({z}) OVER (PARTITION BY env, iy ORDER BY ix), min({z}) OVER (PARTITION BY env, iy ORDER BY ix ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - ix) dx FROM {source}),
+{name} AS MATERIALIZED (SELECT a.env, a.ix, a.iy, sqrt(min(b.dx * b.dx + (a.iy - b.iy) * (a.iy - b.iy))) d FROM {name}_line a LEFT JOIN (SELECT * FROM {name}_line WHERE dx IS NOT NULL) b ON b.env = a.env AND b.ix = a.ix GROUP BY 1, 2, 3)"""
+
+
 _M, _PTS, _POSES, _ROBOT = map(d.sql_for_duckdb, (d.MESSAGES, d.POINTS, d.POSES, d.ROBOT))
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +156,12 @@ def distance_field(spark, sf_dir):
     return grids.distance_cells(c, coarse).withColumn("value", _r("value"))
 
 
-@query()
+@query(_BOUNDS + f""", {_grid()}, z AS (SELECT DISTINCT env, ix, iy FROM ok), l AS (SELECT g.*, z.env IS NOT NULL occupied FROM g LEFT JOIN z USING (env, ix, iy)), {_distances("df", "l", "occupied")}
+SELECT env, ix, iy, round(d, 6) AS "value" FROM df""")
 def distance_field_full(spark, sf_dir):
-    """Distances on the maps' own cells (distance_field's SQL holds the operator on cells of eight by eight); tested against brute force."""
+    """Distances on the maps' own cells."""
     params = _params(spark, sf_dir)
-    return grids.distance_cells(P.occupied_cells(P.to_cells(_obstacles(spark, sf_dir), params)), params)
+    return grids.distance_cells(P.occupied_cells(P.to_cells(_obstacles(spark, sf_dir), params)), params).withColumn("value", _r("value"))
 
 
 @query(_BOUNDS.replace("WITH pts", "WITH RECURSIVE pts", 1) + """, o4 AS (SELECT DISTINCT env, ix, iy, CAST(ix AS BIGINT) * num_y + iy id FROM ok),
@@ -142,14 +173,22 @@ def component_labels(spark, sf_dir):
     return grids.component_cells(P.occupied_cells(P.to_cells(_obstacles(spark, sf_dir), params)), params)
 
 
-@query()
+@query(_BOUNDS + f""", {_grid()}, fr AS (SELECT DISTINCT t.env, CAST(round_even((x - start_x) / {VOXEL}, 0) AS INTEGER) ix, CAST(round_even((y - start_y) / {VOXEL}, 0) AS INTEGER) iy FROM t JOIN p USING (env) WHERE terrain = 'free'),
+way AS (SELECT DISTINCT k.env, ix + i ix, iy + j iy FROM (SELECT DISTINCT q.env, CAST(round_even((x - start_x) / {VOXEL}, 0) AS INTEGER) ix, CAST(round_even((y - start_y) / {VOXEL}, 0) AS INTEGER) iy FROM ({_POSES}) q JOIN p USING (env)) k,
+ (SELECT i, j FROM range(-7, 8) a(i), range(-7, 8) b(j) WHERE sqrt(i * i + j * j) <= {0.3 / VOXEL!r}) off),
+l AS MATERIALIZED (SELECT g.*, o.env IS NOT NULL obstacle, f.env IS NOT NULL free, w.env IS NOT NULL corridor FROM g LEFT JOIN (SELECT DISTINCT env, ix, iy FROM ok) o USING (env, ix, iy) LEFT JOIN fr f USING (env, ix, iy) LEFT JOIN way w USING (env, ix, iy)),
+l0 AS (SELECT env, ix, iy, num_x, num_y, CASE WHEN obstacle THEN 1e0 ELSE 0e0 END v FROM l), l1 AS (SELECT env, ix, iy, num_x, num_y, CASE WHEN free THEN 0e0 ELSE 1e0 END v FROM l), {_smoothed("so", "l0", 0.3 / VOXEL)}, {_smoothed("sl", "l1", 2.5)},
+m AS (SELECT l.*, so.v / (max(so.v) OVER (PARTITION BY env) + 1e-5) obs, CASE WHEN max(sl.v) OVER (PARTITION BY env) > 0 THEN sl.v / max(sl.v) OVER (PARTITION BY env) ELSE sl.v END lay FROM l JOIN so USING (env, ix, iy) JOIN sl USING (env, ix, iy)),
+n1 AS MATERIALIZED (SELECT *, NOT corridor AND (obs > 0.3 OR lay >= 0.7) blocked FROM m), {_distances("ds", "n1", "NOT blocked")},
+d0 AS (SELECT env, ix, iy, num_x, num_y, coalesce(d, 0) v FROM ds JOIN g USING (env, ix, iy)), {_smoothed("sd", "d0", 2.5)}
+SELECT env, ix, iy, round(ln(v + 1.00001), 6) + 0.0 AS "value" FROM sd""")
 def surface_map(spark, sf_dir):
-    """Cost maps of all envs from obstacle and free points and the corridor of poses; its parts are tested by brute force."""
+    """Cost maps of all envs from obstacle and free points and the corridor of poses."""
     params = _params(spark, sf_dir)
     pts = P.classify_terrain(d.view(spark, sf_dir, d.POINTS), F.lit(0.0), GROUND, HEIGHT)
     layers = P.to_cells(pts, params).where("inside").select("env", "ix", "iy", F.col("terrain").alias("layer")).distinct()
     poses = d.view(spark, sf_dir, d.POSES).select("env", "frame_id", "x", "y", "z")
-    return grids.surface_map(layers.unionByName(P.corridor(poses, params, 0.3, VOXEL).withColumn("layer", F.lit("corridor"))), params)
+    return grids.surface_map(layers.unionByName(P.corridor(poses, params, 0.3, VOXEL).withColumn("layer", F.lit("corridor"))), params).withColumn("value", _r("value"))
 
 
 _VOTES = _BOUNDS + """, h AS (SELECT env, ix, iy, count(*) hit_votes FROM ok GROUP BY 1, 2, 3), fr AS (SELECT t.env, frame_id, CAST(round_even((x - start_x) / 0.05, 0) AS INTEGER) ix, CAST(round_even((y - start_y) / 0.05, 0) AS INTEGER) iy, num_x, num_y FROM t JOIN p USING (env) WHERE terrain = 'free'),
@@ -170,11 +209,15 @@ def vote_occupancy(spark, sf_dir):
     return _votes(spark, sf_dir)[0].withColumn("ratio", _r("ratio"))
 
 
-@query()
+@query(_VOTES + f""", {_grid()}, o0 AS (SELECT env, ix, iy FROM w WHERE hit_votes >= 2 AND ratio >= 0.5 AND NOT (free_votes >= 2 AND ratio <= 0.6)),
+o1 AS (SELECT DISTINCT a.* FROM o0 a CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) n(i, j) JOIN o0 b ON b.env = a.env AND b.ix = a.ix + i AND b.iy = a.iy + j),
+c1 AS MATERIALIZED (SELECT g.*, o1.env IS NOT NULL occupied, o1.env IS NULL AND coalesce(w.free_votes >= 2, false) free FROM g JOIN (SELECT DISTINCT env FROM w) e USING (env) LEFT JOIN o1 USING (env, ix, iy) LEFT JOIN w USING (env, ix, iy)), {_distances("dc", "c1", "occupied")},
+c2 AS MATERIALIZED (SELECT c1.*, greatest(CASE WHEN occupied OR free THEN 0e0 ELSE 0.3e0 END, CASE WHEN occupied THEN 1e0 WHEN d IS NULL THEN 0e0 ELSE 1 / (1 + exp(least(greatest((d * {VOXEL} - 0.3) / 0.1, -60), 60))) END) v FROM c1 JOIN dc USING (env, ix, iy)), {_smoothed("sc", "c2", 1.0)}
+SELECT env, ix, iy, round(least(greatest(sc.v, 0), 1), 6) + 0.0 AS "value", CASE WHEN occupied THEN 2 WHEN free THEN 1 ELSE 0 END state FROM sc JOIN c1 USING (env, ix, iy)""")
 def raycast_map(spark, sf_dir):
-    """Cost and state of each cell from votes; its parts are tested by brute force."""
+    """Cost and state of each cell from votes."""
     votes, params = _votes(spark, sf_dir)
-    return grids.raycast_map(votes, params, radius=0.3, softness=0.1, unknown_cost=0.3, least=2, sigma=1.0)
+    return grids.raycast_map(votes, params, radius=0.3, softness=0.1, unknown_cost=0.3, least=2, sigma=1.0).withColumn("value", _r("value"))
 
 
 _PAIRS = f"""WITH q AS ({_POSES}), a AS (SELECT q.*, unnest([1, 6, 11, 16, 21]) ahead, max(frame_id) OVER (PARTITION BY env) lf FROM q),

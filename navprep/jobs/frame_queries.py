@@ -91,10 +91,12 @@ def pearson_losses(spark, sf_dir):
     return vectors.pearson_losses(_neighbours(spark, sf_dir)).withColumn("loss", rounded("loss"))
 
 
-@query()
+@query(_NEXT + """, c AS MATERIALIZED (SELECT pair_id, u, v, a - avg(a) OVER (PARTITION BY pair_id) x, b - avg(b) OVER (PARTITION BY pair_id) y FROM q), n AS (SELECT pair_id, greatest(sqrt(sum(x * x) * sum(y * y)), 1e-7) scale FROM c GROUP BY 1),
+s AS (SELECT b.pair_id, down, "right", sum(a.x * b.y) t FROM c b CROSS JOIN range(8) r(down) CROSS JOIN range(8) d("right") JOIN c a ON a.pair_id = b.pair_id AND a.v = (b.v + down) % 8 AND a.u = (b.u + "right") % 8 GROUP BY 1, 2, 3)
+SELECT pair_id, round(least(greatest(t / scale, -1), 1), 6) + 0.0 AS "value", CAST(down AS INTEGER) down, CAST("right" AS INTEGER) AS "right" FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY t DESC) rn FROM s) x JOIN n USING (pair_id) WHERE rn = 1""")
 def best_shifts(spark, sf_dir):
-    """Best circular shift between each frame and the next; tested on shifted images."""
-    return fr.best_shifts(_neighbours(spark, sf_dir))
+    """Best circular shift between each frame and the next."""
+    return fr.best_shifts(_neighbours(spark, sf_dir)).withColumn("value", rounded("value"))
 
 
 @query()
