@@ -211,12 +211,14 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
 
 def _block_pairs(packs: DataFrame) -> DataFrame:
     """Each pair of blocks of one key, and each block with itself, as one row. A large bucket's blocks meet in salted groups: TURN of them as one side with all
-    as the other, so that no task holds all pairs of a bucket. A bucket of one block meets itself where it is."""
+    as the other, so that no task holds all pairs of a bucket. A bucket of one block meets itself where it is. The groups are dealt out by repartition: Spark
+    would split them further, into a task for nearly every pair of blocks; of the join's sides, the one of TURN blocks is held, the other streamed."""
     names = {"id": "ids", "root": "roots", "data": "data"}
     side = lambda d, *sides: d.select("key", "block", F.floor(F.col("block") / TURN).alias("turn"), *(F.col(c).alias(f"{n}_{s}") for s in sides for c, n in names.items()))
     many = packs.where("blocks > 1")
     first, second = side(many, "a").withColumnRenamed("block", "first"), side(many, "b").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), "turn")))
-    met = first.join(second, ["key", "turn"]).where("first <= block").drop("first", "block", "turn")
+    first, second = (d.repartition("key", "turn") for d in (first, second))
+    met = second.join(first.hint("merge"), ["key", "turn"]).where("first <= block").drop("first", "block", "turn")
     return met.unionByName(side(packs.where("blocks = 1"), "a", "b").drop("block", "turn"))
 
 
