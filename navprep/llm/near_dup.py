@@ -20,6 +20,8 @@ BATCH = 16
 BLOCK, SET_BLOCK = 256, 64
 #: Blocks of one bucket that a task takes as one side.
 TURN = 16
+#: Partners of one pivot that a task takes of one bucket.
+SALT = 4096
 #: Shingles that one matrix product of the exact comparison covers.
 COLUMNS = 8192
 _MULT = T.mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -97,7 +99,7 @@ def _pruner(least: list[int], batch: int, hashes: int):
                 part = slice(i * batch, (i + 1) * batch)
                 matches[alive] += (x[alive, part] == y[alive, part]).sum(1)
                 alive = alive[matches[alive] >= need]
-            yield b.select(["a", "b"]).take(pa.array(alive))
+            yield b.select(["a", "b", "salt"]).take(pa.array(alive))
 
     return run
 
@@ -200,13 +202,25 @@ def _verifier(percent: int):
     return run
 
 
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Members (key, id, root, data) in blocks of about block rows: key, block, blocks (of the key), ids, roots, data."""
-    large = stored(members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "nd-large")
-    m = members.join(sized(large), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    packs = stored(m.groupBy("key", "block", "blocks").agg(*(F.collect_list(c).alias(c) for c in ("id", "root", "data"))), "nd-packs")
-    discard(large)
-    return packs
+def _counted(members: DataFrame, block: int) -> DataFrame:
+    """Members (key, id, root) with n, the number of the key's members where these fill more than a block, else 1."""
+    large = stored(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "nd-large")
+    return members.join(sized(large), "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+
+
+def _blocks(members: DataFrame, data: DataFrame, block: int) -> DataFrame:
+    """Members (key, id, root, n) with their data (id, data) in blocks of about block rows: key, block, blocks (of the key), ids, roots, data."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    m = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("n").join(data, "id")
+    return stored(m.groupBy("key", "block", "blocks").agg(*(F.collect_list(c).alias(c) for c in ("id", "root", "data"))), "nd-packs")
+
+
+def _with_both(pairs: DataFrame, data: DataFrame, name: str) -> DataFrame:
+    """Stored pairs (a, b, salt) with both sides' data (id, name) as name_a and name_b. A pivot a with many partners meets them in parts, by salt: its data
+    is repeated once a part, and parts are dealt out by repartition."""
+    heads = pairs.select("a", "salt").distinct().join(data.select(F.col("id").alias("a"), F.col(name).alias(f"{name}_a")), "a")
+    with_b = pairs.join(data.select(F.col("id").alias("b"), F.col(name).alias(f"{name}_b")), "b")
+    return with_b.repartition("a", "salt").join(heads.repartition("a", "salt").hint("merge"), ["a", "salt"])
 
 
 def _block_pairs(packs: DataFrame) -> DataFrame:
@@ -247,44 +261,41 @@ class _Links:
         discard(*self.kept)
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b)."""
-        s = self.sigs
-        p = pairs.join(s.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(s.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        return self.verified(p.select("a", "b", "sig_a", "sig_b").mapInArrow(T.tidy(_pruner(self.least, BATCH, self.hashes)), "a long, b long"))
+        """Links among pairs (a, b, salt)."""
+        pairs = stored(pairs, "nd-pairs")
+        p = _with_both(pairs, self.sigs, "sig").select("a", "b", "salt", "sig_a", "sig_b")
+        alive = stored(p.mapInArrow(T.tidy(_pruner(self.least, BATCH, self.hashes)), "a long, b long, salt long"), "nd-alive")
+        discard(pairs)
+        if alive.isEmpty():
+            return alive.select("a", "b")
+        sets = self._sets_of(alive.select(F.col("a").alias("doc_id")).union(alive.select("b")).distinct())
+        p = _with_both(alive, sets.withColumnRenamed("shingles", "set"), "set").select("a", "b", "set_a", "set_b")
+        links = stored(p.mapInArrow(T.tidy(_verifier(self.percent)), "a long, b long"), "nd-links")
+        discard(alive)
+        return links
 
     def in_blocks(self, members: DataFrame) -> DataFrame:
-        """Links that join the components of members (key, id, root) of one key. Blocks of members meet in a task: by signature first, then those that
+        """Links that join the components of members (key, id, root, n) of one key. Blocks of members meet in a task: by signature first, then those that
         have a partner left on full sets. What leaves a task is members, then a forest of links."""
         run, out = T.tidy(_block_pruner(self.least, BATCH, self.hashes)), "key long, id long, root long"
-        packs = _blocks(members.join(self.sigs.withColumnRenamed("sig", "data"), "id"), BLOCK)
+        packs = _blocks(members, self.sigs.withColumnRenamed("sig", "data"), BLOCK)
         left = stored(_block_pairs(packs).mapInArrow(run, out).distinct(), "nd-left")
         discard(packs)
         if left.isEmpty():
             return left.select(F.col("id").alias("a"), F.col("id").alias("b"))
         sets = self._sets_of(left.select(F.col("id").alias("doc_id")).distinct())
-        full = left.join(sets.withColumnRenamed("shingles", "data"), "id")
-        packs = _blocks(full, SET_BLOCK)
+        packs = _blocks(_counted(left, SET_BLOCK), sets.withColumnRenamed("shingles", "data"), SET_BLOCK)
         links = stored(_block_pairs(packs).mapInArrow(T.tidy(_block_verifier(self.percent)), "a long, b long").distinct(), "nd-links")
         discard(packs, left)
         return links
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        alive = p = stored(pairs, "nd-alive")
-        if p.isEmpty():
-            return p
-        sets = self._sets_of(p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct())
-        p = p.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        links = stored(p.select("a", "b", "set_a", "set_b").mapInArrow(T.tidy(_verifier(self.percent)), "a long, b long"), "nd-links")
-        discard(alive)
-        return links
-
 
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
 
 
 def _open(members: DataFrame) -> DataFrame:
-    return members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hashes: int = HASHES, miss: float = 1e-6) -> DataFrame:
@@ -309,8 +320,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     judge = _Links(docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(docs) else docs, reps, k, percent, hashes, miss)
     keyed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     pivot = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    members = stored(keyed.join(pivot, "key").select("key", "id", "a"), "nd-members")
-    links = judge(members.where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    members = stored(keyed.join(pivot, "key").select("key", "id", "a", "n"), "nd-members")
+    pairs = members.where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("n").alias("n"))
+    links = judge(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SALT)).alias("salt")))
     roots = components(links)
     now = stored(_labelled(members.select("key", "id"), roots), "nd-labelled")
     open_ = stored(_open(now), "nd-open")
