@@ -23,22 +23,25 @@ def nearest_sync(messages: DataFrame, slops: dict[str, int], stretch: int | None
 
     messages: bag, topic, msg_idx, stamp (whole units, as slops). The nearest is the later of two equally far; of equal stamps at or after the cloud's the
     first message counts, of those before it the last. Gates in order: odom missing, odom slop, depth missing, depth slop; a distance equal to the slop
-    passes. color is optional: null outside its slop. One sort by (bag, stamp) serves all topics. With stretch, bags are cut into stretches of that
-    length and others' messages also go to the stretches within their slop, so one long bag is not one task; distances beyond the slop are then unknown.
+    passes. color is optional: null outside its slop. One sort by (bag, stretch, stamp) serves all topics: bags are cut into stretches of time (of 1,000 times
+    the widest slop by default), so one long bag is not one task, and what lies nearest before and after a stretch is carried to it from the stretches' ends.
     """
     m = messages.where(F.col("topic").isin("cloud", *OTHERS)).where("bag is not null and stamp is not null").select("bag", "topic", "msg_idx", "stamp")
-    keys = ["bag"]
-    if stretch:
-        slop = F.create_map(*(F.lit(v) for t in OTHERS for v in (t, slops[t])))[F.col("topic")]
-        reach = lambda d: F.floor((F.col("stamp") + d) / stretch)
-        m = m.withColumn("stretch", F.explode(F.when(F.col("topic") == "cloud", F.array(reach(F.lit(0)))).otherwise(F.sequence(reach(-slop), reach(slop)))))
-        keys = ["bag", "stretch"]
-    order = W.partitionBy(*keys).orderBy("stamp", F.when(F.col("topic") == "cloud", 0).otherwise(1), "msg_idx")
+    m = m.withColumn("stretch", F.floor(F.col("stamp") / (stretch or 1000 * max(1, *slops.values()))))
+    order = W.partitionBy("bag", "stretch").orderBy("stamp", F.when(F.col("topic") == "cloud", 0).otherwise(1), "msg_idx")
     before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
     own = lambda t: F.when(F.col("topic") == t, F.struct("stamp", "msg_idx"))
+    ends = m.groupBy("bag", "stretch").agg(*(f(own(t)).alias(f"{t}_{n}") for t in OTHERS for f, n in ((F.max, "last"), (F.min, "first"))))
+    along = W.partitionBy("bag").orderBy("stretch")
+    earlier, later = along.rowsBetween(W.unboundedPreceding, -1), along.rowsBetween(1, W.unboundedFollowing)
+    carried = [c for t in OTHERS for c in (F.last(f"{t}_last", ignorenulls=True).over(earlier).alias(f"{t}_back"), F.first(f"{t}_first", ignorenulls=True).over(later).alias(f"{t}_fore"))]
+    ends = ends.select("bag", "stretch", *carried)
     for t in OTHERS:
         m = m.withColumn(f"{t}_b", F.last(own(t), ignorenulls=True).over(before)).withColumn(f"{t}_f", F.first(own(t), ignorenulls=True).over(after))
-    out = m.where("topic = 'cloud'")
+    m = m.where("topic = 'cloud'").join(ends, ["bag", "stretch"])
+    for t in OTHERS:
+        m = m.withColumn(f"{t}_b", F.coalesce(f"{t}_b", f"{t}_back")).withColumn(f"{t}_f", F.coalesce(f"{t}_f", f"{t}_fore"))
+    out = m
     for t in OTHERS:
         back, fore = F.col("stamp") - F.col(f"{t}_b.stamp"), F.col(f"{t}_f.stamp") - F.col("stamp")
         near = F.when(F.coalesce(fore <= back, fore.isNotNull()), F.col(f"{t}_f")).otherwise(F.col(f"{t}_b"))

@@ -66,6 +66,26 @@ def test_sync_ties(spark):
     assert sync.nearest_sync(messages(spark, []), slops).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [None, 7, 400])
+def test_sync_stretches(spark, stretch):
+    """Any cut into stretches gives the nearest messages of the whole bag, near or far, missing topics among them."""
+    rng, slops = np.random.default_rng(5), {"odom": 20, "depth": 30, "color": 10}
+    counts = {"a": (40, 30, 20), "b": (3, 0, 5), "c": (0, 9, 9)}
+    rows = [(bag, t, i, int(rng.integers(-200, 3000))) for bag, n in counts.items() for t, k in zip(("cloud", *sync.OTHERS), (30, *n)) for i in range(k)]
+    want = {}
+    for bag, _, i, at in (r for r in rows if r[1] == "cloud"):
+        near = {}
+        for t in sync.OTHERS:
+            own = [(stamp - at, k) for b, topic, k, stamp in rows if (b, topic) == (bag, t)]
+            near[t] = min((max((x for x in own if x[0] < 0), default=None), min((x for x in own if x[0] >= 0), default=None)), key=lambda x: (x is None, abs(x[0]) if x else 0, x is not None and x[0] < 0))
+        late = [why for t in ("odom", "depth") for why, bad in ((f"{t}_missing", near[t] is None), (f"{t}_slop", near[t] and abs(near[t][0]) > slops[t])) if bad]
+        if near["color"] and abs(near["color"][0]) > slops["color"]:
+            near["color"] = None
+        want[bag, i] = (*(near[t] and near[t][1] for t in sync.OTHERS), *(near[t] and near[t][0] for t in sync.OTHERS), late[0] if late else None)
+    got = sync.nearest_sync(messages(spark, rows), slops, stretch).collect()
+    assert {(r.bag, r.cloud_idx): tuple(r)[3:] for r in got} == want and len(got) == len(want)
+
+
 def test_pick_topic(spark):
     rows = [("a", "p", 0, 1), ("a", "f", 0, 2), ("b", "f", 0, 3), ("b", "odom", 0, 3)]
     got = {(r.bag, r.topic, r.stamp) for r in sync.pick_topic(messages(spark, rows), "p", "f").collect()}
