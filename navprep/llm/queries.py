@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, fingerprint, lm, mixing, near_dup, substring, toxicity, warc
+from . import ann, bpe, chat, fingerprint, lm, manifest, mixing, near_dup, phrases, sharding, substring, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_mix": mixing.op9_mix,
     "op10_near_duplicates": near_dup.op10_near_duplicates,
+    "op11_shards": sharding.op11_shards,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_manifest": manifest.op13_manifest,
 }
 
 _OP2 = """
@@ -48,4 +51,4 @@ o AS (SELECT w.doc_id, ws, coalesce(ps, []) ps FROM w LEFT JOIN x USING (doc_id)
 SELECT doc_id, len(ws) n_words, len(ps) n_removed, sha256(array_to_string(list_transform(list_sort(list_where(range(1, len(ws) + 1), list_transform(range(1, len(ws) + 1), lambda i: NOT list_contains(ps, i)))), lambda i: ws[i]), ' ')) kept_sha256 FROM o
 """
 
-ORACLES = {"op2_nearest": _OP2, "op5_substrings": _OP5, "op7_revisits": warc.ORACLE, "op10_near_duplicates": _OP10}
+ORACLES = {"op2_nearest": _OP2, "op5_substrings": _OP5, "op7_revisits": warc.ORACLE, "op10_near_duplicates": _OP10, "op12_phrases": phrases.ORACLE, "op13_manifest": manifest.ORACLE}
