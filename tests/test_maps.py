@@ -2,11 +2,11 @@
 
 import numpy as np
 import pytest
+import whole_maps
 
 from navprep.jobs import maps
 from navprep.jobs.catalog import QUERIES
 from navprep.jobs.settings import resolve
-from navprep.operators import grids
 
 POSE = "env string, frame_id long, x double, y double, z double, qx double, qy double, qz double, qw double"
 FRAME = "env string, frame_id long, height int, width int, data array<int>, fx double, fy double, cx double, cy double"
@@ -38,7 +38,7 @@ def test_scans_in_world_give_the_layers_map(spark):
     c = at(np.zeros((1, 3)))[0]
     i, j = np.indices((n, m))
     layer["c"] = np.hypot(i - c[0], j - c[1]) * 0.2 <= 0.5
-    want = grids.surface_layers(layer["o"], layer["f"], layer["c"], 0.2, s["robot_size"])
+    want = whole_maps.surface_layers(layer["o"], layer["f"], layer["c"], 0.2, s["robot_size"])
     assert np.allclose(dense(cells.collect(), n, m), want)
     assert want.max() > 0
 
@@ -71,8 +71,8 @@ def test_dilate():
     mask = np.zeros((9, 9), bool)
     mask[4, 4] = True
     i, j = np.indices(mask.shape)
-    assert (grids.dilate(mask, 2) == (np.hypot(i - 4, j - 4) <= 2)).all()
-    assert not grids.dilate(np.zeros((3, 3), bool), 2).any()
+    assert (whole_maps.dilate(mask, 2) == (np.hypot(i - 4, j - 4) <= 2)).all()
+    assert not whole_maps.dilate(np.zeros((3, 3), bool), 2).any()
 
 
 @pytest.mark.parametrize("name", ["map_from_depth", "map_from_fused_depth", "map_from_scans", "map_from_rays"])

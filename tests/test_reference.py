@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import whole_maps
 
 from navprep.jobs.catalog import ORACLES, QUERIES
 from navprep.operators import grids, points, scoring, sync
@@ -98,20 +99,20 @@ def test_distance_components_gaussian():
         mask = r.random((17, 13)) < 0.8
         zero = np.argwhere(~mask)
         want = np.sqrt(((np.argwhere(np.ones_like(mask))[:, None] - zero[None]) ** 2).sum(2).min(1)).reshape(mask.shape)
-        assert np.allclose(grids.distance(mask), want)
+        assert np.allclose(whole_maps.distance(mask), want)
         label = grids.components(mask)
         for x, y in zip(*np.nonzero(mask)):
             for u, v in ((x + 1, y), (x, y + 1)):
                 if u < 17 and v < 13 and mask[u, v]:
                     assert label[x, y] == label[u, v]
     assert len(np.unique(grids.components(np.array([[1, 0], [0, 1]], bool)))) == 3
-    assert grids.distance(np.ones((2, 2), bool)) is None
+    assert whole_maps.distance(np.ones((2, 2), bool)) is None
     g = np.zeros((9, 9))
     g[0, 4] = 1
-    s, k = grids.gaussian(g, 1.0), np.exp(-0.5 * np.arange(-4, 5) ** 2.0)
+    s, k = whole_maps.gaussian(g, 1.0), np.exp(-0.5 * np.arange(-4, 5) ** 2.0)
     k /= k.sum()
     assert np.isclose(s[0, 4], (k[4] + k[3]) * k[4]) and np.isclose(s.sum(), 1)
-    assert grids.drop_small(np.array([[1, 1, 0, 1]], bool), 2).tolist() == [[True, True, False, False]]
+    assert whole_maps.drop_small(np.array([[1, 1, 0, 1]], bool), 2).tolist() == [[True, True, False, False]]
 
 
 def test_bicubic_and_lookup(spark):
