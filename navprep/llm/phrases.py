@@ -1,8 +1,9 @@
 """Collocations: word-id suffix arrays by prefix doubling in each shard, whose LCP intervals are n-gram counts that Spark merges by key.
 
 Three passes over the texts, as an n-gram can only be frequent where its parts are: words; pairs of frequent words; runs of three and four words of frequent
-pairs. Between passes a bit filter of bounded size says what is frequent; a wrong yes only sends a rare n-gram through the merge, which counts exactly.
-N-grams are keyed by their words' 64-bit hashes, words by themselves.
+pairs. Words are counted by themselves and told apart afterwards by a 64-bit hash of word and language. Up to MAX_IDS frequent words the tasks hold these hashes
+sorted, and a word's id is its place; beyond, the hash is the id and a bit filter says which words are frequent, as one does for pairs. A filter's wrong yes
+only sends a rare n-gram through the merge, which counts exactly. An id tells the language, so n-grams are merged by ids alone.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ LEAST = 30
 TOP = 2000
 #: Words in a suffix array, more only where one text has more.
 SHARD_WORDS = 1 << 19
-#: The filter's bits as a power of two; beyond about 2**MAX_BITS / 4 frequent n-grams it lets rare ones through, to be counted for nothing.
+#: Frequent words whose hashes tasks may hold (8 bytes each).
+MAX_IDS = 1 << 23
+#: A filter's bits as a power of two; beyond about 2**MAX_BITS / 4 frequent n-grams it lets rare ones through, to be counted for nothing.
 MIN_BITS, MAX_BITS = 16, 28
 #: Rows of a lookup that may be broadcast (keys of four numbers and a language).
 MAX_LOOKUP = 200_000
@@ -173,16 +176,28 @@ def _known(key: np.ndarray, bits: int, words: np.ndarray) -> np.ndarray:
     return out
 
 
+class Names(NamedTuple):
+    """How a word's key becomes its id: the place among the sorted keys of frequent words, or (bits) the key itself, passed by a filter."""
+
+    keys: np.ndarray
+    bits: int = 0
+
+    def ids(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, whether frequent)."""
+        if self.bits:
+            return T.signed(key), _known(key, self.bits, self.keys)
+        if not len(self.keys):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, self.keys[at] == key
+
+
 def _fill(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(1 << (bits - 6), U)
         for b in batches:
-            lang, langs = _codes(b)
-            h = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(U) for c in b.schema.names if c != "lang"]
-            key = _word_key(lang, h[0], langs)
-            for x in h[1:]:
-                key = _pair_key(key, _word_key(lang, x, langs))
-            for p in _spots(key, bits):
+            h = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(U) for c in b.schema.names]
+            for p in _spots(h[0] if len(h) == 1 else _pair_key(*h), bits):
                 np.bitwise_or.at(mine, p >> 6, U(1) << (p & 63).astype(U))
         at = np.flatnonzero(mine)
         for i in range(0, len(at), 100_000):
@@ -192,7 +207,7 @@ def _fill(bits: int):
 
 
 def bit_filter(keys: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits, words) of a filter of the rows lang, w1 (and w2), of bounded size."""
+    """(bits, words) of a filter of rows of one or two numbers, of bounded size."""
     n = keys.count()
     bits = int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(1, n) * 16)))))
     table = keys.mapInArrow(T.tidy(_fill(bits)), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
@@ -201,8 +216,29 @@ def bit_filter(keys: DataFrame) -> tuple[int, np.ndarray]:
     return bits, words
 
 
+def _key_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word, n with key."""
+    for b in batches:
+        data, offsets = T.utf8(b.column("word"))
+        size = np.diff(offsets)
+        up, down = T._POWERS[0].get(max(len(data), 1))
+        # a word's hash as tokens() has it; no word is empty
+        h = T.mix(np.add.reduceat(np.where(_GAPS, U(0), T._TABLE[0][0])[data] * up, offsets[:-1]) * down[offsets[:-1]] + size.astype(U)) if len(data) else np.zeros(0, U)
+        lang, langs = _codes(b)
+        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("word"), b.column("n"), pa.array(T.signed(_word_key(lang, h, langs)))], names=["lang", "word", "n", "key"])
+
+
+def _name_words(names):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, _ = names.value.ids(b.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(U))
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("word"), b.column("n"), pa.array(ids)], names=["lang", "word", "n", "w1"])
+
+    return run
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, h, n of each slice; the word is null for the sum of a language."""
+    """lang, word, n of each slice; the word is null for the sum of a language."""
     for b in T.slices(batches, "text", 1 << 20):
         data, start, end, row, h, _ = tokens(b.column("text"))
         code, langs = _codes(b)
@@ -217,39 +253,34 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.bincount(lang, minlength=len(langs))
         names = pa.array(langs, pa.string())
         yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([names.take(pa.array(lang[one])), names]), pa.array(text + [None] * len(langs), pa.string()),
-             pa.array(np.append(T.signed(h[one]), np.zeros(len(langs), np.int64))), pa.array(np.append(n, total).astype(np.int64))],
-            names=["lang", "word", "w1", "n"],
+            [pa.concat_arrays([names.take(pa.array(lang[one])), names]), pa.array(text + [None] * len(langs), pa.string()), pa.array(np.append(n, total).astype(np.int64))],
+            names=["lang", "word", "n"],
         )
 
 
-def _count_runs(bits: int, words, depths: tuple[int, ...], longest: int):
-    """lang, w1..w4, n of each shard's n-grams of the given depths. Two words: both frequent; more: every pair frequent."""
+def _count_runs(names, pairs, longest: int):
+    """w1.., n of each shard's n-grams of frequent words: of two (pairs None), or of three to longest of which every pair is frequent by (bits, filter)."""
+    depths = (2,) if pairs is None else tuple(range(3, longest + 1))
+    width = max(depths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words.value
         for s in shards(batches):
-            key = _word_key(s.lang, s.h, s.langs)
+            word, ok = names.value.ids(_word_key(s.lang, s.h, s.langs))
             linked = s.linked.copy()
-            at = np.flatnonzero(linked)
-            if depths == (2,):
-                ok = _known(key, bits, known)
-                linked[at] = ok[at] & ok[at - 1]
-            else:
-                linked[at] = _known(_pair_key(key[at - 1], key[at]), bits, known)
-            left = run_lengths(linked, longest)
-            use = np.zeros(len(linked), bool)  # words in runs; the others would only be sorted
-            use[linked] = True
+            linked[1:] &= ok[1:] & ok[:-1]
+            if pairs is not None:
+                at = np.flatnonzero(linked)
+                linked[at] = _known(_pair_key(word[at - 1].view(U), word[at].view(U)), *pairs.value)
+            left = run_lengths(linked, width)
+            use = linked.copy()  # words in runs; the others would only be sorted
             use[:-1] |= linked[1:]
             keep = np.flatnonzero(use)
-            left, lang, h = left[keep], s.lang[keep], s.h[keep]
-            ids = ranks(key[keep])
-            order, lcp = suffix_array(ids, left, longest)
-            names = pa.array(s.langs, pa.string())
+            left, word = left[keep], word[keep]
+            order, lcp = suffix_array(ranks(word), left, width)
             for d in depths:
                 first, n = intervals(order, lcp, left, d)
-                cols = [pa.array(T.signed(h[first + i])) if i < d else pa.nulls(len(first), pa.int64()) for i in range(LONGEST)]
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[first])), *cols, pa.array(n)], names=["lang", *_KEY, "n"])
+                cols = [pa.array(word[first + i]) if i < d else pa.nulls(len(first), pa.int64()) for i in range(width)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n)], names=[*_KEY[:width], "n"])
 
     return run
 
@@ -259,19 +290,27 @@ def counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, D
     times in their language; lang, total of all words."""
     T.small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    one = docs.mapInArrow(T.tidy(_count_words), "lang string, word string, w1 long, n long").groupBy("lang", "word", "w1").agg(F.sum("n").alias("n"))
-    one = stored(one.where(F.col("word").isNull() | (F.col("n") >= least)), "phrase-words")
-    words, totals = one.where("word is not null"), one.where("word is null and n > 0").select("lang", F.col("n").alias("total"))
-    shape = "lang string, w1 long, w2 long, w3 long, w4 long, n long"
-
-    def merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("lang", *_KEY).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-
-    bits, known = bit_filter(words.select("lang", "w1"))
-    two = stored(merged(docs.mapInArrow(T.tidy(_count_runs(bits, sc.broadcast(known), (2,), 2)), shape)), "phrase-pairs")
-    bits, known = bit_filter(two.select("lang", "w1", "w2"))
-    more = stored(merged(docs.mapInArrow(T.tidy(_count_runs(bits, sc.broadcast(known), (3, 4), LONGEST)), shape)), "phrase-runs")
-    return words, two.unionByName(more), totals
+    one = docs.mapInArrow(T.tidy(_count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    one = stored(one.where(F.col("word").isNull() | (F.col("n") >= least)), "phrase-counts")
+    keyed = stored(one.where("word is not null").mapInArrow(T.tidy(_key_words), "lang string, word string, n long, key long"), "phrase-keys")
+    totals = one.where("word is null and n > 0").select("lang", F.col("n").alias("total"))
+    if keyed.count() <= MAX_IDS:
+        names = Names(np.sort(keyed.select("key").toArrow().column("key").to_numpy().view(U)))
+    else:
+        bits, known = bit_filter(keyed.select("key"))
+        names = Names(known, bits)
+    names = sc.broadcast(names)
+    words = stored(keyed.mapInArrow(T.tidy(_name_words(names)), "lang string, word string, n long, w1 long"), "phrase-words")
+
+    def merged(width: int, pairs=None) -> DataFrame:
+        key = _KEY[:width]
+        rows = docs.mapInArrow(T.tidy(_count_runs(names, pairs, LONGEST)), ", ".join(f"{c} long" for c in (*key, "n")))
+        rows = rows.groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        return stored(rows.select(*key, *(F.lit(None).cast("long").alias(c) for c in _KEY[width:]), "n"), "phrase-runs")
+
+    two = merged(2)
+    grams = two.unionByName(merged(LONGEST, sc.broadcast(bit_filter(two.select("w1", "w2")))))
+    return words, grams.join(sized(words.select("w1", "lang"), MAX_LOOKUP), "w1").select("lang", *_KEY, "n"), totals
 
 
 def _sub(first: int, length: int) -> list[Column]:

@@ -221,3 +221,11 @@ def test_empty_tables(spark, name):
     docs = table(spark, [])
     out = {"pack": lambda: sharding.pack(docs, 4), "collocations": lambda: phrases.collocations(docs), "manifest": lambda: manifest.manifest(docs)}[name]()
     assert out.collect() == []
+
+
+def test_words_beyond_the_ids_are_named_by_hash(spark, monkeypatch):
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts(120, 5))]
+    want = best_phrases(rows, 5, 80, 2000)
+    for most in (1 << 23, 3):
+        monkeypatch.setattr(phrases, "MAX_IDS", most)
+        assert {tuple(x) for x in phrases.collocations(table(spark, rows), 5).collect()} == want
