@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as g
-from ..operators import frames as fr, fusion, grids, pairs, points as P
+from ..operators import frames as fr, fusion, grids, outliers, pairs, points as P, rays
+from ..operators.tables import sized, stored
 
 # Names of sources that a job's settings may give.
 DEPTH = ("depth",)
@@ -27,7 +26,7 @@ def _with_extrinsic(rows: DataFrame, extrinsics: DataFrame | None) -> DataFrame:
 def with_camera(frames: DataFrame, poses: DataFrame, extrinsics: DataFrame | None = None, flat: bool = False, by_position: bool = False) -> DataFrame:
     """Frames with camera (a pose struct) and position (the frame's place, from 0): paired with poses of the same id, or by place in order.
 
-    extrinsics: env, extrinsic (a pose struct). flat: the base stands level at the env's mean height. Only ids are sorted, pixels stay out of it."""
+    extrinsics: env, extrinsic (a pose struct). flat: the base stands level at the env's mean height. Only ids are sorted; cameras are brought to the frames, whose pixels stay where they are while a broadcast can hold them."""
     p = poses.select("env", "frame_id", F.struct(*g.POSE).alias("base"))
     ids = frames.select("env", "frame_id")
     if by_position:
@@ -41,7 +40,8 @@ def with_camera(frames: DataFrame, poses: DataFrame, extrinsics: DataFrame | Non
         met = met.withColumns(dict(zip(("lx", "ly", "lz", "lw"), g.from_euler_xyz(F.col("roll"), F.lit(0.0), F.col("yaw")))))
         met = met.withColumn("base", g.pose((F.col("base.x"), F.col("base.y"), F.col("mean_z")), tuple(F.col(c) for c in ("lx", "ly", "lz", "lw"))))
     camera = g.camera_pose(F.col("base"), F.col("extrinsic"))
-    return frames.join(met.select("env", "frame_id", "position", camera.alias("camera")), ["env", "frame_id"])
+    met = stored(met.select("env", "frame_id", "position", camera.alias("camera")), "map-cameras")
+    return frames.join(sized(met), ["env", "frame_id"])
 
 
 def with_heights(rows: DataFrame, poses: DataFrame, s: dict) -> DataFrame:
@@ -59,10 +59,14 @@ def _terrain(points: DataFrame, poses: DataFrame, s: dict) -> DataFrame:
 
 
 def surface_from_cloud(cloud: DataFrame, poses: DataFrame, s: dict) -> tuple[DataFrame, DataFrame]:
-    """(cells, params) of a cloud in the world: bounds by its obstacles, then the layers' distance map. Outliers are a step of their own (grids.remove_outliers)."""
-    t = _terrain(cloud.select("env", "x", "y", "z"), poses, s)
-    params = P.map_bounds(t.where("terrain = 'obstacle'"), s["voxel_size"], s["clear_dist"])
-    layers = P.to_cells(t, params).where("inside").select("env", "ix", "iy", F.col("terrain").alias("layer")).distinct()
+    """(cells, params) of a cloud in the world. Obstacles are thinned to a point a voxel, then lose their statistical outliers; these bound the map and fill its
+    obstacle layer. Free points count as they are."""
+    t = stored(_terrain(cloud.select("env", "x", "y", "z"), poses, s), "map-terrain")
+    obstacles = P.voxel_downsample(t.where("terrain = 'obstacle'").select("env", "x", "y", "z"), s["voxel_size"]).select("env", "x", "y", "z")
+    obstacles = stored(outliers.remove_outliers(obstacles, s["voxel_size"]).withColumn("terrain", F.lit("obstacle")), "map-obstacles")
+    params = stored(P.map_bounds(obstacles, s["voxel_size"], s["clear_dist"]), "map-bounds")
+    kept = obstacles.unionByName(t.where("terrain = 'free'"))
+    layers = P.to_cells(kept, params).where("inside").select("env", "ix", "iy", F.col("terrain").alias("layer")).distinct()
     if s["trajectory_clear_radius"] > 0:
         way = P.corridor(poses.select("env", "frame_id", "x", "y", "z"), params, s["trajectory_clear_radius"], s["voxel_size"])
         layers = layers.unionByName(way.withColumn("layer", F.lit("corridor")))
@@ -73,26 +77,13 @@ def surface_from_cloud(cloud: DataFrame, poses: DataFrame, s: dict) -> tuple[Dat
 def ray_votes(frames: DataFrame, poses: DataFrame, s: dict) -> tuple[DataFrame, DataFrame]:
     """(votes, params) of frames with cameras: hits of obstacle pixels, and at most one free vote of a frame for each cell that its rays cross."""
     r = lambda k: s[f"depth_raycast_{k}"]
-    if r("ray_thickness") != 1:
-        raise ValueError("rays are one cell thick")
     f = frames.where(F.col("position") % r("frame_stride") == 0).drop("position")
-
-    def cloud(stride: int) -> DataFrame:
-        px = fr.sample_pixels(f, stride, r("ignore_bottom_rows"), r("min_depth"), s["max_depth_range"], r("depth_scale"))
-        pts = P.back_project(px, *(F.col(c) for c in ("fx", "fy", "cx", "cy")), F.col("camera"))
-        return pts.select("env", "frame_id", "x", "y", "z", F.col("camera.x").alias("cam_x"), F.col("camera.y").alias("cam_y"))
-
-    voxel = s["voxel_size"]
-    cameras = f.select("env", F.col("camera.x").alias("x"), F.col("camera.y").alias("y"))
-    params = P.raycast_bounds(cloud(r("bounds_pixel_stride")), cameras, voxel, s["clear_dist"])
-    hits = P.hit_votes(P.to_cells(_terrain(cloud(r("hit_pixel_stride")), poses, s).where("terrain = 'obstacle'"), params))
-    ends = P.to_cells(cloud(r("ray_pixel_stride")), params).where("inside")
-    start = lambda a: F.rint((F.col(f"cam_{a}") - F.col(f"start_{a}")) / F.col("voxel")).cast("int").alias(f"c{a}")
-    rays = ends.select("env", "frame_id", "ix", "iy", start("x"), start("y"), "num_x", "num_y").where("cx >= 0 and cx < num_x and cy >= 0 and cy < num_y")
-    free = P.free_votes(P.ray_cells(rays, max(1, math.ceil(r("endpoint_clearance") / voxel))))
-    votes = P.vote_occupancy(hits, free, r("min_hit_votes"), r("hit_ratio_threshold"), r("min_free_votes"))
-    votes = P.carve(votes, r("free_carve_min_votes"), r("free_carve_max_hit_ratio"))
-    return votes, params
+    pixels = lambda k: rays.Pixels(r(f"{k}_pixel_stride"), r("ignore_bottom_rows"), r("min_depth"), s["max_depth_range"], r("depth_scale"))
+    params = stored(rays.frame_bounds(f, pixels("bounds"), s["voxel_size"], s["clear_dist"]), "map-bounds")
+    levels = stored(with_heights(poses.select("env").distinct(), poses, s), "map-heights")
+    votes = rays.frame_votes(f.join(sized(levels), "env"), params, pixels("hit"), pixels("ray"), s["terrain_ground_height"], r("endpoint_clearance"), r("ray_thickness"))
+    votes = P.occupancy(stored(votes, "map-sums"), r("min_hit_votes"), r("hit_ratio_threshold"), r("min_free_votes"))
+    return P.carve(votes, r("free_carve_min_votes"), r("free_carve_max_hit_ratio")), params
 
 
 def build_map(s: dict, poses: DataFrame, frames: DataFrame | None = None, scans: DataFrame | None = None, extrinsics: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -140,8 +140,12 @@ def ray_cells(rays: DataFrame, margin: int) -> DataFrame:
 
 
 def vote_occupancy(hits: DataFrame, free: DataFrame, min_hits: int, ratio: float, min_free: int) -> DataFrame:
-    v = hits.join(free, ["env", "ix", "iy"], "full_outer").na.fill(0, ["hit_votes", "free_votes"])
-    v = v.withColumn("ratio", F.col("hit_votes") / (F.col("hit_votes") + F.col("free_votes") + 1e-6))
+    return occupancy(hits.join(free, ["env", "ix", "iy"], "full_outer").na.fill(0, ["hit_votes", "free_votes"]), min_hits, ratio, min_free)
+
+
+def occupancy(votes: DataFrame, min_hits: int, ratio: float, min_free: int) -> DataFrame:
+    """votes (env, ix, iy, hit_votes, free_votes) with ratio, occupied and free."""
+    v = votes.withColumn("ratio", F.col("hit_votes") / (F.col("hit_votes") + F.col("free_votes") + 1e-6))
     return v.withColumn("occupied", (F.col("hit_votes") >= min_hits) & (F.col("ratio") >= ratio)).withColumn("free", F.col("free_votes") >= min_free)
 
 

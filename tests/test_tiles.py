@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 import whole_maps as whole
 
-from navprep.operators import grids, tiles
+from navprep.operators import grids, outliers, tiles
 
 SIZES = {"a": (37, 23), "b": (5, 61), "c": (16, 16), "d": (1, 1), "e": (40, 40)}
 
@@ -110,3 +110,38 @@ def test_maps_of_no_env(spark):
     cells = spark.createDataFrame([], "env string, ix int, iy int, value double, layer string, occupied boolean, free boolean")
     for out in (grids.distance_cells(cells, none), grids.gaussian_cells(cells, none, 1.0), grids.surface_map(cells, none), grids.component_cells(cells, none), grids.raycast_map(cells, none, 0.3, 0.1, 0.3, 2, 1.0, 0.1, 1.0, 0.2)):
         assert out.collect() == []
+
+
+def plain_outliers(p, k, ratio):
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    mean = np.sort(d, 1)[:, :k].mean(1)
+    above = mean[mean > 0]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        most = mean.sum() / len(mean) + ratio * np.sqrt(((above - mean.sum() / len(mean)) ** 2).sum() / (len(mean) - 1))
+    return p[(mean > 0) & (mean < most)]
+
+
+@pytest.mark.parametrize("k,spacing", [(50, 0.1), (5, 0.02), (20, 3.0)])
+def test_outliers_equal_all_distances(spark, k, spacing):
+    r = np.random.default_rng(3)
+    clouds = {
+        "sheet": np.c_[r.uniform(0, 4, (600, 2)), r.normal(0, 0.02, 600)],
+        "far": np.r_[r.normal(0, 0.3, (200, 3)), [[30.0, -40.0, 5.0]], [[31.0, -40.0, 5.0]]],
+        "few": r.random((7, 3)),
+        "one": np.zeros((1, 3)),
+        "same": np.ones((5, 3)),
+        "apart": np.r_[r.normal(0, 0.1, (80, 3)), r.normal(20, 0.1, (80, 3))],
+    }
+    rows = pd.concat([pd.DataFrame({"env": e, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "home": "h", "id": 1}) for e, p in clouds.items()])
+    rows = pd.concat([rows, pd.DataFrame({"env": "few", "x": [np.nan], "y": [0.0], "z": [0.0], "home": "h", "id": 1})])
+    got = outliers.remove_outliers(spark.createDataFrame(rows), spacing, k).toPandas()
+    assert set(got.columns) == set(rows.columns)
+    for e, p in clouds.items():
+        want = plain_outliers(p, min(k, len(p)), 2.0)
+        have = got[got["env"] == e][["x", "y", "z"]].to_numpy()
+        assert sorted(map(tuple, have)) == sorted(map(tuple, want)), e
+    assert not len(got[got["env"].isin(["one", "same"])]) and len(got[got["env"] == "far"]) < 202
+
+
+def test_no_outliers_without_points(spark):
+    assert outliers.remove_outliers(spark.createDataFrame([], "env string, x double, y double, z double"), 0.1).collect() == []
