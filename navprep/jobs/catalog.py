@@ -285,17 +285,37 @@ def plan_scores(spark, sf_dir):
     return p.select("traj_id", "env", "ahead", "frame_id").join(s, "traj_id").drop("traj_id")
 
 
-_STEP = """CASE WHEN r.kind = 'signup' THEN 0 WHEN r.fear > 0.5 AND r.forward THEN fear_count + CASE WHEN reacting THEN 0 ELSE 1 END WHEN reacting THEN fear_count - 1 ELSE fear_count END"""
-
-
-@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY robot_id ORDER BY ts, event_id) n FROM ({_ROBOT}) a),
-f AS (SELECT DISTINCT robot_id, CAST(NULL AS BIGINT) event_id, CAST(0 AS BIGINT) n, 0 fear_count, false reacting, 0 status FROM r
- UNION ALL SELECT robot_id, event_id, n, CAST(c AS INTEGER), k, CASE WHEN k THEN -1 WHEN kind = 'signup' THEN 0 WHEN kind = 'purchase' AND status = 0 AND NOT reacting THEN 1 ELSE status END
- FROM (SELECT *, CASE WHEN c > 3 THEN true WHEN c <= 0 THEN false ELSE reacting AND kind <> 'signup' END k FROM (SELECT r.robot_id, r.event_id, r.n, r.kind, f.reacting, f.status, {_STEP} c FROM f JOIN r ON r.robot_id = f.robot_id AND r.n = f.n + 1) x) y)
-SELECT robot_id, event_id, fear_count, reacting, status FROM f WHERE n > 0""")
+def _planner_sql(events: str) -> str:
+    """The planner's fold, event by event. events: robot_id, event_id, ts, kind, fear, forward, arrived, pushed (null: a stick with too few axes or buttons), pressed."""
+    return f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY robot_id ORDER BY ts, event_id) n FROM ({events}) a),
+f AS (SELECT DISTINCT robot_id, CAST(NULL AS BIGINT) event_id, CAST(0 AS BIGINT) n, 0 c, false k, 0 s, false a, false m FROM r
+ UNION ALL SELECT robot_id, event_id, n, CAST(c1 AS INTEGER), k1, CAST(CASE WHEN plan AND k1 AND s1 = 0 THEN -1 ELSE s1 END AS INTEGER), a1, m1 FROM
+ (SELECT *, CASE WHEN NOT plan THEN c0 WHEN fear > 0.5 AND forward THEN c0 + CASE WHEN k0 THEN 0 ELSE 1 END WHEN k0 THEN c0 - 1 ELSE c0 END c1,
+  CASE WHEN NOT plan THEN k0 WHEN c1 > 3 THEN true WHEN c1 <= 0 THEN false ELSE k0 END k1 FROM
+ (SELECT *, kind = 'tick' AND a plan, CASE WHEN plan AND arrived AND NOT m THEN CASE WHEN s = 0 THEN 1 ELSE s END WHEN kind = 'goal' THEN 0 ELSE s END s1,
+  CASE WHEN kind = 'goal' THEN true WHEN stick AND m1 THEN pushed WHEN plan AND arrived AND NOT m THEN false ELSE a END a1,
+  CASE WHEN kind = 'goal' OR stick AND (pressed OR m1 AND NOT pushed) THEN 0 ELSE c END c0, CASE WHEN kind = 'goal' OR stick AND (pressed OR m1 AND NOT pushed) THEN false ELSE k END k0 FROM
+ (SELECT r.*, f.c, f.k, f.s, f.a, f.m, kind = 'joy' AND pushed IS NOT NULL stick, CASE WHEN kind = 'goal' THEN false WHEN stick AND pressed THEN true ELSE f.m END m1 FROM f JOIN r ON r.robot_id = f.robot_id AND r.n = f.n + 1) x) y) z)
+SELECT robot_id, event_id, c fear_count, k reacting, s status, a active, m smart FROM f WHERE n > 0"""
+
+
+@query(_planner_sql(f"SELECT robot_id, event_id, ts, CASE kind WHEN 'signup' THEN 'goal' ELSE 'tick' END kind, fear, forward, kind = 'purchase' arrived, CAST(NULL AS BOOLEAN) pushed, false pressed FROM ({_ROBOT}) q"))
 def fear_state(spark, sf_dir):
     """Hysteresis and goal status of each robot; the stream gives the same (tested)."""
-    return robot.fold_batch(d.view(spark, sf_dir, d.ROBOT))
+    e = d.view(spark, sf_dir, d.ROBOT)
+    kind = F.when(F.col("kind") == "signup", "goal").otherwise("tick")
+    return robot.fold_batch(e.withColumn("distance", F.when(F.col("kind") == "purchase", 0.0)).withColumn("kind", kind))
+
+
+@query(_planner_sql(f"""SELECT r.robot_id, r.event_id, r.ts, CASE r.kind WHEN 'signup' THEN 'goal' WHEN 'click' THEN 'joy' WHEN 'error' THEN 'joy' ELSE 'tick' END kind, r.fear, r.forward, r.kind = 'purchase' arrived,
+ CASE WHEN n_axes >= 2 AND r.event_id % 11 > 0 THEN sqrt(j.forward * j.forward + sideways * sideways) >= 0.6 END pushed, r.kind = 'click' pressed
+ FROM ({_ROBOT}) r JOIN ({d.sql_for_duckdb(d.JOY)}) j ON j.event_id = r.event_id"""))
+def planner_states(spark, sf_dir):
+    """Waypoints, sticks and plans together: joystick mode, its fear reset, the guards, arrival by distance."""
+    j = d.view(spark, sf_dir, d.JOY).select("event_id", F.col("forward").alias("stick_x"), F.col("sideways").alias("stick_y"), "n_axes")
+    e = d.view(spark, sf_dir, d.ROBOT).join(j, "event_id").withColumn("distance", F.when(F.col("kind") == "purchase", 0.3).otherwise(3.0)).withColumn("pressed", F.col("kind") == "click")
+    kind = F.when(F.col("kind") == "signup", "goal").when(F.col("kind").isin("click", "error"), "joy").otherwise("tick")
+    return robot.fold_batch(e.withColumn("kind", kind).withColumn("n_buttons", (F.col("event_id") % 11).cast("int")), deadband=0.6)
 
 
 @query(f"WITH r AS ({_ROBOT}) SELECT robot_id, tick, event_id FROM (SELECT robot_id, ts // 86400000000 tick, event_id, row_number() OVER (PARTITION BY robot_id, ts // 86400000000 ORDER BY ts DESC, event_id DESC) rn FROM r) WHERE rn = 1")

@@ -91,12 +91,26 @@ def pearson_losses(spark, sf_dir):
     return vectors.pearson_losses(_neighbours(spark, sf_dir)).withColumn("loss", rounded("loss"))
 
 
-@query(_NEXT + """, c AS MATERIALIZED (SELECT pair_id, u, v, a - avg(a) OVER (PARTITION BY pair_id) x, b - avg(b) OVER (PARTITION BY pair_id) y FROM q), n AS (SELECT pair_id, greatest(sqrt(sum(x * x) * sum(y * y)), 1e-7) scale FROM c GROUP BY 1),
-s AS (SELECT b.pair_id, down, "right", sum(a.x * b.y) t FROM c b CROSS JOIN range(8) r(down) CROSS JOIN range(8) d("right") JOIN c a ON a.pair_id = b.pair_id AND a.v = (b.v + down) % 8 AND a.u = (b.u + "right") % 8 GROUP BY 1, 2, 3)
-SELECT pair_id, round(least(greatest(t / scale, -1), 1), 6) + 0.0 AS "value", CAST(down AS INTEGER) down, CAST("right" AS INTEGER) AS "right" FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY t DESC) rn FROM s) x JOIN n USING (pair_id) WHERE rn = 1""")
+def _shift_sql(pairs: str, ids: str) -> str:
+    """The best circular shift of each pair (ids, u, v, a; px as b by id y): sums of products over all shifts, over both norms, no mean taken off."""
+    return f"""{pairs}, n AS (SELECT {ids}, sqrt(sum(CAST(a AS DOUBLE) * a)) * sqrt(sum(CAST(b AS DOUBLE) * b)) scale FROM q GROUP BY ALL),
+s AS (SELECT {ids}, down, "right", sum(CAST(x.a AS DOUBLE) * y.b) t FROM q x CROSS JOIN range(8) r(down) CROSS JOIN range(8) d("right") JOIN q y USING ({ids}) WHERE y.v = (x.v + down) % 8 AND y.u = (x.u + "right") % 8 GROUP BY ALL),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY {ids} ORDER BY t DESC, down, "right") = 1)"""
+
+
+@query(_shift_sql(_NEXT, "pair_id") + """ SELECT m.pair_id, round(least(greatest(m.t / scale, -1), 1), 6) + 0.0 AS "value", CAST(m.down AS INTEGER) down, CAST(m."right" AS INTEGER) AS "right",
+ round(z.t / scale, 6) + 0.0 still, round((1 - least(m.t / scale, 1)) / 2, 6) + 0.0 loss FROM m JOIN n USING (pair_id) JOIN s z ON z.pair_id = m.pair_id AND z.down = 0 AND z."right" = 0""")
 def best_shifts(spark, sf_dir):
     """Best circular shift between each frame and the next."""
-    return fr.best_shifts(_neighbours(spark, sf_dir)).withColumn("value", rounded("value"))
+    return fr.best_shifts(_neighbours(spark, sf_dir)).withColumns({c: rounded(c) for c in ("value", "still", "loss")})
+
+
+@query(_shift_sql(_PX + ", q AS (SELECT x.frame_id x_id, y.frame_id y_id, x.u, x.v, x.mm a, y.mm b FROM px x JOIN px y ON y.k = x.k WHERE y.frame_id < 5)", "x_id, y_id") + """
+SELECT x_id, y_id, round(least(greatest(t / scale, -1), 1), 6) + 0.0 AS "value", CAST(down AS INTEGER) down, CAST("right" AS INTEGER) AS "right" FROM m JOIN n USING (x_id, y_id)""")
+def pairwise_shifts(spark, sf_dir):
+    """Every frame against a stated set of five."""
+    f = _frames(spark, sf_dir).select(F.col("frame_id").alias("id"), "height", "width", "data")
+    return fr.pairwise_shifts(f, f.where("id < 5")).withColumn("value", rounded("value"))
 
 
 @query()
@@ -111,6 +125,6 @@ c AS (SELECT *, CASE WHEN kind = 'goal' THEN 1.0 WHEN heard AND smart THEN CASE
 p AS (SELECT *, max(CASE WHEN k IS NOT NULL THEN n END) OVER (PARTITION BY robot_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS last_n FROM (SELECT *, row_number() OVER (PARTITION BY robot_id ORDER BY ts, event_id) n FROM c) z)
 SELECT p.robot_id, p.event_id, p.smart, CASE WHEN s.k > 0 THEN round(s.forward * s.k, 6) + 0.0 END goal_x, CASE WHEN s.k > 0 THEN round(s.sideways * s.k, 6) + 0.0 END goal_y, coalesce(s.k > 0, false) active FROM p LEFT JOIN p s ON s.robot_id = p.robot_id AND s.n = p.last_n""")
 def joystick_goals(spark, sf_dir):
-    kind = F.when(F.col("kind") == "click", "enable").when(F.col("kind") == "signup", "goal").otherwise("stick")
-    j = robot.joystick_goals(d.view(spark, sf_dir, d.JOY).withColumn("kind", kind), deadband=0.2)
-    return j.withColumn("goal_x", rounded("goal_x")).withColumn("goal_y", rounded("goal_y"))
+    e = d.view(spark, sf_dir, d.JOY).withColumn("pressed", F.col("kind") == "click").withColumnsRenamed({"forward": "stick_x", "sideways": "stick_y"})
+    j = robot.joystick_goals(e.withColumn("kind", F.when(F.col("kind") == "signup", "goal").otherwise("joy")), deadband=0.2)
+    return j.drop("fear_count", "reacting").withColumn("goal_x", rounded("goal_x")).withColumn("goal_y", rounded("goal_y"))

@@ -204,7 +204,7 @@ def best_so_far(spark, sf_dir):
 
 @query("""WITH RECURSIVE l AS (SELECT CAST(user_id AS VARCHAR) run, event_id epoch, value x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) n FROM events),
 f AS (SELECT DISTINCT run, CAST(NULL AS BIGINT) epoch, CAST(0 AS BIGINT) n, CAST('inf' AS DOUBLE) best, 0 bad, 0.01e0 lr, false "stop" FROM l
- UNION ALL SELECT run, epoch, n, best, CASE WHEN bad > 4 THEN 0 ELSE bad END, CASE WHEN bad > 4 THEN greatest(lr * 0.5e0, 1e-6) ELSE lr END, "stop" OR bad > 4 AND lr - greatest(lr * 0.5e0, 1e-6) <= 1e-8
+ UNION ALL SELECT run, epoch, n, best, CASE WHEN bad > 4 THEN 0 ELSE bad END, CASE WHEN bad > 4 AND lr - greatest(lr * 0.5e0, 1e-6) > 1e-8 THEN greatest(lr * 0.5e0, 1e-6) ELSE lr END, "stop" OR bad > 4 AND lr - greatest(lr * 0.5e0, 1e-6) <= 1e-8
  FROM (SELECT l.run, l.epoch, l.n, CASE WHEN x < best * 0.9999e0 THEN x ELSE best END best, CAST(CASE WHEN x < best * 0.9999e0 THEN 0 ELSE bad + 1 END AS INTEGER) bad, lr, "stop" FROM f JOIN l ON l.run = f.run AND l.n = f.n + 1) y)
 SELECT run, epoch, lr, "stop" FROM f WHERE n > 0""")
 def replayed_rates(spark, sf_dir):

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import points as P
+from .scoring import best_shift, correlations, spectrum
+from .tables import stored
 
 
 def clean_depth(data: Column, scale: float = 1000.0, max_depth: float = 10.0) -> Column:
@@ -180,7 +182,7 @@ def worst_patch(pairs: DataFrame, h: int, w: int, stride_h: int, stride_w: int)
 def motion_blur(frames: DataFrame, shares: tuple[float, float, float] = (0.7, 0.2, 0.1), seed: int = 0) -> DataFrame:
     """Each frame unchanged, or blurred along one of four directions over 3 or 5 pixels (zeros beyond the edge), by these shares. Drawn from a hash of env, frame_id and seed: reruns agree.
 
-    Steps along a direction are shifts of the array, so no frame leaves the JVM."""
+    Rows and columns are means; diagonals are sums, as their kernels are unit matrices that aren't divided by their size. Steps along a direction are shifts of the array, so no frame leaves the JVM."""
     draw = lambda salt: F.pmod(F.xxhash64("env", "frame_id", F.lit(seed), F.lit(salt)), F.lit(1_000_003)) / 1_000_003.0
     f = frames.withColumn("reach", F.when(draw(0) < shares[0], 0).when(draw(0) < shares[0] + shares[1], 1).otherwise(2)).withColumn("way", F.floor(draw(1) * 4).cast("int"))
     dy = F.when(F.col("way") == 0, 0).when(F.col("way") == 3, -1).otherwise(1)
@@ -194,19 +196,66 @@ def motion_blur(frames: DataFrame, shares: tuple[float, float, float] = (0.7, 0.
             inside = (v >= 0) & (v < F.col("height")) & (u >= 0) & (u < F.col("width"))
             return F.when(inside, F.get("data", v * F.col("width") + u).cast("double")).otherwise(0.0)
 
-        return F.aggregate(F.sequence(-F.col("reach"), F.col("reach")), F.lit(0.0), lambda s, i: s + at(i)) / (2 * F.col("reach") + 1)
+        return F.aggregate(F.sequence(-F.col("reach"), F.col("reach")), F.lit(0.0), lambda s, i: s + at(i)) / F.when(F.col("way") < 2, 2 * F.col("reach") + 1).otherwise(1)
 
     plain = F.transform("data", lambda x: x.cast("double"))
     return f.withColumn("data", F.when(F.col("reach") == 0, plain).otherwise(F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), pixel))).drop("way")
 
 
+def _image(data, h: int, w: int) -> np.ndarray:
+    return np.asarray(data, float).reshape(-1, h, w)
+
+
 def best_shifts(pairs: DataFrame) -> DataFrame:
-    """pair_id, value, down, right: the best circular shift of two frames a and b (height, width) by correlation."""
-    from .scoring import circular_shift
+    """pair_id, value, down, right, still, loss: the largest circular correlation of two frames a and b (height, width; one or more channels, one after another)
+    over both norms, b's shift against a that gives it, the value without a shift, and (1 - value) / 2. No mean is taken off. A frame of zeros has value 0."""
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            r = [circular_shift(np.asarray(x, float).reshape(h, w), np.asarray(y, float).reshape(h, w)) for h, w, x, y in b[["height", "width", "a", "b"]].itertuples(index=False)]
-            yield pd.DataFrame({"pair_id": b["pair_id"], "value": [t[0] for t in r], "down": [t[1] for t in r], "right": [t[2] for t in r]})
+            out = []
+            for h, w, x, y in b[["height", "width", "a", "b"]].itertuples(index=False):
+                x, y = _image(x, h, w), _image(y, h, w)
+                scale = float(np.sqrt((x * x).sum()) * np.sqrt((y * y).sum()))
+                c = correlations(spectrum(x), spectrum(y), (h, w))
+                value, i, j = best_shift(c, scale)
+                out.append((value, i, j, float(np.clip(c[0, 0] / scale, -1, 1)) if scale > 0 else 0.0, (1 - value) / 2))
+            yield pd.concat([b[["pair_id"]], pd.DataFrame(out, columns=["value", "down", "right", "still", "loss"], index=b.index)], axis=1)
+
+    return pairs.select("pair_id", "height", "width", "a", "b").mapInPandas(one, "pair_id long, value double, down int, right int, still double, loss double")
+
 
-    return pairs.select("pair_id", "height", "width", "a", "b").mapInPandas(one, "pair_id long, value double, down int, right int")
+#: Frames of each side that meet in a task.
+SHIFT_BLOCK = 64
+
+
+def pairwise_shifts(x: DataFrame, y: DataFrame, block: int = SHIFT_BLOCK) -> DataFrame:
+    """x_id, y_id, value, down, right of every frame of x (id, height, width, data) with every one of y of equal size: y is a stated set to hold x against.
+
+    Each frame's spectrum is taken once; blocks of both sides meet, so that a task holds two blocks, whatever the sides hold."""
+    schema = "id long, height int, width int, channels int, norm double, spectrum binary"
+
+    def spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            images = [_image(d, h, w) for h, w, d in b[["height", "width", "data"]].itertuples(index=False)]
+            yield b[["id", "height", "width"]].assign(channels=[len(i) for i in images], norm=[float(np.sqrt((i * i).sum())) for i in images], spectrum=[spectrum(i).tobytes() for i in images])
+
+    sides = [stored(s.where("data is not null").select("id", "height", "width", "data").mapInPandas(spectra, schema), "shift-spectra") for s in (x, y)]
+    n = [max(1, -(-s.count() // block)) for s in sides]
+    own = lambda k: F.pmod(F.xxhash64("id"), F.lit(n[k])).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(n[k] - 1)))
+    left = sides[0].withColumn("bx", own(0)).withColumn("by", every(1))
+    right = sides[1].withColumn("by", own(1)).withColumn("bx", every(0))
+    keys = ("bx", "by", "height", "width", "channels")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            h, w, c = (int(a[k].iloc[0]) for k in ("height", "width", "channels"))
+            read = lambda s: np.frombuffer(s, complex).reshape(c, h, w // 2 + 1)
+            others = np.stack([read(s) for s in b["spectrum"]])
+            for i, norm, s in a[["id", "norm", "spectrum"]].itertuples(index=False):
+                for j, other, surface in zip(b["id"], b["norm"], correlations(read(s), others, (h, w))):
+                    out.append((i, j, *best_shift(surface, norm * other)))
+        return pd.DataFrame(out, columns=["x_id", "y_id", "value", "down", "right"])
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "x_id long, y_id long, value double, down int, right int")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import geometry as g
+from .folds import ordered_fold
 from .grids import bicubic, dense
 
 
@@ -143,33 +144,41 @@ def moving_average(series: DataFrame, window: int) -> DataFrame:
     return series.withColumn("smooth", total / (window * (window + 1) / 2))
 
 
-def plateau_steps(losses: list[float], lr: float, factor: float = 0.5, patience: int = 4, floor: float = 1e-6, threshold: float = 1e-4) -> list[tuple[float, bool]]:
-    """(learning rate after the epoch, stop) by plateau: no relative improvement for more than patience epochs lowers the rate; it stops where it can't drop by more than 1e-8."""
-    best, bad, out, stop = float("inf"), 0, [], False
+def plateau_steps(losses: list[float], state: list, factor: float = 0.5, patience: int = 4, floor: float = 1e-6, threshold: float = 1e-4) -> tuple[list[tuple[float, bool]], list]:
+    """(learning rate after the epoch, stop) of each loss, and the state [best, bad epochs, rate, stop]: no relative improvement for more than patience epochs
+    lowers the rate; where it can't drop by more than 1e-8, it stays and training stops."""
+    best, bad, lr, stop = state
+    out = []
     for x in losses:
-        best, bad = (x, 0) if x < best * (1 - threshold) else (best, bad + 1)
+        best, bad = (x, 0) if best is None or x < best * (1 - threshold) else (best, bad + 1)
         if bad > patience:
-            new = max(lr * factor, floor)
-            stop, lr, bad = stop or lr - new <= 1e-8, new, 0
+            new, bad = max(lr * factor, floor), 0
+            lr, stop = (new, stop) if lr - new > 1e-8 else (lr, True)
         out.append((lr, stop))
-    return out
+    return out, [best, bad, lr, stop]
 
 
-def replay_schedule(log: DataFrame, lr: float, **more) -> DataFrame:
-    """run, epoch, lr, stop: a run's epochs are few, so each is one group."""
+def replay_schedule(log: DataFrame, lr: float, parts: int | None = None, **more) -> DataFrame:
+    """run, epoch, lr, stop: a fold in order of epochs; rows after a stop keep its rate."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("epoch")
-        steps = plateau_steps(pdf["val_loss"].tolist(), lr, **more)
-        return pd.DataFrame({"run": pdf["run"], "epoch": pdf["epoch"], "lr": [s[0] for s in steps], "stop": [s[1] for s in steps]})
+    def fold(rows: pd.DataFrame, state: list) -> tuple[dict, list]:
+        steps, state = plateau_steps([float(x) for x in rows["val_loss"]], state, **more)
+        return {"lr": np.array([s[0] for s in steps]), "stop": np.array([s[1] for s in steps], bool)}, state
 
-    return log.groupBy("run").applyInPandas(one, "run string, epoch long, lr double, stop boolean")
+    return ordered_fold(log.select("run", "epoch", "val_loss"), "run", ["epoch"], fold, [None, 0, lr, False], "lr double, stop boolean", ["run", "epoch"], parts=parts)
 
 
-def circular_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
-    """Largest circular correlation of two images (clamped to -1..1) and its shift."""
-    x, y = a - a.mean(), b - b.mean()
-    scale = np.sqrt((x * x).sum() * (y * y).sum())
-    c = np.fft.irfft2(np.fft.rfft2(x) * np.conj(np.fft.rfft2(y)), s=x.shape) / max(scale, 1e-7)
-    i, j = np.unravel_index(int(np.argmax(c)), c.shape)
-    return float(np.clip(c[i, j], -1, 1)), int(i), int(j)
+def spectrum(image: np.ndarray) -> np.ndarray:
+    """Of images (.., channels, height, width), for circular correlations."""
+    return np.fft.rfft2(image)
+
+
+def correlations(x: np.ndarray, y: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Circular correlation of spectra x and y, summed over channels: at (i, j) the product of x with y moved back by i rows and j columns."""
+    return np.fft.irfft2((np.conj(x) * y).sum(-3), s=shape)
+
+
+def best_shift(surface: np.ndarray, scale: float) -> tuple[float, int, int]:
+    """The largest value of a correlation surface over scale (the product of both norms; 0 gives 0), clamped to -1..1, and its place."""
+    i, j = np.unravel_index(int(np.argmax(surface)), surface.shape)
+    return (float(np.clip(surface[i, j] / scale, -1, 1)) if scale > 0 else 0.0), int(i), int(j)

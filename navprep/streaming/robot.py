@@ -2,88 +2,176 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
 
-BUFFER, NEAR = 3, 1e-2
-OUT = "robot_id long, event_id long, fear_count int, reacting boolean, status int"
-STATE = "count int, reacting boolean, status int"
-
-
-def step(state: tuple[int, bool, int], kind: str, fear: float, forward: bool, buffer: int = BUFFER) -> tuple[int, bool, int]:
-    """(fear count, reacting, goal status) after an event. Fear ahead raises the count up to the reaction; while reacting, fear ahead leaves it and each
-    other event lowers it, and the reaction ends at 0. Without a reaction it never falls.
+from ..operators.folds import ordered_fold
 
-    A 'signup' event is a new goal (everything starts anew, status 0), a 'purchase' an arrival (0 -> 1); a reaction ends status 0 or 1 with -1."""
-    count, reacting, status = state
-    if kind == "signup":
-        return 0, False, 0
-    if kind == "purchase" and status == 0 and not reacting:
-        status = 1
+BUFFER, NEAR = 3, 1e-2
+#: Metres to a goal that has been reached, metres that a full stick means, and the part of a stick's way that counts for nothing.
+CONVERGED, SCALE, DEADBAND = 0.5, 5.0, 0.05
+STATE = "count int, reacting boolean, status int, active boolean, smart boolean"
+EVENT = "robot_id long, event_id long, ts long, kind string, fear double, forward boolean, distance double, stick_x double, stick_y double, n_axes int, n_buttons int, pressed boolean"
+_RESULT = "fear_count int, reacting boolean, status int, active boolean, smart boolean"
+OUT = f"robot_id long, event_id long, {_RESULT}"
+START = [0, False, 0, False, False]
+#: Goal status: under way, arrived, failed.
+UNDER_WAY, ARRIVED, FAILED = 0, 1, -1
+
+
+def step(state: list, kind: str, fear: float, forward: bool, distance: float | None = None, stick: tuple[float, float] | None = None, pressed: bool = False, buffer: int = BUFFER, converged: float = CONVERGED, deadband: float = DEADBAND) -> list:
+    """[fear count, reacting, status, active, smart] of a robot's planner after an event.
+
+    'goal': a waypoint; all starts anew, joystick mode ends. 'joy': a stick (None: one with too few axes or buttons, ignored); the button latches the mode and
+    clears fear; in the mode a stick within the dead-band clears fear and the goal, another sets a goal. 'tick': a plan, made only while a goal is active. A goal
+    nearer than converged is reached, but not in joystick mode: status 0 becomes 1, and no plan follows until a new goal. Fear ahead raises the count up to the
+    reaction; while reacting, fear ahead leaves it, each other plan lowers it, and the reaction ends at 0. Without a reaction it never falls. A reaction turns
+    status 0 to -1; an arrival stays one."""
+    count, reacting, status, active, smart = state
+    if kind == "goal":
+        return [0, False, UNDER_WAY, True, False]
+    if kind == "joy":
+        if stick is None:
+            return list(state)
+        if pressed:
+            count, reacting, smart = 0, False, True
+        if smart:
+            active = math.hypot(*stick) >= deadband
+            if not active:
+                count, reacting = 0, False
+        return [count, reacting, status, active, smart]
+    if kind != "tick" or not active:
+        return list(state)
+    if distance is not None and distance < converged and not smart:
+        active = False
+        status = ARRIVED if status == UNDER_WAY else status
     if fear > 0.5 and forward:
         count += not reacting
     elif reacting:
         count -= 1
     reacting = count > buffer or reacting and count > 0
-    return count, reacting, -1 if reacting else status
+    if reacting and status == UNDER_WAY:
+        status = FAILED
+    return [count, reacting, status, active, smart]
+
 
+def all_states(buffer: int = BUFFER) -> list[list]:
+    """Every state that the planner can reach: few, so that logs can be folded by tables. A count above buffer means a reaction, and a reaction a count above 0."""
+    flags = (False, True)
+    return [[c + r, r, s, a, m] for c in range(buffer + 1) for r in flags for s in (UNDER_WAY, ARRIVED, FAILED) for a in flags for m in flags]
 
-def _fold(rows: pd.DataFrame, state: tuple[int, bool, int], buffer: int) -> tuple[pd.DataFrame, tuple[int, bool, int]]:
-    rows = rows.sort_values(["ts", "event_id"], kind="stable")
+
+def stick_ok(e) -> bool:
+    """Whether a stick's message has the axes and buttons that are read; absent counts are taken for enough."""
+    return not (e.n_axes < 2 or e.n_buttons < 1)
+
+
+def fold_rows(rows: pd.DataFrame, state: list, buffer: int = BUFFER, converged: float = CONVERGED, deadband: float = DEADBAND) -> tuple[dict, list]:
+    """Results and last state of a robot's events (columns of EVENT) in order."""
     out = []
-    for kind, fear, forward in zip(rows["kind"], rows["fear"], rows["forward"]):
-        state = step(state, kind, fear, bool(forward), buffer)
+    for e in rows.itertuples(index=False):
+        distance = None if pd.isna(e.distance) else e.distance
+        stick = (e.stick_x, e.stick_y) if e.kind == "joy" and stick_ok(e) and not pd.isna(e.stick_x + e.stick_y) else None
+        state = step(state, e.kind, 0.0 if pd.isna(e.fear) else e.fear, e.forward is not None and not pd.isna(e.forward) and bool(e.forward), distance, stick, not pd.isna(e.pressed) and bool(e.pressed), buffer, converged, deadband)
         out.append(state)
-    return pd.DataFrame({"robot_id": rows["robot_id"], "event_id": rows["event_id"], "fear_count": [s[0] for s in out], "reacting": [s[1] for s in out], "status": [s[2] for s in out]}), state
+    return {n: np.array([s[i] for s in out], kind) for i, (n, kind) in enumerate((("fear_count", np.int32), ("reacting", bool), ("status", np.int32), ("active", bool), ("smart", bool)))}, state
 
 
-def fold_batch(events: DataFrame, buffer: int = BUFFER) -> DataFrame:
-    """robot_id, event_id, fear_count, reacting, status of each event, in order of ts and event_id within a robot."""
-    return events.groupBy("robot_id").applyInPandas(lambda pdf: _fold(pdf, (0, False, 0), buffer)[0], OUT)
+def completed(events: DataFrame) -> DataFrame:
+    """events with all columns of EVENT, absent ones null."""
+    return events.select(*(F.col(n).cast(t).alias(n) if n in events.columns else F.lit(None).cast(t).alias(n) for n, t in (f.split() for f in EVENT.split(", "))))
 
 
-class FearProcessor(StatefulProcessor):
-    """The same fold over a stream: a robot's state is three numbers; rows are sorted within a micro-batch."""
+def with_goals(states: DataFrame, scale: float = SCALE) -> DataFrame:
+    """goal_x, goal_y of states with the events' columns, while a goal is active: the last waypoint's place (stick_x, stick_y), or the stick's in the mode, times scale."""
+    w = W.partitionBy("robot_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    stick = (F.col("kind") == "joy") & F.col("smart") & ~((F.col("n_axes") < 2) | (F.col("n_buttons") < 1)).eqNullSafe(True)
+    k = F.when(F.col("kind") == "joy", scale).otherwise(1.0)
+    mine = F.when((F.col("kind") == "goal") | stick, F.struct((F.col("stick_x") * k).alias("x"), (F.col("stick_y") * k).alias("y")))
+    x = states.withColumn("g", F.last(mine, ignorenulls=True).over(w))
+    return x.withColumn("goal_x", F.when(F.col("active"), F.col("g.x"))).withColumn("goal_y", F.when(F.col("active"), F.col("g.y"))).drop("g")
+
 
-    def __init__(self, buffer: int = BUFFER):
-        self.buffer = buffer
+def fold_batch(events: DataFrame, buffer: int = BUFFER, converged: float = CONVERGED, deadband: float = DEADBAND, parts: int | None = None) -> DataFrame:
+    """robot_id, event_id, fear_count, reacting, status, active, smart after each event (columns of EVENT; absent ones null), in order of ts and event_id within a
+    robot. A robot's log may span many tasks: its states are few, so stretches of it are composed as tables."""
+    fold = lambda rows, state: fold_rows(rows, state, buffer, converged, deadband)
+    return ordered_fold(completed(events), "robot_id", ["ts", "event_id"], fold, START, _RESULT, ["robot_id", "event_id"], all_states(buffer), parts)
+
+
+_PENDING = EVENT.split(", ", 1)[1]
+
+
+class PlannerProcessor(StatefulProcessor):
+    """The same fold over a stream, in event time: events wait in a list until the watermark has passed them, and are folded in order of ts and event_id, also
+    across micro-batches. State: five numbers of a robot and what waits. Events later than the watermark are dropped by Spark."""
+
+    def __init__(self, buffer: int = BUFFER, converged: float = CONVERGED, deadband: float = DEADBAND):
+        self.limits = (buffer, converged, deadband)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", STATE)
+        self.handle = handle
+        self.state = handle.getValueState("planner", STATE)
+        self.pending = handle.getListState("pending", _PENDING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.state.get()) if self.state.exists() else (0, False, 0)
-        out, state = _fold(pd.concat(list(rows)), state, self.buffer)
-        self.state.update((int(state[0]), bool(state[1]), int(state[2])))
-        yield out
+        names = [f.split()[0] for f in _PENDING.split(", ")]
+        for pdf in rows:
+            for e in pdf[names].itertuples(index=False):
+                self.pending.appendValue(tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in e))
+            for ms in sorted(set((pdf["ts"] // 1000).tolist())):
+                self.handle.registerTimer(int(ms) + 1)
+        yield pd.DataFrame(columns=[f.split()[0] for f in OUT.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in _PENDING.split(", ")]
+        held = pd.DataFrame(list(self.pending.get()), columns=names)
+        ready = held["ts"] // 1000 < timerValues.getCurrentWatermarkInMs() if len(held) else np.zeros(0, bool)
+        due, rest = held[ready].sort_values(["ts", "event_id"]), held[~ready]
+        if len(due):
+            state = list(self.state.get()) if self.state.exists() else START
+            got, state = fold_rows(due, state, *self.limits)
+            self.state.update((int(state[0]), bool(state[1]), int(state[2]), bool(state[3]), bool(state[4])))
+            self.pending.clear()
+            for e in rest.itertuples(index=False):
+                self.pending.appendValue(tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in e))
+            yield pd.DataFrame({"robot_id": np.full(len(due), key[0]), "event_id": due["event_id"].to_numpy(np.int64), **got})
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(events: DataFrame, buffer: int = BUFFER) -> DataFrame:
-    """fold_batch over a streaming DataFrame (append mode)."""
-    return events.groupBy("robot_id").transformWithStateInPandas(FearProcessor(buffer), OUT, "append", "none")
+def fold_stream(events: DataFrame, lateness: str = "10 seconds", buffer: int = BUFFER, converged: float = CONVERGED, deadband: float = DEADBAND) -> DataFrame:
+    """fold_batch over a streaming DataFrame (append mode); an event's result comes once the watermark, lateness behind the latest event, has passed it."""
+    rows = completed(events).withColumn("at", F.timestamp_micros("ts")).withWatermark("at", lateness)
+    return rows.groupBy("robot_id").transformWithStateInPandas(PlannerProcessor(buffer, converged, deadband), OUT, "append", "eventTime")
 
 
-def deduplicate_motion(poses: DataFrame, near: float = NEAR) -> DataFrame:
-    """Poses at least near (over all seven values) away from the last one kept, numbered from 0: a true fold, as the last kept isn't the row before."""
+_POSE = ("x", "y", "z", "qx", "qy", "qz", "qw")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_id")
-        v = pdf[["x", "y", "z", "qx", "qy", "qz", "qw"]].to_numpy(float)
-        keep, last = [], None
-        for i, row in enumerate(v):
-            if last is None or ((row - last) ** 2).sum() ** 0.5 >= near:
-                keep.append(i)
-                last = row
-        return pd.DataFrame({"env": pdf["env"].iloc[keep], "frame_id": pdf["frame_id"].iloc[keep], "sample": range(len(keep))})
 
-    return poses.groupBy("env").applyInPandas(one, "env string, frame_id long, sample long")
+def keep_moved(rows: pd.DataFrame, state: list | None, near: float = NEAR) -> tuple[dict, list | None]:
+    """Whether each pose is saved, its number, and the state: the last saved pose and the next number."""
+    v = rows[list(_POSE)].to_numpy(float)
+    last, n = (None, 0) if state is None else (np.array(state[:-1]), state[-1])
+    saved, number = np.zeros(len(v), bool), np.zeros(len(v), np.int64)
+    for i, row in enumerate(v):
+        if last is None or ((row - last) ** 2).sum() ** 0.5 >= near:
+            saved[i], number[i], last, n = True, n, row, n + 1
+    return {"saved": saved, "sample": number}, None if last is None else [*map(float, last), int(n)]
+
+
+def deduplicate_motion(poses: DataFrame, near: float = NEAR, parts: int | None = None) -> DataFrame:
+    """env, frame_id, sample: poses at least near (over all seven values) away from the last one saved, numbered from 0: a true fold, as the last saved isn't the
+    row before. An env's log may span many tasks."""
+    kept = ordered_fold(poses.select("env", F.col("frame_id").cast("long").alias("frame_id"), *_POSE), "env", ["frame_id"], lambda rows, state: keep_moved(rows, state, near), None, "saved boolean, sample long", ["env", "frame_id"], parts=parts)
+    return kept.where("saved").drop("saved")
 
 
 def rate_limit(samples: DataFrame, seconds: float) -> DataFrame:
@@ -110,22 +198,11 @@ def sync_streams(cloud: DataFrame, other: DataFrame, slop: str, lateness: str) -
     return c.join(o, near).drop("o_robot")
 
 
-def joystick_goals(events: DataFrame, scale: float = 5.0, deadband: float = 0.05, axes: int = 2) -> DataFrame:
-    """robot_id, event_id, smart, goal_x, goal_y, active after each event, in order of (ts, event_id).
-
-    events: kind 'enable' (a stick event with the button pressed), 'goal' (a waypoint with forward, sideways as its place) or another stick event; n_axes is the
-    length of its axes. A stick event of fewer axes changes nothing. The button latches the mode, a waypoint leaves it. In the mode a stick within the dead-band
-    cancels the goal, any other sets it to scale times the stick. No state but the latest of each kind is needed, so windows express it."""
-    w = W.partitionBy("robot_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    heard = (F.col("kind") == "goal") | (F.col("n_axes") >= axes)
-    latch = F.when(F.col("kind") == "goal", False).when((F.col("kind") == "enable") & heard, True)
-    e = events.withColumn("smart", F.coalesce(F.last(latch, ignorenulls=True).over(w), F.lit(False)))
-    pushed = F.sqrt(F.col("forward") ** 2 + F.col("sideways") ** 2) >= deadband
-    at = lambda k, on: F.struct((F.col("forward") * k).alias("x"), (F.col("sideways") * k).alias("y"), on.alias("on"))
-    change = F.when(F.col("kind") == "goal", at(1.0, F.lit(True))).when(heard & F.col("smart"), at(scale, pushed))
-    e = e.withColumn("g", F.last(change, ignorenulls=True).over(w))
-    on = F.coalesce(F.col("g.on"), F.lit(False))
-    return e.select("robot_id", "event_id", "smart", F.when(on, F.col("g.x")).alias("goal_x"), F.when(on, F.col("g.y")).alias("goal_y"), on.alias("active"))
+def joystick_goals(events: DataFrame, scale: float = SCALE, deadband: float = DEADBAND) -> DataFrame:
+    """robot_id, event_id, smart, goal_x, goal_y, active, fear_count, reacting after each event: the planner's fold, with the goal that a stick set last."""
+    e = completed(events)
+    states = fold_batch(e, deadband=deadband).join(e.select("robot_id", "event_id", "ts", "kind", "stick_x", "stick_y", "n_axes", "n_buttons"), ["robot_id", "event_id"])
+    return with_goals(states, scale).select("robot_id", "event_id", "smart", "goal_x", "goal_y", "active", "fear_count", "reacting")
 
 
 def published_paths(plans: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def test_tiles_and_blur(spark):
         many = many.unionByName(frame(spark, image, n))
     steps = {0: (0, 1), 1: (1, 0), 2: (1, 1), 3: (-1, 1)}
     pad = np.pad(image, 2)
-    options = [(0, image)] + [(k, sum(pad[2 + i * dy : 6 + i * dy, 2 + i * dx : 8 + i * dx] for i in range(-k, k + 1)) / (2 * k + 1)) for k in (1, 2) for dy, dx in steps.values()]
+    options = [(0, image)] + [(k, sum(pad[2 + i * dy : 6 + i * dy, 2 + i * dx : 8 + i * dx] for i in range(-k, k + 1)) / (2 * k + 1 if n < 2 else 1)) for k in (1, 2) for n, (dy, dx) in steps.items()]
     seen = set()
     for x in fr.motion_blur(many.coalesce(4), (0.3, 0.4, 0.3)).collect():
         assert any(k == x.reach and np.allclose(np.array(x.data).reshape(4, 6), o) for k, o in options)
@@ -155,7 +155,29 @@ def test_tiles_and_blur(spark):
     assert seen == {0, 1, 2}
     pairs = spark.createDataFrame([(1, 4, 6, image.reshape(-1).tolist(), np.roll(image, (1, 2), (0, 1)).reshape(-1).tolist())], "pair_id long, height int, width int, a array<double>, b array<double>")
     s = fr.best_shifts(pairs).first()
-    assert np.isclose(s.value, 1) and (s.down, s.right) == (3, 4)
+    assert np.isclose(s.value, 1) and (s.down, s.right) == (1, 2) and np.isclose(s.loss, 0) and s.still < 1
+
+
+def test_shifts_of_channels_and_blocks(spark):
+    """Raw norms, channels summed, blocks of any size, frames of another size and of zeros."""
+    r = np.random.default_rng(6)
+    images = {i: r.random((2, 3, 4)) + (i % 3) for i in range(9)} | {20: np.zeros((2, 3, 4)), 21: r.random((2, 4, 3)), 22: r.random((1, 3, 4))}
+    rows = [(i, a.shape[1], a.shape[2], a.reshape(-1).tolist()) for i, a in images.items()] + [(30, 3, 4, None)]
+    x = spark.createDataFrame(rows, "id long, height int, width int, data array<double>")
+    want = {}
+    for i, a in images.items():
+        for j, b in images.items():
+            if a.shape == b.shape and j % 2 == 0:
+                c = {(s, t): (a * np.roll(b, (-s, -t), (1, 2))).sum() for s in range(a.shape[1]) for t in range(a.shape[2])}
+                scale = np.linalg.norm(a) * np.linalg.norm(b)
+                want[i, j] = max(c.values()) / scale if scale else 0.0
+                if scale:
+                    want[i, j, "at"] = [k for k, v in c.items() if np.isclose(v, max(c.values()))]
+    for block in (2, 64):
+        got = fr.pairwise_shifts(x, x.where("id % 2 = 0"), block).collect()
+        assert len(got) == len([k for k in want if len(k) == 2])
+        for g in got:
+            assert np.isclose(g.value, want[g.x_id, g.y_id]) and (g.down, g.right) in want.get((g.x_id, g.y_id, "at"), [(0, 0)])
 
 
 def test_fusion_of_a_plane(spark):
@@ -176,7 +198,8 @@ def test_fusion_of_a_plane(spark):
 def test_joystick(spark):
     r = np.random.default_rng(5)
     rows = [(int(u), i, i // 3, str(r.choice(["enable", "goal", "stick"], p=[0.2, 0.2, 0.6])), float(r.normal() * 0.3), float(r.normal() * 0.3), int(r.integers(1, 4))) for i, u in enumerate(r.integers(0, 3, 200))]
-    e = spark.createDataFrame(rows, "robot_id long, event_id long, ts long, kind string, forward double, sideways double, n_axes int")
+    e = spark.createDataFrame(rows, "robot_id long, event_id long, ts long, kind string, stick_x double, stick_y double, n_axes int")
+    e = e.withColumn("pressed", F.col("kind") == "enable").withColumn("kind", F.when(F.col("kind") == "goal", "goal").otherwise("joy"))
     got = {x.event_id: x for x in robot.joystick_goals(e, 5.0, 0.3).collect()}
     state = {}
     for u, i, _, kind, a, b, n in rows:

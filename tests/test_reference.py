@@ -136,24 +136,98 @@ def test_lines(spark):
     assert got == [(math.ceil(4 * k / 6 - 0.5), k) for k in range(7)]
 
 
-def test_fear_steps(spark):
-    events = QUERIES["fear_state"](spark, SF).toPandas()
-    assert len(events) and (events["fear_count"] >= 0).all()
-    s = (0, False, 0)
-    for _ in range(4):
-        s = robot.step(s, "view", 0.9, True)
-    assert robot.step(s, "view", 0.9, True) == s  # fear ahead while reacting leaves the count alone
-    assert s == (4, True, -1) and robot.step(s, "view", 0.1, True) == (3, True, -1) and robot.step(s, "signup", 0.9, True) == (0, False, 0)
+def tick(state, fear=0.9, **more):
+    return robot.step(state, "tick", fear, True, **more)
 
 
-def test_fear_stream_equals_batch(spark, tmp_path):
-    r = np.random.default_rng(7)
-    kinds = np.array(["view", "signup", "purchase"])[r.choice(3, 120, p=[0.9, 0.05, 0.05])]
-    e = pd.DataFrame({"robot_id": r.integers(0, 4, 120), "event_id": np.arange(120), "ts": np.arange(120), "kind": kinds, "fear": r.random(120) * 0.8 + 0.2, "forward": r.random(120) < 0.9})
-    schema = "robot_id long, event_id long, ts long, kind string, fear double, forward boolean"
-    for i in range(3):  # three batches in order
+def test_planner_steps():
+    assert tick(robot.START) == robot.START  # no plan without a goal
+    goal = robot.step([2, True, -1, False, True], "goal", 0.0, False)
+    assert goal == [0, False, 0, True, False]
+    s = goal
+    for _ in range(4):
+        s = tick(s)
+    assert s == [4, True, -1, True, False] and tick(s) == s  # fear ahead while reacting leaves the count alone
+    assert tick(s, 0.1)[:3] == [3, True, -1]
+    # an arrival stays one, whatever fear says, and no plan follows it
+    late = [3, False, 0, True, False]
+    arrived = tick(late, distance=0.4)
+    assert arrived == [4, True, 1, False, False] and tick(arrived, 0.1) == arrived
+    # in joystick mode nothing arrives; the button clears fear, the dead-band goal and fear
+    joy = robot.step(late, "joy", 0.0, False, stick=(0.5, 0.0), pressed=True)
+    assert joy == [0, False, 0, True, True] and tick(joy, distance=0.1)[2:] == [0, True, True]
+    assert robot.step([2, False, 0, True, True], "joy", 0.0, False, stick=(0.01, 0.0)) == [0, False, 0, False, True]
+    assert robot.step(late, "joy", 0.0, False, stick=None, pressed=True) == late and robot.step(late, "joy", 0.0, False, stick=(0.5, 0.5)) == late
+
+
+KINDS = {"view": "tick", "signup": "goal", "purchase": "tick", "click": "joy"}
+
+
+def planner_events(n, robots, seed=7):
+    r = np.random.default_rng(seed)
+    kinds = np.array(["view", "signup", "purchase", "click"])[r.choice(4, n, p=[0.75, 0.07, 0.06, 0.12])]
+    return pd.DataFrame({
+        "robot_id": np.where(r.random(n) < 0.8, 0, r.integers(0, robots, n)), "event_id": np.arange(n), "ts": np.arange(n) * 400_000 + r.integers(0, 2, n) * 1000, "kind": [KINDS[k] for k in kinds],
+        "fear": r.random(n) * 0.8 + 0.2, "forward": r.random(n) < 0.9, "distance": np.where(kinds == "purchase", 0.1, 4.0), "stick_x": r.normal(0, 0.5, n), "stick_y": r.normal(0, 0.5, n),
+        "n_axes": np.where(r.random(n) < 0.9, 4, 1), "n_buttons": 2, "pressed": r.random(n) < 0.4,
+    })
+
+
+def folded(events):
+    """Event by event, robot by robot."""
+    out = []
+    for _, own in events.sort_values(["ts", "event_id"]).groupby("robot_id"):
+        state = robot.START
+        for e in own.itertuples():
+            stick = (e.stick_x, e.stick_y) if e.kind == "joy" and e.n_axes > 1 else None
+            state = robot.step(state, e.kind, e.fear, e.forward, e.distance, stick, e.pressed)
+            out.append((e.robot_id, e.event_id, *state))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_planner_fold_over_many_tasks(spark, parts):
+    e = planner_events(300, 5)
+    got = robot.fold_batch(spark.createDataFrame(e), parts=parts)
+    want = folded(e)
+    assert sorted(map(tuple, got.collect())) == want and any(x[3] for x in want) and any(x[4] == 1 for x in want)
+    assert all(s[-5:] and list(s[2:]) in robot.all_states() for s in want)
+    assert robot.fold_batch(spark.createDataFrame(e).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 9, 80])
+def test_folds_without_tables(spark, parts):
+    r = np.random.default_rng(8)
+    env = np.where(r.random(200) < 0.7, "a", np.where(r.random(200) < 0.5, "b", "c"))
+    p = pd.DataFrame({"env": env, "frame_id": r.permutation(200), **{c: np.round(r.normal(0, 0.02, 200), 3) for c in ("x", "y", "z", "qx", "qy", "qz", "qw")}})
+    want = []
+    for e, own in p.sort_values("frame_id").groupby("env"):
+        last, n = None, 0
+        for row in own.itertuples():
+            v = np.array(row[3:])
+            if last is None or np.linalg.norm(v - last) >= 0.05:
+                want.append((e, row.frame_id, n))
+                last, n = v, n + 1
+    assert sorted(map(tuple, robot.deduplicate_motion(spark.createDataFrame(p), 0.05, parts).collect())) == sorted(want)
+    log = pd.DataFrame({"run": env, "epoch": np.arange(200), "val_loss": r.random(200)})
+    want = []
+    for e, own in log.groupby("run"):
+        steps, _ = scoring.plateau_steps(own["val_loss"].tolist(), [None, 0, 1e-5, False])
+        want += [(e, i, *s) for i, s in zip(own["epoch"], steps)]
+    got = sorted(map(tuple, scoring.replay_schedule(spark.createDataFrame(log), 1e-5, parts).collect()))
+    assert got == sorted(want) and any(x[3] for x in got)
+
+
+def test_planner_stream_equals_batch(spark, tmp_path):
+    """Files in order of time, but rows late by less than the watermark allows, within and across micro-batches."""
+    e = planner_events(160, 4)
+    order = np.argsort(e["ts"].to_numpy() + np.random.default_rng(1).integers(0, 6_000_000, 160), kind="stable")
+    last = e.iloc[:1].assign(robot_id=99, event_id=9999, ts=10**9)  # moves the watermark past all others
+    shuffled = pd.concat([e.iloc[order], last])
+    schema = robot.EVENT
+    for i in range(4):
         part = tmp_path / "in" / f"{i}"
-        spark.createDataFrame(e.iloc[i * 40 : i * 40 + 40], schema).coalesce(1).write.parquet(str(part))
+        spark.createDataFrame(shuffled.iloc[i * 41 : i * 41 + 41], schema).coalesce(1).write.parquet(str(part))
         os.utime(next(part.glob("part-*")), (i + 1, i + 1))
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
@@ -162,16 +236,18 @@ def test_fear_stream_equals_batch(spark, tmp_path):
         stream = robot.fold_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")))
         q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         assert q.awaitTermination(120)
-        assert len(q.recentProgress) >= 3
+        assert len(q.recentProgress) >= 4
     finally:
         spark.conf.set(provider, before)
-    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
-    want = sorted(map(tuple, robot.fold_batch(spark.createDataFrame(e, schema)).collect()))
-    assert got == want and any(x[3] for x in want)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).where("robot_id < 99").collect()))
+    assert got == folded(e) and any(x[3] for x in got)
 
 
 def test_plateau():
-    assert scoring.plateau_steps([1.0] * 7, 0.1, patience=4)[5] == (0.05, False)
+    run = lambda losses, lr: scoring.plateau_steps(losses, [None, 0, lr, False], patience=4)[0]
+    assert run([1.0] * 7, 0.1)[5] == (0.05, False)
+    # where the rate can't drop any more it stays, and training stops
+    assert run([1.0] * 7, 1e-6)[4:6] == [(1e-6, False), (1e-6, True)]
 
 
 def test_entry_without_training_data_operators():
