@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
+from ._store import sized, stored
+
 LEAF = 64
 SHARD_ROWS, BLOCK_ROWS = 4096, 512
 PAIRS = 16_384
@@ -137,11 +139,11 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _plant(table):
     ids, v = _matrix(table)
     order = np.argsort(ids, kind="stable")
-    return pa.table({"part": table.column("part")[:1], "tree": pa.array([pickle.dumps(Tree(ids[order], v[order]), 5)], pa.binary())})
+    return pa.table({"n": table.column("n")[:1], "part": table.column("part")[:1], "tree": pa.array([pickle.dumps(Tree(ids[order], v[order]), 5)], pa.binary())})
 
 
 def _pack(table):
-    return pa.table({"block": table.column("part")[:1], "queries": pa.array([pickle.dumps(_matrix(table), 5)], pa.binary())})
+    return pa.table({"n": table.column("n")[:1], "block": table.column("part")[:1], "queries": pa.array([pickle.dumps(_matrix(table), 5)], pa.binary())})
 
 
 def _search(k: int, factor: float):
@@ -156,13 +158,11 @@ def _search(k: int, factor: float):
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v of the rows that take part: an id and a vector without null or non-finite components that isn't zero, of the commonest length."""
+    """id, v, n of the rows that take part: an id and a vector without null or non-finite components that isn't zero; n is its length."""
     v = F.col("v")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     d = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
-    d = d.where(~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
-    length = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return d.where(F.size("v") == (length["n"] if length else 0))
+    return d.where(~F.exists(v, bad) & F.exists(v, lambda x: x != 0)).withColumn("n", F.size("v"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -170,15 +170,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
 
     Every vector is in one of about count / shard_rows trees (dealt by a hash of the id, so copies of one vector spread). Blocks of queries meet every
     tree. factor 1 searches exactly; a larger one prunes as if the triangle inequality's bound were that much larger: faster, some neighbours missed.
-    Rows that aren't usable take no part; fewer than k candidates give fewer rows; repeated ids are candidates each; an empty table gives no row.
+    Rows that aren't usable take no part; vectors of each length are searched among those of that length, as others have no cosine with them; fewer than k candidates give fewer rows; repeated ids are candidates each; an empty table gives no row.
     """
-    v = usable(vectors, id_col, vector_col)
-    q = usable(queries, id_col, vector_col)
-    shards, blocks = (max(1, math.ceil(x.count() / n)) for x, n in ((v, shard_rows), (q, block_rows)))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    trees = v.withColumn("part", part(shards)).groupBy("part").applyInArrow(_plant, "part int, tree binary")
-    packs = q.withColumn("part", part(blocks)).groupBy("part").applyInArrow(_pack, "block int, queries binary")
-    meet = packs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, "part")
+    v, q = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
+    share = lambda d, most, name: d.groupBy("n").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    shards, blocks = stored(share(v, shard_rows, "shards"), "ann-shards"), stored(share(q, block_rows, "blocks"), "ann-blocks")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    trees = v.join(sized(shards), "n").withColumn("part", part("shards")).groupBy("n", "part").applyInArrow(_plant, "n int, part int, tree binary")
+    packs = q.join(sized(blocks), "n").withColumn("part", part("blocks")).groupBy("n", "part").applyInArrow(_pack, "n int, block int, queries binary")
+    meet = packs.join(sized(shards), "n").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).join(trees, ["n", "part"])
     found = meet.select("tree", "queries").mapInArrow(_search(k, factor), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

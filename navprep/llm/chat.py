@@ -7,6 +7,7 @@ The least costs of a stretch of turns are a matrix in the (min, +) algebra, so s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -113,6 +114,15 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batched(rows(), pa.schema([("conv_id", pa.int64()), ("stretch", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_()), ("cost", pa.float64())]))
 
 
+#: A mark of ours in a text, and as many backslashes as make it none.
+_MARK = re.compile(r"<(\\*)\|(end|%s)\|>" % "|".join(ROLES))
+
+
+def escaped(text: str) -> str:
+    """text with a backslash more in each `<|role|>` or `<|end|>`, so that it can't be read as a turn; taking one away in each gives the text again."""
+    return _MARK.sub(r"<\\\1|\2|>", text)
+
+
 def _head(role: int, first: bool) -> str:
     return ("" if first else "<|end|>\n") + f"<|{ROLES[role - 1]}|>\n"
 
@@ -123,7 +133,7 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             roles, s = [role_number(t["role"]) for t in turns], turns[0]["entry"]
             for i, (t, to) in enumerate(zip(turns, stretch_path(roles, s, turns[0]["leave"]))):
                 cost, action, inserted = MOVES[roles[i]][s, to]
-                out, text = "", t["text"] or ""
+                out, text = "", escaped(t["text"] or "")
                 for x in inserted:
                     out += _head(x, s == 0 and not out)
                 out += "\n" + text if "merge" in action else _head(to, s == 0 and not out) + text
@@ -140,7 +150,7 @@ def repair_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     """conv_id, turn, role, action, n_inserted, cost, rendered for every turn. A conversation's rendered parts, joined in order, are the repaired chat.
 
     Turns stand in order of turn, then role, then text; a null turn comes last; a null or unknown role takes the cheapest legal one; a null text is
-    empty; turns without a conversation id are one conversation. Repeated rows are turns each. Conversations are dealt by stretches of turn numbers, so a
+    empty, and marks of turns within one are escaped; turns without a conversation id are one conversation. Repeated rows are turns each. Conversations are dealt by stretches of turn numbers, so a
     long one is not in one task.
     """
     t = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))

@@ -19,6 +19,8 @@ from ._store import stored
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 SALTS = 64
+#: Sources up to which tables of a few rows for each are broadcast; beyond, they are shuffled.
+MAX_SMALL_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -48,17 +50,23 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _beside(df: DataFrame, sources: int) -> DataFrame:
+    """A table of some rows for each source, as a join's small side."""
+    return F.broadcast(df) if sources <= MAX_SMALL_SOURCES else df.hint("merge")
+
+
 def tilt(hist: DataFrame, targets: DataFrame, max_copies: int, tolerance: float = 1e-10, iterations: int = 80) -> DataFrame:
-    """source, theta by distributed Newton iterations on the dual, at most iterations of them; theta null: every rate is max_copies (or no words)."""
+    """source, theta by distributed Newton iterations on the dual; theta null: every rate is max_copies (or no words). It is an error if iterations aren't enough:
+    a step outside the bracket halves it, so 80 of them reach the tolerance from any start."""
     cap, top = float(max_copies), math.log(max_copies)
     t = targets.select("source", "source_size", "target")
     open_ = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * cap)
     lo = F.when(F.col("target") < F.col("source_size"), F.log(F.col("target") / F.col("source_size")) - 1e-9).otherwise(0.0)
     hi = F.when(F.col("target") < F.col("source_size"), 0.0).otherwise(top)
     now = stored(t.where(open_).select("source", "target", lo.alias("lo"), hi.alias("hi"), F.lit(0.0).alias("theta"), F.lit(1.0).alias("gap")), "mix-theta")
-    h = hist.where("size > 0")
+    h, sources = hist.where("size > 0"), now.count()
     for _ in range(iterations):
-        x = h.alias("h").join(F.broadcast(now).alias("t"), _same(F.col("h.source"), F.col("t.source")))
+        x = h.alias("h").join(_beside(now, sources).alias("t"), _same(F.col("h.source"), F.col("t.source")))
         e = F.least(F.lit(cap), F.exp(F.least(F.lit(top), F.col("theta") * F.col("size"))))
         words = F.sum(F.col("n") * F.col("size") * e)
         slope = F.sum(F.when(e < cap, F.col("n") * F.col("size") * F.col("size") * e).otherwise(0.0))
@@ -71,6 +79,8 @@ def tilt(hist: DataFrame, targets: DataFrame, max_copies: int, tolerance: float
         now = stored(x, "mix-theta")
         if (now.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        raise RuntimeError(f"rates didn't meet their targets within {iterations} steps")
     # sums in another order differ by less than this rounding, so reruns round alike
     return now.select("source", F.round("theta", 13).alias("theta"))
 
@@ -95,14 +105,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cap, top = float(max_copies), math.log(max_copies)
     t = targets.alias("a").join(theta.alias("b"), _same(F.col("a.source"), F.col("b.source")), "left").select("a.source", "source_size", "target", "theta")
     t = stored(t, "mix-tilted")
-    h = hist.alias("h").join(F.broadcast(t).alias("t"), _same(F.col("h.source"), F.col("t.source"))).select("h.source", "size", "n", "source_size", "target", "theta")
+    sources = t.count()
+    h = hist.alias("h").join(_beside(t, sources).alias("t"), _same(F.col("h.source"), F.col("t.source"))).select("h.source", "size", "n", "source_size", "target", "theta")
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("theta").isNull(), F.when(F.col("target") > 0, cap).otherwise(1.0)).otherwise(F.least(F.lit(cap), F.exp(F.least(F.lit(top), F.col("theta") * F.col("size")))))
     h = h.withColumn("rate", rate).withColumn("part", F.floor(F.log2(F.col("size") + 1.0)).cast("int"))
     # running sums over a source in two levels: powers of two of the size, then sizes
     parts = h.groupBy("source", "part").agg(F.sum(F.col("n") * F.col("rate")).alias("mass"))
     before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), F.coalesce(F.sum("mass").over(before), F.lit(0.0)).alias("base"))
-    h = h.join(F.broadcast(parts), _same(F.col("source"), F.col("p_source")) & (F.col("part") == F.col("p_part"))).drop("p_source", "p_part")
+    h = h.join(_beside(parts, sources), _same(F.col("source"), F.col("p_source")) & (F.col("part") == F.col("p_part"))).drop("p_source", "p_part")
     run = W.partitionBy("source", "part").orderBy("size")
     h = h.withColumn("to", F.col("base") + F.sum(F.col("n") * F.col("rate")).over(run))
     # 1e-7 keeps sums that are whole but for rounding on one side
@@ -112,7 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     h = stored(h.select("source", "size", "n", "source_size", "target", "rate", "part", "c"), "mix-copies")
     # what is missing (or too much) of each source, taken up by one size of each part, large ones first
     lack = h.groupBy("source").agg((F.max("target") - F.sum(F.col("c") * F.col("size"))).alias("lack"))
-    room = h.where("size > 0").alias("h").join(F.broadcast(lack).alias("l"), _same(F.col("h.source"), F.col("l.source"))).select("h.source", "part", "size", "lack", F.when(F.col("lack") > 0, F.col("n") * max_copies - F.col("c")).otherwise(F.col("c")).alias("room"))
+    room = h.where("size > 0").alias("h").join(_beside(lack, sources).alias("l"), _same(F.col("h.source"), F.col("l.source"))).select("h.source", "part", "size", "lack", F.when(F.col("lack") > 0, F.col("n") * max_copies - F.col("c")).otherwise(F.col("c")).alias("room"))
     room = room.where((F.col("room") > 0) & (F.col("size") <= F.abs("lack") * 2)).groupBy("source", "part").agg(F.max(F.struct("size", "room")).alias("x"), F.first("lack").alias("lack"))
     small = room.groupBy("source").agg(F.max("lack").alias("lack"), F.sort_array(F.collect_list("x"), False).alias("xs"))  # at most 64 parts
     step = lambda acc, x: F.struct(
@@ -122,7 +133,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     start = F.struct(F.abs("lack").alias("left"), F.element_at("xs", -1)["size"].alias("last"), F.expr("cast(array() as array<struct<size:bigint,k:bigint>>)").alias("out"))
     fix = small.select("source", F.signum("lack").cast("long").alias("sign"), F.explode(F.aggregate("xs", start, step)["out"]).alias("o")).select(F.col("source").alias("f_source"), F.col("o.size").alias("f_size"), (F.col("sign") * F.col("o.k")).alias("k"))
-    h = h.join(F.broadcast(fix), _same(F.col("source"), F.col("f_source")) & (F.col("size") == F.col("f_size")), "left")
+    h = h.join(_beside(fix, sources), _same(F.col("source"), F.col("f_source")) & (F.col("size") == F.col("f_size")), "left")
     h = stored(h.select("source", "size", "n", "source_size", "target", "rate", (F.col("c") + F.coalesce("k", F.lit(0))).alias("c")), "mix-fixed")
     # documents of one source and size take c copies among n: the first c % n by rank one more; ranks from salted counts
     prior = W.partitionBy("source", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)

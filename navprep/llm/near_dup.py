@@ -308,16 +308,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no partner is capped. Sequential looks at the signature drop a candidate when its posterior chance of reaching the threshold falls below miss;
     survivors are verified on full sets.
 
-    Rows with a null id keep a row of their own with a null component and kept true; rows that repeat whole get equal results. Ids should name one text.
+    Rows with a null id keep a row of their own with a null component and kept true; rows that repeat whole get equal results. Where an id names several texts,
+    each row is linked by its own text, and its component is the least id of the rows it is linked with: a row's id links it with nothing.
     """
     T.small_batches(docs.sparkSession)
-    bands, rows = bands_for(percent / 100, hashes, miss)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if not _repeats(docs):
+        return _by_id(docs, k, percent, hashes, miss)
+    rows = stored(docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "nd-rows")
+    found = stored(_by_id(rows.select(F.col("row").alias("doc_id"), "text"), k, percent, hashes, miss).withColumnRenamed("doc_id", "row"), "nd-found")
+    named = found.where("row is not null").join(rows.where("row is not null").select("row", "doc_id"), "row")
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    out = named.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    out = out.unionByName(found.where("row is null").select(F.col("row").alias("doc_id"), "n_shingles", "component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _by_id(docs: DataFrame, k: int, percent: int, hashes: int, miss: float) -> DataFrame:
+    """near_duplicates of docs (doc_id, text) whose ids don't repeat."""
+    bands, rows = bands_for(percent / 100, hashes, miss)
     sigs = stored(docs.mapInArrow(T.tidy(_signer(k, bands, rows, hashes)), "doc_id long, n_shingles long, c1 long, c2 long, sig binary, bands array<long>, full boolean"), "nd-sigs")
     classes = sigs.where("full and doc_id is not null").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes, "nd-classes")
-    reps = stored(sigs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("full").dropDuplicates(["doc_id"]).select("doc_id", "sig", "bands"), "nd-reps")
-    judge = _Links(docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(docs) else docs, reps, k, percent, hashes, miss)
+    reps = stored(sigs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("full").select("doc_id", "sig", "bands"), "nd-reps")
+    judge = _Links(docs, reps, k, percent, hashes, miss)
     keyed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     pivot = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = stored(keyed.join(pivot, "key").select("key", "id", "a", "n"), "nd-members")

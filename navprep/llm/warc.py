@@ -39,19 +39,26 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     r = r.where(full | (F.col("kind") == "revisit")).withColumn("response", F.when(full, F.struct("ts", "record_id", "status", "etag", "last_modified", "headers")))
     earlier = W.partitionBy("url_key", "bucket").orderBy("ts").rangeBetween(W.unboundedPreceding, -1)
     plain = F.struct("ts", "record_id")
-    ids = r.select("url_key", "bucket", "ts", "record_id", "kind", F.when(full, plain).alias("own"))
+    # revisits without a URL or time are missing: they stay out of windows and joins, where all would meet
+    placed = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    ids = r.where(placed).select("url_key", "bucket", "ts", "record_id", "kind", F.when(full, plain).alias("own"))
     inside = ids.withColumn("asof", F.max("own").over(earlier))
     by_bucket = ids.where("own is not null").groupBy("url_key", "bucket").agg(F.max("own").alias("top"))
     steps = ids.select("url_key", "bucket").distinct().join(by_bucket, ["url_key", "bucket"], "left")
     carry = steps.withColumn("carried", F.max("top").over(W.partitionBy("url_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))).select("url_key", "bucket", "carried")
     found = inside.where("kind = 'revisit'").select("record_id", "ts", "url_key", "bucket", "asof").join(carry.where("carried is not null"), ["url_key", "bucket"], "left")
-    found = found.select("record_id", "ts", "url_key", F.coalesce(F.col("asof"), F.col("carried"))["record_id"].alias("response_id")).distinct()
+    found = found.select("record_id", "ts", "url_key", F.coalesce(F.col("asof"), F.col("carried")).alias("asof")).distinct()
     revisits = r.where("kind = 'revisit'").select("record_id", "ts", "url_key", "etag", "last_modified", "headers")
-    both = revisits.alias("v").join(found.alias("f"), F.col("v.record_id").eqNullSafe(F.col("f.record_id")) & F.col("v.ts").eqNullSafe(F.col("f.ts")) & F.col("v.url_key").eqNullSafe(F.col("f.url_key"))).select("v.*", "f.response_id")
-    original = r.where(full).select(F.col("record_id").alias("o_id"), F.struct("status", "etag", "last_modified", "headers").alias("o")).dropDuplicates(["o_id"])
-    x = both.join(original, F.col("response_id") == F.col("o_id"), "left")
+    here = (F.col("v.ts") == F.col("f.ts")) & (F.col("v.url_key") == F.col("f.url_key")) & F.col("v.record_id").eqNullSafe(F.col("f.record_id"))
+    both = revisits.where(placed).alias("v").join(found.alias("f"), here).select("v.*", F.col("f.asof.record_id").alias("response_id"), F.col("f.asof.ts").alias("response_ts"))
+    original = r.where(full).select(F.col("url_key").alias("o_key"), F.col("ts").alias("o_ts"), F.col("record_id").alias("o_id"), F.lit(True).alias("there"), F.struct("status", "etag", "last_modified", "headers").alias("o"))
+    # a response is told by URL, time and id: one id may name several
+    same_one = (F.col("response_ts") == F.col("o_ts")) & (F.col("url_key") == F.col("o_key")) & F.col("response_id").eqNullSafe(F.col("o_id"))
+    x = both.join(original.dropDuplicates(["o_key", "o_ts", "o_id"]), same_one, "left")
+    lone = revisits.where(~placed)
+    x = x.unionByName(lone, allowMissingColumns=True)
     same = F.when(F.col("etag").isNotNull(), F.col("etag").eqNullSafe(F.col("o.etag"))).when(F.col("last_modified").isNotNull(), F.col("last_modified").eqNullSafe(F.col("o.last_modified"))).otherwise(True)
-    state = F.when(F.col("o_id").isNull(), "missing").when(same, "resolved").otherwise("changed")
+    state = F.when(F.col("there").isNull(), "missing").when(same, "resolved").otherwise("changed")
     may = F.array(*map(F.lit, PERMITTED))
     new = F.map_filter("headers", lambda k, _: F.array_contains(may, k))
     merged = F.map_concat(F.map_filter("o.headers", lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
