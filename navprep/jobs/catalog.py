@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as g
 from ..operators import grids, pairs, points as P, scoring, sync, vectors
-from ..streaming import robot
+from ..streaming import live_sync, robot
 from . import domain as d
 from . import frame_queries  # noqa: F401  (registers its queries)
 from .registry import ORACLES, QUERIES, query, rounded as _r  # noqa: F401
@@ -41,7 +41,7 @@ def _distances(name: str, source: str, zero: str) -> str:
     """CTEs that end in name (env, ix, iy, d): cells of source to the nearest where zero holds, exactly: along x, then over y."""
     z = f"CASE WHEN {zero} THEN ix END"
     return f"""{name}_line AS MATERIALIZED (SELECT env, ix, iy, least(ix - max({z}) OVER (PARTITION BY env, iy ORDER BY ix), min({z}) OVER (PARTITION BY env, iy ORDER BY ix ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - ix) dx FROM {source}),
-{name} AS MATERIALIZED (SELECT a.env, a.ix, a.iy, sqrt(min(b.dx * b.dx + (a.iy - b.iy) * (a.iy - b.iy))) d FROM {name}_line a LEFT JOIN (SELECT * FROM {name}_line WHERE dx IS NOT NULL) b ON b.env = a.env AND b.ix = a.ix GROUP BY 1, 2, 3)"""
+{name} AS MATERIALIZED (SELECT a.env, a.ix, a.iy, sqrt(min(b.dx * b.dx + (a.iy - b.iy) * (a.iy - b.iy))) d FROM {name}_line a LEFT JOIN (SELECT * FROM {name}_line WHERE dx IS NOT NULL) b ON b.env = a.env AND b.ix = a.ix AND (a.dx IS NULL OR abs(a.iy - b.iy) <= a.dx) GROUP BY 1, 2, 3)"""
 
 
 _M, _PTS, _POSES, _ROBOT = map(d.sql_for_duckdb, (d.MESSAGES, d.POINTS, d.POSES, d.ROBOT))
@@ -145,17 +145,6 @@ def inflated(spark, sf_dir):
     return P.inflate(P.occupied_cells(P.to_cells(_obstacles(spark, sf_dir), params)), params, 0.1, VOXEL)
 
 
-@query(_BOUNDS + """, occ AS (SELECT DISTINCT env, ix // 8 ix, iy // 8 iy FROM ok), q AS (SELECT env, CAST(ceil(num_x / 8) AS INTEGER) nx, CAST(ceil(num_y / 8) AS INTEGER) ny FROM p),
-g AS (SELECT env, CAST(i AS INTEGER) ix, CAST(j AS INTEGER) iy FROM q, range(0, 200) a(i), range(0, 200) b(j) WHERE i < nx AND j < ny),
-f AS (SELECT g.env, g.ix, g.iy, min((g.ix - o.ix) * (g.ix - o.ix) + (g.iy - o.iy) * (g.iy - o.iy)) d FROM g JOIN occ o USING (env) GROUP BY 1, 2, 3)
-SELECT env, ix, iy, round(sqrt(d), 6) "value" FROM f""")
-def distance_field(spark, sf_dir):
-    params = _params(spark, sf_dir)
-    c = P.occupied_cells(P.to_cells(_obstacles(spark, sf_dir), params)).select("env", F.expr("ix div 8").cast("int").alias("ix"), F.expr("iy div 8").cast("int").alias("iy")).distinct()
-    coarse = params.select("env", *(F.ceil(F.col(f"num_{a}") / 8).cast("int").alias(f"num_{a}") for a in "xy"), F.lit(VOXEL * 8).alias("voxel"))
-    return grids.distance_cells(c, coarse).withColumn("value", _r("value"))
-
-
 @query(_BOUNDS + f""", {_grid()}, z AS (SELECT DISTINCT env, ix, iy FROM ok), l AS (SELECT g.*, z.env IS NOT NULL occupied FROM g LEFT JOIN z USING (env, ix, iy)), {_distances("df", "l", "occupied")}
 SELECT env, ix, iy, round(d, 6) AS "value" FROM df""")
 def distance_field_full(spark, sf_dir):
@@ -173,15 +162,27 @@ def component_labels(spark, sf_dir):
     return grids.component_cells(P.occupied_cells(P.to_cells(_obstacles(spark, sf_dir), params)), params)
 
 
-@query(_BOUNDS + f""", {_grid()}, fr AS (SELECT DISTINCT t.env, CAST(round_even((x - start_x) / {VOXEL}, 0) AS INTEGER) ix, CAST(round_even((y - start_y) / {VOXEL}, 0) AS INTEGER) iy FROM t JOIN p USING (env) WHERE terrain = 'free'),
-way AS (SELECT DISTINCT k.env, ix + i ix, iy + j iy FROM (SELECT DISTINCT q.env, CAST(round_even((x - start_x) / {VOXEL}, 0) AS INTEGER) ix, CAST(round_even((y - start_y) / {VOXEL}, 0) AS INTEGER) iy FROM ({_POSES}) q JOIN p USING (env)) k,
- (SELECT i, j FROM range(-7, 8) a(i), range(-7, 8) b(j) WHERE sqrt(i * i + j * j) <= {0.3 / VOXEL!r}) off),
-l AS MATERIALIZED (SELECT g.*, o.env IS NOT NULL obstacle, f.env IS NOT NULL free, w.env IS NOT NULL corridor FROM g LEFT JOIN (SELECT DISTINCT env, ix, iy FROM ok) o USING (env, ix, iy) LEFT JOIN fr f USING (env, ix, iy) LEFT JOIN way w USING (env, ix, iy)),
-l0 AS (SELECT env, ix, iy, num_x, num_y, CASE WHEN obstacle THEN 1e0 ELSE 0e0 END v FROM l), l1 AS (SELECT env, ix, iy, num_x, num_y, CASE WHEN free THEN 0e0 ELSE 1e0 END v FROM l), {_smoothed("so", "l0", 0.3 / VOXEL)}, {_smoothed("sl", "l1", 2.5)},
+def _surface_sql(robot: float, sigma: float = 2.5) -> str:
+    """CTEs and the final rows of a surface map from g (every cell), ok, fr and way (obstacle, free and corridor cells); robot and sigma in cells."""
+    return f"""l AS MATERIALIZED (SELECT g.*, o.env IS NOT NULL obstacle, f.env IS NOT NULL free, w.env IS NOT NULL corridor FROM g LEFT JOIN (SELECT DISTINCT env, ix, iy FROM ok) o USING (env, ix, iy) LEFT JOIN fr f USING (env, ix, iy) LEFT JOIN way w USING (env, ix, iy)),
+l0 AS (SELECT env, ix, iy, num_x, num_y, CASE WHEN obstacle THEN 1e0 ELSE 0e0 END v FROM l), l1 AS (SELECT env, ix, iy, num_x, num_y, CASE WHEN free THEN 0e0 ELSE 1e0 END v FROM l), {_smoothed("so", "l0", robot)}, {_smoothed("sl", "l1", sigma)},
 m AS (SELECT l.*, so.v / (max(so.v) OVER (PARTITION BY env) + 1e-5) obs, CASE WHEN max(sl.v) OVER (PARTITION BY env) > 0 THEN sl.v / max(sl.v) OVER (PARTITION BY env) ELSE sl.v END lay FROM l JOIN so USING (env, ix, iy) JOIN sl USING (env, ix, iy)),
 n1 AS MATERIALIZED (SELECT *, NOT corridor AND (obs > 0.3 OR lay >= 0.7) blocked FROM m), {_distances("ds", "n1", "NOT blocked")},
-d0 AS (SELECT env, ix, iy, num_x, num_y, coalesce(d, 0) v FROM ds JOIN g USING (env, ix, iy)), {_smoothed("sd", "d0", 2.5)}
-SELECT env, ix, iy, round(ln(v + 1.00001), 6) + 0.0 AS "value" FROM sd""")
+d0 AS (SELECT env, ix, iy, num_x, num_y, coalesce(d, 0) v FROM ds JOIN g USING (env, ix, iy)), {_smoothed("sd", "d0", sigma)}
+SELECT env, ix, iy, round(ln(v + 1.00001), 6) + 0.0 AS "value" FROM sd"""
+
+
+def _corridor_sql(poses: str, radius: float) -> str:
+    """Cells within radius cells of a pose's."""
+    n = int(radius) + 1
+    return f"""SELECT DISTINCT k.env, ix + i ix, iy + j iy FROM (SELECT DISTINCT q.env, CAST(round_even((x - start_x) / {VOXEL}, 0) AS INTEGER) ix, CAST(round_even((y - start_y) / {VOXEL}, 0) AS INTEGER) iy FROM ({poses}) q JOIN p USING (env)) k,
+ (SELECT i, j FROM range(-{n}, {n + 1}) a(i), range(-{n}, {n + 1}) b(j) WHERE sqrt(i * i + j * j) <= {radius!r}) off"""
+
+
+_FREE = f"SELECT DISTINCT t.env, CAST(round_even((x - start_x) / {VOXEL}, 0) AS INTEGER) ix, CAST(round_even((y - start_y) / {VOXEL}, 0) AS INTEGER) iy FROM t JOIN p USING (env) WHERE terrain = 'free'"
+
+
+@query(_BOUNDS + f", {_grid()}, fr AS ({_FREE}), way AS ({_corridor_sql(_POSES, 0.3 / VOXEL)}), {_surface_sql(0.3 / VOXEL)}")
 def surface_map(spark, sf_dir):
     """Cost maps of all envs from obstacle and free points and the corridor of poses."""
     params = _params(spark, sf_dir)
@@ -325,6 +326,13 @@ def rate_limited(spark, sf_dir):
     return out.select("robot_id", F.expr("unix_micros(tick.start) div 86400000000").alias("tick"), F.col("sample_id").alias("event_id"))
 
 
+@query()
+def live_samples(spark, sf_dir):
+    """Four topics of each bag matched as they come, queues of ten; held against every combination, message by message (tests)."""
+    m = d.view(spark, sf_dir, d.MESSAGES).select(F.col("bag").alias("robot_id"), "topic", F.col("stamp").alias("ts"), F.col("msg_idx").alias("msg_id"))
+    return live_sync.live_sync(m, 24 * HOUR)
+
+
 _SEVEN = ("x", "y", "z", "qx", "qy", "qz", "qw")
 
 

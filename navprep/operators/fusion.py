@@ -1,4 +1,4 @@
-"""Projective truncated-distance fusion of depth frames."""
+"""Projective truncated-distance fusion of depth frames, in packed blocks of voxels."""
 
 from __future__ import annotations
 
@@ -10,25 +10,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import POSE
 from .points import voxel_downsample
+from .rays import rotation
 
-BLOCK = 8
-VOXELS = "env string, ix int, iy int, iz int, total double, weight long"
+#: Voxels of a block's side, and blocks that a task holds before it hands their sums on.
+BLOCK, HELD = 8, 4096
+_SUMS = "env string, bx int, by int, bz int, total binary, weight binary"
+_BLOCK_KEY = ("env", "bx", "by", "bz")
 
 
-def rotation(q: np.ndarray) -> np.ndarray:
-    x, y, z, w = q / np.linalg.norm(q)
-    return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
-
-
-def frame_distances(depth: np.ndarray, k: tuple[float, float, float, float], camera: np.ndarray, voxel: float, trunc: float, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(voxel indices, truncated distances in -1..1) of the voxels of the blocks near a frame's surface (metres, 0: nothing).
+def frame_blocks(depth: np.ndarray, k: tuple[float, float, float, float], camera: np.ndarray, voxel: float, trunc: float, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(blocks, truncated distances in -1..1, whether they count) of the blocks near a frame's surface (metres, 0: nothing), some at a time.
 
     A voxel counts if its centre projects into the image onto a measured pixel and lies at most trunc behind it."""
     fx, fy, cx, cy = k
     r, t = rotation(camera[3:]), camera[:3]
     v, u = np.nonzero(depth > 0)
     if not len(v):
-        return np.zeros((0, 3), np.int64), np.zeros(0)
+        return
     d = depth[v, u]
     world = np.stack([(u - cx) / fx * d, (v - cy) / fy * d, d], 1) @ r.T + t
     side = block * voxel
@@ -36,10 +34,9 @@ def frame_distances(depth: np.ndarray, k: tuple[float, float, float, float], cam
     reach = range(int((hi - lo).max()) + 1)
     blocks = np.unique(np.concatenate([np.unique(np.minimum(lo + (i, j, l), hi), axis=0) for i in reach for j in reach for l in reach]), axis=0)
     inner = np.stack(np.meshgrid(*(np.arange(block),) * 3, indexing="ij"), -1).reshape(-1, 3)
-    cells, values = [], []
     for i in range(0, len(blocks), 64):  # arrays of a bounded size
-        idx = (blocks[i : i + 64, None] * block + inner).reshape(-1, 3)
-        c = ((idx + 0.5) * voxel - t) @ r
+        some = blocks[i : i + 64]
+        c = (((some[:, None] * block + inner).reshape(-1, 3) + 0.5) * voxel - t) @ r
         z = c[:, 2]
         front = z > 0
         pu, pv = np.full(len(z), -1), np.full(len(z), -1)
@@ -49,10 +46,10 @@ def frame_distances(depth: np.ndarray, k: tuple[float, float, float, float], cam
         at[ok] = depth[pv[ok], pu[ok]]
         along = np.sqrt(1 + ((pu - cx) / fx) ** 2 + ((pv - cy) / fy) ** 2)
         far = (at - z) * along
-        ok &= (at > 0) & (far > -trunc)
-        cells.append(idx[ok])
-        values.append(np.minimum(1.0, far[ok] / trunc))
-    return np.concatenate(cells), np.concatenate(values)
+        ok = (ok & (at > 0) & (far > -trunc)).reshape(len(some), -1)
+        any_ = ok.any(1)
+        if any_.any():
+            yield some[any_], np.minimum(1.0, far.reshape(ok.shape)[any_] / trunc), ok[any_]
 
 
 def nearest_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -61,40 +58,110 @@ def nearest_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return image[np.arange(height) * image.shape[0] // height][:, np.arange(width) * image.shape[1] // width]
 
 
+class _Sums:
+    """Sums by block that a task holds."""
+
+    def __init__(self):
+        self.at: dict[tuple, int] = {}
+        self.total, self.weight = np.zeros((HELD, BLOCK**3)), np.zeros((HELD, BLOCK**3), np.int32)
+
+    def add(self, env: str, blocks: np.ndarray, value: np.ndarray, ok: np.ndarray) -> bool:
+        """Whether there was room."""
+        keys = [(env, *b) for b in blocks.tolist()]
+        if len(self.at) + sum(k not in self.at for k in keys) > HELD:
+            return False
+        rows = [self.at.setdefault(k, len(self.at)) for k in keys]
+        self.total[rows] += np.where(ok, value, 0.0)
+        self.weight[rows] += ok
+        return True
+
+    def out(self) -> pd.DataFrame:
+        rows = [(*k, self.total[i].tobytes(), self.weight[i].tobytes()) for k, i in self.at.items()]
+        self.at.clear()
+        self.total[:], self.weight[:] = 0, 0
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in _SUMS.split(", ")])
+
+
 def fuse(frames: DataFrame, voxel: float, trunc: float, max_range: float, shape: tuple[int, int] | None = None) -> DataFrame:
-    """env, ix, iy, iz, tsdf, weight: the mean truncated distance of each voxel over frames (height, width, data in mm, fx, fy, cx, cy, camera).
+    """env, bx, by, bz, tsdf, weight: the mean truncated distance of each voxel over frames (height, width, data in mm, fx, fy, cx, cy, camera), packed in blocks
+    of BLOCK voxels a side (arrays in order of x, y, z; weight 0: never seen).
 
-    A frame of another shape is resized to it by nearest pixels; one without depth in range changes nothing. Frames are independent; they are spread first, as they are small next to the voxels they touch, and then only sums by voxel are shuffled."""
+    A frame of another shape is resized to it by nearest pixels; one without depth in range changes nothing. Frames are independent; they are spread first, as
+    they are small next to the voxels they touch; a task adds up the frames that it reads, and then blocks meet by their place."""
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = _Sums()
         for b in batches:
             for row in b.itertuples(index=False):
                 depth = np.asarray(row.data, float).reshape(row.height, row.width) / 1000
                 depth = nearest_resize(depth, *shape) if shape else depth
-                idx, value = frame_distances(np.where((depth > 0) & (depth <= max_range), depth, 0.0), (row.fx, row.fy, row.cx, row.cy), np.array([getattr(row, c) for c in POSE], float), voxel, trunc)
-                yield pd.DataFrame({"env": row.env, "ix": idx[:, 0], "iy": idx[:, 1], "iz": idx[:, 2], "total": value, "weight": 1})
-
-    f = frames.select("env", "height", "width", "data", "fx", "fy", *(F.col(f"camera.{c}").alias(c) for c in POSE), F.col("cx"), F.col("cy"))
+                depth = np.where((depth > 0) & (depth <= max_range), depth, 0.0)
+                for part in frame_blocks(depth, (row.fx, row.fy, row.cx, row.cy), np.array([getattr(row, c) for c in POSE], float), voxel, trunc):
+                    if not sums.add(row.env, *part):
+                        yield sums.out()
+                        sums.add(row.env, *part)
+        yield sums.out()
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x) for x in pdf["total"])
+        weight = sum(np.frombuffer(x, np.int32) for x in pdf["weight"])
+        tsdf = np.divide(total, weight, out=np.zeros(len(total)), where=weight > 0)
+        return pdf.iloc[:1][list(_BLOCK_KEY)].assign(tsdf=[tsdf.tobytes()], weight=[weight.astype(np.int32).tobytes()])
+
+    f = frames.where("data is not null").select("env", "height", "width", "data", "fx", "fy", *(F.col(f"camera.{c}").alias(c) for c in POSE), F.col("cx"), F.col("cy"))
     parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = f.repartition(parts).mapInPandas(project, VOXELS).groupBy("env", "ix", "iy", "iz").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
-    return v.select("env", "ix", "iy", "iz", (F.col("total") / F.col("weight")).alias("tsdf"), "weight")
+    sums = f.repartition(parts).mapInPandas(project, _SUMS)
+    return sums.groupBy(*_BLOCK_KEY).applyInPandas(merge, "env string, bx int, by int, bz int, tsdf binary, weight binary")
+
+
+def voxels(volume: DataFrame) -> DataFrame:
+    """env, ix, iy, iz, tsdf, weight of the voxels that were seen, from packed blocks."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                tsdf, weight = np.frombuffer(r.tsdf), np.frombuffer(r.weight, np.int32)
+                at = np.flatnonzero(weight)
+                x, y, z = np.unravel_index(at, (BLOCK,) * 3)
+                yield pd.DataFrame({"env": np.full(len(at), r.env, object), "ix": r.bx * BLOCK + x, "iy": r.by * BLOCK + y, "iz": r.bz * BLOCK + z, "tsdf": tsdf[at], "weight": weight[at]})
+
+    return volume.mapInPandas(unpack, "env string, ix int, iy int, iz int, tsdf double, weight long")
 
 
 def surface_points(volume: DataFrame, voxel: float, edge: float = 0.98) -> DataFrame:
     """env, x, y, z where the distance changes sign between a voxel and its neighbour along an axis, by linear interpolation; values at the limit take no part.
 
-    Each voxel is sent to itself and to its three lower neighbours, so one grouping replaces three joins."""
-    v = volume.where((F.col("tsdf") < edge) & (F.col("tsdf") >= -edge))
+    A block goes to itself and, as the layer behind their last, to its three lower neighbours; each group then holds all the neighbours that it needs."""
     steps = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
-    to = F.explode(F.array(*(F.struct(F.lit(n).alias("role"), *((F.col(f"i{c}") - s).alias(f"i{c}") for c, s in zip("xyz", step))) for n, step in enumerate(steps))))
-    g = v.select("env", "tsdf", to.alias("t")).groupBy("env", "t.ix", "t.iy", "t.iz").agg(*(F.max(F.when(F.col("t.role") == n, F.col("tsdf"))).alias(f"f{n}") for n in range(4)))
-    g = g.where("f0 is not null")
-    shift = lambda n: F.abs("f0") / (F.abs("f0") + F.abs(f"f{n}"))
-    axes = {1: "x", 2: "y", 3: "z"}
-    found = []
-    for n, a in axes.items():
-        found.append(F.when(F.col("f0") * F.col(f"f{n}") < 0, F.struct(*(((F.col(f"i{c}") + 0.5 + (shift(n) if c == a else F.lit(0.0))) * voxel).alias(c) for c in "xyz"))))
-    return g.select("env", F.explode(F.filter(F.array(*found), lambda p: p.isNotNull())).alias("p")).select("env", "p.x", "p.y", "p.z")
+    to = F.explode(F.array(*(F.struct(F.lit(n).alias("role"), *((F.col(f"b{c}") - s).alias(f"b{c}") for c, s in zip("xyz", step))) for n, step in enumerate(steps))))
+
+    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = BLOCK
+        grid = np.full((n + 1,) * 3, np.nan)
+        own = False
+        for role, tsdf, weight in zip(pdf["role"], pdf["tsdf"], pdf["weight"]):
+            a = np.where(np.frombuffer(weight, np.int32) > 0, np.frombuffer(tsdf), np.nan).reshape(n, n, n)
+            a = np.where((a < edge) & (a >= -edge), a, np.nan)
+            if role == 0:
+                grid[:n, :n, :n], own = a, True
+            else:
+                at = [slice(0, n)] * 3
+                at[role - 1] = n
+                grid[tuple(at)] = np.take(a, 0, role - 1)
+        found = []
+        here = grid[:n, :n, :n]
+        for axis in range(3) if own else ():
+            nxt = np.take(grid, range(1, n + 1), axis)[tuple(slice(0, n) for _ in range(3))]
+            at = np.argwhere(here * nxt < 0)
+            f0, f1 = np.abs(here[tuple(at.T)]), np.abs(nxt[tuple(at.T)])
+            p = at + 0.5 + pdf[["bx", "by", "bz"]].iloc[0].to_numpy(float) * n
+            p[:, axis] += f0 / (f0 + f1)
+            found.append(p * voxel)
+        p = np.concatenate(found) if found else np.zeros((0, 3))
+        return pd.DataFrame({"env": np.full(len(p), pdf["env"].iloc[0], object), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
+
+    g = volume.select("env", "tsdf", "weight", to.alias("t")).select("env", "t.*", "tsdf", "weight")
+    return g.groupBy(*_BLOCK_KEY).applyInPandas(cross, "env string, x double, y double, z double")
 
 
 def fused_cloud(frames: DataFrame, voxel: float, trunc: float, max_range: float, shape: tuple[int, int] | None = None) -> DataFrame:

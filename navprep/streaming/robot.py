@@ -3,23 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
 
 from ..operators.folds import ordered_fold
+from .ordered import fold_in_order
 
 BUFFER, NEAR = 3, 1e-2
 #: Metres to a goal that has been reached, metres that a full stick means, and the part of a stick's way that counts for nothing.
 CONVERGED, SCALE, DEADBAND = 0.5, 5.0, 0.05
-STATE = "count int, reacting boolean, status int, active boolean, smart boolean"
 EVENT = "robot_id long, event_id long, ts long, kind string, fear double, forward boolean, distance double, stick_x double, stick_y double, n_axes int, n_buttons int, pressed boolean"
 _RESULT = "fear_count int, reacting boolean, status int, active boolean, smart boolean"
-OUT = f"robot_id long, event_id long, {_RESULT}"
 START = [0, False, 0, False, False]
 #: Goal status: under way, arrived, failed.
 UNDER_WAY, ARRIVED, FAILED = 0, 1, -1
@@ -105,52 +102,10 @@ def fold_batch(events: DataFrame, buffer: int = BUFFER, converged: float = CONVE
     return ordered_fold(completed(events), "robot_id", ["ts", "event_id"], fold, START, _RESULT, ["robot_id", "event_id"], all_states(buffer), parts)
 
 
-_PENDING = EVENT.split(", ", 1)[1]
-
-
-class PlannerProcessor(StatefulProcessor):
-    """The same fold over a stream, in event time: events wait in a list until the watermark has passed them, and are folded in order of ts and event_id, also
-    across micro-batches. State: five numbers of a robot and what waits. Events later than the watermark are dropped by Spark."""
-
-    def __init__(self, buffer: int = BUFFER, converged: float = CONVERGED, deadband: float = DEADBAND):
-        self.limits = (buffer, converged, deadband)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("planner", STATE)
-        self.pending = handle.getListState("pending", _PENDING)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in _PENDING.split(", ")]
-        for pdf in rows:
-            for e in pdf[names].itertuples(index=False):
-                self.pending.appendValue(tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in e))
-            for ms in sorted(set((pdf["ts"] // 1000).tolist())):
-                self.handle.registerTimer(int(ms) + 1)
-        yield pd.DataFrame(columns=[f.split()[0] for f in OUT.split(", ")])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in _PENDING.split(", ")]
-        held = pd.DataFrame(list(self.pending.get()), columns=names)
-        ready = held["ts"] // 1000 < timerValues.getCurrentWatermarkInMs() if len(held) else np.zeros(0, bool)
-        due, rest = held[ready].sort_values(["ts", "event_id"]), held[~ready]
-        if len(due):
-            state = list(self.state.get()) if self.state.exists() else START
-            got, state = fold_rows(due, state, *self.limits)
-            self.state.update((int(state[0]), bool(state[1]), int(state[2]), bool(state[3]), bool(state[4])))
-            self.pending.clear()
-            for e in rest.itertuples(index=False):
-                self.pending.appendValue(tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in e))
-            yield pd.DataFrame({"robot_id": np.full(len(due), key[0]), "event_id": due["event_id"].to_numpy(np.int64), **got})
-
-    def close(self) -> None:
-        pass
-
-
 def fold_stream(events: DataFrame, lateness: str = "10 seconds", buffer: int = BUFFER, converged: float = CONVERGED, deadband: float = DEADBAND) -> DataFrame:
     """fold_batch over a streaming DataFrame (append mode); an event's result comes once the watermark, lateness behind the latest event, has passed it."""
-    rows = completed(events).withColumn("at", F.timestamp_micros("ts")).withWatermark("at", lateness)
-    return rows.groupBy("robot_id").transformWithStateInPandas(PlannerProcessor(buffer, converged, deadband), OUT, "append", "eventTime")
+    fold = lambda rows, state: fold_rows(rows, state, buffer, converged, deadband)
+    return fold_in_order(completed(events), "robot_id", ["ts", "event_id"], fold, START, _RESULT, ["robot_id", "event_id"], lateness)
 
 
 _POSE = ("x", "y", "z", "qx", "qy", "qz", "qw")
@@ -174,6 +129,13 @@ def deduplicate_motion(poses: DataFrame, near: float = NEAR, parts: int | None =
     return kept.where("saved").drop("saved")
 
 
+def deduplicate_stream(poses: DataFrame, lateness: str = "10 seconds", near: float = NEAR) -> DataFrame:
+    """deduplicate_motion over a streaming DataFrame of env, ts (microseconds), frame_id and the pose, in order of ts and frame_id; numbers go on over micro-batches."""
+    rows = poses.select("env", F.col("ts").cast("long").alias("ts"), F.col("frame_id").cast("long").alias("frame_id"), *(F.col(c).cast("double").alias(c) for c in _POSE))
+    kept = fold_in_order(rows, "env", ["ts", "frame_id"], lambda own, state: keep_moved(own, state, near), None, "saved boolean, sample long", ["env", "frame_id"], lateness)
+    return kept.where("saved").drop("saved")
+
+
 def rate_limit(samples: DataFrame, seconds: float) -> DataFrame:
     """The latest sample of each tick, per robot; for a stream give samples a watermark first."""
     tick = F.window("ts", f"{int(seconds * 1_000_000)} microseconds")
@@ -190,14 +152,6 @@ def latency(plans: DataFrame, window: str = "1 minute") -> DataFrame:
     return plans.groupBy(F.window("ts", window).alias("w")).agg(F.count("*").alias("n"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"))
 
 
-def sync_streams(cloud: DataFrame, other: DataFrame, slop: str, lateness: str) -> DataFrame:
-    """Cloud and other messages of a robot within slop, as a stream-stream interval join; both sides carry robot_id, ts, msg_id."""
-    c = cloud.withWatermark("ts", lateness).select(F.col("robot_id"), F.col("ts").alias("cloud_ts"), F.col("msg_id").alias("cloud_id"))
-    o = other.withWatermark("ts", lateness).select(F.col("robot_id").alias("o_robot"), F.col("ts").alias("other_ts"), F.col("msg_id").alias("other_id"))
-    near = (F.col("robot_id") == F.col("o_robot")) & (F.col("other_ts") >= F.col("cloud_ts") - F.expr(f"interval {slop}")) & (F.col("other_ts") <= F.col("cloud_ts") + F.expr(f"interval {slop}"))
-    return c.join(o, near).drop("o_robot")
-
-
 def joystick_goals(events: DataFrame, scale: float = SCALE, deadband: float = DEADBAND) -> DataFrame:
     """robot_id, event_id, smart, goal_x, goal_y, active, fear_count, reacting after each event: the planner's fold, with the goal that a stick set last."""
     e = completed(events)

@@ -2,6 +2,8 @@
 
 import struct
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -187,7 +189,7 @@ def test_fusion_of_a_plane(spark):
     rows = [("e", h, w, flat, 12.0, 12.0, 7.5, 7.5, tuple(cam[c] for c in POSE))] * 2 + [("e", h, w, [0] * (h * w), 12.0, 12.0, 7.5, 7.5, tuple(cam[c] for c in POSE))]
     f = spark.createDataFrame(rows, "env string, height int, width int, data array<int>, fx double, fy double, cx double, cy double, camera struct<" + ",".join(f"{c}:double" for c in POSE) + ">")
     v = fusion.fuse(f, 0.1, 0.4, 10.0)
-    assert set(r.weight for r in v.collect()) == {2}
+    assert set(r.weight for r in fusion.voxels(v).collect()) == {2}
     cloud = fusion.surface_points(v, 0.1).toPandas()
     assert len(cloud) > 50 and np.abs(cloud["z"] - 2).max() < 0.05
     assert fusion.fuse(f.where("false"), 0.1, 0.4, 10.0).count() == 0
@@ -195,6 +197,49 @@ def test_fusion_of_a_plane(spark):
     assert 0 < len(small) < len(cloud) and np.abs(small["z"] - 2).max() < 0.05
 
 
+def test_fusion_voxel_by_voxel(spark, monkeypatch):
+    """Every voxel of every block near a surface by its definition, frame by frame, and the crossings between neighbours."""
+    monkeypatch.setattr(fusion, "HELD", 64)
+    r = np.random.default_rng(8)
+    voxel, trunc, k = 0.1, 0.25, (5.0, 5.5, 2.4, 1.9)
+    rows, total, weight = [], {}, {}
+    for n in range(5):
+        env, q = f"e{n % 2}", r.normal(size=4)
+        cam = np.r_[r.normal(0, 0.2, 3), q / np.linalg.norm(q)]
+        mm = r.integers(300, 1500, (4, 5)) * (r.random((4, 5)) < 0.8)
+        rows.append((env, 4, 5, mm.reshape(-1).tolist(), *k, tuple(map(float, cam))))
+        rot, depth = fusion.rotation(cam[3:]), np.where(mm <= 1200, mm, 0) / 1000
+        blocks = set()
+        for v, u in zip(*np.nonzero(depth)):
+            p = rot @ [(u - k[2]) / k[0] * depth[v, u], (v - k[3]) / k[1] * depth[v, u], depth[v, u]] + cam[:3]
+            lo, hi = (np.floor((p + d) / (voxel * fusion.BLOCK)).astype(int) for d in (-trunc, trunc))
+            blocks |= set(itertools.product(*(range(a, b + 1) for a, b in zip(lo, hi))))
+        for b in blocks:
+            for i in itertools.product(range(fusion.BLOCK), repeat=3):
+                at = tuple(np.array(b) * fusion.BLOCK + i)
+                c = rot.T @ ((np.array(at) + 0.5) * voxel - cam[:3])
+                if c[2] <= 0:
+                    continue
+                u, v = np.rint(c[0] / c[2] * k[0] + k[2]), np.rint(c[1] / c[2] * k[1] + k[3])
+                if 0 <= u < 5 and 0 <= v < 4 and depth[int(v), int(u)] > 0:
+                    far = (depth[int(v), int(u)] - c[2]) * np.sqrt(1 + ((u - k[2]) / k[0]) ** 2 + ((v - k[3]) / k[1]) ** 2)
+                    if far > -trunc:
+                        total[env, at] = total.get((env, at), 0) + min(1.0, far / trunc)
+                        weight[env, at] = weight.get((env, at), 0) + 1
+    f = spark.createDataFrame(rows, "env string, height int, width int, data array<int>, fx double, fy double, cx double, cy double, camera struct<" + ",".join(f"{c}:double" for c in POSE) + ">")
+    volume = fusion.fuse(f, voxel, trunc, 1.2)
+    got = {(x.env, (x.ix, x.iy, x.iz)): (x.weight, x.tsdf) for x in fusion.voxels(volume).collect()}
+    assert {key: w for key, (w, _) in got.items()} == weight and all(np.isclose(got[key][1], t / weight[key]) for key, t in total.items())
+    mean, want = {key: t / weight[key] for key, t in total.items()}, []
+    for (env, at), a in mean.items():
+        for axis in range(3):
+            b = mean.get((env, tuple(np.add(at, np.eye(3, dtype=int)[axis]))))
+            if b is not None and all(-0.98 <= x < 0.98 for x in (a, b)) and a * b < 0:
+                want.append((env, *((np.array(at) + 0.5 + np.eye(3)[axis] * abs(a) / (abs(a) + abs(b))) * voxel)))
+    have = sorted(map(tuple, fusion.surface_points(volume, voxel).collect()))
+    assert len(want) > 50 and [x[0] for x in have] == [x[0] for x in sorted(want)] and np.allclose([x[1:] for x in have], [x[1:] for x in sorted(want)])
+
+
 def test_joystick(spark):
     r = np.random.default_rng(5)
     rows = [(int(u), i, i // 3, str(r.choice(["enable", "goal", "stick"], p=[0.2, 0.2, 0.6])), float(r.normal() * 0.3), float(r.normal() * 0.3), int(r.integers(1, 4))) for i, u in enumerate(r.integers(0, 3, 200))]

@@ -1,5 +1,6 @@
 """Queries against their oracles, and helpers against brute force."""
 
+import itertools
 import math
 import os
 
@@ -11,7 +12,7 @@ import whole_maps
 
 from navprep.jobs.catalog import ORACLES, QUERIES
 from navprep.operators import grids, points, scoring, sync
-from navprep.streaming import robot
+from navprep.streaming import live_sync as live, robot
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -167,7 +168,7 @@ def planner_events(n, robots, seed=7):
     r = np.random.default_rng(seed)
     kinds = np.array(["view", "signup", "purchase", "click"])[r.choice(4, n, p=[0.75, 0.07, 0.06, 0.12])]
     return pd.DataFrame({
-        "robot_id": np.where(r.random(n) < 0.8, 0, r.integers(0, robots, n)), "event_id": np.arange(n), "ts": np.arange(n) * 400_000 + r.integers(0, 2, n) * 1000, "kind": [KINDS[k] for k in kinds],
+        "robot_id": np.where(r.random(n) < 0.8, 0, r.integers(0, robots, n)), "event_id": np.arange(n), "ts": (np.arange(n) + 9) * 400_000 + r.integers(0, 2, n) * 1000, "kind": [KINDS[k] for k in kinds],
         "fear": r.random(n) * 0.8 + 0.2, "forward": r.random(n) < 0.9, "distance": np.where(kinds == "purchase", 0.1, 4.0), "stick_x": r.normal(0, 0.5, n), "stick_y": r.normal(0, 0.5, n),
         "n_axes": np.where(r.random(n) < 0.9, 4, 1), "n_buttons": 2, "pressed": r.random(n) < 0.4,
     })
@@ -218,31 +219,88 @@ def test_folds_without_tables(spark, parts):
     assert got == sorted(want) and any(x[3] for x in got)
 
 
-def test_planner_stream_equals_batch(spark, tmp_path):
-    """Files in order of time, but rows late by less than the watermark allows, within and across micro-batches."""
-    e = planner_events(160, 4)
-    order = np.argsort(e["ts"].to_numpy() + np.random.default_rng(1).integers(0, 6_000_000, 160), kind="stable")
-    last = e.iloc[:1].assign(robot_id=99, event_id=9999, ts=10**9)  # moves the watermark past all others
-    shuffled = pd.concat([e.iloc[order], last])
-    schema = robot.EVENT
-    for i in range(4):
+def streamed(spark, tmp_path, rows, schema, run, batches=4):
+    """run over a stream of rows in files, one a micro-batch; the last row moves the watermark past all others."""
+    n = -(-len(rows) // batches)
+    for i in range(batches):
         part = tmp_path / "in" / f"{i}"
-        spark.createDataFrame(shuffled.iloc[i * 41 : i * 41 + 41], schema).coalesce(1).write.parquet(str(part))
+        spark.createDataFrame(rows.iloc[i * n : i * n + n], schema).coalesce(1).write.parquet(str(part))
         os.utime(next(part.glob("part-*")), (i + 1, i + 1))
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = robot.fold_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")))
+        stream = run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")))
         q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         assert q.awaitTermination(120)
-        assert len(q.recentProgress) >= 4
+        assert len(q.recentProgress) >= batches
     finally:
         spark.conf.set(provider, before)
-    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).where("robot_id < 99").collect()))
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def late(rows, by, seed=1):
+    """rows out of order by less than `by` microseconds."""
+    return rows.iloc[np.argsort(rows["ts"].to_numpy() + np.random.default_rng(seed).integers(0, by, len(rows)), kind="stable")]
+
+
+def test_planner_stream_equals_batch(spark, tmp_path):
+    """Rows late by less than the watermark allows, within and across micro-batches."""
+    e = planner_events(160, 4)
+    last = e.iloc[:1].assign(robot_id=99, event_id=9999, ts=10**9)
+    out = streamed(spark, tmp_path, pd.concat([late(e, 6_000_000), last]), robot.EVENT, robot.fold_stream)
+    got = sorted(map(tuple, out.where("robot_id < 99").collect()))
     assert got == folded(e) and any(x[3] for x in got)
 
 
+def test_deduplication_stream_equals_batch(spark, tmp_path):
+    r = np.random.default_rng(4)
+    p = pd.DataFrame({"env": np.where(r.random(120) < 0.7, "a", "b"), "ts": (np.arange(120) + 9) * 300_000, "frame_id": np.arange(120), **{c: np.round(r.normal(0, 0.02, 120), 3) for c in ("x", "y", "z", "qx", "qy", "qz", "qw")}})
+    schema = "env string, ts long, frame_id long, x double, y double, z double, qx double, qy double, qz double, qw double"
+    out = streamed(spark, tmp_path, pd.concat([late(p, 5_000_000), p.iloc[:1].assign(env="end", ts=10**9)]), schema, lambda s: robot.deduplicate_stream(s, near=0.05))
+    want = robot.deduplicate_motion(spark.createDataFrame(p, schema), 0.05)
+    assert sorted(map(tuple, out.where("env < 'c'").collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
+
+
+def live_matches(rows, slop, queue):
+    """Message by message, every combination of the queues in order of nearness."""
+    queues, out = {}, []
+    for _, m in rows.sort_values(["ts", "msg_id", "topic"]).iterrows():
+        own = queues.setdefault(m["robot_id"], {t: {} for t in live.TOPICS})
+        own[m["topic"]][m["ts"]] = m["msg_id"]
+        while len(own[m["topic"]]) > queue:
+            del own[m["topic"]][min(own[m["topic"]])]
+        sides = [[m["ts"]] if t == m["topic"] else sorted((s for s in own[t] if abs(s - m["ts"]) <= slop), key=lambda s: (abs(s - m["ts"]), s)) for t in live.TOPICS]
+        for stamps in itertools.product(*sides):
+            if max(stamps) - min(stamps) < slop and m["ts"] in own[m["topic"]]:
+                out.append((m["robot_id"], m["ts"], *(own[t].pop(s) for t, s in zip(live.TOPICS, stamps))))
+                break
+    return sorted(out)
+
+
+def topic_log(n, seed):
+    r = np.random.default_rng(seed)
+    topic = np.array([*live.TOPICS, "other"])[r.choice(5, n, p=[0.3, 0.3, 0.2, 0.15, 0.05])]
+    return pd.DataFrame({"robot_id": np.where(r.random(n) < 0.7, 0, r.integers(0, 4, n)), "topic": topic, "ts": r.integers(1000, 41_000, n) * 1000, "msg_id": np.arange(n)})
+
+
+@pytest.mark.parametrize("slop,queue,parts", [(300_000, 10, 1), (300_000, 2, 23), (2_000_000, 10, 60), (4_000_000, 3, 9)])
+def test_live_sync(spark, slop, queue, parts):
+    m = topic_log(400, slop % 7 + queue)
+    want = live_matches(m[m["topic"] != "other"], slop, queue)
+    got = live.live_sync(spark.createDataFrame(m), slop, queue=queue, parts=parts)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 5
+    if slop > 3_000_000:  # a queue that overflows loses matches
+        assert want != live_matches(m[m["topic"] != "other"], slop, 10)
+
+
+def test_live_sync_stream_equals_batch(spark, tmp_path):
+    m = topic_log(240, 3)
+    out = streamed(spark, tmp_path, pd.concat([late(m, 6_000_000), m.iloc[:1].assign(robot_id=99, ts=10**9)]), "robot_id long, topic string, ts long, msg_id long", lambda s: live.live_sync_stream(s, 2_000_000, "10 seconds", queue=4))
+    got = sorted(map(tuple, out.where("robot_id < 99").collect()))
+    assert got == live_matches(m[m["topic"] != "other"], 2_000_000, 4) and got
+
+
 def test_plateau():
     run = lambda losses, lr: scoring.plateau_steps(losses, [None, 0, lr, False], patience=4)[0]
     assert run([1.0] * 7, 0.1)[5] == (0.05, False)
