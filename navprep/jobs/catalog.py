@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as g
 from ..operators import grids, pairs, points as P, scoring, sync, vectors
+from ..operators.tables import stored
 from ..streaming import live_sync, robot
 from . import domain as d
 from . import frame_queries  # noqa: F401  (registers its queries)
@@ -198,7 +199,7 @@ v AS (SELECT env, ix, iy, coalesce(hit_votes, 0) hit_votes, coalesce(free_votes,
 
 
 def _votes(spark, sf_dir):
-    params = _params(spark, sf_dir)
+    params = stored(_params(spark, sf_dir), "map-bounds")
     pts = P.classify_terrain(d.view(spark, sf_dir, d.POINTS), F.lit(0.0), GROUND, HEIGHT)
     cells = P.to_cells(pts, params).where("inside")
     votes = P.vote_occupancy(P.hit_votes(cells.where("terrain = 'obstacle'")), P.free_votes(cells.where("terrain = 'free'")), 2, 0.5, 2)
@@ -210,10 +211,13 @@ def vote_occupancy(spark, sf_dir):
     return _votes(spark, sf_dir)[0].withColumn("ratio", _r("ratio"))
 
 
-@query(_VOTES + f""", {_grid()}, o0 AS (SELECT env, ix, iy FROM w WHERE hit_votes >= 2 AND ratio >= 0.5 AND NOT (free_votes >= 2 AND ratio <= 0.6)),
+_RAY_CELLS = _VOTES + f""", {_grid()}, o0 AS (SELECT env, ix, iy FROM w WHERE hit_votes >= 2 AND ratio >= 0.5 AND NOT (free_votes >= 2 AND ratio <= 0.6)),
 o1 AS (SELECT DISTINCT a.* FROM o0 a CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) n(i, j) JOIN o0 b ON b.env = a.env AND b.ix = a.ix + i AND b.iy = a.iy + j),
-c1 AS MATERIALIZED (SELECT g.*, o1.env IS NOT NULL occupied, o1.env IS NULL AND coalesce(w.free_votes >= 2, false) free FROM g JOIN (SELECT DISTINCT env FROM w) e USING (env) LEFT JOIN o1 USING (env, ix, iy) LEFT JOIN w USING (env, ix, iy)), {_distances("dc", "c1", "occupied")},
-c2 AS MATERIALIZED (SELECT c1.*, greatest(CASE WHEN occupied OR free THEN 0e0 ELSE 0.3e0 END, CASE WHEN occupied THEN 1e0 WHEN d IS NULL THEN 0e0 ELSE 1 / (1 + exp(least(greatest((d * {VOXEL} - 0.3) / 0.1, -60), 60))) END) v FROM c1 JOIN dc USING (env, ix, iy)), {_smoothed("sc", "c2", 1.0)}
+c1 AS MATERIALIZED (SELECT g.*, o1.env IS NOT NULL occupied, o1.env IS NULL AND coalesce(w.free_votes >= 2, false) free FROM g LEFT JOIN o1 USING (env, ix, iy) LEFT JOIN w USING (env, ix, iy)), {_distances("dc", "c1", "occupied")},
+c2 AS MATERIALIZED (SELECT c1.*, greatest(CASE WHEN occupied OR free THEN 0e0 ELSE 0.3e0 END, CASE WHEN occupied THEN 1e0 WHEN d IS NULL THEN 0e0 ELSE 1 / (1 + exp(least(greatest((d * {VOXEL} - 0.3) / 0.1, -60), 60))) END) v FROM c1 JOIN dc USING (env, ix, iy))"""
+
+
+@query(_RAY_CELLS + f""", {_smoothed("sc", "c2", 1.0)}
 SELECT env, ix, iy, round(least(greatest(sc.v, 0), 1), 6) + 0.0 AS "value", CASE WHEN occupied THEN 2 WHEN free THEN 1 ELSE 0 END state FROM sc JOIN c1 USING (env, ix, iy)""")
 def raycast_map(spark, sf_dir):
     """Cost and state of each cell from votes."""
@@ -222,7 +226,7 @@ def raycast_map(spark, sf_dir):
 
 
 _PAIRS = f"""WITH q AS ({_POSES}), a AS (SELECT q.*, unnest([1, 6, 11, 16, 21]) ahead, max(frame_id) OVER (PARTITION BY env) lf FROM q),
-j AS (SELECT a.env, a.ahead, a.frame_id, a.lf, -a.qx ux, -a.qy uy, -a.qz uz, a.qw w, b.x - a.x dx, b.y - a.y dy, b.z - a.z dz FROM a JOIN q b ON b.env = a.env AND b.frame_id = least(a.frame_id + a.ahead, a.lf)),
+j AS (SELECT a.env, a.ahead, a.frame_id, a.lf, a.x ox, a.y oy, a.z oz, -a.qx ux, -a.qy uy, -a.qz uz, a.qw w, b.x - a.x dx, b.y - a.y dy, b.z - a.z dz FROM a JOIN q b ON b.env = a.env AND b.frame_id = least(a.frame_id + a.ahead, a.lf)),
 t AS (SELECT *, 2 * (uy * dz - uz * dy) tx, 2 * (uz * dx - ux * dz) ty, 2 * (ux * dy - uy * dx) tz FROM j)"""
 
 
@@ -275,15 +279,63 @@ def dataset_counts(spark, sf_dir):
     return pairs.dataset_counts(d.view(spark, sf_dir, d.POSES), 25, 5)
 
 
-@query()
+#: Sideways and upward bends of a plan's keypoints 1 to 5, so that paths curve and end beside their goals.
+BENDS = ((0.3, 0.05), (0.5, 0.1), (0.2, 0.15), (0.0, 0.2), (0.0, 0.25))
+AHEAD = 2.5
+
+
+def _curved(spark, sf_dir):
+    """Pairs and keypoints of plans that bend on their way to the pair's goal."""
+    p = _pairs(spark, sf_dir).withColumn("traj_id", F.xxhash64("env", "pair_id"))
+    bend = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(z).alias("z")) for y, z in BENDS))
+    kp = p.select("traj_id", "goal", F.posexplode(bend).alias("i", "b")).withColumn("kp_idx", F.col("i") + 1)
+    at = lambda c: F.col(f"goal.{c}") * F.col("kp_idx") / 5
+    return p, kp.select("traj_id", "kp_idx", at("x").alias("x"), (at("y") + F.col("b.y")).alias("y"), (at("z") + F.col("b.z")).alias("z"))
+
+
+def _plans_sql() -> str:
+    """CTE wp (plan, wp_idx, x, y, z, gx.., pose): curved plans, densified by the cubic Hermite of their keypoints."""
+    bends = " ".join(f"({i + 1}, {y}, {z})," for i, (y, z) in enumerate(BENDS)).rstrip(",")
+    key, h = "env, ahead, frame_id", ("2 * t * t * t - 3 * t * t + 1", "t * t * t - 2 * t * t + t", "-2 * t * t * t + 3 * t * t", "t * t * t - t * t")
+    tangent = lambda c: f"CASE WHEN lag({c}) OVER w IS NULL THEN lead({c}) OVER w - {c} WHEN lead({c}) OVER w IS NULL THEN {c} - lag({c}) OVER w ELSE (lead({c}) OVER w - lag({c}) OVER w) / 2 END t{c}"
+    cols = [f"{a}{c}" for c in "xyz" for a in ("", "t")]
+    return f"""pl AS (SELECT {key}, ox, oy, oz, ux, uy, uz, w, dx + w * tx + uy * tz - uz * ty gx, dy + w * ty + uz * tx - ux * tz gy, dz + w * tz + ux * ty - uy * tx gz FROM t),
+kp AS (SELECT {key}, i, gx * i / 5 x, gy * i / 5 + b y, gz * i / 5 + c z FROM pl, (VALUES {bends}) v(i, b, c) UNION ALL SELECT {key}, 0, 0, 0, 0 FROM pl),
+tn AS (SELECT *, {', '.join(map(tangent, 'xyz'))} FROM kp WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+sg AS (SELECT *, {', '.join(f'lead({c}) OVER w n{c}' for c in cols)} FROM tn WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+wp AS MATERIALIZED (SELECT {key}, CAST(i * 10 + s AS INTEGER) wp_idx, {', '.join(f'({h[0]}) * {c} + ({h[1]}) * t{c} + ({h[2]}) * n{c} + ({h[3]}) * nt{c} AS {c}' for c in 'xyz')}
+ FROM (SELECT *, s / 10.0 t FROM (SELECT *, unnest(range(0, CASE WHEN i = 4 THEN 11 ELSE 10 END)) s FROM sg WHERE i < 5) a) b)"""
+
+
+def _scores_sql() -> str:
+    """Scores of wp by the cells of c2: 16 cells around each place, edges clamped; ground is a layer of its own."""
+    key = "env, ahead, frame_id"
+    weight = lambda d: f"CASE WHEN {d} <= 1 THEN (1.25 * {d} - 2.25) * {d} * {d} + 1 ELSE ((-0.75 * {d} + 3.75) * {d} - 6) * {d} + 3 END"
+    return f"""ws AS (SELECT wp.*, pl.gx, pl.gy, pl.gz, (ox + x + 2 * (w * (-uy * z + uz * y) - uy * (-ux * y + uy * x) + uz * (-uz * x + ux * z)) - start_x) / {VOXEL} - 0.5 hx,
+ (oy + y + 2 * (w * (-uz * x + ux * z) - uz * (-uy * z + uz * y) + ux * (-ux * y + uy * x)) - start_y) / {VOXEL} - 0.5 hy, p.num_x, p.num_y FROM wp JOIN pl USING ({key}) LEFT JOIN p USING (env)),
+tp AS (SELECT {key}, wp_idx, CAST(least(greatest(floor(hx) + i, 0), num_x - 1) AS INTEGER) ix, CAST(least(greatest(floor(hy) + j, 0), num_y - 1) AS INTEGER) iy,
+ ({weight('abs(hx - floor(hx) - i)')}) * ({weight('abs(hy - floor(hy) - j)')}) k FROM ws, range(-1, 3) a(i), range(-1, 3) b(j) WHERE num_x IS NOT NULL),
+sm AS (SELECT {key}, wp_idx, sum(k * v) cost, sum(k * 0.02 * ((ix + 2 * iy) % 7)) ground FROM tp JOIN c2 USING (env, ix, iy) GROUP BY ALL),
+sq AS (SELECT ws.*, sm.cost, sm.ground, sqrt((x - lag(x) OVER o) * (x - lag(x) OVER o) + (y - lag(y) OVER o) * (y - lag(y) OVER o) + (z - lag(z) OVER o) * (z - lag(z) OVER o)) seg FROM ws LEFT JOIN sm USING ({key}, wp_idx) WINDOW o AS (PARTITION BY {key} ORDER BY wp_idx)),
+al AS (SELECT *, coalesce(sum(seg) OVER (PARTITION BY {key} ORDER BY wp_idx), 0) along FROM sq),
+tot AS (SELECT {key}, sum(cost) obstacle, sum(abs(z - ground)) height, sum(abs(sqrt(gx * gx + gy * gy + gz * gz) / 50 - seg)) motion, max(cost) FILTER (wp_idx > 0 AND along <= {AHEAD}) worst,
+ ln(sqrt((any_value(gx) - max_by(x, wp_idx)) ** 2 + (any_value(gy) - max_by(y, wp_idx)) ** 2 + (any_value(gz) - max_by(z, wp_idx)) ** 2) + 1) goal FROM al GROUP BY ALL)
+SELECT {key}, round(obstacle, 5) + 0.0 obstacle, round(height, 5) + 0.0 height, round(motion, 5) + 0.0 motion, round(goal, 5) + 0.0 goal, CASE WHEN obstacle IS NOT NULL THEN coalesce(worst > 0.5, false) END fear,
+ round(0.5 * obstacle + height + 2 * motion + 5 * goal, 4) + 0.0 total FROM tot"""
+
+
+@query(f"WITH c2 AS MATERIALIZED ({_RAY_CELLS} SELECT env, ix, iy, v FROM c2), p AS MATERIALIZED ({_BOUNDS} SELECT * FROM p), {_PAIRS.removeprefix('WITH ')}, {_plans_sql()}, {_scores_sql()}")
 def plan_scores(spark, sf_dir):
-    """Plans scored against the raycast maps by tiled bicubic lookup; tested by brute force."""
+    """Curved plans scored against the raycast maps and a ground layer; plans of envs without a map have no such costs."""
     votes, params = _votes(spark, sf_dir)
     cells = grids.raycast_map(votes, params, radius=0.3, softness=0.1, unknown_cost=0.3, least=2)
-    p, wp = _trajectories(spark, sf_dir)
-    w = scoring.to_world(wp.join(p.select("traj_id", "env", "pose"), "traj_id")).drop("pose")
-    s = scoring.score(scoring.lookup(w, cells, params), p.select("traj_id", *(F.col(f"goal.{c}").alias(f"g{c}") for c in "xyz")))
-    return p.select("traj_id", "env", "ahead", "frame_id").join(s, "traj_id").drop("traj_id")
+    p, kp = _curved(spark, sf_dir)
+    w = scoring.to_world(scoring.densify(kp).join(p.select("traj_id", "env", "pose"), "traj_id")).drop("pose", "wz")
+    ground = cells.withColumn("ground", ((F.col("ix") + 2 * F.col("iy")) % 7) * 0.02)
+    sampled = scoring.lookup(w, ground, params, {"cost": "value", "ground": "ground"})
+    s = scoring.score(sampled, p.select("traj_id", *(F.col(f"goal.{c}").alias(f"g{c}") for c in "xyz")), AHEAD)
+    s = p.select("traj_id", "env", "ahead", "frame_id").join(s, "traj_id").drop("traj_id")
+    return s.withColumns({c: _r(c, 5) for c in ("obstacle", "height", "motion", "goal")} | {"total": _r("total", 4)})
 
 
 def _planner_sql(events: str) -> str:

@@ -57,41 +57,49 @@ def path_columns(waypoints: DataFrame) -> DataFrame:
     return p.withColumn("along", F.coalesce(F.sum("seg").over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)))
 
 
-def lookup(waypoints: DataFrame, cells: DataFrame, params: DataFrame, column: str = "value", tile: int = 256) -> DataFrame:
-    """cost: the bicubic sample of an env's map (cells env, ix, iy, value) at wx, wy, from tiles with a border of two cells, so that neither a map nor an env's waypoints are one task's.
-
-    A cell that isn't listed is 0, one beyond the map's edge repeats the edge."""
-    p = waypoints.join(params.select("env", "num_x", "num_y", "start_x", "start_y", "voxel"), "env")
+def lookup(waypoints: DataFrame, cells: DataFrame, params: DataFrame, columns: dict[str, str] | None = None, tile: int = 256) -> DataFrame:
+    """waypoints (with env, wx, wy) with the bicubic sample of an env's map (cells: env, ix, iy and layers) for each of columns (name: layer; cost: value), and
+    inside: whether the place is within the map.
+
+    Waypoints meet tiles with a border of cells, so that neither a map nor an env's waypoints are one task's; all layers are sampled at once. A cell that isn't
+    listed is 0, one beyond the map's edge repeats the edge. Waypoints of an env without a map keep null samples and inside false."""
+    columns = columns or {"cost": "value"}
+    p = waypoints.join(params.select("env", "num_x", "num_y", "start_x", "start_y", "voxel"), "env", "left")
     for c in "xy":
-        p = p.withColumn(f"h{c}", (F.col(f"w{c}") - F.col(f"start_{c}")) / F.col("voxel"))
-        p = p.withColumn(f"t{c}", F.floor(F.least(F.greatest(F.col(f"h{c}"), F.lit(0.0)), F.col(f"num_{c}") - 1) / tile).cast("int"))
-    m = cells.select("env", "ix", "iy", F.col(column).alias("value"))
+        p = p.withColumn(f"_h{c}", (F.col(f"w{c}") - F.col(f"start_{c}")) / F.col("voxel"))
+        p = p.withColumn(f"_t{c}", F.floor(F.least(F.greatest(F.col(f"_h{c}"), F.lit(0.0)), F.col(f"num_{c}") - 1) / tile).cast("int"))
+    p = p.drop("start_x", "start_y", "voxel")
+    m = cells.select("env", "ix", "iy", *dict.fromkeys(columns.values()))
     near = lambda c: F.array_distinct(F.array(*(F.floor((F.col(c) + d) / tile).cast("int") for d in (-3, 0, 3))))
-    m = m.withColumn("tx", F.explode(near("ix"))).withColumn("ty", F.explode(near("iy")))
+    m = m.withColumn("_tx", F.explode(near("ix"))).withColumn("_ty", F.explode(near("iy")))
+    names = list(waypoints.columns)
 
     def sample(points: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
         if not len(points):
-            return pd.DataFrame(columns=["traj_id", "wp_idx", "cost", "inside"])
+            return pd.DataFrame(columns=[*names, *columns, "inside"])
         q = points.iloc[0]
-        x0, y0 = int(q["tx"]) * tile - 3, int(q["ty"]) * tile - 3
+        if pd.isna(q["num_x"]):
+            return points[names].assign(**{c: np.nan for c in columns}, inside=False)
+        x0, y0 = int(q["_tx"]) * tile - 3, int(q["_ty"]) * tile - 3
         size = tile + 6
         local = tiles[(tiles["ix"] >= x0) & (tiles["ix"] < x0 + size) & (tiles["iy"] >= y0) & (tiles["iy"] < y0 + size)].assign(ix=lambda t: t["ix"] - x0, iy=lambda t: t["iy"] - y0)
-        grid = dense(local, size, size)
         lo, hi = (max(0, -x0), max(0, -y0)), (min(size, int(q["num_x"]) - x0), min(size, int(q["num_y"]) - y0))
-        h = points[["hx", "hy"]].to_numpy(float)
-        cost = bicubic(grid[lo[0] : hi[0], lo[1] : hi[1]], h - (x0 + lo[0], y0 + lo[1]))
+        h = points[["_hx", "_hy"]].to_numpy(float)
+        out = {c: bicubic(dense(local, size, size, layer)[lo[0] : hi[0], lo[1] : hi[1]], h - (x0 + lo[0], y0 + lo[1])) for c, layer in columns.items()}
         inside = (h[:, 0] > 0) & (h[:, 0] < q["num_x"]) & (h[:, 1] > 0) & (h[:, 1] < q["num_y"])
-        return pd.DataFrame({"traj_id": points["traj_id"], "wp_idx": points["wp_idx"], "cost": cost, "inside": inside})
+        return points[names].assign(**out, inside=inside)
 
-    out = p.groupBy("env", "tx", "ty").cogroup(m.groupBy("env", "tx", "ty")).applyInPandas(sample, "traj_id long, wp_idx int, cost double, inside boolean")
-    return waypoints.join(out, ["traj_id", "wp_idx"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in waypoints.schema), *(f"{c} double" for c in columns), "inside boolean"])
+    keys = ("env", "_tx", "_ty")
+    out = p.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(sample, schema)
+    return out.select(*names, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns), "inside")
 
 
 def score(waypoints: DataFrame, goals: DataFrame, ahead: float = 2.5, limit: float = 0.5, weights: tuple[float, float, float, float] = (0.5, 1.0, 2.0, 5.0)) -> DataFrame:
     """traj_id, obstacle, height, motion, goal, fear, total.
 
-    waypoints: traj_id, wp_idx, x, y, z and, as given, cost and ground (sampled at the waypoint; absent: 0). goals: traj_id, gx, gy, gz. fear: the largest cost of waypoints 1.. whose path length is
-    at most ahead exceeds limit."""
+    waypoints: traj_id, wp_idx, x, y, z and, as given, cost and ground (sampled at the waypoint; absent: 0). goals: traj_id, gx, gy, gz. fear: the largest cost of
+    waypoints 1.. whose path length is at most ahead exceeds limit. Without a map (cost or ground null) what needs it, and the total, is null."""
     w = path_columns(waypoints)
     cost = F.col("cost") if "cost" in w.columns else F.lit(0.0)
     ground = F.col("ground") if "ground" in w.columns else F.lit(0.0)
@@ -104,7 +112,7 @@ def score(waypoints: DataFrame, goals: DataFrame, ahead: float = 2.5, limit: flo
         F.sum("c").alias("obstacle"), F.sum("dz").alias("height"), F.sum(F.abs(F.col("ideal") - F.col("seg"))).alias("motion"),
         F.max_by(F.struct("x", "y", "z"), "wp_idx").alias("last"), F.max(F.when((F.col("wp_idx") > 0) & (F.col("along") <= ahead), F.col("c"))).alias("worst"),
     )
-    s = s.withColumn("goal", F.log(miss + 1)).withColumn("fear", F.coalesce(F.col("worst") > limit, F.lit(False)))
+    s = s.withColumn("goal", F.log(miss + 1)).withColumn("fear", F.when(F.col("obstacle").isNotNull(), F.coalesce(F.col("worst") > limit, F.lit(False))))
     total = weights[0] * F.col("obstacle") + weights[1] * F.col("height") + weights[2] * F.coalesce("motion", F.lit(0.0)) + weights[3] * F.col("goal")
     return s.select("traj_id", "obstacle", "height", F.coalesce("motion", F.lit(0.0)).alias("motion"), "goal", "fear", total.alias("total"))
 
