@@ -113,6 +113,11 @@ def grid_index(p: Column, start: Column, voxel: Column, n: Column) -> tuple[Colu
     return (h - n / 2) / (n / 2), (h > 0) & (h < n)
 
 
+def grid_place(u: Column, start: Column, voxel: Column, n: Column) -> Column:
+    """The way back from grid_index's -1..1 to a place."""
+    return (u * (n / 2) + n / 2) * voxel + start
+
+
 def parse_list(text: Column) -> Column:
     """Numbers of a bracketed list, round or square."""
     return F.transform(F.split(F.trim(F.regexp_replace(text, r"[()\[\]]", " ")), r"[\s,]+"), lambda x: x.cast("double"))

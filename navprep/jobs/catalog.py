@@ -279,6 +279,26 @@ def dataset_counts(spark, sf_dir):
     return pairs.dataset_counts(d.view(spark, sf_dir, d.POSES), 25, 5)
 
 
+def _ray_cells(spark, sf_dir):
+    votes, params = _votes(spark, sf_dir)
+    return grids.raycast_map(votes, params, radius=0.3, softness=0.1, unknown_cost=0.3, least=2), params
+
+
+@query(_RAY_CELLS + """ SELECT env, count(*) FILTER (occupied) occupied, count(*) FILTER (free) free, count(*) FILTER (NOT occupied AND NOT free) unknown, round(max(v), 6) + 0.0 max_cost, round(avg(v), 6) + 0.0 mean_cost FROM c2 GROUP BY 1""")
+def ray_layer_stats(spark, sf_dir):
+    s = grids.layer_stats(_ray_cells(spark, sf_dir)[0])
+    return s.withColumns({c: _r(c) for c in ("max_cost", "mean_cost")})
+
+
+@query(_TERRAIN + f""", p AS ({_BOUNDS} SELECT * FROM p), h AS ({_BOUNDS} SELECT env, ix, iy, count(*) n FROM ok GROUP BY 1, 2, 3), e AS (SELECT env, min(n) lo, max(n) hi FROM h GROUP BY 1)
+SELECT env, num_y - 1 - iy AS "row", ix col, CAST(CASE WHEN hi > lo THEN trunc(CAST(n - lo AS DOUBLE) / (hi - lo) * 255) ELSE 0 END AS INTEGER) AS "value" FROM h JOIN e USING (env) JOIN p USING (env)""")
+def hit_images(spark, sf_dir):
+    """Hit votes as pixels of an image of each map."""
+    params = stored(_params(spark, sf_dir), "map-bounds")
+    hits = P.hit_votes(P.to_cells(_obstacles(spark, sf_dir), params)).withColumn("votes", F.col("hit_votes").cast("double"))
+    return grids.normalised_cells(hits, params, "votes")
+
+
 #: Sideways and upward bends of a plan's keypoints 1 to 5, so that paths curve and end beside their goals.
 BENDS = ((0.3, 0.05), (0.5, 0.1), (0.2, 0.15), (0.0, 0.2), (0.0, 0.25))
 AHEAD = 2.5
@@ -327,8 +347,7 @@ SELECT {key}, round(obstacle, 5) + 0.0 obstacle, round(height, 5) + 0.0 height,
 @query(f"WITH c2 AS MATERIALIZED ({_RAY_CELLS} SELECT env, ix, iy, v FROM c2), p AS MATERIALIZED ({_BOUNDS} SELECT * FROM p), {_PAIRS.removeprefix('WITH ')}, {_plans_sql()}, {_scores_sql()}")
 def plan_scores(spark, sf_dir):
     """Curved plans scored against the raycast maps and a ground layer; plans of envs without a map have no such costs."""
-    votes, params = _votes(spark, sf_dir)
-    cells = grids.raycast_map(votes, params, radius=0.3, softness=0.1, unknown_cost=0.3, least=2)
+    cells, params = _ray_cells(spark, sf_dir)
     p, kp = _curved(spark, sf_dir)
     w = scoring.to_world(scoring.densify(kp).join(p.select("traj_id", "env", "pose"), "traj_id")).drop("pose", "wz")
     ground = cells.withColumn("ground", ((F.col("ix") + 2 * F.col("iy")) % 7) * 0.02)

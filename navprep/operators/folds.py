@@ -14,6 +14,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from .tables import stored
 
@@ -29,6 +30,15 @@ def ranges(rows: DataFrame, key: str, order: Sequence[str], parts: int | None =
     return stored(x.withColumn("_part", F.shiftright("_at", 33)), "fold-ranges")
 
 
+def numbered(rows: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """rows with number: their place in order over all of them, from 0. Ranges count their rows; no task holds all."""
+    x = ranges(rows, order[0], order[1:], parts)
+    spans = x.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    x = x.join(F.broadcast(spans.select("_part", "_first", before.alias("_before"))), "_part")
+    return x.withColumn("number", F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_before")
+
+
 def _by_key(pdf: pd.DataFrame, key: str):
     """(key, rows) of a range, keys in order."""
     pdf = pdf.sort_values("_at")

@@ -23,12 +23,21 @@ def dense(cells: pd.DataFrame, nx: int, ny: int, column: str = "value") -> np.nd
     return out
 
 
-def normalised(grid: np.ndarray) -> np.ndarray:
-    """Finite values to 0..255, truncated; a constant or empty grid is 0. Transposed and upside down, as an image."""
-    ok = np.isfinite(grid)
-    lo, hi = (grid[ok].min(), grid[ok].max()) if ok.any() else (0.0, 0.0)
-    out = np.zeros(grid.shape) if hi <= lo else np.where(ok, (np.where(ok, grid, lo) - lo) / (hi - lo) * 255, 0)
-    return out.astype(np.uint8).T[::-1]
+def normalised_cells(cells: DataFrame, params: DataFrame, column: str = "value") -> DataFrame:
+    """env, row, col, value of every listed cell as a pixel of an image: finite values to 0..255 between the env's least and largest, cut off, others and those of a
+    constant map 0; transposed and upside down, so that row num_y - 1 - iy holds column ix."""
+    ok = ~F.isnan(column) & (F.abs(column) < float("inf"))
+    ends = stored(cells.groupBy("env").agg(F.min(F.when(ok, F.col(column))).alias("_lo"), F.max(F.when(ok, F.col(column))).alias("_hi")), "map-ends")
+    x = cells.join(sized(ends), "env").join(params.select("env", "num_y"), "env")
+    scaled = (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255
+    value = F.when(ok & (F.col("_hi") > F.col("_lo")), scaled).otherwise(0.0).cast("int")
+    return x.select("env", (F.col("num_y") - 1 - F.col("iy")).alias("row"), F.col("ix").alias("col"), value.alias("value"))
+
+
+def layer_stats(cells: DataFrame) -> DataFrame:
+    """env, occupied, free, unknown cells, the largest and the mean cost of maps (value, state)."""
+    n = lambda k: F.count_if(F.col("state") == k)
+    return cells.groupBy("env").agg(n(2).alias("occupied"), n(1).alias("free"), n(0).alias("unknown"), F.max("value").alias("max_cost"), F.avg("value").alias("mean_cost"))
 
 
 def bicubic(grid: np.ndarray, h: np.ndarray) -> np.ndarray:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from .folds import numbered
+from .tables import sized, stored
+
 from ..functions import geometry as g
 
 OTHERS = ("odom", "depth", "color")
@@ -101,15 +104,16 @@ def extract_summary(report: DataFrame, fail_fast: bool = False) -> DataFrame:
 
 
 def env_names(bags: DataFrame, prefix: str) -> DataFrame:
-    """bag, env = prefix_%03d by the order of bags. Bags are few, so one window over their names is enough."""
-    rank = F.row_number().over(W.orderBy("bag")) - 1
-    return bags.select("bag").distinct().select("bag", F.format_string(f"{prefix}_%03d", rank).alias("env"))
+    """bag, env = prefix_%03d by the order of bags, numbered by ranges."""
+    return numbered(bags.select("bag").distinct(), ["bag"]).select("bag", F.format_string(f"{prefix}_%03d", F.col("number")).alias("env"))
 
 
 def materialise(matches: DataFrame, messages: DataFrame, topic: str) -> DataFrame:
-    """Each match with its message of a topic; a message may serve several. Indices move, payloads stay where they are if matches are small."""
+    """Each match with its message of a topic; a message may serve several. Matches are counted: while a broadcast can hold them, payloads stay where they are."""
     m = messages.where(F.col("topic") == topic).drop("topic").withColumnRenamed("msg_idx", f"{topic}_idx").withColumnRenamed("stamp", f"{topic}_stamp")
-    return matches.join(m, ["bag", f"{topic}_idx"])
+    few = stored(matches, "sync-matches")
+    out = m.join(sized(few), ["bag", f"{topic}_idx"])
+    return out.select("bag", f"{topic}_idx", *(c for c in matches.columns if c not in ("bag", f"{topic}_idx")), *(c for c in m.columns if c not in ("bag", f"{topic}_idx")))
 
 
 def topic_coverage(requested: DataFrame, available: DataFrame) -> DataFrame:

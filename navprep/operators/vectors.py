@@ -14,10 +14,18 @@ def cosine(a: Column, b: Column, floor: float = 1e-7) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def prototype_similarity(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """vec_id, proto_id, similarity for a small, given set of prototypes (counted by the caller), which is broadcast."""
-    p = prototypes.select(F.col("vec_id").alias("proto_id"), F.col("embedding").alias("proto"))
-    return vectors.join(F.broadcast(p)).select("vec_id", "proto_id", cosine(F.col("embedding"), F.col("proto")).alias("similarity"))
+#: Prototypes that one broadcast holds.
+PROTOTYPES = 10_000
+
+
+def prototype_similarity(vectors: DataFrame, prototypes: DataFrame, block: int = PROTOTYPES) -> DataFrame:
+    """vec_id, proto_id, similarity of every vector with each of a stated set of prototypes, which is counted and met in blocks: one block is broadcast, more are
+    joined by their number."""
+    blocks = max(1, -(-prototypes.count() // block))
+    p = prototypes.select(F.col("vec_id").alias("proto_id"), F.col("embedding").alias("proto"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("_b"))
+    v = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = v.join(F.broadcast(p) if blocks == 1 else p, "_b")
+    return met.select("vec_id", "proto_id", cosine(F.col("embedding"), F.col("proto")).alias("similarity"))
 
 
 def cosine_loss(similarity: Column) -> Column:

@@ -63,31 +63,82 @@ def indexed_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return f.withColumn("env", _env()).withColumn("frame_id", stem_number(F.col("path"))).where("frame_id is not null")
 
 
-def decode_png(data: bytes) -> np.ndarray | None:
-    """A grey PNG of 8 or 16 bits, not interlaced; None if it can't be decoded."""
+# Fixed values of the PNG format: channels by colour type; first row and column, and steps, of the seven passes of an interlaced image.
+CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
+class BadImage(ValueError):
+    """Why a file is no image."""
+
+
+def _samples(raw: bytes, at: int, height: int, width: int, bits: int, channels: int) -> tuple[np.ndarray, int]:
+    """(rows of samples, where the next begins) of a filtered image part."""
+    size, step = (width * channels * bits + 7) // 8, max(1, channels * bits // 8)
+    if at + height * (size + 1) > len(raw):
+        raise BadImage("data end early")
+    rows = np.frombuffer(raw, np.uint8, height * (size + 1), at).reshape(height, size + 1)
+    out = np.zeros((height, size), np.uint8)
+    above = np.zeros(size, np.uint8)
+    for i, row in enumerate(rows):
+        out[i] = above = _unfilter(int(row[0]), row[1:], above, step)
+    if bits == 16:
+        samples = out.view(">u2").astype(np.int32)
+    elif bits == 8:
+        samples = out.astype(np.int32)
+    else:  # several samples in a byte, the first in its high bits
+        each = np.unpackbits(out, axis=1).reshape(height, -1, bits)
+        samples = (each * (1 << np.arange(bits - 1, -1, -1))).sum(2).astype(np.int32)
+    return samples[:, : width * channels].reshape(height, width, channels), at + height * (size + 1)
+
+
+def png_pixels(data: bytes) -> np.ndarray:
+    """Grey values of a PNG of any colour type and depth, interlaced or not: grey as it is (depths below 8 bits spread over 0..255), colour as
+    0.299 red + 0.587 green + 0.114 blue, rounded; transparency is left out. BadImage says what is wrong with other data."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise BadImage("no PNG")
+    at, body, head, palette = 8, [], None, None
     try:
-        if data[:8] != b"\x89PNG\r\n\x1a\n":
-            return None
-        at, body, head = 8, [], None
         while at + 8 <= len(data):
             size, kind = struct.unpack(">I4s", data[at : at + 8])
             part = data[at + 8 : at + 8 + size]
             if kind == b"IHDR":
                 head = struct.unpack(">IIBBBBB", part)
+            elif kind == b"PLTE":
+                palette = np.frombuffer(part, np.uint8).reshape(-1, 3).astype(np.int32)
             elif kind == b"IDAT":
                 body.append(part)
             at += 12 + size
-        width, height, bits, color, _, _, interlaced = head
-        if color != 0 or bits not in (8, 16) or interlaced:
-            return None
-        step = bits // 8
-        rows = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, 1 + width * step)
-        out = np.zeros((height, width * step), np.uint8)
-        above = np.zeros(width * step, np.uint8)
-        for i, row in enumerate(rows):
-            out[i] = above = _unfilter(int(row[0]), row[1:], above, step)
-        return out.reshape(height, width, step).view(">u2")[..., 0].astype(np.int32) if step == 2 else out.astype(np.int32)
-    except (struct.error, zlib.error, ValueError, TypeError):
+        raw = zlib.decompress(b"".join(body))
+    except (struct.error, zlib.error) as e:
+        raise BadImage(f"broken: {e}") from None
+    if head is None:
+        raise BadImage("no header")
+    width, height, bits, color, _, _, interlaced = head
+    if color not in CHANNELS or bits not in (1, 2, 4, 8, 16) or interlaced > 1 or not width * height:
+        raise BadImage(f"colour type {color} of {bits} bits")
+    n = CHANNELS[color]
+    image, at = np.zeros((height, width, n), np.int32), 0
+    for y, x, down, right in PASSES if interlaced else ((0, 0, 1, 1),):
+        h, w = len(range(y, height, down)), len(range(x, width, right))
+        if h and w:
+            image[y::down, x::right], at = _samples(raw, at, h, w, bits, n)
+    if color == 3:
+        if palette is None or image.max() >= len(palette):
+            raise BadImage("palette too short")
+        image = palette[image[..., 0]]
+    elif bits < 8:
+        image = image * (255 // ((1 << bits) - 1))
+    if image.shape[2] < 3:
+        return image[..., 0]
+    return np.rint(image[..., :3] @ np.array([0.299, 0.587, 0.114])).astype(np.int32)
+
+
+def decode_png(data: bytes) -> np.ndarray | None:
+    """png_pixels, or None for what is no image."""
+    try:
+        return png_pixels(data)
+    except BadImage:
         return None
 
 
@@ -99,7 +150,7 @@ def _unfilter(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.nd
     if kind == 2:
         return row + above
     if kind not in (3, 4):
-        raise ValueError("unknown filter")
+        raise BadImage("unknown filter")
     x, up, out = row.tolist(), above.tolist(), [0] * len(row)
     for i, v in enumerate(x):
         left, corner = (out[i - step], up[i - step]) if i >= step else (0, 0)
@@ -120,8 +171,24 @@ def encode_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
 
 
+def skipped_frames(spark: SparkSession, path: str) -> DataFrame:
+    """env, frame_id, reason of the PNG files that read_depth_frames skips. Files without a byte are in neither, as Spark lists none."""
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bad = []
+            for env, frame, content in b.itertuples(index=False):
+                try:
+                    png_pixels(content)
+                except BadImage as e:
+                    bad.append((env, frame, str(e)))
+            yield pd.DataFrame(bad, columns=["env", "frame_id", "reason"])
+
+    return indexed_files(spark, path, ".png").select("env", "frame_id", "content").mapInPandas(judge, "env string, frame_id long, reason string")
+
+
 def read_depth_frames(spark: SparkSession, path: str) -> DataFrame:
-    """env, frame_id, height, width, data (mm, row by row) of PNG files; files that can't be decoded are skipped."""
+    """env, frame_id, height, width, data (mm, row by row) of PNG files; files that can't be decoded are skipped (skipped_frames says why)."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -1,8 +1,8 @@
 """Frames, files, fusion and joystick goals against brute force and round trips."""
 
-import struct
-
 import itertools
+import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from navprep.functions.geometry import POSE
 from navprep.jobs import settings
 from navprep.operators import frames as fr, fusion
-from navprep.sources import files
+from navprep.sources import files, store
 from navprep.streaming import robot
 
 FRAME = "env string, frame_id long, height int, width int, data array<double>"
@@ -266,3 +266,115 @@ def test_settings():
     assert (s["cloud_source"], s["robot_size"], s["terrain_ground_height"], s["depth_raycast_frame_stride"], s["depth_raycast_bounds_pixel_stride"]) == ("depth_tsdf", 0.25, 0.1, 3, 8)
     assert np.isclose(s["depth_tsdf_truncation"], 0.2) and np.isclose(s["cloud_voxel"], 0.045)
     assert settings.heights({}, 0.4) == (0.4, 0.0) and settings.heights({"ground_z_offset": -0.4, "robot_height": 1.0}, 0.5) == (1.0, 0.09999999999999998)
+
+
+def test_environments_are_committed_whole(spark, tmp_path):
+    path = str(tmp_path / "store")
+    poses = spark.createDataFrame([("007", 0, 1.0), ("b", 0, 2.0), ("b", 1, 3.0)], "env string, frame_id long, x double")
+    ground = spark.createDataFrame([("b", 0, 0, 0.5)], "env string, ix int, iy int, z double")
+    assert store.read_table(spark, path, "poses") is None
+    store.write_environments({"poses": poses, "ground": ground}, path)
+    rows = lambda name: sorted(map(tuple, store.read_table(spark, path, name).select("env", *[c for c in ("frame_id", "x", "z", "split") if c in store.read_table(spark, path, name).columns]).collect()))
+    assert rows("poses") == [("007", 0, 1.0), ("b", 0, 2.0), ("b", 1, 3.0)] and rows("ground") == [("b", 0.5)]
+    # a new write of one env replaces all its tables; the other stays
+    store.write_environments({"poses": spark.createDataFrame([("b", 5, 9.0)], poses.schema)}, path)
+    assert rows("poses") == [("007", 0, 1.0), ("b", 5, 9.0)] and rows("ground") == []
+    # a write that fails before its commit is never seen
+    broken = poses.withColumn("x", F.raise_error(F.lit("no disk")).cast("double"))
+    with pytest.raises(Exception):
+        store.write_environments({"ground": ground, "poses": broken}, path)
+    assert rows("poses") == [("007", 0, 1.0), ("b", 5, 9.0)] and rows("ground") == []
+    with pytest.raises(ValueError):
+        store.write_environments({"poses": poses.withColumn("env", F.lit(None).cast("string"))}, path)
+
+
+def test_a_split_is_kept_while_its_size_is(spark, tmp_path):
+    path = str(tmp_path / "split")
+    pairs = lambda **n: spark.createDataFrame([(e, i) for e, k in n.items() for i in range(k)], "env string, pair_id long")
+    read = lambda x: {(r.env, r.pair_id): r.split for r in x.collect()}
+    first = read(store.kept_split(spark, pairs(a=50, b=30), path, seed=1))
+    assert sum(v == "train" for (e, _), v in first.items() if e == "a") == 45
+    again = read(store.kept_split(spark, pairs(a=50, b=31), path, seed=2))
+    assert {k: v for k, v in again.items() if k[0] == "a"} == {k: v for k, v in first.items() if k[0] == "a"}
+    assert sum(v == "train" for (e, _), v in again.items() if e == "b") == 27 and None not in again.values()
+    assert store.kept_split(spark, pairs(a=0), str(tmp_path / "none")).collect() == []
+
+
+def png(image, bits, color, interlaced=False, palette=None, filters=(0, 1, 2, 3, 4)):
+    """A PNG of samples (height, width, channels), rows filtered in turn by the given kinds."""
+    def filtered(part):
+        h, w, n = part.shape
+        packed = part.reshape(h, -1).astype(">u2").view(np.uint8).reshape(h, -1) if bits == 16 else part.reshape(h, -1).astype(np.uint8)
+        if bits < 8:
+            each = (packed[..., None] >> np.arange(bits - 1, -1, -1)) & 1
+            packed = np.packbits(each.reshape(h, -1), axis=1)
+        step, out, above = max(1, n * bits // 8), b"", np.zeros(packed.shape[1], int)
+        for i, row in enumerate(packed.astype(int)):
+            kind = filters[i % len(filters)]
+            left, corner = (np.r_[np.zeros(step, int), x][: len(x)] for x in (row, above))
+            est = left + above - corner
+            near = np.where((abs(est - left) <= abs(est - above)) & (abs(est - left) <= abs(est - corner)), left, np.where(abs(est - above) <= abs(est - corner), above, corner))
+            guess = (np.zeros(len(row), int), left, above, (left + above) // 2, near)[kind]
+            out += bytes([kind]) + ((row - guess) % 256).astype(np.uint8).tobytes()
+            above = row
+        return out
+
+    starts = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)) if interlaced else ((0, 0, 1, 1),)
+    parts = [image[y::dy, x::dx] for y, x, dy, dx in starts]
+    raw = b"".join(filtered(p) for p in parts if p.size)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], bits, color, 0, 0, interlaced)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + (chunk(b"PLTE", palette.astype(np.uint8).tobytes()) if palette is not None else b"") + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("interlaced", [False, True])
+def test_png_of_every_kind(interlaced):
+    r = np.random.default_rng(3)
+    for h, w in ((1, 1), (3, 5), (9, 8), (17, 13)):
+        for bits in (1, 2, 4, 8, 16):
+            grey = r.integers(0, 1 << bits, (h, w, 1))
+            want = grey[..., 0] * (255 // ((1 << bits) - 1) if bits < 8 else 1)
+            assert (files.png_pixels(png(grey, bits, 0, interlaced)) == want).all()
+        for bits, color in ((8, 2), (16, 2), (8, 6), (16, 6), (8, 4)):
+            image = r.integers(0, 1 << bits, (h, w, files.CHANNELS[color]))
+            want = image[..., 0] if color == 4 else np.rint(image[..., 0] * 0.299 + image[..., 1] * 0.587 + image[..., 2] * 0.114)
+            assert (files.png_pixels(png(image, bits, color, interlaced)) == want).all()
+        palette, index = r.integers(0, 256, (4, 3)), r.integers(0, 4, (h, w, 1))
+        assert (files.png_pixels(png(index, 2, 3, interlaced, palette)) == np.rint(palette[index[..., 0]] @ [0.299, 0.587, 0.114])).all()
+
+
+def test_files_that_are_no_images(spark, tmp_path):
+    d = tmp_path / "env"
+    d.mkdir()
+    good = png(np.arange(6).reshape(2, 3, 1), 16, 0)
+    for n, data in enumerate((good, b"text", good[:40], png(np.full((2, 2, 1), 3), 2, 3, palette=np.zeros((2, 3))), b"")):
+        (d / f"{n}.png").write_bytes(data)
+    assert [x.frame_id for x in files.read_depth_frames(spark, str(d)).collect()] == [0]
+    why = {x.frame_id: x.reason for x in files.skipped_frames(spark, str(d)).collect()}
+    assert set(why) == {1, 2, 3} and why[1] == "no PNG" and why[3] == "palette too short"  # Spark lists no file without bytes
+
+
+def test_numbers_over_ranges(spark):
+    from navprep.operators import folds, vectors
+
+    r = np.random.default_rng(1)
+    rows = [(int(x), f"n{i}") for i, x in enumerate(r.integers(0, 9, 60))]
+    for parts in (1, 13):
+        got = folds.numbered(spark.createDataFrame(rows, "a long, b string"), ["a", "b"], parts).collect()
+        assert [(x.a, x.b) for x in sorted(got, key=lambda x: x.number)] == sorted(rows) and sorted(x.number for x in got) == list(range(60))
+    v = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(20)], "vec_id long, embedding array<double>")
+    both = [sorted((x.vec_id, x.proto_id, round(x.similarity, 9)) for x in vectors.prototype_similarity(v, v.where("vec_id < 7"), block).collect()) for block in (100, 2)]
+    assert both[0] == both[1] and len(both[0]) == 140
+
+
+def test_pixels_of_maps_and_places(spark):
+    from navprep.functions import geometry as g
+    from navprep.operators import grids
+
+    cells = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 1, 2, 3.0), ("a", 0, 1, 2.0), ("a", 1, 0, float("nan")), ("b", 0, 0, 5.0), ("b", 0, 1, float("inf"))], "env string, ix int, iy int, value double")
+    params = spark.createDataFrame([("a", 3), ("b", 2)], "env string, num_y int")
+    got = sorted(map(tuple, grids.normalised_cells(cells, params).collect()))
+    assert got == sorted([("a", 2, 0, 0), ("a", 0, 1, 255), ("a", 1, 0, 127), ("a", 2, 1, 0), ("b", 1, 0, 0), ("b", 0, 0, 0)])
+    p = spark.createDataFrame([(1.3, -2.0, 0.05, 130)], "p double, s double, v double, n int")
+    u = p.withColumn("u", g.grid_index(F.col("p"), F.col("s"), F.col("v"), F.col("n"))[0])
+    assert np.isclose(u.select(g.grid_place(F.col("u"), F.col("s"), F.col("v"), F.col("n"))).first()[0], 1.3)
