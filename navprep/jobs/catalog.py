@@ -93,6 +93,15 @@ def sampled(spark, sf_dir):
     return sync.take_samples(_synced(spark, sf_dir), 2, 3).where("drop_reason is null").select("bag", "cloud_idx", "sample_id")
 
 
+@query(_SYNC + """, a AS (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY stamp, cloud_idx) - 1 n FROM s WHERE drop_reason IS NULL), kk AS (SELECT bag, max(n) FILTER (n % 2 = 0 AND n // 2 < 3) last FROM a GROUP BY 1),
+t AS (SELECT bag, count(*) accepted, count(*) FILTER (n % 2 = 0) taken FROM a JOIN kk USING (bag) WHERE n <= last OR last < 4 GROUP BY 1), w AS (SELECT bag, drop_reason, count(*) c FROM s WHERE drop_reason IS NOT NULL GROUP BY 1, 2),
+y AS (SELECT bag, arg_min(drop_reason, struct_pack(a := -c, b := drop_reason)) why FROM w GROUP BY 1)
+SELECT bag, coalesce(accepted, 0) accepted, coalesce(taken, 0) taken, coalesce(accepted - taken, 0) stride_drops, CASE WHEN coalesce(taken, 0) = 0 THEN 'no sample: ' || why END error FROM (SELECT DISTINCT bag FROM s) b LEFT JOIN t USING (bag) LEFT JOIN y USING (bag)""")
+def sample_report(spark, sf_dir):
+    """Every second match of a bag, three at most."""
+    return sync.sample_report(_synced(spark, sf_dir), 2, 3)
+
+
 @query(f"WITH m AS ({_M}) SELECT * FROM (SELECT DISTINCT bag, 'log_' || CASE WHEN rk < 1000 THEN lpad(CAST(rk AS VARCHAR), 3, '0') ELSE CAST(rk AS VARCHAR) END env FROM (SELECT bag, dense_rank() OVER (ORDER BY bag) - 1 rk FROM m))")
 def env_names(spark, sf_dir):
     return sync.env_names(_messages(spark, sf_dir), "log")

@@ -94,6 +94,18 @@ def bag_report(messages: DataFrame, synced: DataFrame) -> DataFrame:
     return out.withColumn("success", F.col("matches") > 0)
 
 
+def sample_report(synced: DataFrame, every: int = 1, max_frames: int | None = None) -> DataFrame:
+    """bag, accepted, taken, stride_drops, error: what take_samples leaves of each bag. Rows after the last sample that a cap allows are in no count, so accepted
+    are those up to it; stride_drops are accepted rows between the samples; error says why a bag has none."""
+    n = synced.groupBy("bag").agg(F.count_if(F.col("drop_reason").isNull()).alias("all"), F.mode("drop_reason", True).alias("why"))
+    whole = F.ceil(F.col("all") / every)
+    cap = F.lit(None).cast("long") if max_frames is None else F.lit(max(1, max_frames))
+    taken = F.least(whole, cap)
+    seen = F.when(whole >= cap, (cap - 1) * every + 1).otherwise(F.col("all"))
+    out = n.select("bag", seen.cast("long").alias("accepted"), taken.cast("long").alias("taken"), "why")
+    return out.select("bag", "accepted", "taken", (F.col("accepted") - F.col("taken")).alias("stride_drops"), F.when(F.col("taken") == 0, F.concat(F.lit("no sample: "), "why")).alias("error"))
+
+
 def extract_summary(report: DataFrame, fail_fast: bool = False) -> DataFrame:
     """Successes and failures over all bags; fail_fast: only bags up to and including the first that failed, by name."""
     r = report
