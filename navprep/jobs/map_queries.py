@@ -67,7 +67,7 @@ t0 AS (SELECT *, 2 * (qy * d - qz * cy) tx, 2 * (qz * cx - qx * d) ty, 2 * (qx *
 w AS MATERIALIZED (SELECT env, frame_id, x / {ROOM} camx, y / {ROOM} camy, x / {ROOM} + cx + qw * tx + qy * tz - qz * ty x, y / {ROOM} + cy + qw * ty + qz * tx - qx * tz y, z / {ROOM} + d + qw * tz + qx * ty - qy * tx z FROM t0)"""
 
 
-@query(_cloud_map(_PIXELS.format(where="mm BETWEEN 1 AND 10000")))
+@query(_cloud_map(_PIXELS.format(where="mm BETWEEN 200 AND 10000")))
 def map_from_depth(spark, sf_dir):
     return _map(spark, sf_dir, "depth")
 

@@ -94,7 +94,7 @@ def build_map(s: dict, poses: DataFrame, frames: DataFrame | None = None, scans:
     source = s["cloud_source"]
     flat = s["is_flat_ground"]
     if source in DEPTH:
-        cloud = fr.depth_cloud(with_camera(frames, poses, extrinsics, flat), s["cloud_voxel"], high=s["max_depth_range"])
+        cloud = fr.depth_cloud(with_camera(frames, poses, extrinsics, flat), s["cloud_voxel"], high=s["max_depth_range"], legacy=s.get("legacy", False))
     elif source in DEPTH_FUSED:
         f = with_camera(frames, poses, extrinsics, flat, by_position=True)
         f = f.where(F.col("position") % s["depth_tsdf_frame_stride"] == 0).drop("position")

@@ -64,11 +64,18 @@ def sample_pixels(frames: DataFrame, stride: int, ignore_bottom: int = 0, low: f
     return frames.select(*rest, F.explode(picked).alias("p")).select(*rest, "p.u", "p.v", "p.depth")
 
 
-def depth_cloud(frames: DataFrame, voxel: float, stride: int = 1, low: float = 1e-9, high: float = 10.0) -> DataFrame:
-    """Mean point of each voxel over all pixels in range. frames carry fx, fy, cx, cy and camera (a pose struct)."""
-    px = sample_pixels(frames, stride, 0, low, high)
-    pts = P.back_project(px, *(F.col(c) for c in ("fx", "fy", "cx", "cy")), F.col("camera"))
-    return P.voxel_downsample(pts.select("env", "x", "y", "z"), voxel)
+def depth_cloud(frames: DataFrame, voxel: float, stride: int = 1, low: float = 0.2, high: float = 10.0, legacy: bool = False) -> DataFrame:
+    """Mean point of each voxel over all pixels of low to high metres. frames carry fx, fy, cx, cy and camera (a pose struct).
+
+    legacy: as the published job has it, other pixels stand a millimetre before the camera, and each env has a frame's worth of points at the world's origin."""
+    px = sample_pixels(frames, stride, 0, *((low, high) if not legacy else (float("-inf"), float("inf"))))
+    if legacy:
+        px = px.withColumn("depth", F.when((F.col("depth") < low) | (F.col("depth") > high), 0.001).otherwise(F.col("depth")))
+    pts = P.back_project(px, *(F.col(c) for c in ("fx", "fy", "cx", "cy")), F.col("camera")).select("env", "x", "y", "z")
+    if legacy:
+        n = frames.groupBy("env").agg(F.max(F.col("height") * F.col("width")).alias("n"))
+        pts = pts.unionByName(n.select("env", F.explode(F.array_repeat(F.lit(0.0), F.col("n"))).alias("x")).select("env", "x", F.col("x").alias("y"), F.col("x").alias("z")))
+    return P.voxel_downsample(pts, voxel)
 
 
 def crop_params(width: Column, height: Column, target_w: int, target_h: int) -> Column:

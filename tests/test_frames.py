@@ -378,3 +378,12 @@ def test_pixels_of_maps_and_places(spark):
     p = spark.createDataFrame([(1.3, -2.0, 0.05, 130)], "p double, s double, v double, n int")
     u = p.withColumn("u", g.grid_index(F.col("p"), F.col("s"), F.col("v"), F.col("n"))[0])
     assert np.isclose(u.select(g.grid_place(F.col("u"), F.col("s"), F.col("v"), F.col("n"))).first()[0], 1.3)
+
+
+def test_legacy_clouds_keep_what_is_out_of_range(spark):
+    """Pixels out of range a millimetre before the camera, and a frame's worth of points at the origin; without the flag neither."""
+    cam = dict(zip(POSE, (1.0, 2.0, 3.0, 0.0, 0.0, 0.0, 1.0)))
+    f = spark.createDataFrame([("e", 2, 2, [1000, 100, 20000, 0], 2.0, 2.0, 0.5, 0.5, tuple(cam[c] for c in POSE))], "env string, height int, width int, data array<int>, fx double, fy double, cx double, cy double, camera struct<" + ",".join(f"{c}:double" for c in POSE) + ">")
+    rows = lambda **m: sorted((round(x.x, 3), round(x.y, 3), round(x.z, 3), x.n) for x in fr.depth_cloud(f, 0.1, **m).collect())
+    assert rows() == [(0.75, 1.75, 4.0, 1)]
+    assert rows(legacy=True) == [(0.0, 0.0, 0.0, 4), (0.75, 1.75, 4.0, 1), (1.0, 2.0, 3.001, 3)]

@@ -25,7 +25,8 @@ def dense(rows, n, m):
 def test_scans_in_world_give_the_layers_map(spark):
     rng = np.random.default_rng(3)
     pts = np.c_[rng.uniform(-3, 3, (300, 2)), rng.choice([0.0, 0.5], 300)]
-    scans = spark.createDataFrame([("a", 0, *map(float, p)) for p in pts], "env string, frame_id long, x double, y double, z double")
+    lone = [[40.0, 40.0, 0.5]]  # an outlier among obstacles: it neither stands in the map nor widens it
+    scans = spark.createDataFrame([("a", 0, *map(float, p)) for p in [*pts, *lone]], "env string, frame_id long, x double, y double, z double")
     poses = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.4, 0.0, 0.0, 0.0, 1.0)], POSE)
     s = resolve({"cloud_source": "point_cloud", "scan_transform_mode": "world", "voxel_size": 0.2, "max_scan_range": 50.0, "trajectory_clear_radius": 0.5})
     s["cloud_voxel"] = 1e-4  # each point is its own voxel
