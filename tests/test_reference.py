@@ -186,7 +186,7 @@ def folded(events):
     return sorted(out)
 
 
-@pytest.mark.parametrize("parts", [1, 7, 60])
+@pytest.mark.parametrize("parts", [1, 7, 30])
 def test_planner_fold_over_many_tasks(spark, parts):
     e = planner_events(300, 5)
     got = robot.fold_batch(spark.createDataFrame(e), parts=parts)
@@ -196,7 +196,7 @@ def test_planner_fold_over_many_tasks(spark, parts):
     assert robot.fold_batch(spark.createDataFrame(e).limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("parts", [1, 9, 80])
+@pytest.mark.parametrize("parts", [1, 9, 30])
 def test_folds_without_tables(spark, parts):
     r = np.random.default_rng(8)
     env = np.where(r.random(200) < 0.7, "a", np.where(r.random(200) < 0.5, "b", "c"))
@@ -284,7 +284,7 @@ def topic_log(n, seed):
     return pd.DataFrame({"robot_id": np.where(r.random(n) < 0.7, 0, r.integers(0, 4, n)), "topic": topic, "ts": r.integers(1000, 41_000, n) * 1000, "msg_id": np.arange(n)})
 
 
-@pytest.mark.parametrize("slop,queue,parts", [(300_000, 10, 1), (300_000, 2, 23), (2_000_000, 10, 60), (4_000_000, 3, 9)])
+@pytest.mark.parametrize("slop,queue,parts", [(300_000, 10, 1), (300_000, 2, 23), (2_000_000, 10, 30), (4_000_000, 3, 9)])
 def test_live_sync(spark, slop, queue, parts):
     m = topic_log(400, slop % 7 + queue)
     want = live_matches(m[m["topic"] != "other"], slop, queue)

@@ -121,7 +121,7 @@ def plain_outliers(p, k, ratio):
     return p[(mean > 0) & (mean < most)]
 
 
-@pytest.mark.parametrize("k,spacing", [(50, 0.1), (5, 0.02), (20, 3.0)])
+@pytest.mark.parametrize("k,spacing", [(50, 0.1), (5, 0.05), (20, 3.0)])
 def test_outliers_equal_all_distances(spark, k, spacing):
     r = np.random.default_rng(3)
     clouds = {
