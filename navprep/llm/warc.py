@@ -50,13 +50,13 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     found = found.select("record_id", "ts", "url_key", F.coalesce(F.col("asof"), F.col("carried")).alias("asof")).distinct()
     revisits = r.where("kind = 'revisit'").select("record_id", "ts", "url_key", "etag", "last_modified", "headers")
     here = (F.col("v.ts") == F.col("f.ts")) & (F.col("v.url_key") == F.col("f.url_key")) & F.col("v.record_id").eqNullSafe(F.col("f.record_id"))
-    both = revisits.where(placed).alias("v").join(found.alias("f"), here).select("v.*", F.col("f.asof.record_id").alias("response_id"), F.col("f.asof.ts").alias("response_ts"))
+    both = revisits.alias("v").join(found.alias("f"), here, "left").select("v.*", F.col("f.asof.record_id").alias("response_id"), F.col("f.asof.ts").alias("response_ts"))
+    # those without a response are dealt by a hash of their own, not all by null
+    both = both.withColumn("at", F.coalesce("response_ts", F.xxhash64("record_id", "ts")))
     original = r.where(full).select(F.col("url_key").alias("o_key"), F.col("ts").alias("o_ts"), F.col("record_id").alias("o_id"), F.lit(True).alias("there"), F.struct("status", "etag", "last_modified", "headers").alias("o"))
     # a response is told by URL, time and id: one id may name several
-    same_one = (F.col("response_ts") == F.col("o_ts")) & (F.col("url_key") == F.col("o_key")) & F.col("response_id").eqNullSafe(F.col("o_id"))
+    same_one = (F.col("at") == F.col("o_ts")) & (F.col("url_key") == F.col("o_key")) & F.col("response_id").eqNullSafe(F.col("o_id")) & F.col("response_ts").isNotNull()
     x = both.join(original.dropDuplicates(["o_key", "o_ts", "o_id"]), same_one, "left")
-    lone = revisits.where(~placed)
-    x = x.unionByName(lone, allowMissingColumns=True)
     same = F.when(F.col("etag").isNotNull(), F.col("etag").eqNullSafe(F.col("o.etag"))).when(F.col("last_modified").isNotNull(), F.col("last_modified").eqNullSafe(F.col("o.last_modified"))).otherwise(True)
     state = F.when(F.col("there").isNull(), "missing").when(same, "resolved").otherwise("changed")
     may = F.array(*map(F.lit, PERMITTED))
