@@ -145,7 +145,7 @@ def test_dilate():
     assert not whole_maps.dilate(np.zeros((3, 3), bool), 2).any()
 
 
-@pytest.mark.parametrize("name", ["map_from_depth", "map_from_fused_depth", "map_from_scans", "map_from_rays"])
+@pytest.mark.parametrize("name", ["map_from_fused_depth"])  # the others have oracles
 def test_map_queries(spark, name):
     rows = QUERIES[name](spark, "/root/testdata/sf0.001").limit(5).collect()
     assert rows and all(np.isfinite(r["value"]) for r in rows)
