@@ -27,11 +27,3 @@ def resolve(given: dict) -> dict:
     s["depth_raycast_bounds_pixel_stride"] = first("depth_raycast_bounds_pixel_stride", other=max(s["depth_raycast_ray_pixel_stride"], s["depth_raycast_hit_pixel_stride"]))
     s["cloud_voxel"] = s["voxel_size"] * (1.0 if s["cloud_source"].startswith("depth_raycast") else 0.9)
     return s
-
-
-def heights(settings: dict, mean_z: float) -> tuple[float, float]:
-    """(robot height, ground height) of an env with a mean pose height."""
-    robot, ground, offset = (settings.get(k) for k in ("robot_height", "ground_z", "ground_z_offset"))
-    if ground is None:
-        ground = 0.0 if offset is None else mean_z + offset
-    return mean_z if robot is None else robot, ground

@@ -265,7 +265,6 @@ def test_settings():
     s = settings.resolve({"map_source": "Depth_TSDF", "robot_width": 0.5, "ground_height": 0.1, "depth_tsdf_frame_stride": 3})
     assert (s["cloud_source"], s["robot_size"], s["terrain_ground_height"], s["depth_raycast_frame_stride"], s["depth_raycast_bounds_pixel_stride"]) == ("depth_tsdf", 0.25, 0.1, 3, 8)
     assert np.isclose(s["depth_tsdf_truncation"], 0.2) and np.isclose(s["cloud_voxel"], 0.045)
-    assert settings.heights({}, 0.4) == (0.4, 0.0) and settings.heights({"ground_z_offset": -0.4, "robot_height": 1.0}, 0.5) == (1.0, 0.09999999999999998)
 
 
 def test_environments_are_committed_whole(spark, tmp_path):
