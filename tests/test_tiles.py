@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import whole_maps as whole
+from pyspark.sql import functions as F
 
 from navprep.operators import grids, outliers, tiles
 
@@ -16,7 +17,7 @@ def params(spark, voxel=0.1):
 
 def sparse(spark, masks, **more):
     rows = [pd.DataFrame({"env": e, "ix": np.nonzero(m)[0], "iy": np.nonzero(m)[1], **{k: v[e][m] for k, v in more.items()}}) for e, m in masks.items()]
-    return spark.createDataFrame(pd.concat(rows)).withColumn("ix", __import__("pyspark").sql.functions.col("ix").cast("int"))
+    return spark.createDataFrame(pd.concat(rows)).withColumn("ix", F.col("ix").cast("int"))
 
 
 def scene(seed, share):
