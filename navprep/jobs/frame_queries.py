@@ -41,12 +41,12 @@ def depth_points(spark, sf_dir):
     return pts.select("env", "frame_id", "u", "v", *(rounded(c).alias(c) for c in "xyz"))
 
 
-@query(_WORLD.replace("u % 2 = 0 AND v % 2 = 0 AND v < 7 AND mm BETWEEN 450 AND 10000", "mm BETWEEN 200 AND 10000") + """, w AS (SELECT env, x + cx + qw * tx + qy * tz - qz * ty x, y + cy + qw * ty + qz * tx - qx * tz y, z + d + qw * tz + qx * ty - qy * tx z FROM t),
+@query(_WORLD.replace("u % 2 = 0 AND v % 2 = 0 AND v < 7 AND mm BETWEEN 450 AND 10000", "mm BETWEEN 1 AND 10000") + """, w AS (SELECT env, x + cx + qw * tx + qy * tz - qz * ty x, y + cy + qw * ty + qz * tx - qx * tz y, z + d + qw * tz + qx * ty - qy * tx z FROM t),
 lo AS (SELECT env, min(x) mx, min(y) my, min(z) mz FROM w GROUP BY 1), k AS (SELECT env, x, y, z, floor((x - mx + 0.05) / 0.1) kx, floor((y - my + 0.05) / 0.1) ky, floor((z - mz + 0.05) / 0.1) kz FROM w JOIN lo USING (env))
 SELECT env, CAST(kx AS BIGINT) kx, CAST(ky AS BIGINT) ky, CAST(kz AS BIGINT) kz, round(avg(x), 6) + 0.0 x, round(avg(y), 6) + 0.0 y, round(avg(z), 6) + 0.0 z, count(*) n FROM k GROUP BY 1, 2, 3, 4""")
 def depth_cloud(spark, sf_dir):
-    """Cloud of all frames' pixels."""
-    v = fr.depth_cloud(_frames(spark, sf_dir), 0.1)
+    """Cloud of all frames' measured pixels up to 10 m, those nearer than a map job's 0.2 m too."""
+    v = fr.depth_cloud(_frames(spark, sf_dir), 0.1, low=0.001)
     return v.select("env", *(F.col(f"k{c}").cast("long").alias(f"k{c}") for c in "xyz"), *(rounded(c).alias(c) for c in "xyz"), "n")
 
 
