@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.geometry import POSE
 from .points import voxel_downsample
 from .rays import rotation
+from .tables import stored
 
-#: Voxels of a block's side, and blocks that a task holds before it hands their sums on.
-BLOCK, HELD = 8, 4096
+#: Voxels of a block's side, blocks that a task holds before it hands their sums on, and rows of blocks that are worked on at once.
+BLOCK, HELD, STEP = 8, 1 << 15, 512
 _SUMS = "env string, bx int, by int, bz int, total binary, weight binary"
 _BLOCK_KEY = ("env", "bx", "by", "bz")
 
@@ -34,22 +35,26 @@ def frame_blocks(depth: np.ndarray, k: tuple[float, float, float, float], camera
     reach = range(int((hi - lo).max()) + 1)
     blocks = np.unique(np.concatenate([np.unique(np.minimum(lo + (i, j, l), hi), axis=0) for i in reach for j in reach for l in reach]), axis=0)
     inner = np.stack(np.meshgrid(*(np.arange(block),) * 3, indexing="ij"), -1).reshape(-1, 3)
+    rows, cols = np.indices(depth.shape)
+    along = np.sqrt(1 + ((cols - cx) / fx) ** 2 + ((rows - cy) / fy) ** 2)
     for i in range(0, len(blocks), 64):  # arrays of a bounded size
         some = blocks[i : i + 64]
         c = (((some[:, None] * block + inner).reshape(-1, 3) + 0.5) * voxel - t) @ r
-        z = c[:, 2]
-        front = z > 0
-        pu, pv = np.full(len(z), -1), np.full(len(z), -1)
-        pu[front], pv[front] = np.rint(c[front, 0] / z[front] * fx + cx), np.rint(c[front, 1] / z[front] * fy + cy)
-        ok = front & (pu >= 0) & (pu < depth.shape[1]) & (pv >= 0) & (pv < depth.shape[0])
-        at = np.zeros(len(z))
-        at[ok] = depth[pv[ok], pu[ok]]
-        along = np.sqrt(1 + ((pu - cx) / fx) ** 2 + ((pv - cy) / fy) ** 2)
-        far = (at - z) * along
-        ok = (ok & (at > 0) & (far > -trunc)).reshape(len(some), -1)
+        at = np.flatnonzero(c[:, 2] > 0)
+        c = c[at]
+        pu, pv = np.rint(c[:, 0] / c[:, 2] * fx + cx), np.rint(c[:, 1] / c[:, 2] * fy + cy)
+        inside = (pu >= 0) & (pu < depth.shape[1]) & (pv >= 0) & (pv < depth.shape[0])
+        at, pu, pv = at[inside], pu[inside].astype(int), pv[inside].astype(int)
+        measured = depth[pv, pu]
+        far = (measured - c[inside, 2]) * along[pv, pu]
+        near = (measured > 0) & (far > -trunc)
+        at = at[near]
+        ok, value = np.zeros(len(some) * block**3, bool), np.zeros(len(some) * block**3)
+        ok[at], value[at] = True, np.minimum(1.0, far[near] / trunc)
+        ok, value = ok.reshape(len(some), -1), value.reshape(len(some), -1)
         any_ = ok.any(1)
         if any_.any():
-            yield some[any_], np.minimum(1.0, far.reshape(ok.shape)[any_] / trunc), ok[any_]
+            yield some[any_], value[any_], ok[any_]
 
 
 def nearest_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -75,11 +80,32 @@ class _Sums:
         self.weight[rows] += ok
         return True
 
-    def out(self) -> pd.DataFrame:
-        rows = [(*k, self.total[i].tobytes(), self.weight[i].tobytes()) for k, i in self.at.items()]
+    def out(self) -> Iterator[pd.DataFrame]:
+        """All sums, some blocks at a time; then there are none."""
+        keys, names = list(self.at), [f.split()[0] for f in _SUMS.split(", ")]
+        for i in range(0, len(keys), STEP):
+            yield pd.DataFrame([(*k, self.total[j].tobytes(), self.weight[j].tobytes()) for j, k in enumerate(keys[i : i + STEP], i)], columns=names)
+        self.total[: len(keys)], self.weight[: len(keys)] = 0, 0
         self.at.clear()
-        self.total[:], self.weight[:] = 0, 0
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in _SUMS.split(", ")])
+
+
+def _stack(arrays: pd.Series, kind: type = np.float64) -> np.ndarray:
+    """Packed arrays of one length as rows."""
+    return np.frombuffer(b"".join(arrays), kind).reshape(len(arrays), -1)
+
+
+def _starts(keys: pd.DataFrame) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    before = keys.shift()
+    new = ~((keys == before) | (keys.isna() & before.isna())).all(axis=1).to_numpy(bool)
+    new[:1] = True
+    return np.flatnonzero(new)
+
+
+def _by_block(rows: DataFrame, *then: str) -> DataFrame:
+    """rows with those of a block together, in order: a task reads many blocks as a stream, as a call for each would cost more than its work."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY, *then)
 
 
 def fuse(frames: DataFrame, voxel: float, trunc: float, max_range: float, shape: tuple[int, int] | None = None) -> DataFrame:
@@ -87,7 +113,7 @@ def fuse(frames: DataFrame, voxel: float, trunc: float, max_range: float, shape:
     of BLOCK voxels a side (arrays in order of x, y, z; weight 0: never seen).
 
     A frame of another shape is resized to it by nearest pixels; one without depth in range changes nothing. Frames are independent; they are spread first, as
-    they are small next to the voxels they touch; a task adds up the frames that it reads, and then blocks meet by their place."""
+    they are small next to the voxels they touch, an env's in as few tasks as will do, so that a task adds up most of what meets; then blocks meet by their place."""
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = _Sums()
@@ -98,20 +124,36 @@ def fuse(frames: DataFrame, voxel: float, trunc: float, max_range: float, shape:
                 depth = np.where((depth > 0) & (depth <= max_range), depth, 0.0)
                 for part in frame_blocks(depth, (row.fx, row.fy, row.cx, row.cy), np.array([getattr(row, c) for c in POSE], float), voxel, trunc):
                     if not sums.add(row.env, *part):
-                        yield sums.out()
+                        yield from sums.out()
                         sums.add(row.env, *part)
-        yield sums.out()
+        yield from sums.out()
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x) for x in pdf["total"])
-        weight = sum(np.frombuffer(x, np.int32) for x in pdf["weight"])
-        tsdf = np.divide(total, weight, out=np.zeros(len(total)), where=weight > 0)
-        return pdf.iloc[:1][list(_BLOCK_KEY)].assign(tsdf=[tsdf.tobytes()], weight=[weight.astype(np.int32).tobytes()])
+    def packed(keys: list[tuple], total: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
+        tsdf = np.divide(total, weight, out=np.zeros(total.shape), where=weight > 0)
+        return pd.DataFrame(keys, columns=list(_BLOCK_KEY)).assign(tsdf=[x.tobytes() for x in tsdf], weight=[x.tobytes() for x in weight.astype(np.int32)])
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last block's sums: more of it may come
+        for b in batches:
+            for i in range(0, len(b), STEP):
+                some = b.iloc[i : i + STEP]
+                first = _starts(some[list(_BLOCK_KEY)])
+                total, weight = np.add.reduceat(_stack(some["total"]), first), np.add.reduceat(_stack(some["weight"], np.int32), first)
+                keys = list(some[list(_BLOCK_KEY)].iloc[first].itertuples(index=False, name=None))
+                if held and held[0] == keys[0]:
+                    total[0] += held[1]
+                    weight[0] += held[2]
+                elif held:
+                    yield packed([held[0]], held[1][None], held[2][None])
+                held = keys[-1], total[-1].copy(), weight[-1].copy()
+                yield packed(keys[:-1], total[:-1], weight[:-1])
+        if held:
+            yield packed([held[0]], held[1][None], held[2][None])
 
     f = frames.where("data is not null").select("env", "height", "width", "data", "fx", "fy", *(F.col(f"camera.{c}").alias(c) for c in POSE), F.col("cx"), F.col("cy"))
     parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sums = f.repartition(parts).mapInPandas(project, _SUMS)
-    return sums.groupBy(*_BLOCK_KEY).applyInPandas(merge, "env string, bx int, by int, bz int, tsdf binary, weight binary")
+    sums = f.repartitionByRange(parts, "env", F.xxhash64(*POSE)).mapInPandas(project, _SUMS)
+    return _by_block(sums).mapInPandas(merge, "env string, bx int, by int, bz int, tsdf binary, weight binary")
 
 
 def voxels(volume: DataFrame) -> DataFrame:
@@ -131,39 +173,64 @@ def voxels(volume: DataFrame) -> DataFrame:
 def surface_points(volume: DataFrame, voxel: float, edge: float = 0.98) -> DataFrame:
     """env, x, y, z where the distance changes sign between a voxel and its neighbour along an axis, by linear interpolation; values at the limit take no part.
 
-    A block goes to itself and, as the layer behind their last, to its three lower neighbours; each group then holds all the neighbours that it needs."""
-    steps = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
-    to = F.explode(F.array(*(F.struct(F.lit(n).alias("role"), *((F.col(f"b{c}") - s).alias(f"b{c}") for c, s in zip("xyz", step))) for n, step in enumerate(steps))))
-
-    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = BLOCK
-        grid = np.full((n + 1,) * 3, np.nan)
-        own = False
-        for role, tsdf, weight in zip(pdf["role"], pdf["tsdf"], pdf["weight"]):
-            a = np.where(np.frombuffer(weight, np.int32) > 0, np.frombuffer(tsdf), np.nan).reshape(n, n, n)
-            a = np.where((a < edge) & (a >= -edge), a, np.nan)
-            if role == 0:
-                grid[:n, :n, :n], own = a, True
-            else:
+    A block goes to itself and its first layers to its three lower neighbours, behind their last; rows of a block's place then hold all the neighbours that it needs."""
+    n = BLOCK
+
+    def layers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), STEP):
+                some = b.iloc[i : i + STEP]
+                a = _stack(some["tsdf"])
+                a = np.where((_stack(some["weight"], np.int32) > 0) & (a < edge) & (a >= -edge), a, np.nan).reshape(-1, n, n, n)
+                for role, part in enumerate([a, *(np.take(a, 0, axis) for axis in (1, 2, 3))]):
+                    part = part.reshape(len(a), -1)
+                    any_ = ~np.isnan(part).all(1)  # a layer without values crosses nothing
+                    out = some.loc[any_, list(_BLOCK_KEY)].assign(role=np.int32(role), part=[x.tobytes() for x in part[any_]])
+                    if role:
+                        out["b" + "xyz"[role - 1]] -= 1
+                    yield out
+
+    def crossings(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        """Of the blocks whose rows begin at first."""
+        group, role = np.repeat(np.arange(len(first)), np.diff([*first, len(rows)])), rows["role"].to_numpy()
+        grid = np.full((len(first), *(n + 1,) * 3), np.nan)
+        for r in range(4):
+            if (role == r).any():
                 at = [slice(0, n)] * 3
-                at[role - 1] = n
-                grid[tuple(at)] = np.take(a, 0, role - 1)
-        found = []
-        here = grid[:n, :n, :n]
-        for axis in range(3) if own else ():
-            nxt = np.take(grid, range(1, n + 1), axis)[tuple(slice(0, n) for _ in range(3))]
+                if r:
+                    at[r - 1] = n
+                grid[(group[role == r], *at)] = _stack(rows["part"][role == r]).reshape(-1, *(n,) * (2 if r else 3))
+        here, found, whose = grid[:, :n, :n, :n], [], []
+        places = rows[["bx", "by", "bz"]].iloc[first].to_numpy(float) * n
+        for axis in range(3):
+            ahead = [slice(0, n)] * 3
+            ahead[axis] = slice(1, n + 1)
+            nxt = grid[(slice(None), *ahead)]
             at = np.argwhere(here * nxt < 0)
             f0, f1 = np.abs(here[tuple(at.T)]), np.abs(nxt[tuple(at.T)])
-            p = at + 0.5 + pdf[["bx", "by", "bz"]].iloc[0].to_numpy(float) * n
+            p = at[:, 1:] + 0.5 + places[at[:, 0]]
             p[:, axis] += f0 / (f0 + f1)
             found.append(p * voxel)
-        p = np.concatenate(found) if found else np.zeros((0, 3))
-        return pd.DataFrame({"env": np.full(len(p), pdf["env"].iloc[0], object), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
+            whose.append(at[:, 0])
+        p = np.concatenate(found)
+        return pd.DataFrame({"env": rows["env"].to_numpy(object)[first][np.concatenate(whose)], "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
+
+    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # the last block's rows: more of them may come
+        for b in batches:
+            for i in range(0, len(b), STEP):
+                some = pd.concat([rest, b.iloc[i : i + STEP]], ignore_index=True)
+                first = _starts(some[list(_BLOCK_KEY)])
+                rest = some.iloc[first[-1] :]
+                if len(first) > 1:
+                    yield crossings(some.iloc[: first[-1]], first[:-1])
+        if rest is not None:
+            yield crossings(rest.reset_index(drop=True), np.zeros(1, int))
 
-    g = volume.select("env", "tsdf", "weight", to.alias("t")).select("env", "t.*", "tsdf", "weight")
-    return g.groupBy(*_BLOCK_KEY).applyInPandas(cross, "env string, x double, y double, z double")
+    parts = volume.mapInPandas(layers, "env string, bx int, by int, bz int, role int, part binary")
+    return _by_block(parts, "role").mapInPandas(cross, "env string, x double, y double, z double")
 
 
 def fused_cloud(frames: DataFrame, voxel: float, trunc: float, max_range: float, shape: tuple[int, int] | None = None) -> DataFrame:
     """The fused surface, thinned to the mean point of each voxel."""
-    return voxel_downsample(surface_points(fuse(frames, voxel, trunc, max_range, shape), voxel), voxel)
+    return voxel_downsample(stored(surface_points(fuse(frames, voxel, trunc, max_range, shape), voxel), "fused-points"), voxel)

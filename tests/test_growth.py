@@ -4,7 +4,9 @@ import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
 
+from navprep.jobs import frame_queries, map_queries, maps, report_queries, settings
 from navprep.jobs.catalog import QUERIES
+from navprep.operators import fusion, outliers, points, rays, scoring
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -13,3 +15,30 @@ def test_depth_cloud_takes_every_measured_pixel(spark):
     mm = np.floor(np.abs(np.array(pq.read_table(f"{SMALL}/embeddings.parquet")["embedding"].to_pylist(), float)) * 20000)
     n = QUERIES["depth_cloud"](spark, SMALL).agg({"n": "sum"}).first()[0]
     assert n == ((mm >= 1) & (mm <= 10000)).sum() > ((mm >= 200) & (mm <= 10000)).sum()
+
+
+def test_blocks_of_fused_frames_meet_in_a_stream(spark):
+    frames = frame_queries._frames(spark, SMALL).where("frame_id < 4")
+    plan = fusion.surface_points(fusion.fuse(frames, 0.2, 0.8, 10.0), 0.2)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan  # a call for each block cost more than its work
+    whole = sorted(map(tuple, fusion.surface_points(fusion.fuse(frames, 0.2, 0.8, 10.0), 0.2).collect()))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, "3")  # a block's rows lie across batches
+    try:
+        cut = sorted(map(tuple, fusion.surface_points(fusion.fuse(frames, 0.2, 0.8, 10.0), 0.2).collect()))
+    finally:
+        spark.conf.unset(batch)
+    assert len(whole) > 100 and [x[0] for x in cut] == [x[0] for x in whole] and np.allclose([x[1:] for x in cut], [x[1:] for x in whole])
+
+
+def test_a_dense_block_is_searched_by_cells(monkeypatch):
+    cloud = np.random.default_rng(4).uniform(0, 1.8, (8000, 3))
+    own = cloud[((cloud > 0.3) & (cloud < 1.5)).all(1)]
+    want, far, _ = outliers.nearest_means(own, cloud, 50)
+    work, plain = [], outliers._distances
+    monkeypatch.setattr(outliers, "_distances", lambda a, b, n: work.append(len(a) * len(b)) or plain(a, b, n))
+    mean, near, n = outliers.block_means(own, cloud, 50, 0.3)
+    assert np.allclose(mean, want) and np.allclose(near, far) and (n == 50).all()
+    assert sum(work) < 0.2 * len(own) * len(cloud)
+    lone = np.r_[own[:30], [[9.0, 9.0, 9.0]]]
+    assert np.isinf(outliers.block_means(lone, lone, 20, 0.01)[1]).all()
