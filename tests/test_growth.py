@@ -42,3 +42,26 @@ def test_a_dense_block_is_searched_by_cells(monkeypatch):
     assert sum(work) < 0.2 * len(own) * len(cloud)
     lone = np.r_[own[:30], [[9.0, 9.0, 9.0]]]
     assert np.isinf(outliers.block_means(lone, lone, 20, 0.01)[1]).all()
+
+
+def test_waypoints_of_a_tile_are_shared_out(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    cells = spark.createDataFrame(pd.DataFrame([("e", i, j, float(r.random())) for i in range(20) for j in range(12)], columns=["env", "ix", "iy", "value"]))
+    params = spark.createDataFrame([("e", 20, 12, -1.0, -1.0, 0.25)], "env string, num_x int, num_y int, start_x double, start_y double, voxel double")
+    rows = [(n, 0, "e" if n % 9 else "none", float(x), float(y)) for n, (x, y) in enumerate(r.uniform(-2, 5, (400, 2)))]
+    w = spark.createDataFrame(rows, "traj_id long, wp_idx int, env string, wx double, wy double")
+    whole = sorted(map(tuple, scoring.lookup(w, cells, params).collect()))
+    monkeypatch.setattr(scoring, "WAYPOINTS", 16)
+    shared = sorted(map(tuple, scoring.lookup(w, cells, params).collect()))
+    assert len(whole) == 400 and shared == whole
+    assert all((x[5] is None and x[6] is False) == (x[2] == "none") for x in whole)
+
+
+def test_scores_sort_waypoints_once(spark):
+    kp = spark.createDataFrame([(t, i, float(i), float(i * t), 0.5) for t in (1, 2) for i in (1, 2, 3)], "traj_id long, kp_idx int, x double, y double, z double")
+    goals = kp.where("kp_idx = 3").select("traj_id", "x", "y", "z").toDF("traj_id", "gx", "gy", "gz")
+    s = scoring.score(scoring.densify(kp), goals, path=True)
+    plan = s._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "max_by(struct" not in plan
+    assert s._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Sort [") <= 2  # waypoints, goals
+    assert all(x["path"] > 3 and x["goal"] < 1e-9 for x in s.collect())
