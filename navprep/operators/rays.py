@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import points as P
 
+#: Cells that a task holds before it sums them up.
+HELD = 1 << 21
 _FRAME = ("env", "height", "width", "data", "fx", "fy", "cx", "cy")
 _POSE = ("x", "y", "z", "qx", "qy", "qz", "qw")
 
@@ -118,12 +120,23 @@ def frame_votes(frames: DataFrame, params: DataFrame, hit: Pixels, ray: Pixels,
     """env, ix, iy, hit_votes, free_votes of cells with any.
 
     frames: env, height, width, data, fx, fy, cx, cy, camera (a pose), ground_z, robot_height. Every hit pixel between ground and robot votes for its cell; a
-    frame votes at most once for each cell that its rays cross. Frames whose camera is outside the map have no rays, ends outside it are left out. Sums of a
-    batch leave the task, so pixels and lines are never shuffled."""
+    frame votes at most once for each cell that its rays cross. Frames whose camera is outside the map have no rays, ends outside it are left out. Sums of
+    some frames (HELD cells, or a batch) leave the task, so pixels and lines are never shuffled."""
+
+    def sums(seen: dict) -> Iterator[pd.DataFrame]:
+        for (env, ny), votes in seen.items():
+            parts = [np.unique(np.concatenate([*v, np.zeros(0, np.int64)]), return_counts=True) for v in votes]
+            at = np.union1d(parts[0][0], parts[1][0])
+            n = np.zeros((2, len(at)), np.int64)
+            for row, (cell, times) in zip(n, parts):
+                row[np.searchsorted(at, cell)] = times
+            yield pd.DataFrame({"env": np.full(len(at), env, object), "ix": (at // ny).astype(np.int32), "iy": (at % ny).astype(np.int32), "hit_votes": n[0], "free_votes": n[1]})
+        seen.clear()
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen: dict = defaultdict(lambda: ([], []))
+            held = 0
             for f in pdf.itertuples(index=False):
                 nx, ny, start = int(f.num_x), int(f.num_y), np.array([f.start_x, f.start_y])
 
@@ -139,13 +152,11 @@ def frame_votes(frames: DataFrame, params: DataFrame, hit: Pixels, ray: Pixels,
                 ends = cells(world_points(f, ray)) if len(camera) else camera
                 if len(ends):
                     seen[f.env, ny][1].append(free_cells(tuple(camera[0]), ends, max(1, math.ceil(clearance / f.voxel)), thickness, nx, ny))
-            for (env, ny), votes in seen.items():
-                parts = [np.unique(np.concatenate([*v, np.zeros(0, np.int64)]), return_counts=True) for v in votes]
-                at = np.union1d(parts[0][0], parts[1][0])
-                sums = np.zeros((2, len(at)), np.int64)
-                for row, (cell, n) in zip(sums, parts):
-                    row[np.searchsorted(at, cell)] = n
-                yield pd.DataFrame({"env": np.full(len(at), env, object), "ix": (at // ny).astype(np.int32), "iy": (at % ny).astype(np.int32), "hit_votes": sums[0], "free_votes": sums[1]})
+                held += len(at) + (len(seen[f.env, ny][1][-1]) if len(ends) else 0)
+                if held > HELD:
+                    yield from sums(seen)
+                    held = 0
+            yield from sums(seen)
 
     rows = _rows(frames.join(params.select("env", "num_x", "num_y", "start_x", "start_y", "voxel"), "env"), "num_x", "num_y", "start_x", "start_y", "voxel", "ground_z", "robot_height")
     votes = rows.mapInPandas(vote, "env string, ix int, iy int, hit_votes long, free_votes long")

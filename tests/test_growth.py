@@ -65,3 +65,13 @@ def test_scores_sort_waypoints_once(spark):
     assert "SortAggregate" not in plan and "max_by(struct" not in plan
     assert s._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Sort [") <= 2  # waypoints, goals
     assert all(x["path"] > 3 and x["goal"] < 1e-9 for x in s.collect())
+
+
+def test_votes_are_summed_before_a_batch_ends(spark, monkeypatch):
+    f = map_queries._frames(spark, SMALL).where("frame_id < 8")
+    s = settings.resolve({**map_queries._SETTINGS, "cloud_source": "depth_raycast_2d"})
+    poses = map_queries._poses(spark, SMALL)
+    with_camera = maps.with_camera(f, poses, by_position=True)
+    whole = sorted(map(tuple, maps.ray_votes(with_camera, poses, s)[0].collect()))
+    monkeypatch.setattr(rays, "HELD", 10)
+    assert sorted(map(tuple, maps.ray_votes(with_camera, poses, s)[0].collect())) == whole and len(whole) > 1000
