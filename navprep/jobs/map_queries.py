@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.tables import sized, stored
 from . import catalog as c, domain as d, frame_queries as fq, maps
 from .registry import query, rounded
 from .report_queries import _POSED, _WORLD
@@ -30,8 +31,8 @@ def _frames(spark, sf_dir) -> DataFrame:
 
 def _scans(spark, sf_dir) -> DataFrame:
     """Points in turn over all poses of their env."""
-    n = _poses(spark, sf_dir).groupBy("env").agg(F.count("*").alias("n"))
-    return d.view(spark, sf_dir, d.POINTS).join(n, "env").withColumn("frame_id", F.col("frame_id") % F.col("n")).drop("n")
+    n = stored(_poses(spark, sf_dir).groupBy("env").agg(F.count("*").alias("n")), "pose-counts")
+    return d.view(spark, sf_dir, d.POINTS).join(sized(n), "env").withColumn("frame_id", F.col("frame_id") % F.col("n")).drop("n")
 
 
 def _map(spark, sf_dir, source: str, **more) -> DataFrame:

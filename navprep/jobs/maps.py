@@ -101,7 +101,7 @@ def build_map(s: dict, poses: DataFrame, frames: DataFrame | None = None, scans:
         cloud = fusion.fused_cloud(f, s["cloud_voxel"], s["depth_tsdf_truncation"], s["max_depth_range"])
     elif source in SCAN:
         base = _with_extrinsic(poses.select("env", "frame_id", F.struct(*g.POSE).alias("base")), extrinsics)
-        x = scans.join(base, ["env", "frame_id"])
+        x = scans.join(sized(stored(base, "scan-poses")), ["env", "frame_id"])
         mode = s["scan_transform_mode"]
         origin = tuple(F.col(f"base.{c}") for c in "xyz") if mode == "world" else None
         x = P.to_world(P.range_filter(x, s["max_scan_range"], origin), mode, F.col("base"), F.col("extrinsic"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import geometry as g
 from ..operators import pairs, points as P, scoring, sync
+from ..operators.tables import sized, stored
 from ..streaming import robot
 from . import catalog as c, domain as d
 from .registry import query, rounded
@@ -38,9 +39,9 @@ def selected_frames(spark, sf_dir):
 
 def _posed(spark, sf_dir) -> DataFrame:
     """Points with a pose of their env, in turn over all of its poses."""
-    q = d.view(spark, sf_dir, d.POSES).select("env", F.col("frame_id").alias("pose_id"), F.struct(*g.POSE).alias("pose"))
-    n = q.groupBy("env").agg(F.count("*").alias("n"))
-    return _points(spark, sf_dir).join(n, "env").withColumn("pose_id", F.col("frame_id") % F.col("n")).join(q, ["env", "pose_id"])
+    q = stored(d.view(spark, sf_dir, d.POSES).select("env", F.col("frame_id").alias("pose_id"), F.struct(*g.POSE).alias("pose")), "scan-poses")
+    n = stored(q.groupBy("env").agg(F.count("*").alias("n")), "pose-counts")
+    return _points(spark, sf_dir).join(sized(n), "env").withColumn("pose_id", F.col("frame_id") % F.col("n")).join(sized(q), ["env", "pose_id"])
 
 
 _POSED = f"WITH q AS ({_POSES}), j AS (SELECT p.env, p.frame_id, p.x, p.y, p.z, q.x px, q.y py, q.z pz, qx, qy, qz, qw FROM ({_PTS}) p JOIN (SELECT *, count(*) OVER (PARTITION BY env) n FROM q) q ON q.env = p.env AND q.frame_id = p.frame_id % q.n)"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import geometry as g
+from .tables import sized, stored
 
 
 def range_filter(points: DataFrame, max_range: float | None, origin: tuple[Column, Column, Column] | None = None) -> DataFrame:
@@ -82,10 +83,11 @@ def mean_height(poses: DataFrame) -> DataFrame:
 
 
 def voxel_downsample(points: DataFrame, size: float) -> DataFrame:
-    """The mean point of each voxel; the lattice starts half a voxel below an env's least coordinates. Partial sums meet by voxel, not by env."""
-    low = points.groupBy("env").agg(*(F.min(c).alias(f"min_{c}") for c in "xyz"))
+    """The mean point of each voxel; the lattice starts half a voxel below an env's least coordinates. Partial sums meet by voxel, not by env: the least
+    coordinates, a row an env, are stored first, so that points aren't shuffled by env to meet them."""
+    low = stored(points.groupBy("env").agg(*(F.min(c).alias(f"min_{c}") for c in "xyz")), "voxel-lows")
     k = lambda c: F.floor((F.col(c) - F.col(f"min_{c}") + size / 2) / size).alias(f"k{c}")
-    p = points.join(low, "env").select("env", "x", "y", "z", k("x"), k("y"), k("z"))
+    p = points.join(sized(low), "env").select("env", "x", "y", "z", k("x"), k("y"), k("z"))
     return p.groupBy("env", "kx", "ky", "kz").agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").alias("n"))
 
 

@@ -75,3 +75,14 @@ def test_votes_are_summed_before_a_batch_ends(spark, monkeypatch):
     whole = sorted(map(tuple, maps.ray_votes(with_camera, poses, s)[0].collect()))
     monkeypatch.setattr(rays, "HELD", 10)
     assert sorted(map(tuple, maps.ray_votes(with_camera, poses, s)[0].collect())) == whole and len(whole) > 1000
+
+
+def test_scans_meet_poses_and_lattices_without_a_shuffle(spark):
+    most = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(most, "-1")  # sizes that Spark can't know
+    try:
+        posed = report_queries._posed(spark, SMALL)
+        for df in (posed, points.voxel_downsample(posed.select("env", "x", "y", "z"), 0.5), map_queries._scans(spark, SMALL)):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset(most)
