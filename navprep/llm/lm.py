@@ -31,8 +31,11 @@ RARE = 32
 ROUNDS, BATCH, NOISE, NOISE_WORDS = 4, 4096, 32, 2
 LEAST_DRAWS, MAX_PASSES, WORKER_TOKENS = 12_000_000, 12, 250_000
 _CHUNK = 512
-#: Tokens in one matrix product of scoring.
-ROWS = 1024
+#: Scoring: tokens whose contexts are looked at together, tokens and targets in one matrix product. Products of exponentials serve where there are SHARED times as
+#: many tokens as words in their contexts; logarithms above FAR and sums below LEAST could lose digits in products, and are made directly.
+TOKENS, ROWS, COLUMNS, SHARED, FAR, LEAST = 1 << 18, 1024, 256, 1.25, 40.0, 1e-12
+#: Bytes of text that are scored together, about TOKENS tokens: the more, the more contexts share their words.
+SCORE_BYTES = 3 << 19
 _END_HASH = U(0x5E4D0E4D5E4D0E40)
 FOLDS, HELD = 7, 2
 
@@ -175,18 +178,19 @@ class Network(NamedTuple):
     def log_of(self, sides: tuple, two: np.ndarray, one: np.ndarray, s: np.ndarray) -> np.ndarray:
         """Natural logarithms of the symbols' probabilities after their contexts."""
         _, top, word, _, _ = self.parts()
-        q, out, first = sides[0][two] + sides[1][one], np.empty(len(s)), self.first_step(s)
-        for i in range(0, len(s), ROWS):
-            out[i : i + ROWS] = _log_picked(q[i : i + ROWS] @ top.T, first[i : i + ROWS])
-        of_words = np.flatnonzero((s > 0) & (s <= self.words))
-        block, place = np.divmod(s[of_words] - 1, self.width)
-        order = np.argsort(block, kind="stable")
-        of_words, place = of_words[order], place[order]
-        edge = np.searchsorted(block[order], np.arange(self.blocks + 1))
-        for b in np.flatnonzero(np.diff(edge)):
-            for i in range(edge[b], edge[b + 1], ROWS):
-                at = slice(i, min(i + ROWS, edge[b + 1]))
-                out[of_words[at]] += _log_picked(q[of_words[at]] @ word[b * self.width : (b + 1) * self.width].T, place[at])
+        out, first = np.empty(len(s)), self.first_step(s)
+        for i in range(0, len(s), TOKENS):
+            at = slice(i, i + TOKENS)
+            out[at] = _log_picked(sides, two[at], one[at], top, first[at])
+            of_words = i + np.flatnonzero((s[at] > 0) & (s[at] <= self.words))
+            block, place = np.divmod(s[of_words] - 1, self.width)
+            order = np.argsort(block.astype(np.uint16 if self.blocks < 1 << 16 else np.int64), kind="stable")
+            of_words, place = of_words[order], place[order]
+            edge = np.searchsorted(block[order], np.arange(self.blocks + 1))
+            for b in np.flatnonzero(np.diff(edge)):
+                at = slice(edge[b], edge[b + 1])
+                t = of_words[at]
+                out[t] += _log_picked(sides, two[t], one[t], word[b * self.width : (b + 1) * self.width], place[at])
         return out
 
     def log_probabilities(self) -> np.ndarray:
@@ -196,7 +200,49 @@ class Network(NamedTuple):
         return np.stack([self.log_of(sides, np.full(len(s), a), one, s).reshape(n + 1, n) for a in range(n + 1)])
 
 
-def _log_picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _log_picked(sides: tuple, two: np.ndarray, one: np.ndarray, targets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the shares that targets at have among all targets, after their contexts."""
+    (left, i), (right, j) = _distinct(sides[0], two), _distinct(sides[1], one)
+    if SHARED * (len(left) + len(right)) > len(at):
+        return np.concatenate([_log_share((left.take(i[k : k + ROWS], 0) + right.take(j[k : k + ROWS], 0)) @ targets.T, at[k : k + ROWS]) for k in range(0, len(at), ROWS)])
+    # a context's exponentials are products of its two words' own, of which there are fewer
+    picked, total = np.empty(len(at)), np.zeros(len(at))
+    for c in range(0, len(targets), COLUMNS):
+        e_left, e_right = (_exps(x @ targets[c : c + COLUMNS].T) for x in (left, right))
+        for k in range(0, len(at), ROWS):
+            total[k : k + ROWS] += np.einsum("ij,ij->i", e_left.take(i[k : k + ROWS], 0), e_right.take(j[k : k + ROWS], 0))
+    for k in range(0, len(at), ROWS):
+        picked[k : k + ROWS] = np.einsum("ij,ij->i", left.take(i[k : k + ROWS], 0) + right.take(j[k : k + ROWS], 0), targets.take(at[k : k + ROWS], 0))
+    near = total > LEAST  # not where a word's own are out of range, either
+    out = picked - np.log(np.where(near, total, 1))
+    far = np.flatnonzero(~near)
+    for k in range(0, len(far), ROWS):
+        x = far[k : k + ROWS]
+        out[x] = _log_share((left[i[x]] + right[j[x]]) @ targets.T, at[x])
+    return out
+
+
+def _distinct(side: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows that are used of a side, and each one's place among them."""
+    used = np.zeros(len(side), bool)
+    used[of] = True
+    rows = np.flatnonzero(used)
+    place = np.empty(len(side), np.int64)
+    place[rows] = np.arange(len(rows))
+    return side.take(rows, 0), place[of]
+
+
+def _exps(z: np.ndarray) -> np.ndarray:
+    """Exponentials; not a number in rows whose products with others might be out of range."""
+    far = (z > FAR).any(1) if z.max() > FAR else None
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+    if far is not None:
+        z[far] = np.nan
+    return z
+
+
+def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     picked = z[np.arange(len(z)), at]
     with np.errstate(over="ignore", divide="ignore"):
         out = picked - np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))
@@ -211,8 +257,9 @@ class Trainer:
     """Noise-contrastive Adagrad steps from a network, for both steps of the prediction; rows that a batch doesn't touch stay."""
 
     def __init__(self, net: Network, p: np.ndarray, seed):
-        self.net = net._replace(rows=net.rows.copy())
-        self.sums = np.full(net.rows.shape, 1e-3, np.float32)
+        # one more column, always 0, makes the width even
+        self.net = net._replace(rows=np.pad(net.rows, ((0, 0), (0, 1))))
+        self.sums = np.full(self.net.rows.shape, 1e-3, np.float32)
         self.touched = np.zeros(len(net.rows))
         self.r = np.random.default_rng(seed)
         self.first, own = net.steps(p)
@@ -220,53 +267,99 @@ class Trainer:
         share = own / np.repeat(np.maximum(own.reshape(net.blocks, -1).sum(1), 1e-300), net.width)
         self.log_first, self.log_word = np.log(NOISE * self.first).astype(np.float32), np.log(NOISE_WORDS * np.maximum(share, 1e-300)).astype(np.float32)
 
-    def _step(self, at: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        n = np.diff(np.append(first, len(at)))
-        self._apply(at[first], np.add.reduceat(grad[order], first, axis=0) / n[:, None].astype(np.float32), n)
+    def _step(self, start: int, at: np.ndarray, source: np.ndarray, pick: np.ndarray | None = None, scale: np.ndarray | None = None) -> None:
+        """For rows from start on; the gradient at place i is scale[i] times source[pick[i]] (without them: source[i]), and the mean where rows are there more than once."""
+        bits = len(at).bit_length()
+        key = np.sort(at << bits | np.arange(len(at)))
+        order, at = key & ((1 << bits) - 1), key >> bits
+        new = np.r_[True, at[1:] != at[:-1], True]
+        first = np.flatnonzero(new)
+        n = np.diff(first)
+        first = first[:-1]
+
+        def gradients(places):
+            o = order.take(places)
+            g = source.take(o if pick is None else pick.take(o), 0)
+            if scale is not None:
+                g *= scale.take(o)[:, None]
+            return g
+
+        grad = gradients(first)
+        many = np.flatnonzero(n > 1)
+        if len(many):
+            k = n[many]
+            g = gradients(np.flatnonzero(~(new[:-1] & new[1:])))
+            # two columns at once, as a complex number: the time goes by columns
+            sums = np.add.reduceat(g.view(np.complex64), np.cumsum(k) - k, axis=0).view(np.float32)
+            _set_rows(grad, many, sums / k[:, None].astype(np.float32))
+        self._apply(at[first] + start, grad, n)
 
     def _apply(self, at, grad, n) -> None:
-        sums = self.sums[at] + grad * grad
-        self.sums[at] = sums
-        self.net.rows[at] += np.float32(0.05) * grad / np.sqrt(sums)
+        sums = self.sums.take(at, 0)
+        sums += grad * grad
+        _set_rows(self.sums, at, sums)
+        np.sqrt(sums, out=sums)
+        np.divide(grad, sums, out=sums)
+        sums *= np.float32(0.05)
+        sums += self.net.rows.take(at, 0)
+        _set_rows(self.net.rows, at, sums)
         self.touched[at] += n
 
     def batch(self, two: np.ndarray, one: np.ndarray, s: np.ndarray) -> None:
         net, n = self.net, len(s)
         context, top, word, c1, c2 = net.parts()
         starts = net.starts
-        sigmoid = lambda z: 1 / (1 + np.exp(-np.maximum(z, -30)))
-        x1, x2 = context[one, :DIM], context[two, :DIM]
-        q = np.ones((n, DIM + 1), np.float32)
-        q[:, :DIM] = x1 * c1[:, :DIM] + x2 * c2[:, :DIM]
+        of_word = (s > 0) & (s <= net.words)
+        order = np.argsort(~of_word, kind="stable")  # words first
+        two, one, s, w = two[order], one[order], s[order], np.count_nonzero(of_word)
+        x1, x2 = context.take(one, 0), context.take(two, 0)
+        q = x1 * c1
+        q += x2 * c2
+        q[:, DIM] = 1
         own = net.first_step(s)
         noise = np.minimum(np.searchsorted(self.first_edge, self.r.random(NOISE)), len(self.first) - 1)
-        d_own = (1 - sigmoid((q * top[own]).sum(1) - self.log_first[own]))[:, None]
-        d_noise = -sigmoid(q @ top[noise].T - self.log_first[noise])
-        d_q = d_own * top[own] + d_noise @ top[noise]
-        w = np.flatnonzero((s > 0) & (s <= net.words))
-        place = np.empty((len(w), 1 + NOISE_WORDS), np.int64)
-        place[:, 0] = s[w] - 1
-        lo = place[:, 0] // net.width * net.width
-        hi = np.minimum(lo + net.width, net.words)
-        u = self.edge[lo][:, None] + self.r.random((len(w), NOISE_WORDS)) * (self.edge[hi] - self.edge[lo])[:, None]
-        place[:, 1:] = np.clip(np.searchsorted(self.edge, u, "right") - 1, lo[:, None], hi[:, None] - 1)
-        target, qw = word[place], q[w]
-        d = -sigmoid(np.matmul(target, qw[:, :, None])[:, :, 0] - self.log_word[place])
-        d[:, 0] += 1
-        d_q[w] += np.matmul(d[:, None, :], target)[:, 0]
-        d_q = d_q[:, :DIM]
-        g_context = np.zeros((2 * n, DIM + 1), np.float32)
-        g_context[:n, :DIM], g_context[n:, :DIM] = d_q * c1[:, :DIM], d_q * c2[:, :DIM]
-        g_c = np.zeros((2, DIM + 1), np.float32)
-        g_c[0, :DIM], g_c[1, :DIM] = np.einsum("ij,ij->j", x1, d_q) / n, np.einsum("ij,ij->j", x2, d_q) / n
-        self._step(np.concatenate([own, noise]) + starts[1], np.concatenate([d_own * q, d_noise.T @ q]))
-        if len(w):
-            self._step(place.reshape(-1) + starts[2], (d[:, :, None] * qw[:, None, :]).reshape(-1, DIM + 1))
-        self._step(np.concatenate([one, two]), g_context)
-        self._apply(np.arange(starts[3], starts[5]), g_c, n)
+        top_own, top_noise = top.take(own, 0), top.take(noise, 0)
+        d_own = 1 + _minus_sigmoid(np.einsum("ij,ij->i", q, top_own) - self.log_first[own])
+        d_noise = _minus_sigmoid(q @ top_noise.T - self.log_first[noise])
+        d_q = d_noise @ top_noise
+        top_own *= d_own[:, None]
+        d_q += top_own
+        if w:
+            place = np.empty((w, 1 + NOISE_WORDS), np.int64)
+            place[:, 0] = s[:w] - 1
+            lo = place[:, 0] // net.width * net.width
+            hi = np.minimum(lo + net.width, net.words)
+            u = self.edge[lo][:, None] + self.r.random((w, NOISE_WORDS)) * (self.edge[hi] - self.edge[lo])[:, None]
+            place[:, 1:] = np.clip(np.searchsorted(self.edge, u, "right") - 1, lo[:, None], hi[:, None] - 1)
+            target = word.take(place, 0)
+            d = _minus_sigmoid(np.einsum("ijk,ik->ij", target, q[:w]) - self.log_word[place])
+            d[:, 0] += 1
+            d_q[:w] += np.einsum("ij,ijk->ik", d, target)
+        d_q[:, DIM:] = 0
+        g_context = np.empty((2 * n, d_q.shape[1]), np.float32)
+        np.multiply(d_q, c1, out=g_context[:n])
+        np.multiply(d_q, c2, out=g_context[n:])
+        g_c = np.stack([np.einsum("ij,ij->j", x, d_q) for x in (x1, x2)]) / n
+        self._step(starts[1], np.concatenate([own, noise]), np.concatenate([q, d_noise.T @ q]), scale=np.concatenate([d_own, np.ones(NOISE, np.float32)]))
+        if w:
+            self._step(starts[2], place.reshape(-1), q, np.arange(place.size) // place.shape[1], d.reshape(-1))
+        self._step(starts[0], np.concatenate([one, two]), g_context)
+        self._apply(np.arange(starts[3], starts[5]), g_c.astype(np.float32), n)
+
+
+def _minus_sigmoid(z: np.ndarray) -> np.ndarray:
+    """In the place of z."""
+    np.maximum(z, -30, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.divide(-1, z, out=z)
+
+
+def _set_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """table[at] = rows, copied a whole row at a time."""
+    row = np.dtype((np.void, table.shape[1] * table.itemsize))
+    table.view(row)[:, 0][at] = rows.view(row)[:, 0]
 
 
 class Model(NamedTuple):
@@ -298,7 +391,7 @@ def _passes(now, n: int, passes: int):
                     t.batch(two[at], one[at], s[at])
         for i in range(0, len(net.rows) if t.touched.any() else 0, _CHUNK):
             w = t.touched[i : i + _CHUNK]
-            change = (t.net.rows[i : i + _CHUNK] - net.rows[i : i + _CHUNK]) * w[:, None]
+            change = (t.net.rows[i : i + _CHUNK, : DIM + 1] - net.rows[i : i + _CHUNK]) * w[:, None]
             yield pa.RecordBatch.from_arrays([pa.array([i // _CHUNK]), pa.array([part]), pa.array([change.astype(np.float32).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["chunk", "part", "change", "w"])
 
     return run
@@ -362,13 +455,28 @@ def train(texts: DataFrame, max_frequent: int = MAX_FREQUENT) -> tuple[Model, Da
     return Model(total, distinct, top_h, top_at, fh[order], fc[order], sizes, net), counts
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined while they hold no more than SCORE_BYTES."""
+    held: list[pa.RecordBatch] = []
+    join = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and sum(x.nbytes for x in held) + b.nbytes > SCORE_BYTES:
+            yield join()
+            held.clear()
+        held.append(b)
+    if held:
+        yield join()
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         sides, words = m.network.sides(), m.network.words
         z = np.log10(m.class_sizes)
         denominator = np.log10(m.total + m.distinct + 1.0)
-        for b in T.slices(batches, "text"):
+        for b in T.slices(_gathered(batches), "text", SCORE_BYTES):
             n = b.num_rows
             t = tokens(b.column("text"))
             s = symbols(t, m.top, m.top_at, words)

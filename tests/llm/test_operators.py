@@ -183,6 +183,119 @@ def test_lm_words_grow(spark):
     assert got > np.log(p[s]).mean() + 0.5
 
 
+class Counted:
+    """numpy, counting the numbers that exp takes."""
+
+    def __init__(self):
+        self.n = 0
+
+    def __getattr__(self, name):
+        return getattr(np, name)
+
+    def exp(self, z, **more):
+        self.n += z.size
+        return np.exp(z, **more)
+
+
+def small_network(words=300, spread=1.0):
+    r = np.random.default_rng(4)
+    net = lm.Network.new(r.dirichlet(np.full(words + 1 + lm.CLASSES, 0.5)))
+    net.rows[:, : lm.DIM] += r.standard_normal((len(net.rows), lm.DIM)) * spread
+    return net, r
+
+
+def plain_log_of(net, two, one, s):
+    context, top, word, c1, c2 = (x.astype(float) for x in net.parts())
+    q = np.append(context[one, : lm.DIM] * c1[:, : lm.DIM] + context[two, : lm.DIM] * c2[:, : lm.DIM], np.ones((len(s), 1)), 1)
+
+    def share(z, at):
+        z = z - z.max(1, keepdims=True)
+        return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(1))
+
+    out = share(q @ top.T, net.first_step(s))
+    for i in np.flatnonzero((s > 0) & (s <= net.words)):
+        b = (s[i] - 1) // net.width
+        out[i] += share(q[i : i + 1] @ word[b * net.width : (b + 1) * net.width].T, (s[i : i + 1] - 1) % net.width)[0]
+    return out
+
+
+@pytest.mark.parametrize("spread,tokens", [(0.3, 7000), (0.3, 100), (4.0, 7000), (12.0, 7000)])
+def test_lm_probabilities_by_their_definition(monkeypatch, spread, tokens):
+    """By products of exponentials and directly, over more than one piece of tokens and targets, with logits out of a float's range too."""
+    monkeypatch.setattr(lm, "TOKENS", 3000)
+    monkeypatch.setattr(lm, "COLUMNS", 16)
+    net, r = small_network(spread=spread)
+    two, one, s = r.integers(0, 40, tokens), r.integers(0, net.size + 1, tokens), r.integers(0, net.size, tokens)
+    with np.errstate(all="ignore"):
+        got = net.log_of(net.sides(), two, one, s)
+    want = plain_log_of(net, two, one, s)
+    assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-4, atol=1e-3)
+
+
+def test_lm_scores_with_exponentials_of_words_not_tokens(monkeypatch):
+    net, r = small_network(spread=0.3)
+    two, one, s = (r.integers(0, 30, 20_000) for _ in range(3))
+    counted = Counted()
+    monkeypatch.setattr(lm, "np", counted)
+    net.log_of(net.sides(), two, one, s)
+    assert counted.n < 20_000
+
+
+def test_lm_training_step_by_its_definition():
+    """One batch against token by token in doubles, with the same noise: touched rows take the mean of their gradients."""
+    net, r = small_network(spread=0.3)
+    p = r.dirichlet(np.full(net.size, 0.5))
+    n = 500
+    two, one, s = r.integers(0, net.size + 1, n), r.integers(0, 20, n), r.integers(0, net.size, n)
+    t = lm.Trainer(net, p, 9)
+    t.batch(two, one, s)
+    first, own = net.steps(p)
+    draw = np.random.default_rng(9)
+    noise = np.searchsorted(np.cumsum(first) / first.sum(), draw.random(lm.NOISE))
+    words = np.flatnonzero((s > 0) & (s <= net.words))
+    edge, u = np.append(0, np.cumsum(own)), draw.random((len(words), lm.NOISE_WORDS))
+    rows = net.rows.astype(float)
+    context, top, word, _, _ = (net.starts[i] for i in range(5))
+    c1, c2 = rows[net.starts[3], : lm.DIM], rows[net.starts[4], : lm.DIM]
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    grads = {}
+    of_c, of_noise = np.zeros((2, lm.DIM + 1)), np.zeros((lm.NOISE, lm.DIM + 1))
+    at_word = {i: k for k, i in enumerate(words)}
+    for i in range(n):
+        x1, x2 = rows[context + one[i], : lm.DIM], rows[context + two[i], : lm.DIM]
+        q, d_q = np.append(x1 * c1 + x2 * c2, 1), np.zeros(lm.DIM + 1)
+        f = net.first_step(s[i : i + 1])[0]
+        d = 1 - sigmoid(q @ rows[top + f] - np.log(lm.NOISE * first[f]))
+        grads.setdefault(top + f, []).append(d * q)
+        d_q += d * rows[top + f]
+        for k, x in enumerate(noise):
+            d = -sigmoid(q @ rows[top + x] - np.log(lm.NOISE * first[x]))
+            of_noise[k] += d * q
+            d_q += d * rows[top + x]
+        if i in at_word:
+            lo = (s[i] - 1) // net.width * net.width
+            hi = min(lo + net.width, net.words)
+            drawn = [np.clip(np.searchsorted(edge, edge[lo] + v * (edge[hi] - edge[lo]), "right") - 1, lo, hi - 1) for v in u[at_word[i]]]
+            for k, x in enumerate([s[i] - 1, *drawn]):
+                d = (k == 0) - sigmoid(q @ rows[word + x] - np.log(lm.NOISE_WORDS * own[x] / own[lo : lo + net.width].sum()))
+                grads.setdefault(word + x, []).append(d * q)
+                d_q += d * rows[word + x]
+        d_q[lm.DIM] = 0
+        grads.setdefault(context + one[i], []).append(np.append(d_q[: lm.DIM] * c1, 0))
+        grads.setdefault(context + two[i], []).append(np.append(d_q[: lm.DIM] * c2, 0))
+        of_c[0, : lm.DIM] += x1 * d_q[: lm.DIM] / n
+        of_c[1, : lm.DIM] += x2 * d_q[: lm.DIM] / n
+    for k, x in enumerate(noise):
+        grads.setdefault(top + x, []).append(of_noise[k])
+    touched = np.zeros(len(rows))
+    for k, g in [*grads.items(), (net.starts[3], [of_c[0]]), (net.starts[4], [of_c[1]])]:
+        mean = np.mean(g, axis=0)
+        rows[k] += 0.05 * mean / np.sqrt(1e-3 + mean * mean)
+        touched[k] = len(g)
+    touched[net.starts[3] :] = n
+    assert np.allclose(t.net.rows[:, : lm.DIM + 1], rows, atol=1e-4) and (t.touched == touched).all()
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     docs = [(i, " ".join(r.choice("abcdefgh") * 3 for _ in range(40)) + (" vile rotten vile" if i % 3 == 0 else "")) for i in range(240)] + [(900, None), (901, "")]
