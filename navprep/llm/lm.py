@@ -31,11 +31,10 @@ RARE = 32
 ROUNDS, BATCH, NOISE, NOISE_WORDS = 4, 4096, 32, 2
 LEAST_DRAWS, MAX_PASSES, WORKER_TOKENS = 12_000_000, 12, 250_000
 _CHUNK = 512
-#: Scoring: tokens whose contexts are looked at together, tokens and targets in one matrix product. Products of exponentials serve where there are SHARED times as
-#: many tokens as words in their contexts; logarithms above FAR and sums below LEAST could lose digits in products, and are made directly.
-TOKENS, ROWS, COLUMNS, SHARED, FAR, LEAST = 1 << 18, 1024, 256, 1.25, 40.0, 1e-12
-#: Bytes of text that are scored together, about TOKENS tokens: the more, the more contexts share their words.
-SCORE_BYTES = 3 << 19
+#: Scoring: tokens in one matrix product. For contexts of the PAIRED most frequent words, the end, the classes and the start, each task makes the sums over the first
+#: step's targets and over the words of the first PAIRED_BLOCKS blocks once, as products of exponentials of their two words; logarithms above FAR and sums below
+#: LEAST could lose digits there. These and all other contexts' sums are made token by token.
+ROWS, PAIRED, PAIRED_BLOCKS, FAR, LEAST = 512, 2048, 2, 40.0, 1e-12
 _END_HASH = U(0x5E4D0E4D5E4D0E40)
 FOLDS, HELD = 7, 2
 
@@ -115,6 +114,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*summed())
 
 
+class Sides(NamedTuple):
+    """What each context adds to the prediction, as the one before last and as the last, with 1 in all for the bias; the places of frequent contexts, how many they
+    are, and the logarithms of sums after pairs of them: over the first step's targets and over the words of the first blocks."""
+
+    left: np.ndarray
+    right: np.ndarray
+    place: np.ndarray
+    often: int
+    sums: list[np.ndarray]
+
+
 class Network(NamedTuple):
     """All parameters as rows of DIM values and a bias: contexts' vectors, those of the first step's targets, words' by place (whole blocks), c1 and c2
     (a weight a dimension: how the last and the one before predict)."""
@@ -168,29 +178,34 @@ class Network(NamedTuple):
         c1[:, :DIM], c2[:, :DIM] = 1.0, 0.5
         return net
 
-    def sides(self) -> tuple[np.ndarray, np.ndarray]:
-        """What each context adds to the prediction, as the one before last and as the last, with 1 in all for the bias."""
-        context, _, _, c1, c2 = self.parts()
+    def sides(self) -> Sides:
+        context, top, word, c1, c2 = self.parts()
         left, right = (np.pad(context[:, :DIM] * c[:, :DIM], ((0, 0), (0, 1))) for c in (c2, c1))
         right[:, DIM] = 1
-        return left, right
+        often = np.r_[: min(self.words, PAIRED) + 1, self.words + 1 : self.size + 1]
+        place = np.full(self.size + 1, -1)
+        place[often] = np.arange(len(often))
+        blocks = [word[b * self.width : (b + 1) * self.width] for b in range(min(self.blocks, PAIRED_BLOCKS))]
+        return Sides(left, right, place, len(often), [_pair_sums(left[often], right[often], t) for t in (top, *blocks)])
 
-    def log_of(self, sides: tuple, two: np.ndarray, one: np.ndarray, s: np.ndarray) -> np.ndarray:
+    def log_of(self, sides: Sides, two: np.ndarray, one: np.ndarray, s: np.ndarray) -> np.ndarray:
         """Natural logarithms of the symbols' probabilities after their contexts."""
         _, top, word, _, _ = self.parts()
-        out, first = np.empty(len(s)), self.first_step(s)
-        for i in range(0, len(s), TOKENS):
-            at = slice(i, i + TOKENS)
-            out[at] = _log_picked(sides, two[at], one[at], top, first[at])
-            of_words = i + np.flatnonzero((s[at] > 0) & (s[at] <= self.words))
-            block, place = np.divmod(s[of_words] - 1, self.width)
-            order = np.argsort(block.astype(np.uint16 if self.blocks < 1 << 16 else np.int64), kind="stable")
-            of_words, place = of_words[order], place[order]
-            edge = np.searchsorted(block[order], np.arange(self.blocks + 1))
-            for b in np.flatnonzero(np.diff(edge)):
-                at = slice(edge[b], edge[b + 1])
-                t = of_words[at]
-                out[t] += _log_picked(sides, two[t], one[t], word[b * self.width : (b + 1) * self.width], place[at])
+        width = self.width
+        q = sides.left.take(two, 0)
+        q += sides.right.take(one, 0)
+        i, j = sides.place.take(two), sides.place.take(one)
+        pair = np.where((i < 0) | (j < 0), -1, i * sides.often + j)
+        out = _log_picked(q, top, self.first_step(s), pair, sides.sums[0])
+        of_words = np.flatnonzero((s > 0) & (s <= self.words))
+        block, place = np.divmod(s[of_words] - 1, width)
+        order = np.argsort(block.astype(np.uint16) if self.blocks < 1 << 16 else block, kind="stable")
+        of_words, place = of_words[order], place[order]
+        edge = np.searchsorted(block[order], np.arange(self.blocks + 1))
+        for b in np.flatnonzero(np.diff(edge)):
+            at = of_words[edge[b] : edge[b + 1]]
+            sums = sides.sums[b + 1] if b + 1 < len(sides.sums) else None
+            out[at] += _log_picked(q.take(at, 0), word[b * width : (b + 1) * width], place[edge[b] : edge[b + 1]], pair.take(at), sums)
         return out
 
     def log_probabilities(self) -> np.ndarray:
@@ -200,56 +215,45 @@ class Network(NamedTuple):
         return np.stack([self.log_of(sides, np.full(len(s), a), one, s).reshape(n + 1, n) for a in range(n + 1)])
 
 
-def _log_picked(sides: tuple, two: np.ndarray, one: np.ndarray, targets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the shares that targets at have among all targets, after their contexts."""
-    (left, i), (right, j) = _distinct(sides[0], two), _distinct(sides[1], one)
-    if SHARED * (len(left) + len(right)) > len(at):
-        return np.concatenate([_log_share((left.take(i[k : k + ROWS], 0) + right.take(j[k : k + ROWS], 0)) @ targets.T, at[k : k + ROWS]) for k in range(0, len(at), ROWS)])
-    # a context's exponentials are products of its two words' own, of which there are fewer
-    picked, total = np.empty(len(at)), np.zeros(len(at))
-    for c in range(0, len(targets), COLUMNS):
-        e_left, e_right = (_exps(x @ targets[c : c + COLUMNS].T) for x in (left, right))
-        for k in range(0, len(at), ROWS):
-            total[k : k + ROWS] += np.einsum("ij,ij->i", e_left.take(i[k : k + ROWS], 0), e_right.take(j[k : k + ROWS], 0))
-    for k in range(0, len(at), ROWS):
-        picked[k : k + ROWS] = np.einsum("ij,ij->i", left.take(i[k : k + ROWS], 0) + right.take(j[k : k + ROWS], 0), targets.take(at[k : k + ROWS], 0))
-    near = total > LEAST  # not where a word's own are out of range, either
-    out = picked - np.log(np.where(near, total, 1))
-    far = np.flatnonzero(~near)
-    for k in range(0, len(far), ROWS):
-        x = far[k : k + ROWS]
-        out[x] = _log_share((left[i[x]] + right[j[x]]) @ targets.T, at[x])
-    return out
-
-
-def _distinct(side: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows that are used of a side, and each one's place among them."""
-    used = np.zeros(len(side), bool)
-    used[of] = True
-    rows = np.flatnonzero(used)
-    place = np.empty(len(side), np.int64)
-    place[rows] = np.arange(len(rows))
-    return side.take(rows, 0), place[of]
-
-
-def _exps(z: np.ndarray) -> np.ndarray:
-    """Exponentials; not a number in rows whose products with others might be out of range."""
-    far = (z > FAR).any(1) if z.max() > FAR else None
-    with np.errstate(over="ignore"):
-        np.exp(z, out=z)
-    if far is not None:
+def _pair_sums(left: np.ndarray, right: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Logarithms of the targets' sums after each pair of a word before last (left) and a last one (right); not a number where digits might be lost."""
+    exps = []
+    for side in (left, right):
+        z = side @ targets.T
+        far = (z > FAR).any(1)
+        with np.errstate(over="ignore"):
+            np.exp(z, out=z)
         z[far] = np.nan
-    return z
+        exps.append(z)
+    sums = exps[0] @ exps[1].T
+    sums[~(sums > LEAST)] = np.nan
+    return np.log(sums, out=sums).reshape(-1)
+
+
+def _log_picked(q: np.ndarray, targets: np.ndarray, at: np.ndarray, pair: np.ndarray, sums: np.ndarray | None) -> np.ndarray:
+    """Natural logarithms of the shares that targets at have among all targets. pair: places in sums, -1: none."""
+    if sums is None:
+        return _log_shares(q, targets, at)
+    log = np.where(pair < 0, np.float32(np.nan), sums.take(pair, mode="clip"))
+    out = np.einsum("ij,ij->i", q, targets.take(at, 0)) - log.astype(float)
+    rest = np.flatnonzero(np.isnan(log))
+    out[rest] = _log_shares(q.take(rest, 0), targets, at[rest])
+    return out
 
 
-def _log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    picked = z[np.arange(len(z)), at]
-    with np.errstate(over="ignore", divide="ignore"):
-        out = picked - np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))
-    far = np.flatnonzero(~np.isfinite(out))  # beyond the range of exp
-    if len(far):
-        x = z[far] - z[far].max(1, keepdims=True)
-        out[far] = x[np.arange(len(far)), at[far]] - np.log(np.exp(x).sum(1))
+def _log_shares(q: np.ndarray, targets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.empty(len(at))
+    for i in range(0, len(at), ROWS):
+        z, k = q[i : i + ROWS] @ targets.T, at[i : i + ROWS]
+        picked = z[np.arange(len(k)), k]
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            now = picked - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+        far = np.flatnonzero(~np.isfinite(now))  # beyond the range of exp
+        if len(far):
+            x = q[i + far] @ targets.T
+            x -= x.max(1, keepdims=True)
+            now[far] = x[np.arange(len(far)), k[far]] - np.log(np.exp(x).sum(1))
+        out[i : i + ROWS] = now
     return out
 
 
@@ -455,36 +459,24 @@ def train(texts: DataFrame, max_frequent: int = MAX_FREQUENT) -> tuple[Model, Da
     return Model(total, distinct, top_h, top_at, fh[order], fc[order], sizes, net), counts
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined while they hold no more than SCORE_BYTES."""
-    held: list[pa.RecordBatch] = []
-    join = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    for b in batches:
-        if not b.num_rows:
-            continue
-        if held and sum(x.nbytes for x in held) + b.nbytes > SCORE_BYTES:
-            yield join()
-            held.clear()
-        held.append(b)
-    if held:
-        yield join()
-
-
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         sides, words = m.network.sides(), m.network.words
         z = np.log10(m.class_sizes)
         denominator = np.log10(m.total + m.distinct + 1.0)
-        for b in T.slices(_gathered(batches), "text", SCORE_BYTES):
+        for b in T.slices(batches, "text"):
             n = b.num_rows
             t = tokens(b.column("text"))
-            s = symbols(t, m.top, m.top_at, words)
+            distinct, back = np.unique(t.h, return_inverse=True)  # looked up once each
+            s = symbols(t._replace(h=distinct, end=t.end[:0]), m.top, m.top_at, words)[back]
+            s[t.end] = 0
             own = m.network.log_of(sides, *contexts(s, t, m.network.size), s) / np.log(10)
             other = s > words  # these have their word's share of the class, too
-            at = np.minimum(np.searchsorted(m.frequent, t.h), max(len(m.frequent) - 1, 0))
-            found = m.frequent[at] == t.h if len(m.frequent) else np.zeros(len(t.h), bool)
-            log_c = np.where(found, np.log10(np.where(found, m.frequent_counts[at] if len(m.frequent) else 0, 0) + 1.0), 0.0)
+            at = np.minimum(np.searchsorted(m.frequent, distinct), max(len(m.frequent) - 1, 0))
+            found = m.frequent[at] == distinct if len(m.frequent) else np.zeros(len(distinct), bool)
+            log_c = np.where(found, np.log10(np.where(found, m.frequent_counts[at] if len(m.frequent) else 0, 0) + 1.0), 0.0)[back]
+            found = found[back]
             own += np.where(other, log_c - z[np.maximum(s - words - 1, 0)], 0.0)
             sum_ = lambda x: np.bincount(t.doc, x, n)
             rare = np.flatnonzero(~found)
