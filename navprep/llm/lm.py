@@ -3,7 +3,7 @@
 Symbols are the words that occur sqrt(tokens) / RARE times or more (VOCAB places at least), the end of a text, and CLASSES classes of all other words (by
 their last two bytes). The network predicts a symbol from the two before it in two steps: the end, a class or a block of about sqrt(words) words next to
 each other in frequency; then the word within its block. A word of a class has the class's probability times its own add-one share of the class.
-Probabilities are normalised exactly over all symbols, by matrix products over all tokens. Training passes over every token of the corpus.
+Probabilities are normalised exactly over all symbols, by matrix products over pairs of frequent words and over all other tokens. Training passes over every token of the corpus.
 """
 
 from __future__ import annotations
