@@ -1,5 +1,7 @@
 """Steps whose work or memory must not outgrow the input, and queries that must take all of it."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
@@ -31,6 +33,49 @@ def test_blocks_of_fused_frames_meet_in_a_stream(spark):
     assert len(whole) > 100 and [x[0] for x in cut] == [x[0] for x in whole] and np.allclose([x[1:] for x in cut], [x[1:] for x in whole])
 
 
+def test_fusing_shuffles_pixels_not_voxels(spark, monkeypatch):
+    f = map_queries._frames(spark, SMALL).where("frame_id < 4")
+    f = fusion.stored(maps.with_camera(f, map_queries._poses(spark, SMALL)), "test-frames")
+    written = lambda: {p: p.stat().st_size for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+    fused = []
+
+    def measured(df, name):
+        old, n = written(), df.count()
+        fused.append((n, sum(size for p, size in written().items() if p not in old)))
+        return df
+
+    monkeypatch.setattr(fusion, "stored", measured)
+    fusion.fused_cloud(f, 0.045, 0.2, 10.0)
+    (n, size), = fused
+    assert n > 50_000 and size < 30_000 * f.count()  # the voxels that a frame touches are over a million bytes
+
+
+def test_cubes_meet_without_a_gap(spark, monkeypatch):
+    frames = frame_queries._frames(spark, SMALL).where("frame_id < 12")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = rows(fusion.surface_points(fusion.fuse(frames, 0.2, 0.8, 10.0), 0.2))  # by blocks that meet in a shuffle
+    for held in (1, 27, 512):
+        monkeypatch.setattr(fusion, "HELD", held)
+        got = rows(fusion.fused_points(frames, 0.2, 0.8, 10.0))
+        assert len(got) == len(whole) > 1000 and [x[0] for x in got] == [x[0] for x in whole] and np.allclose([x[1:] for x in got], [x[1:] for x in whole])
+
+
+def test_parts_of_a_frame_count_as_the_whole_of_it():
+    """A cube's sums from the pixels that it was dealt are those from the whole image, exactly, at pixels' edges too and behind the camera."""
+    r = np.random.default_rng(3)
+    for n in range(6):
+        mm = r.integers(300, 2500, (6, 9)) * (r.random((6, 9)) < 0.8)
+        q = r.normal(size=4) if n else np.array([0, 0, 0, 1.0])
+        view, parts = np.r_[5.0, 4.0, 4.5, 2.5, r.normal(0, 0.1, 3) * (n > 0), q], 0
+        for cube, blocks, v, u in fusion.frame_cubes(mm / 1000, tuple(view[:4]), view[4:], 0.1, 0.25, 2, True):
+            a, b = fusion._Cube(0.1, 0.25, 2), fusion._Cube(0.1, 0.25, 2)
+            a.add(cube, view, blocks, v.start, u.start, mm[v, u] / 1000)
+            b.add(cube, view, blocks, 0, 0, mm / 1000)
+            assert (a.total == b.total).all() and (a.weight == b.weight).all()
+            parts += mm[v, u].size < mm.size
+        assert parts > 3
+
+
 def test_a_dense_block_is_searched_by_cells(monkeypatch):
     cloud = np.random.default_rng(4).uniform(0, 1.8, (8000, 3))
     own = cloud[((cloud > 0.3) & (cloud < 1.5)).all(1)]
