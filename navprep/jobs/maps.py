@@ -58,6 +58,15 @@ def _terrain(points: DataFrame, poses: DataFrame, s: dict) -> DataFrame:
     return t.drop("ground_z", "robot_height")
 
 
+def _near_terrain(points: DataFrame, levels: DataFrame, s: dict, size: float) -> DataFrame:
+    """points with near: false where no voxel of that size that holds them can have its mean among the terrain. levels: with_heights of envs.
+
+    A voxel's points differ by size at most: where one lies farther from the terrain, the mean of all and of any others lies outside."""
+    z, h, margin = F.col("z") - F.col("ground_z"), abs(s["terrain_ground_height"]), 1.01 * size
+    near = (z > -h - margin) & (z < F.greatest(F.lit(h), 1.5 * F.col("robot_height")) + margin)
+    return points.join(sized(levels), "env").withColumn("near", near).drop("ground_z", "robot_height")
+
+
 def surface_from_cloud(cloud: DataFrame, poses: DataFrame, s: dict) -> tuple[DataFrame, DataFrame]:
     """(cells, params) of a cloud in the world. Obstacles are thinned to a point a voxel, then lose their statistical outliers; these bound the map and fill its
     obstacle layer. Free points count as they are."""
@@ -98,7 +107,9 @@ def build_map(s: dict, poses: DataFrame, frames: DataFrame | None = None, scans:
     elif source in DEPTH_FUSED:
         f = with_camera(frames, poses, extrinsics, flat, by_position=True)
         f = f.where(F.col("position") % s["depth_tsdf_frame_stride"] == 0).drop("position")
-        cloud = fusion.fused_cloud(f, s["cloud_voxel"], s["depth_tsdf_truncation"], s["max_depth_range"])
+        levels = stored(with_heights(poses.select("env").distinct(), poses, s), "map-heights")
+        near = lambda rows: _near_terrain(rows, levels, s, s["cloud_voxel"])
+        cloud = fusion.fused_cloud(f, s["cloud_voxel"], s["depth_tsdf_truncation"], s["max_depth_range"], near=near)
     elif source in SCAN:
         base = _with_extrinsic(poses.select("env", "frame_id", F.struct(*g.POSE).alias("base")), extrinsics)
         x = scans.join(sized(stored(base, "scan-poses")), ["env", "frame_id"])

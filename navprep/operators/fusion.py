@@ -137,11 +137,13 @@ class _Cube:
             yield pd.DataFrame({"env": np.full(len(some), env, object), "bx": bx, "by": by, "bz": bz, "tsdf": [x.tobytes() for x in tsdf], "weight": [x.tobytes() for x in weight[some]]})
 
     def crossings(self, env: str, cube: tuple[int, int, int], edge: float) -> Iterator[pd.DataFrame]:
-        """The points where the distance changes sign between a voxel of the cube and its next one along an axis."""
+        """The points where the distance changes sign between a voxel of the cube and its next one along an axis; low: the cube's least along x, y or z."""
         mean = np.divide(self.total, self.weight, out=np.full(self.total.shape, np.nan), where=self.weight > 0)
         mean[~((mean < edge) & (mean >= -edge))] = np.nan
         origin = np.multiply(cube, self.wide - 1)
-        yield from _crossings(mean[None], np.array([env], object), origin[None].astype(float), self.voxel)
+        found = pd.concat(_crossings(mean[None], np.array([env], object), origin[None].astype(float), self.voxel), ignore_index=True)
+        if len(found):
+            yield found.assign(low=found.index.isin([found[c].argmin() for c in "xyz"]))
 
 
 def nearest_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -192,7 +194,7 @@ def _fused(frames: DataFrame, voxel: float, trunc: float, max_range: float, shap
     onto, and a task holds the sums of one cube at a time, whatever number of frames there is."""
     side = max(1, round(HELD ** (1 / 3)))
     whole = frames.schema["data"].dataType.elementType.typeName() in ("byte", "short", "integer", "long")
-    kind = np.int32 if whole else np.float64  # pixels beyond max_range are 0
+    kind = np.float64 if not whole else np.uint16 if max_range * 1000 < 1 << 16 else np.uint32  # pixels beyond max_range are 0
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held, names = [], 0, [f.split()[0] for f in _PARTS.split(", ")]
@@ -302,10 +304,16 @@ def surface_points(volume: DataFrame, voxel: float, edge: float = EDGE) -> DataF
 
 
 def fused_points(frames: DataFrame, voxel: float, trunc: float, max_range: float, shape: tuple[int, int] | None = None, edge: float = EDGE) -> DataFrame:
-    """The surface points of the frames' volume, without the volume: a cube also sums up the first layers of the next ones, so no voxel leaves its task."""
-    return _fused(frames, voxel, trunc, max_range, shape, True, lambda sums, *at: sums.crossings(*at, edge), "env string, x double, y double, z double")
+    """The surface points of the frames' volume, without the volume: a cube also sums up the first layers of the next ones, so no voxel leaves its task.
 
+    low: one of some points that hold the least coordinates of an env."""
+    return _fused(frames, voxel, trunc, max_range, shape, True, lambda sums, *at: sums.crossings(*at, edge), "env string, x double, y double, z double, low boolean")
 
-def fused_cloud(frames: DataFrame, voxel: float, trunc: float, max_range: float, shape: tuple[int, int] | None = None) -> DataFrame:
-    """The fused surface, thinned to the mean point of each voxel."""
-    return voxel_downsample(stored(fused_points(frames, voxel, trunc, max_range, shape), "fused-points"), voxel)
+
+def fused_cloud(frames: DataFrame, voxel: float, trunc: float, max_range: float, shape: tuple[int, int] | None = None, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The fused surface, thinned to the mean point of each voxel.
+
+    near adds to points the column near: whether their voxel is wanted, for all of a wanted voxel's points. Of the others only those that set the lattice are stored."""
+    points = fused_points(frames, voxel, trunc, max_range, shape)
+    points = near(points).where("near or low") if near else points
+    return voxel_downsample(stored(points.drop("low"), "fused-points"), voxel, "near" if near else None)

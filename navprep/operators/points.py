@@ -82,12 +82,12 @@ def mean_height(poses: DataFrame) -> DataFrame:
     return poses.groupBy("env").agg(F.avg("z").alias("mean_z"))
 
 
-def voxel_downsample(points: DataFrame, size: float) -> DataFrame:
+def voxel_downsample(points: DataFrame, size: float, near: str | None = None) -> DataFrame:
     """The mean point of each voxel; the lattice starts half a voxel below an env's least coordinates. Partial sums meet by voxel, not by env: the least
-    coordinates, a row an env, are stored first, so that points aren't shuffled by env to meet them."""
+    coordinates, a row an env, are stored first, so that points aren't shuffled by env to meet them. near: a column that says which rows' voxels are wanted."""
     low = stored(points.groupBy("env").agg(*(F.min(c).alias(f"min_{c}") for c in "xyz")), "voxel-lows")
     k = lambda c: F.floor((F.col(c) - F.col(f"min_{c}") + size / 2) / size).alias(f"k{c}")
-    p = points.join(sized(low), "env").select("env", "x", "y", "z", k("x"), k("y"), k("z"))
+    p = (points.where(near) if near else points).join(sized(low), "env").select("env", "x", "y", "z", k("x"), k("y"), k("z"))
     return p.groupBy("env", "kx", "ky", "kz").agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").alias("n"))
 
 

@@ -5,6 +5,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
+import pytest
 
 from navprep.jobs import frame_queries, map_queries, maps, report_queries, settings
 from navprep.jobs.catalog import QUERIES
@@ -56,8 +57,38 @@ def test_cubes_meet_without_a_gap(spark, monkeypatch):
     whole = rows(fusion.surface_points(fusion.fuse(frames, 0.2, 0.8, 10.0), 0.2))  # by blocks that meet in a shuffle
     for held in (1, 27, 512):
         monkeypatch.setattr(fusion, "HELD", held)
-        got = rows(fusion.fused_points(frames, 0.2, 0.8, 10.0))
+        points = fusion.fused_points(frames, 0.2, 0.8, 10.0)
+        got = rows(points.drop("low"))
         assert len(got) == len(whole) > 1000 and [x[0] for x in got] == [x[0] for x in whole] and np.allclose([x[1:] for x in got], [x[1:] for x in whole])
+        lows = [sorted(map(tuple, df.groupBy("env").agg({"x": "min", "y": "min", "z": "min"}).collect())) for df in (points, points.where("low"))]
+        assert lows[0] == lows[1]
+
+
+def test_only_points_near_the_terrain_are_thinned(spark, monkeypatch):
+    """The cloud of the terrain's heights is that of all points, while others aren't kept but for an env's least."""
+    poses = map_queries._poses(spark, SMALL)
+    s = settings.resolve({**map_queries._SETTINGS, "cloud_source": "depth_tsdf"})
+    frames, kept, clouds, store = map_queries._frames(spark, SMALL).where("frame_id < 3"), [], [], fusion.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        kept.append(out.count())
+        return out
+
+    def seen(cloud, poses, s):
+        clouds.append(maps._terrain(cloud, poses, s).select("env", "x", "y", "z").toPandas().sort_values(["env", "x", "y", "z"]))
+        raise StopIteration
+
+    monkeypatch.setattr(fusion, "stored", counted)
+    monkeypatch.setattr(maps, "surface_from_cloud", seen)
+    plain = fusion.fused_cloud
+    for cut in (True, False):
+        if not cut:
+            monkeypatch.setattr(fusion, "fused_cloud", lambda *a, near: plain(*a))
+        with pytest.raises(StopIteration):
+            maps.build_map(s, poses, frames)
+    assert len(clouds[0]) == len(clouds[1]) > 1000 and (clouds[0]["env"].values == clouds[1]["env"].values).all()
+    assert np.allclose(clouds[0][["x", "y", "z"]], clouds[1][["x", "y", "z"]], atol=1e-12) and kept[0] < kept[1] / 2
 
 
 def test_parts_of_a_frame_count_as_the_whole_of_it():
