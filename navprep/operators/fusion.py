@@ -194,7 +194,8 @@ def _fused(frames: DataFrame, voxel: float, trunc: float, max_range: float, shap
     onto, and a task holds the sums of one cube at a time, whatever number of frames there is."""
     side = max(1, round(HELD ** (1 / 3)))
     whole = frames.schema["data"].dataType.elementType.typeName() in ("byte", "short", "integer", "long")
-    kind = np.float64 if not whole else np.uint16 if max_range * 1000 < 1 << 16 else np.uint32  # pixels beyond max_range are 0
+    most = max_range * 1000 if whole else np.inf  # pixels beyond are 0
+    kind = np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.float64
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held, names = [], 0, [f.split()[0] for f in _PARTS.split(", ")]

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql.functions import lit
 
 from navprep.jobs import frame_queries, map_queries, maps, report_queries, settings
 from navprep.jobs.catalog import QUERIES
@@ -64,6 +65,17 @@ def test_cubes_meet_without_a_gap(spark, monkeypatch):
         assert lows[0] == lows[1]
 
 
+def test_pixels_of_every_kind_fuse_alike(spark):
+    frames = frame_queries._frames(spark, SMALL).where("frame_id < 3")
+    rows = lambda f, most: sorted(map(tuple, fusion.fused_points(f, 0.2, 0.8, most).collect()))
+    want = rows(frames, 12.0)
+    broken = frames.unionByName(frames.selectExpr("env", "frame_id", "height", "width", "transform(data, x -> cast(null as int)) data", "fx", "fy", "cx", "cy", "camera"))
+    for f, most in ((frames.selectExpr("*").withColumn("data", frames["data"].cast("array<double>")), 12.0), (frames, 70.0), (frames, 1e7), (frames, float("inf")), (broken, 12.0)):
+        got = rows(f, most)  # no pixel is beyond 12 m
+        assert len(got) == len(want) > 100 and [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1:4] for x in got], [x[1:4] for x in want])
+    assert fusion.fused_points(frames.withColumn("camera", frames["camera"].withField("qx", lit(None).cast("double"))), 0.2, 0.8, 12.0).count() == 0
+
+
 def test_only_points_near_the_terrain_are_thinned(spark, monkeypatch):
     """The cloud of the terrain's heights is that of all points, while others aren't kept but for an env's least."""
     poses = map_queries._poses(spark, SMALL)
